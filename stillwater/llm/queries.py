@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_automaton import encode_digests
+from .brown_lm import brown_scores
 from .common import load
 from .exact_dedup import exact_dedup
+from .language_id import identify
+from .near_dedup import near_dedup
 from .packing import pack_documents
 from .sharding import shard_rows
 from .url_filter import filter_urls
+from .vector_search import top_k
 
 CAPACITY, SHARDS = 2048, 24
 #: The rules of the contract as host, path, verdict.
@@ -36,6 +40,10 @@ def tokenizer_json(path: str | None = None) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
+def op1_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack_documents(load(spark, sf_dir, "documents"), tokenizer_json(), CAPACITY)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -46,6 +54,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(load(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = load(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -62,12 +74,57 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(load(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = brown_scores(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_exact_dedup, op6_ring_sharding, op8_bpe_automaton, op9_url_filter)}
+    return {f.__name__: f for f in (op1_pivot_search, op2_best_fit_packing, op3_exact_dedup, op4_hyperminhash, op6_ring_sharding, op7_brown_lm, op8_bpe_automaton, op9_url_filter, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_pivot_search": """
+            with v as (
+                select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+                where vec_id is not null and embedding is not null
+                  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+            ),
+            s as (
+                select q.vec_id as query_id, c.vec_id,
+                       cast(list_dot_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+                from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
+            )
+            select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+            from s qualify rank <= 10
+        """,
+        "op4_hyperminhash": """
+            with recursive d as (
+                select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+            ),
+            s as (
+                select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as g from d
+            ),
+            n as (select doc_id, count(*) as n from s group by doc_id),
+            e as (
+                select x.doc_id as a, y.doc_id as b from s x join s y on x.g = y.g and x.doc_id <> y.doc_id
+                join n nx on nx.doc_id = x.doc_id join n ny on ny.doc_id = y.doc_id
+                where 100 * least(nx.n, ny.n) >= 85 * greatest(nx.n, ny.n)
+                group by x.doc_id, y.doc_id, nx.n, ny.n having 100 * count(*) >= 85 * (nx.n + ny.n - count(*))
+            ),
+            r(doc_id, c) as (
+                select doc_id, doc_id from d union select r.doc_id, e.b from r join e on e.a = r.c
+            ),
+            c as (select doc_id, min(c) as component_id from r group by doc_id)
+            select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+            from d join c using (doc_id) left join n using (doc_id)
+        """,
         "op3_exact_dedup": """
             with d as (
                 select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents
