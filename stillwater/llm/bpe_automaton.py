@@ -9,6 +9,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import map_arrow
 from .packing import NOT_SPACE, REMEMBERED
@@ -231,8 +232,8 @@ def encode_digests(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id",
 def encode(docs: DataFrame, tokenizer_json: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """Add the ids of ``text_col`` as ``out_col``; null text gives an empty list."""
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
-    schema = docs.schema.add(out_col, "array<int>") if out_col not in docs.columns else docs.drop(out_col).schema.add(out_col, "array<int>")
     docs = docs.drop(out_col)
+    schema = StructType([*docs.schema, StructField(out_col, ArrayType(IntegerType()))])
     at = docs.columns.index(text_col)
 
     def make():
@@ -252,6 +253,4 @@ def decode(rows: DataFrame, tokenizer_json: str, ids_col: str = "ids", out_col:
         text = Encoder(spec.value).decode
         return lambda b: pa.RecordBatch.from_arrays([*b.columns, pa.array([text(i or []) for i in b.column(at).to_pylist()], pa.string())], [*b.schema.names, out_col])
 
-    from pyspark.sql.types import StringType, StructField, StructType
-
     return map_arrow(rows, make, StructType([*rows.schema, StructField(out_col, StringType())]))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, parts
@@ -80,7 +80,7 @@ def _partition() -> int:
 def _batch(out: dict[str, list], ids: pa.Array, rids: pa.Array, part: int, at: int) -> pa.RecordBatch:
     n = len(out["run"])
     return pa.RecordBatch.from_arrays(
-        [ids.slice(at, n), rids.slice(at, n), pa.array(out["keep"], pa.int64()), pa.array(out["size"], pa.int64()), pa.array(out["sha"], pa.string()), pa.array([part] * n, pa.int32()), pa.array(out["run"], pa.int32()), pa.array(out["n_in"], pa.int64()), pa.array(out["edge"], pa.string())],
+        [ids.slice(at, n), rids.slice(at, n), pa.array(out["keep"], pa.int64()), pa.array(out["size"], pa.int64()), pa.array(out["sha"], pa.string()), pa.array([part] * n, pa.int32()), pa.array(out["run"], pa.int32()), pa.array(out["n_in"], pa.int64()), pa.array(out["edge"], pa.binary())],
         ["id", "rid", "keep", "size", "sha", "part", "run", "n_in", "edge"],
     )
 
@@ -104,24 +104,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
     rid = F.col(row_col) if row_col else F.lit(0)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), rid.cast("long").alias("rid"), norm.alias("norm"))
-    rows = rows.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256)).withColumn("pre", F.substring(F.col("norm").cast("binary"), 1, PREFIX))
-    keys = [F.col("pre"), F.col("sha"), F.col("id").asc_nulls_last(), F.col("rid")]
-    rows = rows.repartitionByRange(parts(docs.sparkSession), *keys).sortWithinPartitions(*keys).select("id", "rid", "norm", "sha")
-    found = cut(rows.mapInArrow(_runs, "id long, rid long, keep long, size long, sha string, part int, run int, n_in long, edge string"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), rid.cast("long").alias("rid"), norm.cast("binary").alias("norm"))
+    rows = rows.withColumns({"sha": F.sha2("norm", 256), "pre": F.substring("norm", 1, PREFIX)})
+    out = sorted_runs(rows, [F.col("pre"), F.col("sha"), F.col("id").asc_nulls_last(), F.col("rid")])
+    return out.select("id", "rid", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("first").alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def sorted_runs(rows: DataFrame, keys: list[Column]) -> DataFrame:
+    """Range-sort rows ``id, rid, norm, sha`` by keys that put equal ``norm`` next to each other, and find the runs.
+
+    Returns ``id, rid, sha``, the ``size`` of the row's run, the ``id`` that opens it as ``keep`` and whether the
+    row is that ``first`` one.
+    """
+    rows = rows.repartitionByRange(parts(rows.sparkSession), *keys).sortWithinPartitions(*keys).select("id", "rid", "norm", "sha")
+    found = cut(rows.mapInArrow(_runs, "id long, rid long, keep long, size long, sha string, part int, run int, n_in long, edge binary"))
 
     # At most two rows for each partition.
     edges = found.filter(F.col("edge").isNotNull()).select("part", "run", "edge", "keep", "size")
     same = Window.partitionBy("edge")
-    edges = edges.select(
-        F.col("part").alias("_part"), F.col("run").alias("_run"), F.min("keep").over(same).alias("_keep"), F.sum("size").over(same).alias("_size"), (F.row_number().over(same.orderBy("part")) == 1).alias("_opens")
-    )
+    in_order = same.orderBy("part", "run")
+    edges = edges.select(F.col("part").alias("_part"), F.col("run").alias("_run"), F.first("keep").over(in_order).alias("_keep"), F.sum("size").over(same).alias("_size"), (F.row_number().over(in_order) == 1).alias("_opens"))
     out = found.join(F.broadcast(edges), (found.part == edges["_part"]) & (found.run == edges["_run"]), "left")
-    return out.select(
-        "id",
-        "rid",
-        F.coalesce("_keep", "keep").alias("keep_id"),
-        F.coalesce("_size", "size").alias("group_size"),
-        ((F.col("n_in") == 0) & F.coalesce("_opens", F.lit(True))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
+    opens = (F.col("n_in") == 0) & F.coalesce("_opens", F.lit(True))
+    # a run that goes on from an earlier partition is named there, be it by null
+    return out.select("id", "rid", "sha", F.coalesce("_size", "size").alias("size"), F.when(F.col("_opens").isNotNull(), F.col("_keep")).otherwise(F.col("keep")).alias("keep"), opens.alias("first"))

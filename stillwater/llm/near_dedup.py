@@ -52,22 +52,22 @@ def _sets(text: bytes, hash_words, k: int) -> np.ndarray:
     return np.unique(shingles(hash_words(text.lower().split()), k))
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``doc_id, n, fp, sig``: the size of each shingle set, a 16-byte digest of it and its registers (null without words)."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, row_col: str | None, k: int) -> DataFrame:
+    """``doc_id, row, n, fp, sig``: the size of each shingle set, a 16-byte digest of it and its registers (null without words)."""
 
     def make():
         hash_words = word_hasher()
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [_sets(t, hash_words, k) for t in pieces(b.column(1))]
+            sets = [_sets(t, hash_words, k) for t in pieces(b.column(2))]
             return pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest16(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "n", "fp", "sig"],
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest16(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
+                ["doc_id", "row", "n", "fp", "sig"],
             )
 
         return f
 
-    return map_arrow(docs.select(F.col(id_col).cast("long"), text_col), make, "doc_id long, n long, fp binary, sig binary")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), (F.col(row_col) if row_col else F.lit(0)).cast("long"), text_col), make, "doc_id long, row long, n long, fp binary, sig binary")
 
 
 def _candidates(threshold: float):
@@ -162,7 +162,7 @@ def verified(docs: DataFrame, pairs: DataFrame, text_col: str, k: int, percent:
     return met.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary")
 
 
-def near_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Link texts whose sets of word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
     Words are separated by ASCII white space, A-Z lower-cased; a text with
@@ -171,12 +171,12 @@ def near_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     the classes are linked through HyperMinHash candidates that are confirmed
     on full sets, and the smallest identifier of a component names it.
 
-    Returns ``doc_id, n_shingles, component_id, kept``, one row for each input
-    row.  A text without words has an empty set and is linked with nothing.
+    Returns ``doc_id, row, n_shingles, component_id, kept``, one row for each
+    input row; ``row`` is carried from ``row_col`` (else 0).  A text without words has an empty set and is linked with nothing.
     Null identifiers never name a component that has another identifier; rows
     that repeat an identifier are all kept or all dropped.
     """
-    found = cut(fingerprints(docs, id_col, text_col, words))
+    found = cut(fingerprints(docs, id_col, text_col, row_col, words))
     classes = cut(found.filter(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     pairs = cut(candidates(classes, percent / 100))
     links = cut(verified(docs, pairs, text_col, words, percent))
@@ -185,6 +185,6 @@ def near_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     table = cut(classes.select("fp", "rows").join(labels.select(F.col("v").alias("fp"), F.nullif("label", top).alias("component")), "fp"))
     # a text without words gets a key of its own
     alone = F.concat(F.lit(b"\0"), F.monotonically_increasing_id().cast("string").cast("binary"))
-    rows = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("fp", alone).alias("fp"))
+    rows = found.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("fp", alone).alias("fp"))
     out = lookup(rows, table, ["fp"], "rows").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return out.select("doc_id", "row", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

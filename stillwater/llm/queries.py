@@ -17,6 +17,7 @@ from .language_id import identify
 from .near_dedup import near_dedup
 from .packing import pack_documents
 from .sharding import shard_rows
+from .suffix_dedup import repeated_spans
 from .url_filter import filter_urls
 from .vector_search import top_k
 
@@ -55,7 +56,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(load(spark, sf_dir, "documents"), percent=85)
+    return near_dedup(load(spark, sf_dir, "documents"), percent=85).drop("row")
+
+
+def op5_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_spans(load(spark, sf_dir, "documents"), least=50)
+    return out.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "removed")
 
 
 def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +90,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pivot_search, op2_best_fit_packing, op3_exact_dedup, op4_hyperminhash, op6_ring_sharding, op7_brown_lm, op8_bpe_automaton, op9_url_filter, op10_language_id)}
+    return {f.__name__: f for f in (op1_pivot_search, op2_best_fit_packing, op3_exact_dedup, op4_hyperminhash, op5_sparse_suffix, op6_ring_sharding, op7_brown_lm, op8_bpe_automaton, op9_url_filter, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
