@@ -2,10 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql() -> dict:
-    return {}
+#: Common table expressions for the SQL side: f, observations; s, with streaks; r, runs.
+FRAMES = """
+f as (
+    select user_id as run_id, event_id as frame_idx, epoch_us(ts) * 1000 as t_post, value, event_type as cls, props,
+           cast(user_id % 5 as int) as config, cast((user_id // 5) % 3 as int) as model, cast(user_id // 15 as int) as scenario
+    from events
+),
+o as (select run_id, min(t_post) filter (where t_post >= 1705276800000000000) as t_onset from f group by run_id),
+fo as (select * from f join o using (run_id))"""
+STREAKS = (
+    FRAMES
+    + """,
+s0 as (select *, case when value >= 60 then 1 else 0 end as q from fo),
+s1 as (select *, sum(1 - q) over (partition by run_id order by t_post, frame_idx) as brk from s0),
+s as (
+    select *, case when q = 1 then sum(q) over (partition by run_id, brk order by t_post, frame_idx) else 0 end as streak from s1
+)"""
+)
+RUNS = (
+    STREAKS
+    + """,
+r0 as (
+    select run_id, config, model, scenario, max(t_onset) as t_onset,
+           min(t_post) filter (where streak >= 3 and t_post >= t_onset) as t_fire,
+           coalesce(bool_or(streak >= 3 and t_post < t_onset), false) as fp_pre,
+           min(t_post) filter (where streak = 3) as t_single_shot,
+           min(t_post) filter (where streak >= 1 and t_post >= t_onset) as t_first_detection, max(t_post) as t_last,
+           count(*) filter (where t_post >= t_onset) as n_post,
+           count(*) filter (where t_post >= t_onset and streak >= 1) as n_qualifying_post
+    from s group by run_id, config, model, scenario
+),
+r1 as (
+    select *, t_fire is not null as hit, round((t_fire - t_onset) / 3.6e12, 6) as ttd, round((t_last - t_onset) / 3.6e12, 6) as followup,
+           round((t_first_detection - t_onset) / 3.6e12, 6) as t_first, round((t_single_shot - t_onset) / 3.6e12, 6) as t_single
+    from r0
+),
+r as (
+    select *, round(ttd - case when hit then t_first end, 6) as accum, case when hit then ttd else followup end as duration from r1
+)"""
+)
+CORPUS = """
+c as (
+    select l_suppkey as clip, l_returnflag as model, cast(round(l_discount * 100) as int) as score,
+           l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity
+    from lineitem
+)"""
+
+def register(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return _QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return _SQL
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["alarm_by_config"](spark, sf_dir)
+
+
+def _load() -> None:
+    from . import alarms, audits, inference, logs  # noqa: F401
