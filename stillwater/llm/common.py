@@ -120,6 +120,59 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: An odd number and its inverse modulo 2**64, for hashes of sequences.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int, known: dict = {}) -> np.ndarray:  # noqa: B006
+    """The first ``n`` powers modulo 2**64."""
+    if base not in known or len(known[base]) < n:
+        out = np.full(max(n, 4096), base, np.uint64)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            np.multiply.accumulate(out, out=out)
+        if len(out) > 1 << 20:  # one very long text
+            return out[:n]
+        known[base] = out
+    return known[base][:n]
+
+
+class Sequence:
+    """Hashes of the parts of a sequence of 64-bit numbers."""
+
+    def __init__(self, h: np.ndarray) -> None:
+        self.n = len(h)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(h * powers(BASE, self.n), out=self.sums[1:])
+        self.back = powers(INVERSE, self.n + 1)
+
+    def part(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.sums[start + size] - self.sums[start]) * self.back[start] + np.asarray(size).astype(np.uint64))
+
+
+#: A 64-bit number for each byte; in LOWER the letters A-Z have those of a-z.
+EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+LOWER = EXACT.copy()
+LOWER[65:91] = EXACT[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def word_hashes(text: bytes, table: np.ndarray = EXACT) -> np.ndarray:
+    """64-bit hashes of the words of a text, which ASCII white space separates."""
+    b = np.frombuffer(text, np.uint8)
+    edge = np.zeros(len(b) + 2, np.int8)
+    edge[1:-1] = ~_SPACE[b]
+    step = np.diff(edge)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    return Sequence(table[b]).part(starts, ends - starts)
+
+
 def word_hasher(limit: int = 300_000) -> Callable[[list[bytes]], np.ndarray]:
     """64-bit hashes of words, the same in every task; the memory for words met before is bounded."""
     import xxhash
@@ -144,7 +197,8 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(len(h) - k + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + mix(h[i : len(h) - k + 1 + i] + np.uint64(i))
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out += h[i : len(h) - k + 1 + i]
     return mix(out + np.uint64(k))
 
 

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, digest16, lookup, map_arrow, parts, pieces, shingles, word_hasher
+from .common import LOWER, cut, digest16, lookup, map_arrow, parts, pieces, shingles, word_hashes
 from .components import smallest_reachable
 
 #: Buckets (registers) of a signature and registers of a band.
@@ -48,18 +48,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip((same - COLLISION) / (1 - COLLISION), 0, 1), used
 
 
-def _sets(text: bytes, hash_words, k: int) -> np.ndarray:
-    return np.unique(shingles(hash_words(text.lower().split()), k))
+def _set(text: bytes, k: int) -> np.ndarray:
+    return np.unique(shingles(word_hashes(text, LOWER), k))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, row_col: str | None, k: int) -> DataFrame:
     """``doc_id, row, n, fp, sig``: the size of each shingle set, a 16-byte digest of it and its registers (null without words)."""
 
     def make():
-        hash_words = word_hasher()
-
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [_sets(t, hash_words, k) for t in pieces(b.column(2))]
+            sets = [_set(t, k) for t in pieces(b.column(2))]
             return pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest16(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
                 ["doc_id", "row", "n", "fp", "sig"],
@@ -126,6 +124,16 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(_candidates(threshold), "a binary, b binary").distinct()
 
 
+def _bit_filter(ends: DataFrame) -> bytes:
+    """A bit for the first three bytes of each digest (2 MB at any size); what has none is in no pair."""
+    out = bytearray(1 << 21)
+    at = F.conv(F.hex(F.substring("fp", 1, 3)), 16, 10).cast("int")
+    found = ends.groupBy(F.shiftright(at, 3).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7))).alias("bits")).toArrow()
+    for byte, bits in zip(found.column("byte").to_pylist(), found.column("bits").to_pylist()):
+        out[byte] = bits
+    return bytes(out)
+
+
 def verified(docs: DataFrame, pairs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
     """Keep the pairs with ``100 * intersection >= percent * union`` on their full shingle sets.
 
@@ -133,17 +141,24 @@ def verified(docs: DataFrame, pairs: DataFrame, text_col: str, k: int, percent:
     gathered once for each digest and meet the pairs in two joins.
     """
     ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(_bit_filter(ends))
 
     def make():
-        hash_words = word_hasher()
-
-        def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [_sets(t, hash_words, k).tobytes() for t in pieces(b.column(0))]
-            return pa.RecordBatch.from_arrays([pa.array([digest16(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["fp", "members"])
+        words = bits.value
+
+        def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
+            fps, sets = [], []
+            for t in pieces(b.column(0)):
+                s = _set(t, k).tobytes()
+                fp = digest16(s)
+                at = int.from_bytes(fp[:3], "big")
+                if words[at >> 3] >> (at & 7) & 1:
+                    fps.append(fp)
+                    sets.append(s)
+            return pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["fp", "members"]) if fps else None
 
         return f
 
-    # texts with one digest have one set; they are sent on once from each partition
     members = map_arrow(docs.select(text_col), make, "fp binary, members binary")
     members = members.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("members").alias("members"))
     members = cut(members)
