@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import map_arrow
-from .packing import NOT_SPACE, REMEMBERED
+
+#: Separators that Python's str.split knows and the tokenizer's white space does not have.
+NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Chunks and words whose ids a worker remembers.
+REMEMBERED = 250_000
+
+#: Words up to this length are spelled with the memory of endings, longer ones place by place.
+SHORT = 100
 
 
 class TokenAutomaton:
@@ -43,6 +50,7 @@ class TokenAutomaton:
         made = {a + b for a, b in merges}
         self.alive = {s: i for s, i in vocab.items() if s not in made}
         self.table: dict[tuple[int, int], bool] = {}
+        self.ways: dict[tuple[int, str], tuple[int, ...] | None] = {}
         for t, (a, b) in enumerate(merges):
             x, y, c = vocab[a], vocab[b], vocab[a + b]
             if a not in self.alive or b not in self.alive or not self._has_arc(x, y, t):
@@ -83,12 +91,52 @@ class TokenAutomaton:
             found = self.table[key] = self._has_arc(x, y, 1e17)
         return found
 
+    def _way(self, last: int, rest: str) -> tuple[int, ...] | None:
+        """The path that spells ``rest`` from the state after ``last``; endings that many words share are remembered."""
+        key = (last, rest)
+        found = self.ways.get(key, 0)
+        if found != 0:
+            return found
+        trie, table, n, j = self.trie.get, self.table.get, len(rest), 1
+        arcs, out = [], None
+        while j < n:
+            c = trie(rest[:j])
+            if c is None:
+                break
+            if c >= 0:
+                arcs.append((j, c))
+            j += 1
+        else:
+            c = trie(rest + self.end)
+            if c is not None and c >= 0:
+                arcs.append((n, c))
+        while arcs:
+            j, c = arcs.pop()
+            if last < 0 or (known := table((last, c))) or (known is None and self.step(last, c)):
+                if j == n:
+                    out = (c,)
+                    break
+                way = self._way(c, rest[j:])
+                if way is not None:
+                    out = (c, *way)
+                    break
+        if last >= 0:
+            if len(self.ways) > 400_000:
+                self.ways.clear()
+            self.ways[key] = out
+        return out
+
     def encode_word(self, word: str) -> list[int]:
         """The labels of the only path that spells ``word``.
 
         The longest arc is tried first.  The path to a place is unique, so a
         place without a way on is never entered again and the work is linear.
         """
+        if len(word) <= SHORT:
+            found = self._way(-1, word)
+            if found is None:
+                raise ValueError(f"no path spells {word!r}")
+            return list(found)
         trie, table, step, n = self.trie.get, self.table.get, self.step, len(word)
         path: list[int] = []
         starts: list[int] = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 
 import numpy as np
@@ -11,43 +12,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_arrow, sorted_ranks
+from .bpe_automaton import NOT_SPACE, Encoder
+from .common import cut, map_arrow, sorted_ranks
 
-#: Separators that Python's str.split knows and the tokenizer's white space does not have.
-NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
 
 def chunk_encoder(tokenizer_json: str, limit: int = REMEMBERED):
     """A function from a text to its ids as little-endian bytes.
 
     No token of this kind of vocabulary reaches across white space, so a text
-    is encoded chunk by chunk and the ids of frequent chunks are remembered.
+    is encoded chunk by chunk and the ids of frequent chunks are remembered;
+    the others are encoded by the token automaton, whose ids are the tokenizer's.
     """
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_str(tokenizer_json)
-    tok.no_truncation()
-    tok.no_padding()
+    encoder = Encoder(tokenizer_json)
     kept: dict[str, bytes] = {}
 
-    def fill(chunks: list[str]) -> None:
+    def make(chunk: str) -> bytes:
         if len(kept) > limit:
             kept.clear()
-        new = list(set(chunks).difference(kept))
-        for c, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-            kept[c] = np.array(e.ids, "<u4").tobytes()
+        ids = encoder.ids(chunk)
+        found = kept[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def encode(text: str) -> bytes:
         if any(c in text for c in NOT_SPACE):
-            return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.split()
-        try:
-            return b"".join(map(kept.__getitem__, chunks))
-        except KeyError:
-            fill(chunks)
-            return b"".join(map(kept.__getitem__, chunks))
+            ids = encoder.ids(text)
+            return struct.pack(f"<{len(ids)}I", *ids)
+        get = kept.get
+        return b"".join([get(c) or make(c) for c in text.split()])
 
     return encode
 
@@ -165,4 +159,5 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
 
 def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise and pack documents; null text counts as empty and gives the closing id alone."""
-    return pack(token_pieces(docs, tokenizer_json, capacity, id_col, text_col), capacity)
+    # the sort samples its input; without the cut all texts would be encoded twice
+    return pack(cut(token_pieces(docs, tokenizer_json, capacity, id_col, text_col)), capacity)
