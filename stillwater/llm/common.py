@@ -173,22 +173,6 @@ def word_hashes(text: bytes, table: np.ndarray = EXACT) -> np.ndarray:
     return Sequence(table[b]).part(starts, ends - starts)
 
 
-def word_hasher(limit: int = 300_000) -> Callable[[list[bytes]], np.ndarray]:
-    """64-bit hashes of words, the same in every task; the memory for words met before is bounded."""
-    import xxhash
-
-    kept: dict = {}
-
-    def get(words: list[bytes]) -> np.ndarray:
-        if len(kept) > limit:
-            kept.clear()
-        for w in set(words).difference(kept):
-            kept[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
-
-    return get
-
-
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every k successive words; of the whole sequence if it is shorter; none without words."""
     if not len(h):

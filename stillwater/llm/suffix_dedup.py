@@ -9,47 +9,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, mix, parts, pieces, shingles, word_hasher
+from .common import Sequence, cut, map_arrow, mix, parts, pieces, shingles, word_hashes
 from .exact_dedup import sorted_runs
 
 #: Words of the n-grams whose least hash selects a position.
 GRAM = 5
 WORD = re.compile(rb"[^\x20\x09-\x0D]+").finditer
-#: An odd number and its inverse modulo 2**64, for hashes of word sequences.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-
 # kinds of rows that the neighbour comparison gives out
 REMOVED, FIRST, ANCHOR = 0, 1, 2
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    if n > 1:
-        out[1:] = np.uint64(base)
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(out, out=out)
-    return out
-
-
-class Sequence:
-    """Hashes of the parts of one text, given the hashes of its words."""
-
-    def __init__(self, h: np.ndarray) -> None:
-        self.n = len(h)
-        with np.errstate(over="ignore"):
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h) * _powers(BASE, self.n), dtype=np.uint64)))
-        self.back = _powers(INVERSE, self.n + 1)
-
-    def part(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[start + size] - self.sums[start]) * self.back[start] + np.asarray(size, np.uint64))
+#: Low bits that hold the position where hashes are compared; the rest are the hash.
+PLACE = 24
 
 
 def select(h: np.ndarray, least: int) -> np.ndarray:
-    """For each window of ``least`` words, the position of the least n-gram hash among those that begin in its first half (and a little)."""
+    """For each window of ``least`` words, the position of the least n-gram hash (the first, if equal) among those that begin in its first half (and a little)."""
     reach = least // 2 + 1
-    return np.lib.stride_tricks.sliding_window_view(shingles(h, min(GRAM, (least + 1) // 2))[: len(h) - least + reach], reach).argmin(1) + np.arange(len(h) - least + 1)
+    g = shingles(h, min(GRAM, (least + 1) // 2))[: len(h) - least + reach]
+    low = (g >> np.uint64(PLACE) << np.uint64(PLACE)) | np.arange(len(g), dtype=np.uint64)
+    size = 1  # low[i] is the least of this many from i
+    while 2 * size <= reach:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    if size < reach:
+        low = np.minimum(low[: len(low) - (reach - size)], low[reach - size :])
+    return (low & np.uint64((1 << PLACE) - 1)).astype(np.int64)
 
 
 def suffixes(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
@@ -59,15 +44,12 @@ def suffixes(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFra
     head = least - reach + 1
 
     def make():
-        hash_words = word_hasher()
-
         def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
             cols: list[list] = [[] for _ in range(7)]
             for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pieces(b.column(2))):
-                words = text.split()
-                if len(words) < least:
+                h = word_hashes(text)
+                if len(h) < least:
                     continue
-                h = hash_words(words)
                 at, s = np.unique(select(h, least)), Sequence(h)
                 left, right = np.minimum(at, reach - 1), np.minimum(len(h) - at, least)
                 near = mix(s.part(at - left, left + right) + left.astype(np.uint64))
@@ -125,12 +107,10 @@ def windows(docs: DataFrame, anchors: DataFrame, least: int, id_col: str, text_c
     met = docs.select(F.col(id_col).cast("long").alias("doc"), "_row", F.col(text_col).alias("text")).join(here, F.col("_row") == F.col("row")).select("doc", "_row", "text", "at")
 
     def make():
-        hash_words = word_hasher()
-
         def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
             cols: list[list] = [[] for _ in range(4)]
             for doc, row, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pieces(b.column(2)), b.column(3).to_pylist()):
-                h = hash_words(text.split())
+                h = word_hashes(text)
                 i = np.flatnonzero(np.isin(select(h, least), np.array(at)))
                 values = Sequence(h).part(i, least).astype(">u8").view("S8") if len(i) else np.zeros(0, "S8")
                 raw = pa.Array.from_buffers(pa.binary(8), len(i), [None, pa.py_buffer(values.tobytes())]).cast(pa.binary())
