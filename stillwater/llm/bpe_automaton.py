@@ -188,9 +188,13 @@ PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]
 
 
 class Encoder:
-    """Whole texts to ids and back for a tokenizer file of the word-end kind."""
+    """Whole texts to ids and back for a tokenizer file of the word-end kind.
 
-    def __init__(self, tokenizer_json: str, limit: int = REMEMBERED) -> None:
+    Words are spelled by the token automaton, or with ``library`` by the model
+    of the tokenizers library, which needs no automaton.
+    """
+
+    def __init__(self, tokenizer_json: str, limit: int = REMEMBERED, library: bool = False) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         spec, tok = json.loads(tokenizer_json), Tokenizer.from_str(tokenizer_json)
@@ -198,10 +202,15 @@ class Encoder:
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.symbols = {i: as_bytes(chr(i))[0][0] for i in range(0xC0, 0x100)}
         model = spec["model"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.automaton = TokenAutomaton(model["vocab"], merges, model["end_of_word_suffix"])
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self.labels = {**self.automaton.label, **{i: s for s, i in self.added.items()}}
+        self.labels = {i: s for s, i in (*model["vocab"].items(), *self.added.items())}
+        if library:
+            tokens = tok.model.tokenize
+            self.spell = lambda word: [t.id for t in tokens(word)]
+        else:
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.automaton = TokenAutomaton(model["vocab"], merges, model["end_of_word_suffix"])
+            self.spell = self.automaton.encode_word
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda s: [s]
         self.limit = limit
         self.words: dict[str, list[int]] = {}
@@ -210,7 +219,7 @@ class Encoder:
     def _word(self, word: str) -> list[int]:
         if len(self.words) > self.limit:
             self.words.clear()
-        found = self.words[word] = self.automaton.encode_word(word)
+        found = self.words[word] = self.spell(word)
         return found
 
     def ids(self, text: str) -> list[int]:

@@ -76,6 +76,17 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+_MADE: dict[str, tuple[object, object]] = {}
+
+
+def per_worker(kind: str, source: object, make: Callable):
+    """What ``make`` gives for ``source``, kept for the later tasks of a worker process; one of each kind, so memory stays bounded."""
+    found = _MADE.get(kind)
+    if found is None or not (found[0] is source or (isinstance(source, str) and found[0] == source)):
+        found = _MADE[kind] = (source, make(source))
+    return found[1]
+
+
 def pieces(column: pa.Array) -> list[bytes]:
     """The values of a string or binary array as bytes, null as empty; no copy through str."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .bpe_automaton import NOT_SPACE, Encoder
-from .common import cut, map_arrow, sorted_ranks
+from .bpe_automaton import NOT_SPACE, PLAIN, Encoder
+from .common import cut, map_arrow, per_worker, sorted_ranks
 
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Marks that end a chunk and are a word of their own.
+MARKS = frozenset(",.;:!?")
+#: Chunks of the newest generation whose ids a worker remembers; the one before is kept too.
+REMEMBERED = 400_000
 
 
 def chunk_encoder(tokenizer_json: str, limit: int = REMEMBERED):
@@ -24,16 +26,32 @@ def chunk_encoder(tokenizer_json: str, limit: int = REMEMBERED):
 
     No token of this kind of vocabulary reaches across white space, so a text
     is encoded chunk by chunk and the ids of frequent chunks are remembered;
-    the others are encoded by the token automaton, whose ids are the tokenizer's.
+    the words of the others are spelled by the tokenizers library.
     """
-    encoder = Encoder(tokenizer_json)
+    encoder = Encoder(tokenizer_json, library=True)
+    spell, symbols = encoder.spell, encoder.symbols
+    packers = [struct.Struct(f"<{n}I").pack for n in range(64)]
     kept: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
+
+    def packed(ids: list[int]) -> bytes:
+        return packers[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
     def make(chunk: str) -> bytes:
+        nonlocal older
+        found = older.get(chunk)
+        if found is None:
+            if chunk.isalpha() and PLAIN(chunk):  # one word
+                word = chunk.lower()
+                found = packed(spell(word if word.isascii() else word.translate(symbols)))
+            elif chunk[-1] in MARKS and (word := chunk[:-1]).isalpha() and PLAIN(word):  # a word and a mark
+                return (kept.get(word) or make(word)) + (kept.get(chunk[-1]) or make(chunk[-1]))
+            else:
+                found = packed(encoder.ids(chunk))
         if len(kept) > limit:
+            older = kept.copy()
             kept.clear()
-        ids = encoder.ids(chunk)
-        found = kept[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        kept[chunk] = found
         return found
 
     def encode(text: str) -> bytes:
@@ -54,7 +72,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int, id_col: st
     vocabulary = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def make():
-        encode = chunk_encoder(vocabulary.value)
+        encode = per_worker("packing", vocabulary.value, chunk_encoder)
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             cols: list[list] = [[], [], [], [], []]
