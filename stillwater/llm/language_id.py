@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flush_counts, text_key
+from .common import cut, flush_counts, per_worker, text_key
 
 UNKNOWN = "und"
 #: Lengths of the n-grams that an unseen word falls back to, in this order.
 ORDERS = (5, 4, 3, 2, 1)
+#: Marks at the end of a chunk that are no part of its words.
+MARKS = ",.;:!?"
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -27,11 +29,11 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies by language: row ``index[key]`` of ``table``; keys are words (n 0) and n-grams."""
+    """Log frequencies by language: row ``index[n][key]`` of ``table``; keys are words (n 0) and n-grams."""
 
     langs: list[str]
     prior: np.ndarray
-    index: dict[tuple[int, str], int]
+    index: dict[int, dict[str, int]]
     table: np.ndarray
 
 
@@ -41,38 +43,49 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows:
     The whole texts of the drawn rows count.  The model keeps the ``words``
     most frequent words and the ``per_order`` most frequent n-grams of each length.
     """
-    from .common import cut
-
-    spark = docs.sparkSession
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     share = max_rows / max(1, rows.count())
     if share < 1:
         rows = rows.filter(F.pmod(F.xxhash64(F.col(key_col), F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
 
-    def count(batches):
+    def as_batches(counters):
+        for items in flush_counts(counters, 400_000):
+            lang, order, key, n = zip(*((*k, n) for k, n in items))
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(order, pa.int32()), pa.array(key), pa.array(n, pa.int64())], ["lang", "order", "key", "n"])
+
+    def count_words(batches):
         def each():
             for b in batches:
-                c: Counter = Counter()
                 by_lang: dict[str, Counter] = {}
                 for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     by_lang.setdefault(lang, Counter()).update(WORDS(text.lower()))
-                for lang, found in by_lang.items():
-                    for w, n in found.items():
-                        c[lang, 0, w] += n
-                        for k in ORDERS:
-                            for g in grams(w, k):
-                                c[lang, k, g] += n
+                yield {(lang, 0, w): n for lang, found in by_lang.items() for w, n in found.items()}
+
+        return as_batches(each())
+
+    def count_grams(batches):
+        def each():
+            for b in batches:
+                c: dict = {}
+                for lang, w, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                    for k in ORDERS:
+                        for g in grams(w, k):
+                            key = (lang, k, g)
+                            c[key] = c.get(key, 0) + n
                 yield c
 
-        for items in flush_counts(each(), 400_000):
-            lang, order, key, n = zip(*((*k, n) for k, n in items))
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(order, pa.int32()), pa.array(key), pa.array(n, pa.int64())], ["lang", "order", "key", "n"])
+        return as_batches(each())
+
+    def added_up(rows: DataFrame, count) -> DataFrame:
+        return cut(rows.mapInArrow(count, "lang string, order int, key string, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")))
 
-    counts = cut(rows.select(text_col, lang_col).mapInArrow(count, "lang string, order int, key string, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")))
+    # each distinct word is taken apart once
+    found_words = added_up(rows.select(text_col, lang_col), count_words)
+    counts = found_words.unionByName(added_up(found_words, count_grams))
     totals = counts.groupBy("lang", "order").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     langs = sorted({r["lang"] for r in totals})
     if not langs:
-        return Model([], np.zeros(0), {}, np.zeros((1, 0), np.float32))
+        return Model([], np.zeros(0), {n: {} for n in (0, *ORDERS)}, np.zeros((1, 0), np.float32))
     n = np.zeros((max(ORDERS) + 1, len(langs)))
     for r in totals:
         n[r["order"], langs.index(r["lang"])] = r["n"]
@@ -80,7 +93,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows:
     wide = counts.groupBy("order", "key").agg(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)), F.sum("n").alias("n"))
     limit = {0: words, **{k: per_order for k in ORDERS}}
     kept = [wide.filter(F.col("order") == k).orderBy(F.desc("n"), "key").limit(m) for k, m in limit.items()]
-    index: dict[tuple[int, str], int] = {}
+    index: dict[int, dict[str, int]] = {k: {} for k in limit}
     table = [np.zeros(len(langs), np.float32)]  # row 0: says nothing
     for part, k in zip(kept, limit):
         found = part.toArrow()
@@ -88,7 +101,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows:
         c = np.array([found.column(f"l{i}").to_numpy() for i in range(len(langs))], float).T.reshape(len(keys), len(langs))
         logs = np.log((c + 0.5) / (n[k] + 0.5 * (len(keys) + 1)))
         for key, row in zip(keys, logs):
-            index[k, key] = len(table)
+            index[k][key] = len(table)
             table.append(row)
     return Model(langs, np.log((n[0] + 1) / (n[0] + 1).sum()), index, np.array(table, np.float32))
 
@@ -96,36 +109,48 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows:
 class Judge:
     """Scores texts by a model; what chunks of text amount to is remembered for a bounded number of them."""
 
-    def __init__(self, model: Model, limit: int = 200_000) -> None:
+    def __init__(self, model: Model, limit: int = 500_000) -> None:
         self.model, self.limit = model, limit
         self._reset()
 
     def _reset(self) -> None:
-        width = len(self.model.langs)
         self.chunks: dict[str, int] = {}
-        self.rows = np.zeros((self.limit + 2, width), np.float32)
-        self.used = 2  # row 0: no letter; row 1: letters that say nothing
-
-    def word(self, w: str) -> np.ndarray:
-        """The log frequency of a known word by language, else the mean over the longest n-grams of it that are known."""
-        index, table = self.model.index, self.model.table
-        if (i := index.get((0, w))) is not None:
-            return table[i]
+        self.rows = np.zeros((self.limit + 1, len(self.model.langs)), np.float32)
+        self.used = 1  # row 0: no letter
+
+    def known(self, w: str) -> list[int]:
+        """The row of a known word, else those of the longest n-grams of it that are known, else the row that says nothing."""
+        index = self.model.index
+        if (i := index[0].get(w)) is not None:
+            return [i]
         for n in ORDERS:
-            if known := [i for g in grams(w, n) if (i := index.get((n, g))) is not None]:
-                return table[known].mean(0)
-        return table[0]
-
-    def _chunk(self, chunk: str) -> int:
-        words = [w for w in WORDS(chunk.lower()) if any(map(str.isalpha, w))]
-        if not words:
-            at = 0
-        else:
-            self.rows[self.used] = sum(map(self.word, words))
-            at = self.used
-            self.used += 1
-        self.chunks[chunk] = at
-        return at
+            get = index[n].get
+            if found := [i for g in grams(w, n) if (i := get(g)) is not None]:
+                return found
+        return [0]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Add the rows of chunks not met before: the sum over their words, each the mean of its rows."""
+        first, starts, ids, weights = self.used, [], [], []
+        for chunk in chunks:
+            if chunk in self.chunks:
+                continue
+            core = chunk.rstrip(MARKS)
+            if (at := self.chunks.get(core)) is None:
+                words = [core.lower()] if core.isascii() and core.isalpha() else [w for w in WORDS(core.lower()) if any(map(str.isalpha, w))]
+                at = 0
+                if words:
+                    at = self.used
+                    self.used += 1
+                    starts.append(len(ids))
+                    for w in words:
+                        found = self.known(w)
+                        ids += found
+                        weights += [1 / len(found)] * len(found)
+                self.chunks[core] = at
+            self.chunks[chunk] = at
+        if starts:
+            self.rows[first : self.used] = np.add.reduceat(self.model.table[ids] * np.array(weights, np.float32)[:, None], starts)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         if not text:
@@ -134,10 +159,13 @@ class Judge:
         words = text.split()
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
-            if self.used + len(part) > self.limit:
+            if self.used + len(part) > self.limit or len(self.chunks) > 2 * self.limit:
                 self._reset()
                 get = self.chunks.get
-            rows = [i if (i := get(w)) is not None else self._chunk(w) for w in part]
+            rows = [get(w) for w in part]
+            if None in rows:
+                self._learn(part)
+                rows = [get(w) for w in part]
             letters = letters or any(rows)
             total += self.rows[rows].sum(0, dtype=float)
         if not letters or not self.model.langs:
@@ -162,7 +190,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        judge = Judge(shared.value)
+        judge = per_worker("language", shared.value, Judge)
         for b in batches:
             if b.num_rows:
                 lang, score = zip(*map(judge, b.column(at).to_pylist()))
