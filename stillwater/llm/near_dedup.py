@@ -14,25 +14,31 @@ from .components import smallest_reachable
 #: Buckets (registers) of a signature and registers of a band.
 REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
+#: Registers of the second signature, by which crowded groups are compared.
+WIDE = 512
 #: A register is one byte: 0 if its bucket is empty, else 1 + 16 * leading zeros (up to 14) + 4 bits of mantissa.
 MANTISSA, MOST_ZEROS = 4, 14
 #: Chance that unequal minima give equal registers: about a third have the same zeros, 1 in 16 of these the same mantissa.
 COLLISION = 1 / 3 / (1 << MANTISSA)
-#: Neighbours in sorted order that a signature is compared with, for each band.
+#: Neighbours in sorted order that a signature is compared with first, for each band; larger groups are compared whole afterwards.
 NEIGHBOURS = 3
+#: Labels from here on stand for classes without an identifier.
+UNNAMED = 1 << 62
+#: Rows of a block of a crowded group; two blocks meet in a task.
+BLOCK = 256
 #: A candidate goes on if its estimate is within this many standard errors of the threshold.
 ERRORS = 4.0
 
 
-def signature(s: np.ndarray) -> bytes:
+def signature(s: np.ndarray, registers: int = REGISTERS) -> bytes:
     """The registers of a set of 64-bit hashes: the low bits choose the bucket, the rest give zeros and mantissa of the least hash."""
-    bucket = (s % np.uint64(REGISTERS)).astype(np.int64)
-    value = s // np.uint64(REGISTERS)
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
+    bucket = (s % np.uint64(registers)).astype(np.int64)
+    value = s // np.uint64(registers)
+    least = np.full(registers, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(least, bucket, value)
-    out = np.zeros(REGISTERS, np.uint8)
+    out = np.zeros(registers, np.uint8)
     full = np.flatnonzero(least != np.iinfo(np.uint64).max)
-    top = float(2**64 // REGISTERS)
+    top = float(2**64 // registers)
     x = np.maximum(least[full].astype(float) / top, 2.0**-40)  # in (0, 1)
     m, e = np.frexp(x)  # x = m * 2**e, m in [.5, 1)
     zeros = np.minimum(-e, MOST_ZEROS)
@@ -53,26 +59,62 @@ def _set(text: bytes, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, row_col: str | None, k: int) -> DataFrame:
-    """``doc_id, row, n, fp, sig``: the size of each shingle set, a 16-byte digest of it and its registers (null without words)."""
+    """``doc_id, row, n, fp, sig, wide``: the size of each shingle set, a 16-byte digest of it and its registers (null without words)."""
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             sets = [_set(t, k) for t in pieces(b.column(2))]
             return pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest16(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "row", "n", "fp", "sig"],
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest16(s.tobytes()) if len(s) else None for s in sets], pa.binary()), *(pa.array([signature(s, size) if len(s) else None for s in sets], pa.binary()) for size in (REGISTERS, WIDE))],
+                ["doc_id", "row", "n", "fp", "sig", "wide"],
             )
 
         return f
 
-    return map_arrow(docs.select(F.col(id_col).cast("long"), (F.col(row_col) if row_col else F.lit(0)).cast("long"), text_col), make, "doc_id long, row long, n long, fp binary, sig binary")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), (F.col(row_col) if row_col else F.lit(0)).cast("long"), text_col), make, "doc_id long, row long, n long, fp binary, sig binary, wide binary")
+
+
+class _Crowded:
+    """Members of the groups of a sorted partition that comparing neighbours does not cover.
+
+    These are the groups with more than ``NEIGHBOURS`` + 1 rows, and the first
+    and the last of the partition, which may go on in the next one.
+    """
+
+    def __init__(self) -> None:
+        self.group, self.held, self.told = None, [], True
+        self.groups: list[bytes] = []
+        self.fps: list[bytes] = []
+
+    def add(self, group: np.ndarray, fps: list[bytes]) -> None:
+        first = np.append(0, np.flatnonzero(np.diff(group)) + 1)
+        end = np.append(first[1:], len(group))
+        ends = {0, len(first) - 1}
+        for k in sorted(ends | set(np.flatnonzero(end - first > NEIGHBOURS + 1).tolist())):
+            if group[first[k]] != self.group:
+                self.told = self.group is None
+                self.group, self.held = group[first[k]], []
+            self.held += fps[first[k] : end[k]]
+            if self.told or len(self.held) > NEIGHBOURS + 1:
+                self.tell()
+
+    def tell(self) -> None:
+        self.groups += [int(self.group).to_bytes(5, "big")] * len(self.held)
+        self.fps += self.held
+        self.held, self.told = [], True
+
+    def take(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(self.groups, pa.binary()), pa.array(self.fps, pa.binary())], ["a", "b"])
+        self.groups, self.fps = [], []
+        return out
 
 
 def _candidates(threshold: float):
-    """Compare each signature of a sorted partition with those just before it, within the same band."""
+    """Compare each signature of a sorted partition with those just before it, within the same band; tell the crowded groups."""
 
     def run(batches):
         head: list[tuple] = []
+        crowded = _Crowded()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -83,6 +125,8 @@ def _candidates(threshold: float):
             old = len(fp) - b.num_rows
             rows_of = (np.arange(ROWS) + band[:, None] * ROWS) % REGISTERS
             keys = np.take_along_axis(sig, rows_of, 1)
+            crowded.add(band[old:].astype(np.int64) << 32 | keys[old:].copy().view(">u4")[:, 0].astype(np.int64), fp[old:])
+            yield crowded.take()
             out_a, out_b = [], []
             for d in range(1, NEIGHBOURS + 1):
                 j = np.arange(max(old, d), len(fp))
@@ -99,20 +143,23 @@ def _candidates(threshold: float):
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
             head = [band[-NEIGHBOURS:], fp[-NEIGHBOURS:], n[-NEIGHBOURS:], sig[-NEIGHBOURS:]]
+        if crowded.held:
+            crowded.tell()
+            yield crowded.take()
 
     return run
 
 
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` of digests that may be linked.
+def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` of digests that may be linked, and the members ``bucket, fp`` of the groups that are not compared whole.
 
     For each band the signatures are sorted by the registers from the band
     onwards (around the end), over a range partitioning that spreads a band
     value of any size, and each is compared with the ``NEIGHBOURS`` before it.
     What shares a band stands together, and the more registers follow alike
-    the nearer, so of many that share a band the likeliest are compared: the
-    number of comparisons grows with the rows, not with their pairs.  Bands
-    without any shingle give no key.
+    the nearer.  Groups of more than ``NEIGHBOURS`` + 1 rows, and those at the
+    ends of a partition, are left to ``crowded_pairs``.  Bands without any
+    shingle give no key.
     """
     turned = F.concat(F.expr(f"substring(sig, band * {ROWS} + 1, {REGISTERS})"), F.expr(f"substring(sig, 1, band * {ROWS})"))
     rows = classes.select("fp", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
@@ -121,7 +168,91 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     keys = [F.col("band"), F.col("order"), F.col("fp")]
     n = 4 * parts(classes.sparkSession)
     rows = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("band", "fp", "n", "sig")
-    return rows.mapInArrow(_candidates(threshold), "a binary, b binary").distinct()
+    found = cut(rows.mapInArrow(_candidates(threshold), "a binary, b binary").distinct())
+    member = F.length("a") == 5
+    return found.filter(~member), found.filter(member).select(F.col("a").alias("bucket"), F.col("b").alias("fp"))
+
+
+def _wide_pairs(threshold: float):
+    """Compare the rows of two blocks of a group: those of different components, by the wide registers.
+
+    A pair is told in the first band that it shares only.  The error of an
+    estimate is that of drawing the used buckets from the union without
+    putting back, and of registers that are equal by chance.
+    """
+
+    def compare(x: list, y: list, same_block: bool, band: int, a: list, b: list) -> None:
+        fps, comps, sizes, sigs, wides = y
+        for i in range(len(x[0])):
+            j = np.arange(i + 1 if same_block else 0, len(fps))
+            small, large = np.minimum(x[2][i], sizes[j]), np.maximum(x[2][i], sizes[j])
+            j = j[(comps[j] != x[1][i]) & (small >= threshold * large)]
+            if not len(j):
+                continue
+            one = np.broadcast_to(x[4][i], (len(j), WIDE))
+            est, used = estimate(one, wides[j])
+            union = (x[2][i] + sizes[j]) / (1 + threshold)
+            drawn = threshold * (1 - threshold) * np.clip((union - used) / np.maximum(union - 1, 1), 0, 1)
+            j = j[est >= threshold - ERRORS * np.sqrt((drawn + (1 - threshold) * COLLISION) / used) - COLLISION]
+            shared = ((sigs[j] == x[3][i]).reshape(-1, BANDS, ROWS).all(2) & (sigs[j] > 0).reshape(-1, BANDS, ROWS).any(2)).argmax(1)
+            for k in j[shared == band]:
+                lo, hi = sorted((x[0][i], fps[k]))
+                a.append(lo)
+                b.append(hi)
+
+    def meet(t: pa.Table, a: list, b: list) -> None:
+        block, first, second = t.column("block").to_numpy(), t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        fps = np.array(t.column("fp").to_pylist(), object)
+        all_of = [fps, t.column("c").to_numpy(), t.column("n").to_numpy()] + [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(len(fps), -1) for c in ("sig", "wide")]
+        x, y = ([v[block == k] for v in all_of] for k in (first, second))
+        compare(x, y, first == second, t.column("bucket")[0].as_py()[0], a, b)
+
+    def run(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            if held is not None:
+                t = pa.concat_tables([held, t]).combine_chunks()
+            key = [t.column(c).to_pylist() for c in ("bucket", "x", "y")]
+            key = list(zip(*key))
+            starts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1])]
+            a, b = [], []
+            for s, e in zip(starts, starts[1:]):
+                meet(t.slice(s, e - s), a, b)
+            held = t.slice(starts[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        if held is not None:
+            a, b = [], []
+            meet(held, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def crowded_pairs(classes: DataFrame, members: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` that may be linked in the crowded groups, between the components ``labels`` found so far.
+
+    What is in one component already needs no further link, so a group with one
+    component is done.  In the others, the rows outside the largest component
+    are dealt to the first blocks, of about ``BLOCK`` rows; each of these meets every block
+    once, so a task holds two blocks whatever the size of a group, and a large
+    family with few strangers costs a few passes over it.
+    """
+    rows = cut(members.join(labels.select(F.col("v").alias("fp"), F.col("label").alias("c")), "fp"))
+    sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("all"), F.count("*").alias("comps"), F.max(F.struct("m", "c")).alias("top"))
+    sizes = sizes.filter("comps > 1").select("bucket", "all", F.col("top.m").alias("most"), F.col("top.c").alias("largest"))
+    inside, outer, inner = F.col("c") == F.col("largest"), F.ceil((F.col("all") - F.col("most")) / BLOCK), F.ceil(F.col("most") / BLOCK)
+    dealt = F.xxhash64("fp")
+    block = F.when(inside, outer + F.pmod(dealt, inner)).otherwise(F.pmod(dealt, outer))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(inside, outer).otherwise(outer + inner) - 1))
+    rows = rows.join(sizes, "bucket").select("bucket", "fp", "c", block.alias("block"), other.alias("other"))
+    rows = rows.select("bucket", "fp", "c", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    rows = rows.join(classes.select("fp", "n", "sig", "wide"), "fp")
+    keys = ["bucket", "x", "y"]
+    rows = rows.repartition(4 * parts(classes.sparkSession), *keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(_wide_pairs(threshold), "a binary, b binary").distinct()
 
 
 def _bit_filter(ends: DataFrame) -> bytes:
@@ -184,7 +315,9 @@ def near_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     fewer than ``words`` words has its whole sequence as its one shingle.
     Documents with equal sets form a class first (so copies never pair up),
     the classes are linked through HyperMinHash candidates that are confirmed
-    on full sets, and the smallest identifier of a component names it.
+    on full sets, and the smallest identifier of a component names it.  Groups
+    that share a band are compared by neighbours first; what is left between
+    the components found so is then compared whole, in blocks.
 
     Returns ``doc_id, row, n_shingles, component_id, kept``, one row for each
     input row; ``row`` is carried from ``row_col`` (else 0).  A text without words has an empty set and is linked with nothing.
@@ -192,12 +325,17 @@ def near_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     that repeat an identifier are all kept or all dropped.
     """
     found = cut(fingerprints(docs, id_col, text_col, row_col, words))
-    classes = cut(found.filter(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    pairs = cut(candidates(classes, percent / 100))
+    classes = cut(found.filter(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n", "sig", "wide"))))
+    pairs, members = candidates(classes, percent / 100)
     links = cut(verified(docs, pairs, text_col, words, percent))
-    top = F.lit(2**63 - 1)
-    labels = smallest_reachable(classes.select(F.col("fp").alias("v"), F.coalesce("label", top).alias("label")), links)
-    table = cut(classes.select("fp", "rows").join(labels.select(F.col("v").alias("fp"), F.nullif("label", top).alias("component")), "fp"))
+    # a class without an identifier gets a number above all others until the end
+    named = cut(classes.select(F.col("fp").alias("v"), F.coalesce("label", F.lit(UNNAMED) + F.monotonically_increasing_id()).alias("label")))
+    labels = cut(smallest_reachable(named, links))
+    more = cut(crowded_pairs(classes, members, labels, percent / 100).join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        late = cut(verified(docs, more, text_col, words, percent))
+        labels = smallest_reachable(named, links.unionByName(late))
+    table = cut(classes.select("fp", "rows").join(labels.select(F.col("v").alias("fp"), F.when(F.col("label") < UNNAMED, F.col("label")).alias("component")), "fp"))
     # a text without words gets a key of its own
     alone = F.concat(F.lit(b"\0"), F.monotonically_increasing_id().cast("string").cast("binary"))
     rows = found.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("fp", alone).alias("fp"))

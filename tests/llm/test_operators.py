@@ -127,6 +127,27 @@ def test_near_dedup_of_many_near_copies(spark, tmp_path):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(rows, 80)
 
 
+@pytest.mark.parametrize("edits", [3, 7])
+def test_near_dedup_of_a_crowd_that_is_mostly_not_linked(spark, tmp_path, monkeypatch, edits):
+    """Many texts share bands; links between components that neighbours in sorted order miss are found in blocks."""
+    from stillwater.llm import near_dedup as module
+
+    monkeypatch.setattr(module, "BLOCK", 16)
+    r = random.Random(edits)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for d in range(400):
+        w = list(base)
+        for _ in range(edits + d % 4):
+            w[r.randrange(150)] = f"v{r.randrange(10000)}"
+        rows.append((None if d % 50 == 7 else d, " ".join(w)))
+        if d % 3 == 0:
+            w[r.randrange(150)] = "x"
+            rows.append((1000 + d, " ".join(w)))
+    got = near_dedup(frame(spark, tmp_path, rows), 85).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(rows, 85)
+
+
 def brute_repeats(rows, least):
     seen, out = set(), defaultdict(set)
     for n, (d, t) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
