@@ -178,7 +178,8 @@ def _wide_pairs(threshold: float):
 
     A pair is told in the first band that it shares only.  The error of an
     estimate is that of drawing the used buckets from the union without
-    putting back, and of registers that are equal by chance.
+    putting back, and of registers that are equal by chance; the correction for
+    these is taken back where unequal words mostly meet empty registers.
     """
 
     def compare(x: list, y: list, same_block: bool, band: int, a: list, b: list) -> None:
@@ -193,7 +194,7 @@ def _wide_pairs(threshold: float):
             est, used = estimate(one, wides[j])
             union = (x[2][i] + sizes[j]) / (1 + threshold)
             drawn = threshold * (1 - threshold) * np.clip((union - used) / np.maximum(union - 1, 1), 0, 1)
-            j = j[est >= threshold - ERRORS * np.sqrt((drawn + (1 - threshold) * COLLISION) / used) - COLLISION]
+            j = j[est >= threshold - ERRORS * np.sqrt((drawn + (1 - threshold) * COLLISION) / used) - (1 - threshold) * COLLISION]
             shared = ((sigs[j] == x[3][i]).reshape(-1, BANDS, ROWS).all(2) & (sigs[j] > 0).reshape(-1, BANDS, ROWS).any(2)).argmax(1)
             for k in j[shared == band]:
                 lo, hi = sorted((x[0][i], fps[k]))
@@ -308,6 +309,15 @@ def verified(docs: DataFrame, pairs: DataFrame, text_col: str, k: int, percent:
     return met.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary")
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``v, label`` after more links: the components are the vertices now, so the rounds run over the new links only."""
+    edges = links.join(labels.select(F.col("v").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("v").alias("b"), F.col("label").alias("y")), "b")
+    edges = cut(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    ends = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).distinct()
+    moved = smallest_reachable(ends.select("v", F.col("v").alias("label")), edges).filter("label < v").select(F.col("v").alias("label"), F.col("label").alias("first"))
+    return labels.join(moved, "label", "left").select("v", F.coalesce("first", "label").alias("label"))
+
+
 def near_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Link texts whose sets of word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -334,7 +344,7 @@ def near_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
     more = cut(crowded_pairs(classes, members, labels, percent / 100).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         late = cut(verified(docs, more, text_col, words, percent))
-        labels = smallest_reachable(named, links.unionByName(late))
+        labels = joined(labels, late)
     table = cut(classes.select("fp", "rows").join(labels.select(F.col("v").alias("fp"), F.when(F.col("label") < UNNAMED, F.col("label")).alias("component")), "fp"))
     # a text without words gets a key of its own
     alone = F.concat(F.lit(b"\0"), F.monotonically_increasing_id().cast("string").cast("binary"))
