@@ -25,7 +25,7 @@ NEIGHBOURS = 3
 #: Labels from here on stand for classes without an identifier.
 UNNAMED = 1 << 62
 #: Rows of a block of a crowded group; two blocks meet in a task.
-BLOCK = 256
+BLOCK = 512
 #: A candidate goes on if its estimate is within this many standard errors of the threshold.
 ERRORS = 4.0
 
@@ -119,7 +119,8 @@ def _candidates(threshold: float):
             if not b.num_rows:
                 continue
             band, fp, n = b.column("band").to_numpy(), b.column("fp").to_pylist(), b.column("n").to_numpy()
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            sig = np.frombuffer(b"".join(b.column("turned").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            sig = np.take_along_axis(sig, (np.arange(REGISTERS) - band[:, None] * ROWS) % REGISTERS, 1)
             if head:
                 band, fp, n, sig = np.append(head[0], band), head[1] + fp, np.append(head[2], n), np.vstack([head[3], sig])
             old = len(fp) - b.num_rows
@@ -164,10 +165,10 @@ def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
     turned = F.concat(F.expr(f"substring(sig, band * {ROWS} + 1, {REGISTERS})"), F.expr(f"substring(sig, 1, band * {ROWS})"))
     rows = classes.select("fp", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     rows = rows.filter(F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})") != F.lit(bytearray(ROWS)))
-    rows = rows.withColumn("order", F.substring(turned, 1, 6 * ROWS))
-    keys = [F.col("band"), F.col("order"), F.col("fp")]
+    rows = rows.withColumn("turned", turned).drop("sig")
+    keys = [F.col("band"), F.col("turned"), F.col("fp")]
     n = 4 * parts(classes.sparkSession)
-    rows = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("band", "fp", "n", "sig")
+    rows = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     found = cut(rows.mapInArrow(_candidates(threshold), "a binary, b binary").distinct())
     member = F.length("a") == 5
     return found.filter(~member), found.filter(member).select(F.col("a").alias("bucket"), F.col("b").alias("fp"))
@@ -238,13 +239,15 @@ def crowded_pairs(classes: DataFrame, members: DataFrame, labels: DataFrame, thr
     What is in one component already needs no further link, so a group with one
     component is done.  In the others, the rows outside the largest component
     are dealt to the first blocks, of about ``BLOCK`` rows; each of these meets every block
-    once, so a task holds two blocks whatever the size of a group, and a large
+    once (a group of one block only itself), so a task holds two blocks whatever the size of a group, and a large
     family with few strangers costs a few passes over it.
     """
     rows = cut(members.join(labels.select(F.col("v").alias("fp"), F.col("label").alias("c")), "fp"))
     sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("all"), F.count("*").alias("comps"), F.max(F.struct("m", "c")).alias("top"))
     sizes = sizes.filter("comps > 1").select("bucket", "all", F.col("top.m").alias("most"), F.col("top.c").alias("largest"))
-    inside, outer, inner = F.col("c") == F.col("largest"), F.ceil((F.col("all") - F.col("most")) / BLOCK), F.ceil(F.col("most") / BLOCK)
+    one = F.col("all") <= BLOCK  # a group that fits into a block needs no second one
+    inside = ~one & (F.col("c") == F.col("largest"))
+    outer, inner = F.when(one, F.lit(1).cast("long")).otherwise(F.ceil((F.col("all") - F.col("most")) / BLOCK)), F.when(one, F.lit(0).cast("long")).otherwise(F.ceil(F.col("most") / BLOCK))
     dealt = F.xxhash64("fp")
     block = F.when(inside, outer + F.pmod(dealt, inner)).otherwise(F.pmod(dealt, outer))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(inside, outer).otherwise(outer + inner) - 1))
