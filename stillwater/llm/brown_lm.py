@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +40,18 @@ def tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return out, sizes
 
 
+def _slices(batches, rows: int = 1_000):
+    """The batches in slices, so that the words of only so many texts are in memory at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, n`` over whole texts (one column ``text``); END is the empty word.  Counts are added up before the shuffle."""
 
     def run(batches):
-        for items in flush_counts((Counter(tokens(pieces(b.column(0)))[0]) for b in batches), 300_000):
+        for items in flush_counts((Counter(tokens(pieces(b.column(0)))[0]) for b in _slices(batches)), 300_000):
             w, n = zip(*items)
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
@@ -62,17 +70,20 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(level >= least if least is not None else F.lit(False))
 
 
-def pair_counts(texts: DataFrame, words: list[bytes], to: np.ndarray) -> DataFrame:
+def pair_counts(texts: DataFrame, words: list[bytes], to: np.ndarray, near: int | None = None) -> DataFrame:
     """``a, b, n``: how often number ``b`` follows ``a``; word ``i`` of ``words`` has the number ``to[i]``, all others ``to[-1]``.
 
-    A text follows an END.  Each task adds up its pairs before the shuffle.
+    With ``near`` the neighbours of the words from there to the last but one
+    of ``words``: ``a`` is the word (from 0), ``b`` the number before it or,
+    plus the number of numbers, after it.  A text follows an END.  Each task
+    adds up its pairs before the shuffle.
     """
     shared = texts.sparkSession.sparkContext.broadcast((words, to))
 
     def run(batches):
         listed, to = shared.value
         ids, width = _Ids(listed, len(listed)), int(to.max()) + 1
-        end = to[ids[END]]
+        end, base = ids[END], width if near is None else 2 * width
         keys, ns, held = [], [], 0
 
         def out():
@@ -80,24 +91,29 @@ def pair_counts(texts: DataFrame, words: list[bytes], to: np.ndarray) -> DataFra
             n = np.bincount(at, np.concatenate(ns)).astype(np.int64)
             return k, n
 
-        for b in batches:
+        for b in _slices(batches):
             words, _ = tokens(pieces(b.column(0)))
             if not words:
                 continue
-            cur = to[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))]
+            cur = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
             prev = np.concatenate(([end], cur[:-1]))
-            k, n = np.unique(prev * width + cur, return_counts=True)
+            if near is None:
+                k = to[prev] * width + to[cur]
+            else:
+                after, before = ((x >= near) & (x < len(listed) - 1) for x in (cur, prev))
+                k = np.concatenate([(cur[after] - near) * base + to[prev[after]], (prev[before] - near) * base + width + to[cur[before]]])
+            k, n = np.unique(k, return_counts=True)
             keys.append(k)
             ns.append(n)
             held += len(k)
-            if held > 4_000_000:
+            if held > 2_000_000:
                 k, n = out()
                 keys, ns, held = [k], [n], len(k)
-                if held > 2_000_000:
-                    yield from _pairs(k, n, width)
+                if held > 1_000_000:
+                    yield from _pairs(k, n, base)
                     keys, ns, held = [], [], 0
         if keys:
-            yield from _pairs(*out(), width)
+            yield from _pairs(*out(), base)
 
     return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -126,6 +142,26 @@ def gains(t: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray,
     return col.sum(0) - np.diag(col) + row.sum(1) - np.diag(row) + both - 2 * (_f(size + n) - _f(size))
 
 
+class Chooser:
+    """Gives a word the class that wins most, from its neighbours' classes; as ``gains``, on the classes that occur only."""
+
+    def __init__(self, t: np.ndarray, classes: int) -> None:
+        self.t, self.classes, self.size, self.d = t, classes, t.sum(0), np.diag(t)
+        self.ft, self.fsize, self.fd = _f(t), _f(self.size), _f(self.d)
+
+    def __call__(self, left: np.ndarray, left_n: np.ndarray, right: np.ndarray, right_n: np.ndarray) -> int:
+        """The class for distinct classes ``left`` before and ``right`` after the word with their counts."""
+        col = _f(self.t[left] + left_n[:, None]) - self.ft[left]
+        row = _f(self.t[:, right] + right_n) - self.ft[:, right]
+        g = col.sum(0) + row.sum(1) - self.fd - 2 * (_f(self.size + left_n.sum()) - self.fsize)
+        g[left] -= col[np.arange(len(left)), left]
+        g[right] -= row[right, np.arange(len(right))]
+        d = self.d.copy()
+        d[left] += left_n
+        d[right] += right_n
+        return int((g + _f(d))[: self.classes].argmax())
+
+
 def exchange(pairs: DataFrame, n_words: int, classes: int, fixed: int, sweeps: int) -> np.ndarray:
     """Exchange clustering: the class of each of ``n_words`` words; numbers from there on keep classes of their own.
 
@@ -178,38 +214,52 @@ def exchange(pairs: DataFrame, n_words: int, classes: int, fixed: int, sweeps: i
 
 @dataclass(frozen=True)
 class ClassModel:
-    """Word ``i`` of ``words`` has class ``of[i]`` and occurred ``n[i]`` times; other words are in class ``other``."""
+    """Word ``i`` of ``words`` has class ``of[i]`` and occurred ``n[i]`` times; for the words not listed ``rest`` has ``word, n, c``."""
 
     words: list[bytes]
     n: np.ndarray
     of: np.ndarray
     step: np.ndarray  # log10 probability of a class after a class
     emit: np.ndarray  # log10 probability of a listed word in its class
+    size: np.ndarray  # occurrences of the words of each class
     other: int
     other_n: int
     other_v: int
     total: int
     types: int
+    rest: DataFrame | None
 
 
-def fit(texts: DataFrame, counts: DataFrame, classes: int = 32, core: int = 2_000, clustered: int = 20_000, listed: int = 200_000, sweeps: int = 6) -> ClassModel:
+def fit(texts: DataFrame, counts: DataFrame, classes: int | None = None, core: int | None = None, clustered: int | None = None, listed: int = 200_000, sweeps: int = 6, least: int = 5) -> ClassModel:
     """Fit the class model on all whole texts.
 
-    The ``core`` most frequent words are clustered by exchange; the next ones
-    up to ``clustered`` then join the class with the highest gain.  All rarer
-    words form the class ``other``, whose members' probabilities come from
-    their exact counts with an addition of 1/2 (one unseen word included).
-    ``listed`` bounds the words that are sent to the workers.
+    Every word that occurs ``least`` times has a class.  The ``core`` most
+    frequent words are clustered by exchange; the next ones, up to ``listed``,
+    join the class with the highest gain by their core neighbours, and the
+    others, in Spark only, by their listed neighbours.  ``classes`` grows with
+    the fourth root of the number V of words with a class (2 V ** 0.25, 32 at
+    least), ``core`` with ``classes`` (60 for each, 2,000 at least); the
+    neighbour counts that the driver holds for an
+    exchange take about 3,840 sqrt(V) bytes.  Rarer words form
+    the class ``other``, whose members' probabilities come from their exact
+    counts with an addition of 1/2 (one unseen word included).  ``listed``
+    bounds the words that are sent to the workers, not those with a class;
+    ``clustered``, if given, ends the words with a class at that rank.
     """
     spark = texts.sparkSession
-    total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    found = frequent(counts.filter(F.col("word") != F.lit(bytearray(END))), listed).toArrow()
+    named = F.col("word") != F.lit(bytearray(END))
+    total, types, said, known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(named, F.col("n"))), F.lit(0)), F.count_if(named & (F.col("n") >= least))).first()
+    found = frequent(counts.filter(named), listed).toArrow()
     n = found.column("n").to_numpy()
     names = found.column("word").to_pylist()
     rank = sorted(range(len(names)), key=lambda i: (-n[i], names[i]))
     words, n = [names[i] for i in rank], n[rank].astype(np.int64)
-    core, clustered = min(core, len(words)), min(clustered, len(words))
-    ends = total - int(counts.filter(F.col("word") != F.lit(bytearray(END))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    classes = classes or max(32, math.ceil(2 * known**0.25))
+    core = min(core or max(2_000, 60 * classes), len(words))
+    rest_least = least if clustered is None else None
+    clustered = int((n >= least).sum()) if clustered is None else min(clustered, len(words))
+    clustered = max(core, clustered)
+    ends = total - said
 
     # numbers: core words, then END, then other
     pairs = cut(pair_counts(texts, [*words[:core], END], np.arange(core + 2)))
@@ -218,109 +268,212 @@ def fit(texts: DataFrame, counts: DataFrame, classes: int = 32, core: int = 2_00
     of = np.full(len(words), other, np.int64)
     of[:core] = of_core[:core]
     width = classes + 2
+    t = np.zeros((width, width))
+    for r in pairs.join(F.broadcast(spark.createDataFrame(list(enumerate(of_core.tolist())), "a int, ca int")), "a").join(F.broadcast(spark.createDataFrame(list(enumerate(of_core.tolist())), "b int, cb int")), "b").groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
+        t[r["ca"], r["cb"]] = r["n"]
+    shared = spark.sparkContext.broadcast(t)
     if clustered > core:
-        # neighbours of the later words: word number w (at width + w - core) and a class
-        to = np.concatenate([of_core[:core], width + np.arange(clustered - core), [end, other]])
-        near = pair_counts(texts, [*words[:clustered], END], to)
-        word, cls = F.col("w") - width, F.col("c")
-        sides = near.filter(F.col("b") >= width).select(F.col("b").alias("w"), F.when(F.col("a") < width, F.col("a")).otherwise(other).alias("c"), "n")
-        sides = sides.unionByName(near.filter(F.col("a") >= width).select(F.col("a").alias("w"), (F.when(F.col("b") < width, F.col("b")).otherwise(other) + width).alias("c"), "n"))
-        by = sides.groupBy(word.alias("w"), cls.alias("c")).agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list(F.struct("c", "n")).alias("v"))
-        t = np.zeros((width, width))
-        for r in pairs.join(F.broadcast(spark.createDataFrame(list(enumerate(of_core.tolist())), "a int, ca int")), "a").join(F.broadcast(spark.createDataFrame(list(enumerate(of_core.tolist())), "b int, cb int")), "b").groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
-            t[r["ca"], r["cb"]] = r["n"]
-        shared = spark.sparkContext.broadcast(t)
+        to = np.concatenate([of_core[:core], np.full(clustered - core, other), [end, other]])
+        by = pair_counts(texts, [*words[:clustered], END], to, core).groupBy(F.col("a").alias("w")).agg(F.collect_list(F.struct("b", "n")).alias("v"))
 
         def choose(batches):
-            t = shared.value
-            size = t.sum(0)
+            best = Chooser(shared.value, classes)
             for b in batches:
-                best = []
-                for pairs in b.column(1).to_pylist():
-                    v = np.zeros(2 * width)
-                    for p in pairs:
-                        v[p["c"]] += p["n"]
-                    best.append(int(gains(t, size, v[:width], v[width:], 0, v[:width].sum())[:classes].argmax()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.int32())], ["w", "c"])
+                v, at = b.column(1), b.column(1).offsets.to_numpy()
+                c, m = v.values.field(0).to_numpy(), v.values.field(1).to_numpy().astype(float)
+                out = []
+                for x, y in zip(at[:-1], at[1:]):
+                    left = c[x:y] < width
+                    out.append(best(c[x:y][left], m[x:y][left], c[x:y][~left] - width, m[x:y][~left]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], ["w", "c"])
 
         got = by.mapInArrow(choose, "w int, c int").toArrow()
         of[core + got.column("w").to_numpy()] = got.column("c").to_numpy()
 
-    # transitions between the final classes
-    moves = np.zeros((width, width))
-    for r in pair_counts(texts, [*words[:clustered], END], np.concatenate([of[:clustered], [end, other]])).collect():
-        moves[r["a"], r["b"]] = r["n"]
+    rest, moves = unlisted(texts, [*words, END], np.append(of, end), shared, classes, rest_least)
     share = (moves.sum(0) + 0.5) / (moves.sum() + 0.5 * width)
     step = np.log10((moves + share) / (moves.sum(1, keepdims=True) + 1))
     in_class = of != other
     size = np.bincount(of[in_class], n[in_class], width)
-    other_n = total - ends - int(n[in_class].sum())
-    other_v = types - (ends > 0) - int(in_class.sum())
+    v = int(in_class.sum())
+    for r in rest.filter(F.col("c") != other).groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        size[r["c"]] += r["n"]
+        v += r["v"]
+    other_n = total - ends - int(size.sum())
+    other_v = types - (ends > 0) - v
     emit = np.where(in_class, np.log10(n / np.maximum(size[of], 1)), np.log10((n + 0.5) / (other_n + 0.5 * (other_v + 1)))) if len(n) else np.zeros(0)
     # END is the last listed word
-    return ClassModel([*words, END], np.append(n, ends), np.append(of, end), step, np.append(emit, 0.0), other, other_n, other_v, total, types)
+    return ClassModel([*words, END], np.append(n, ends), np.append(of, end), step, np.append(emit, 0.0), size, other, other_n, other_v, total, types, rest)
+
+
+def unlisted(texts: DataFrame, words: list[bytes], of: np.ndarray, table, classes: int, least: int | None) -> tuple[DataFrame, np.ndarray]:
+    """``word, n, c`` of all words that are not in ``words``, and how often each class follows each over all texts.
+
+    A word with ``least`` occurrences (none if null) gets the class with the
+    highest gain by its listed neighbours, any other one ``other``.  Each
+    occurrence is a row; these words are rare, so none is hot.
+    """
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((words, of))
+    width, other, none = classes + 2, classes + 1, -1
+    schema = "word binary, l int, r int, next binary, n long"
+
+    def occurrences(batches):
+        listed, to = shared.value
+        ids, cls = _Ids(listed, len(listed)), np.append(to, none)
+        moves = np.zeros(width * width, np.int64)
+        for b in _slices(batches):
+            words, _ = tokens(pieces(b.column(0)))
+            if not words:
+                continue
+            # a text ends with END and follows one, so the ends of a slice are no unlisted words
+            c = cls[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))]
+            prev = np.concatenate(([classes], c[:-1]))
+            both = (prev != none) & (c != none)
+            moves += np.bincount(prev[both] * width + c[both], minlength=width * width)
+            at = np.flatnonzero(c == none)
+            if len(at):
+                after = c[at + 1]
+                follow = [words[i + 1] if x == none else None for i, x in zip(at.tolist(), after.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in at.tolist()], pa.binary()), pa.array(prev[at].astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(follow, pa.binary()), pa.array(np.ones(len(at), np.int64))], ["word", "l", "r", "next", "n"])
+        k = np.flatnonzero(moves)
+        if len(k):
+            # a key of its own for each pair of classes, which no word equals
+            yield pa.RecordBatch.from_arrays([pa.array([b" %d" % x for x in k.tolist()], pa.binary()), pa.array((k // width).astype(np.int32)), pa.array((k % width).astype(np.int32)), pa.nulls(len(k), pa.binary()), pa.array(moves[k])], ["word", "l", "r", "next", "n"])
+
+    met = texts.mapInArrow(occurrences, schema).repartition(F.col("word")).groupBy("word", "l", "r", "next").agg(F.sum("n").alias("n"))
+    by = met.groupBy("word").agg(F.collect_list(F.struct("l", "r", "next", "n")).alias("v"))
+
+    def choose(batches):
+        best = Chooser(table.value, classes)
+        moves = np.zeros((width, width), np.int64)
+        for b in batches:
+            v, at, names = b.column(1), b.column(1).offsets.to_numpy().tolist(), b.column(0).to_pylist()
+            left, right, follow, n = (v.values.field(i) for i in range(4))
+            left, right, n = left.to_numpy(), right.to_numpy(), n.to_numpy()
+            follow = follow.to_pylist()
+            sums = np.add.reduceat(n[: at[-1]], at[:-1]).tolist() if len(names) else []
+            cs = []
+            for word, x, y, total in zip(names, at[:-1], at[1:], sums):
+                c = other
+                if word[:1] == b" ":
+                    c = none
+                elif least is not None and total >= least:
+                    m = n[x:y].astype(float)
+                    lc, rc = (np.bincount(np.where(z[x:y] == none, other, z[x:y]), m, width) for z in (left, right))
+                    li, ri = np.flatnonzero(lc), np.flatnonzero(rc)
+                    c = best(li, lc[li], ri, rc[ri])
+                cs.append(c)
+            c = np.repeat(np.array(cs, np.int64), np.diff(at))
+            l, r, m = left[at[0] : at[-1]], right[at[0] : at[-1]], n[at[0] : at[-1]]
+            for ok, i, j in ((c == none, l, r), ((c != none) & (l != none), l, c), ((c != none) & (r != none), c, r)):
+                np.add.at(moves, (i[ok], j[ok]), m[ok])
+            words = np.flatnonzero(np.array(cs) != none).tolist()
+            yield out(0, [names[i] for i in words], [cs[i] for i in words], [None] * len(words), [sums[i] for i in words])
+            pending = np.flatnonzero((c != none) & (r == none)).tolist()
+            yield out(1, [follow[at[0] + i] for i in pending], c[pending].tolist(), [None] * len(pending), m[pending].tolist())
+        i, j = np.nonzero(moves)
+        yield out(2, [None] * len(i), i.tolist(), j.tolist(), moves[i, j].tolist())
+
+    def out(kind, word, c, d, n):
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(word), pa.int32()), pa.array(word, pa.binary()), pa.array(c, pa.int32()), pa.array(d, pa.int32()), pa.array(n, pa.int64())], ["kind", "word", "c", "d", "n"])
+
+    found = cut(by.mapInArrow(choose, "kind int, word binary, c int, d int, n long"))
+    rest = found.filter("kind = 0").select("word", "n", "c")
+    pending = found.filter("kind = 1").select("word", F.col("c").alias("l"), F.col("n").alias("m"))
+    moved = pending.join(rest, "word").select("l", F.col("c").alias("r"), "m")
+    moved = moved.unionByName(found.filter("kind = 2").select(F.col("c").alias("l"), F.col("d").alias("r"), F.col("n").alias("m")))
+    moves = np.zeros((width, width))
+    for r in moved.groupBy("l", "r").agg(F.sum("m").alias("m")).collect():
+        moves[r["l"], r["r"]] = r["m"]
+    return rest, moves
 
 
-def score(docs: DataFrame, model: ClassModel, counts: DataFrame, text_col: str = "text") -> DataFrame:
+def _numbers(x: np.ndarray):
+    """An array of numbers as one literal."""
+    return F.split(F.lit(",".join(map(repr, x.ravel().tolist()))), ",").cast("array<double>")
+
+
+def score(docs: DataFrame, model: ClassModel, text_col: str = "text") -> DataFrame:
     """Score whole texts; replaces ``text_col`` by ``n_tokens, n_known, base_score, score``.
 
-    Listed words are looked up in the tasks.  The others leave as one row for
-    each text and word and meet the counts in a join; they are rare, so no key
-    of the join is hot.  Texts are numbered on the way, so repeated rows keep a row each.
+    Listed words are looked up in the tasks.  Each occurrence of another one
+    leaves as a row with the classes beside it and meets its count and class
+    in a join; they are rare, so no key of the join is hot.  Where two of them
+    follow each other, their classes meet when the rows of a text do.  Texts
+    are numbered on the way, so repeated rows keep a row each.
     """
-    from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
+    from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
     others = [c for c in docs.columns if c != text_col]
     at = docs.columns.index(text_col)
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     keep = [c for c in numbered.columns if c != text_col]
-    added = [("n_tokens", LongType()), ("n_known", LongType()), ("base_score", DoubleType()), ("score", DoubleType()), ("_word", BinaryType()), ("_times", LongType())]
+    added = [("n_tokens", LongType()), ("n_known", LongType()), ("base_score", DoubleType()), ("score", DoubleType()), ("_word", BinaryType()), ("_l", IntegerType()), ("_r", IntegerType()), ("_at", LongType())]
     schema = StructType([*(numbered.schema[c] for c in keep), *(StructField(c, k) for c, k in added)])
+    width, none = len(model.step), -1
 
     def run(batches):
         m = shared.value
         ids = _Ids(m.words, len(m.words))
-        of = np.append(m.of, m.other)
+        of = np.append(m.of, none)
         base = np.append(np.log10((m.n + 0.5) / (m.total + 0.5 * (m.types + 1))), 0.0)
         emit = np.append(m.emit, 0.0)
         known = np.append((m.n > 0).astype(np.int64), 0)
+        step = np.zeros((width + 1, width + 1))  # the last ones: not listed
+        step[:width, :width] = m.step
         end_class = int(m.of[-1])
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches):
             words, sizes = tokens(pieces(b.column(at)))
             i = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
             c = of[i]
             prev = np.concatenate(([end_class], c[:-1]))
             first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            local = [pa.array(sizes), pa.array(np.add.reduceat(known[i], first)), pa.array(np.add.reduceat(base[i], first)), pa.array(np.add.reduceat(emit[i] + m.step[prev, c], first))]
+            local = [pa.array(sizes), pa.array(np.add.reduceat(known[i], first)), pa.array(np.add.reduceat(base[i], first)), pa.array(np.add.reduceat(emit[i] + step[prev, c], first))]
             plain = [b.column(k) for k, name in enumerate(b.schema.names) if name != text_col]
-            rows = b.column(b.schema.names.index("_row")).to_pylist()
+            rows = b.column(b.schema.names.index("_row")).to_numpy()
             # a key of its own for each text, which no word equals
-            key = pa.array([b" %d" % r for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([*plain, *local, key, pa.nulls(b.num_rows, pa.int64())], schema.names)
-            miss = np.flatnonzero(i == len(m.words))
-            if len(miss):
+            key = pa.array([b" %d" % r for r in rows.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*plain, *local, key, *(pa.nulls(b.num_rows, k) for k in (pa.int32(), pa.int32(), pa.int64()))], schema.names)
+            miss = np.flatnonzero(c == none)
+            if n := len(miss):
                 doc = np.repeat(np.arange(len(sizes)), sizes)[miss]
-                found = Counter(zip(doc.tolist(), map(words.__getitem__, miss.tolist())))
-                d, w = zip(*found)
-                n = len(found)
                 zero = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())]
-                idle = [pa.array([rows[x] for x in d], pa.int64()) if name == "_row" else pa.nulls(n, b.schema.field(name).type) for name in keep]
-                yield pa.RecordBatch.from_arrays([*idle, *zero, pa.array(w, pa.binary()), pa.array(list(found.values()), pa.int64())], schema.names)
+                idle = [pa.array(rows[doc]) if name == "_row" else pa.nulls(n, b.schema.field(name).type) for name in keep]
+                place = [pa.array(prev[miss].astype(np.int32)), pa.array(c[miss + 1].astype(np.int32)), pa.array(miss - first[doc])]
+                yield pa.RecordBatch.from_arrays([*idle, *zero, pa.array([words[x] for x in miss.tolist()], pa.binary()), *place], schema.names)
 
     parts = numbered.mapInArrow(run, schema)
-    c, times = F.coalesce("_n", F.lit(0)), F.col("_times")
-    joined = parts.join(counts.select(F.col("word").alias("_word"), F.col("n").alias("_n")), "_word", "left")
-    return joined.groupBy("_row").agg(
+    joined = parts.join(model.rest.select(F.col("word").alias("_word"), F.col("n").alias("_n"), F.col("c").alias("_c")), "_word", "left")
+    rare, n, c = F.col("_at").isNotNull(), F.coalesce("_n", F.lit(0)), F.coalesce("_c", F.lit(model.other))
+    step = _numbers(model.step)
+    emit = F.when(c == model.other, F.log10((n + 0.5) / (model.other_n + 0.5 * (model.other_v + 1)))).otherwise(F.log10(n / F.get(_numbers(model.size), c)))
+    won = emit + F.when(F.col("_l") >= 0, F.get(step, F.col("_l") * width + c)).otherwise(0.0) + F.when(F.col("_r") >= 0, F.get(step, c * width + F.col("_r"))).otherwise(0.0)
+    side = rare & ((F.col("_l") < 0) | (F.col("_r") < 0))
+    out = joined.groupBy("_row").agg(
         *(F.max(k).alias(k) for k in others),
         F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.coalesce(F.sum(F.when(F.col("_n") > 0, times)), F.lit(0))).alias("n_known"),
-        (F.sum("base_score") + F.coalesce(F.sum(times * F.log10((c + 0.5) / (model.total + 0.5 * (model.types + 1)))), F.lit(0.0))).alias("base_score"),
-        (F.sum("score") + F.coalesce(F.sum(times * F.log10((c + 0.5) / (model.other_n + 0.5 * (model.other_v + 1)))), F.lit(0.0))).alias("score"),
+        (F.sum("n_known") + F.count_if(rare & (n > 0))).alias("n_known"),
+        (F.sum("base_score") + F.coalesce(F.sum(F.when(rare, F.log10((n + 0.5) / (model.total + 0.5 * (model.types + 1))))), F.lit(0.0))).alias("base_score"),
+        (F.sum("score") + F.coalesce(F.sum(F.when(rare, won)), F.lit(0.0))).alias("score"),
+        F.collect_list(F.when(side, F.struct(F.col("_at").alias("at"), c.alias("c")))).alias("_side"),
     ).drop("_row")
 
+    def follow(batches):
+        step = shared.value.step
+        for b in batches:
+            v, ends = b.column(b.num_columns - 1), b.column(b.num_columns - 1).offsets.to_numpy()
+            doc = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            at, c = (v.values.field(i).to_numpy()[ends[0] : ends[-1]] for i in range(2))
+            order = np.lexsort((at, doc))
+            doc, at, c = doc[order], at[order], c[order]
+            pair = np.flatnonzero((doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + 1))
+            more = np.bincount(doc[pair], step[c[pair], c[pair + 1]], b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(b.column(b.num_columns - 2).to_numpy() + more)], b.schema.names[:-1])
+
+    return out.mapInArrow(follow, StructType(out.schema.fields[:-1]))
+
 
 def brown_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, **fit_options) -> DataFrame:
     """Learn from the rows outside the held-out fold, score all.
@@ -335,5 +488,5 @@ def brown_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = rows.filter(~F.col("held_out")).select("text")
     counts = cut(word_counts(texts))
     model = fit(texts, counts, **fit_options)
-    out = score(rows, model, counts)
+    out = score(rows, model)
     return out.withColumns({"train_tokens": F.lit(int(model.total)).cast("long"), "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))})

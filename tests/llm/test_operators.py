@@ -351,6 +351,39 @@ def test_class_model_is_a_distribution_and_beats_unigrams(spark):
     assert out[0] > out[1]
 
 
+def test_words_beyond_the_list_have_classes(spark):
+    from stillwater.llm.brown_lm import fit, score, word_counts
+
+    r = random.Random(6)
+    texts = [" ".join(f"{k}{r.randrange(60)}" for _ in range(10) for k in "ab") for _ in range(80)] + ["rare words", "", None]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id int, text string").repartition(3)
+    counts = word_counts(docs.select("text"))
+    m = fit(docs.select("text"), counts, classes=3, core=20, listed=40)
+    whole = {bytes(x["word"]): x["n"] for x in counts.collect() if x["word"]}
+    rest = {bytes(x["word"]): (x["n"], x["c"]) for x in m.rest.collect()}
+    assert len(m.words) <= 41 and {w: n for w, (n, _) in rest.items()} == {w: n for w, n in whole.items() if w not in m.words}
+    assert all((c == m.other) == (n < 5) for n, c in rest.values()) and sum(c != m.other for _, c in rest.values()) > 40
+    # plain counts of the final classes, and the scores from them
+    cls = dict(zip(m.words, m.of.tolist())) | {w: c for w, (_, c) in rest.items()}
+    count, moves = whole | {b"": len(texts)}, np.zeros((5, 5))
+    lines = {i: [w.encode() for w in (x or "").split()] + [b""] for i, x in enumerate(texts)}
+    for w in lines.values():
+        for a, b in zip([b"", *w], w):
+            moves[cls[a], cls[b]] += 1
+    share = (moves.sum(0) + 0.5) / (moves.sum() + 2.5)
+    step = np.log10((moves + share) / (moves.sum(1, keepdims=True) + 1))
+    assert np.allclose(step, m.step)
+    size, out = Counter(), Counter()
+    for w, n in count.items():
+        size[cls[w]] += n
+        out[cls[w]] += 1
+    assert out[m.other] == m.other_v and size[m.other] == m.other_n
+    emit = lambda w: math.log10((count[w] + 0.5) / (m.other_n + 0.5 * (m.other_v + 1))) if cls[w] == m.other else math.log10(count[w] / size[cls[w]])
+    want = {i: sum(step[cls[a], cls[b]] + emit(b) for a, b in zip([b"", *w], w)) for i, w in lines.items()}
+    got = {x["doc_id"]: x["score"] for x in score(docs, m).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_exchange_finds_two_alternating_classes(spark):
     pairs = [(a, b, 10) for a in range(4) for b in range(4, 8)] + [(b, a, 10) for a in range(4) for b in range(4, 8)]
     of = exchange(spark.createDataFrame(pairs, "a int, b int, n long"), 8, 2, 2, 8)
