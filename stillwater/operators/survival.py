@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, in the folder of ``spark.checkpoint.dir`` if it is set."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
 
 
 def life_table(df: DataFrame, by: list[str], time: str, event: str) -> DataFrame:
@@ -59,65 +71,118 @@ def log_rank(df: DataFrame, group: str, time: str, event: str) -> DataFrame:
     return out.withColumn("chi2", F.try_divide(F.pow(F.col("observed") - F.col("expected"), F.lit(2.0)), F.col("variance")))
 
 
+def running(df: DataFrame, group: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Replace ``columns`` by their sums from the first row of each group on, in the order of ``order`` (unique in a group).
+
+    Rows are range-partitioned, so a group may fill many partitions; what
+    comes before a partition is added from a table with a row for each
+    partition and group in it.
+    """
+    keys = [*group, order]
+    rows = cut(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy(*group, "_part")
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    met = rows.groupBy(*group, "_part").agg(*(F.sum(c).alias(c) for c in columns))
+    met = met.select(*group, "_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in columns))
+    rows = rows.withColumns({c: F.sum(c).over(w.orderBy(order)) for c in columns}).join(met, [*group, "_part"])
+    return rows.select(*(((F.col(c) + F.col(f"_{c}")).alias(c) if c in columns else F.col(c)) for c in df.columns))
+
+
+def _efron(at_risk: np.ndarray, dead: np.ndarray, x: np.ndarray, beta: np.ndarray, most: int = 500_000):
+    """For pieces of the events of some times: ``of`` (the time of each), ``f``, ``a0`` and mean covariates; rows of the arguments are times, columns patterns ``x``."""
+    rate = np.exp(x @ beta)
+    r, q, d = at_risk * rate, dead * rate, dead.sum(1)
+    ends = np.cumsum(d)
+    for start in range(0, int(ends[-1]) if len(ends) else 0, most):
+        i = np.arange(start, min(start + most, int(ends[-1])))
+        of = np.searchsorted(ends, i, "right")
+        f = (i - (ends[of] - d[of])) / d[of]
+        left = r[of] - f[:, None] * q[of]
+        a0 = left.sum(1)
+        yield of, f, a0, left, left @ x / a0[:, None]
+
+
 def cox(df: DataFrame, covariates: list[str], time: str, event: str, cluster: str | None = None, strata: list[str] | None = None, max_steps: int = 30) -> list[dict]:
     """Proportional hazards with Efron's ties for 0/1 covariates; sandwich errors by cluster if given.
 
-    Rows are compressed by Spark to counts of (stratum, time, covariate
-    pattern, cluster, event); the Newton steps run on these counts.  Returns a
-    dict for each covariate; ``converged`` is False for all if the steps did not settle.
+    Spark compresses the rows to a table of times with counts at risk and of
+    events by covariate pattern, the risk sets being running sums.  Each
+    Newton step is an aggregation over this table, which gives the driver the
+    gradient and the Hessian only; score residuals are added up by cluster in
+    Spark too.  The patterns (for dummies as many as categories) are held by
+    the driver.  Returns a dict for each covariate; ``converged`` is False for
+    all if the steps did not settle.
     """
+    spark = df.sparkSession
     ok = df.filter(F.col(time).isNotNull() & (F.col(time) > 0))
-    keys = [*(strata or []), time, *covariates, *([cluster] if cluster else []), event]
-    rows = ok.groupBy(*keys).agg(F.count("*").alias("n")).toPandas()
-    if not len(rows):
+    names = sorted((tuple(r) for r in ok.select(*covariates).distinct().collect()), key=str)
+    if not names:
         return []
-    x = rows[covariates].to_numpy(float)
-    w, t, e = rows["n"].to_numpy(float), rows[time].to_numpy(float), rows[event].to_numpy(bool)
-    s = rows.groupby(strata).ngroup().to_numpy() if strata else np.zeros(len(rows), int)
-    order = np.lexsort((-t, s))
-    x, w, t, e, s, rows = x[order], w[order], t[order], e[order], s[order], rows.iloc[order]
-    p, beta, converged = len(covariates), np.zeros(len(covariates)), False
-
-    def derive(beta, residuals=False):
-        r = w * np.exp(x @ beta)
-        grad, hess, loglik = np.zeros(p), np.zeros((p, p)), 0.0
-        steps = []  # stratum, time, hazard step for those at risk, its mean covariates, for the tied
-        for k in np.unique(s):
-            m = np.flatnonzero(s == k)
-            s0, s1, s2 = 0.0, np.zeros(p), np.zeros((p, p))
-            for tt in np.unique(t[m])[::-1]:
-                here = m[t[m] == tt]
-                s0, s1, s2 = s0 + r[here].sum(), s1 + r[here] @ x[here], s2 + (x[here].T * r[here]) @ x[here]
-                dead = here[e[here]]
-                d = int(round(w[dead].sum()))
-                if not d:
-                    continue
-                r0, r1, r2 = r[dead].sum(), r[dead] @ x[dead], (x[dead].T * r[dead]) @ x[dead]
-                grad += w[dead] @ x[dead]
-                loglik += w[dead] @ (x[dead] @ beta)
-                for j in range(d):
-                    f = j / d
-                    a0, a1, a2 = s0 - f * r0, s1 - f * r1, s2 - f * r2
-                    mean = a1 / a0
-                    grad -= mean
-                    hess += a2 / a0 - np.outer(mean, mean)
-                    loglik -= np.log(a0)
-                    steps.append((k, tt, 1 / a0, mean, f))
-        if not residuals:
-            return grad, hess, loglik
-        u = np.zeros((len(w), p))
-        rate = np.exp(x @ beta)
-        for k, tt, h, mean, f in steps:
-            risk = (s == k) & (t >= tt)
-            tied = risk & (t == tt) & e
-            share = np.where(tied, 1 - f, 1.0)
-            d = w[tied].sum()
-            u[risk] -= (rate[risk] * share[risk] * h)[:, None] * (x[risk] - mean)
-            u[tied] += (x[tied] - mean) / d
-        return u * w[:, None]
-
+    x, p, k = np.array(names, float), len(covariates), len(names)
+    code = F.broadcast(spark.createDataFrame([(*r, i) for i, r in enumerate(names)], [*(f"_x{i}" for i in range(p)), "_pattern"]))
+    on = [F.col(c).eqNullSafe(F.col(f"_x{i}")) for i, c in enumerate(covariates)]
+    group = F.struct(*(F.col(c) for c in strata)) if strata else F.lit(0)
+    rows = ok.join(code, on).select(group.alias("_s"), F.col(time).alias("_t"), F.col("_pattern"), F.coalesce(F.col(event), F.lit(False)).alias("_e"), *([F.col(cluster).alias("_c")] if cluster else []))
+    rows = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")))
+    risk, dead = [f"n{i}" for i in range(k)], [f"d{i}" for i in range(k)]
+    one = lambda i, e=F.lit(True): F.sum(F.when((F.col("_pattern") == i) & e, F.col("_n")).otherwise(0))
+    times = rows.groupBy("_s", "_t").agg(*(one(i).alias(risk[i]) for i in range(k)), *(one(i, F.col("_e")).alias(dead[i]) for i in range(k)))
+    times = running(times.withColumn("_back", -F.col("_t")), ["_s"], "_back", risk)
+    times = cut(times.select("_s", "_t", F.array(*risk).alias("at_risk"), F.array(*dead).alias("dead")))
+    events = int(rows.agg(F.coalesce(F.sum(F.when(F.col("_e"), F.col("_n"))), F.lit(0))).first()[0])
+
+    def table(b):
+        return (b.column(b.schema.get_field_index(c)).flatten().to_numpy().reshape(-1, k) for c in ("at_risk", "dead"))
+
+    def derive(beta):
+        def run(batches):
+            total = np.zeros(p + p * p)
+            for b in batches:
+                n, d = table(b)
+                total[:p] += d.sum(0) @ x
+                for _, _, a0, left, mean in _efron(n, d, x, beta):
+                    total[:p] -= mean.sum(0)
+                    second = np.einsum("k,ki,kj->ij", (left / a0[:, None]).sum(0), x, x)
+                    total[p:] += (second - mean.T @ mean).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
+
+        found = times.filter(F.aggregate("dead", F.lit(0).cast("long"), lambda a, v: a + v) > 0).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        total = np.zeros(p + p * p)
+        for r in found:
+            total[r["i"]] = r["v"]
+        return total[:p], total[p:].reshape(p, p)
+
+    def meat(beta):
+        """The sum over clusters of the outer products of their score residuals."""
+        add = [f"h{i}" for i in range(p + 1)]  # hazard steps up to a time, for those alive after it: 1 / a0 and mean / a0
+        tied = [f"e{i}" for i in range(2 * p + 1)]  # what those steps lack for the tied, and the mean of the means
+
+        def steps(batches):
+            for b in batches:
+                n, d = table(b)
+                out = np.zeros((len(n), 3 * p + 2))
+                for of, f, a0, _, mean in _efron(n, d, x, beta):
+                    h = np.column_stack([1 / a0, mean / a0[:, None]])
+                    np.add.at(out, of, np.column_stack([h, f[:, None] * h, mean / d.sum(1)[of][:, None]]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v) for v in out.T)], ["_s", "_t", *add, *tied])
+
+        schema = StructType([*times.schema.fields[:2], *(StructField(c, DoubleType()) for c in (*add, *tied))])
+        hazard = running(times.mapInArrow(steps, schema), ["_s"], "_t", add)
+        per = rows.join(hazard, ["_s", "_t"])
+        e = F.col("_e").cast("int")
+        rate = F.get(F.array(*(F.lit(float(v)) for v in np.exp(x @ beta))), F.col("_pattern"))
+        u = []
+        for i in range(p):
+            v = F.get(F.array(*(F.lit(float(v)) for v in x[:, i])), F.col("_pattern"))
+            gone = v * (F.col("h0") - e * F.col("e0")) - (F.col(f"h{i + 1}") - e * F.col(f"e{i + 1}"))
+            u.append(F.sum(F.col("_n") * (e * (v - F.col(f"e{p + 1 + i}")) - rate * gone)).alias(f"u{i}"))
+        by = per.groupBy("_c").agg(*u)
+        sums = by.agg(*(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i in range(p) for j in range(p))).first()
+        return np.array(sums, float).reshape(p, p)
+
+    beta, converged = np.zeros(p), False
     for _ in range(max_steps):
-        grad, hess, _ = derive(beta)
+        grad, hess = derive(beta)
         try:
             step = np.linalg.solve(hess, grad)
         except np.linalg.LinAlgError:
@@ -126,14 +191,10 @@ def cox(df: DataFrame, covariates: list[str], time: str, event: str, cluster: st
         if np.abs(step).max() < 1e-9:
             converged = True
             break
-    events = int(w[e].sum())
     if not converged:
         return [{"covariate": c, "coef": None, "hr": None, "se": None, "z": None, "n_events": events, "converged": False} for c in covariates]
     cov = np.linalg.inv(derive(beta)[1])
     if cluster:
-        u = derive(beta, True)
-        total = np.zeros((rows[cluster].nunique(), p))
-        np.add.at(total, rows.groupby(cluster).ngroup().to_numpy(), u)
-        cov = cov @ (total.T @ total) @ cov
+        cov = cov @ meat(beta) @ cov
     se = np.sqrt(np.diag(cov))
     return [{"covariate": c, "coef": float(b), "hr": float(np.exp(b)), "se": float(v), "z": float(b / v), "n_events": events, "converged": True} for c, b, v in zip(covariates, beta, se)]

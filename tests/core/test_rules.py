@@ -127,6 +127,38 @@ def test_cox_maximises_the_partial_likelihood(spark):
     assert out["converged"] and loglik(out["coef"]) >= max(loglik(out["coef"] - 1e-3), loglik(out["coef"] + 1e-3)) and out["se"] > 0
 
 
+def test_cox_adds_up_in_spark(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(3)
+    rows = [(a := r.randint(0, 1), 0 if a else r.randint(0, 1), r.randint(1, 25) / 4, r.random() < 0.7, i % 7, "s" if i % 3 else "t") for i in range(300)]
+    df = spark.createDataFrame(rows, "x int, y int, t double, e boolean, c int, g string")
+    sizes, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "toPandas", lambda d: pytest.fail("rows on the driver"))
+    monkeypatch.setattr(type(df), "collect", lambda d: sizes.append(out := collect(d)) or out)
+    got = V.cox(df, ["x", "y"], "t", "e", cluster="c", strata=["g"])
+    assert max(map(len, sizes)) < 20 and all(o["converged"] for o in got)
+
+    # the score and its residuals row by row, Efron's ties
+    x, t, e = np.array([q[:2] for q in rows], float), np.array([q[2] for q in rows]), np.array([q[3] for q in rows])
+    g, c = np.array([q[5] for q in rows]), np.array([q[4] for q in rows])
+    rate = np.exp(x @ np.array([o["coef"] for o in got]))
+    u, hess = np.zeros((len(rows), 2)), np.zeros((2, 2))
+    for s in "st":
+        for at in np.unique(t[(g == s) & e]):
+            risk, tied = (g == s) & (t >= at), (g == s) & (t == at) & e
+            for j in range(tied.sum()):
+                w = np.where(tied, 1 - j / tied.sum(), 1.0) * rate * risk
+                mean = w @ x / w.sum()
+                hess += (x.T * w) @ x / w.sum() - np.outer(mean, mean)
+                u -= (w / w.sum())[:, None] * (x - mean)
+                u[tied] += (x[tied] - mean) / tied.sum()
+    assert np.abs(u.sum(0)).max() < 1e-6
+    sums = np.array([u[c == k].sum(0) for k in range(7)])
+    se = np.sqrt(np.diag(np.linalg.inv(hess) @ sums.T @ sums @ np.linalg.inv(hess)))
+    assert np.allclose([o["se"] for o in got], se, rtol=1e-6)
+
+
 def test_reconcile_and_exclude(spark):
     a = spark.createDataFrame([(1, 1.0), (2, None), (3, 5.0)], "k int, v double")
     b = spark.createDataFrame([(1, 1.05), (2, None), (4, 1.0)], "k int, v double")
