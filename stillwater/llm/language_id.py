@@ -18,6 +18,8 @@ UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
 #: Marks at the end of a chunk that are no part of its words.
 MARKS = ",.;:!?"
+#: Length of the n-grams by which a text counts as explained, and the share from which one is usual in a language.
+EXPLAINED_BY, USUAL = 3, 1e-5
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -29,12 +31,26 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies by language: row ``index[n][key]`` of ``table``; keys are words (n 0) and n-grams."""
+    """Log frequencies by language: row ``index[n][key]`` of ``table``; keys are words (n 0) and n-grams.
+
+    ``usual`` says by row and language whether the key has at least
+    ``USUAL`` of the language's keys of its length.
+    """
 
     langs: list[str]
     prior: np.ndarray
     index: dict[int, dict[str, int]]
     table: np.ndarray
+    usual: np.ndarray
+
+
+def drawn(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows: int) -> DataFrame:
+    """The labelled rows, or about ``max_rows`` of them drawn by a hash of ``key_col``."""
+    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    share = max_rows / max(1, rows.count())
+    if share < 1:
+        rows = rows.filter(F.pmod(F.xxhash64(F.col(key_col), F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return rows
 
 
 def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows: int = 20_000, words: int = 60_000, per_order: int = 12_000) -> Model:
@@ -43,10 +59,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows:
     The whole texts of the drawn rows count.  The model keeps the ``words``
     most frequent words and the ``per_order`` most frequent n-grams of each length.
     """
-    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    share = max_rows / max(1, rows.count())
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(key_col), F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = drawn(docs, text_col, lang_col, key_col, max_rows)
 
     def as_batches(counters):
         for items in flush_counts(counters, 400_000):
@@ -85,7 +98,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows:
     totals = counts.groupBy("lang", "order").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     langs = sorted({r["lang"] for r in totals})
     if not langs:
-        return Model([], np.zeros(0), {n: {} for n in (0, *ORDERS)}, np.zeros((1, 0), np.float32))
+        return Model([], np.zeros(0), {n: {} for n in (0, *ORDERS)}, np.zeros((1, 0), np.float32), np.zeros((1, 0), bool))
     n = np.zeros((max(ORDERS) + 1, len(langs)))
     for r in totals:
         n[r["order"], langs.index(r["lang"])] = r["n"]
@@ -94,16 +107,17 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows:
     limit = {0: words, **{k: per_order for k in ORDERS}}
     kept = [wide.filter(F.col("order") == k).orderBy(F.desc("n"), "key").limit(m) for k, m in limit.items()]
     index: dict[int, dict[str, int]] = {k: {} for k in limit}
-    table = [np.zeros(len(langs), np.float32)]  # row 0: says nothing
+    table, usual = [np.zeros(len(langs), np.float32)], [np.zeros((1, len(langs)), bool)]  # row 0: says nothing
     for part, k in zip(kept, limit):
         found = part.toArrow()
         keys = found.column("key").to_pylist()
         c = np.array([found.column(f"l{i}").to_numpy() for i in range(len(langs))], float).T.reshape(len(keys), len(langs))
         logs = np.log((c + 0.5) / (n[k] + 0.5 * (len(keys) + 1)))
+        usual.append((c > 0) & (c >= USUAL * n[k]))
         for key, row in zip(keys, logs):
             index[k][key] = len(table)
             table.append(row)
-    return Model(langs, np.log((n[0] + 1) / (n[0] + 1).sum()), index, np.array(table, np.float32))
+    return Model(langs, np.log((n[0] + 1) / (n[0] + 1).sum()), index, np.array(table, np.float32), np.concatenate(usual))
 
 
 class Judge:
@@ -199,6 +213,67 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
+class Usual:
+    """Counts of a text's n-grams of ``EXPLAINED_BY`` characters, ends of words marked: by language the usual ones, then all."""
+
+    def __init__(self, model: Model, limit: int = 300_000) -> None:
+        self.get, self.usual, self.limit = model.index[EXPLAINED_BY].get, model.usual, limit
+        self.rows = np.zeros((limit, model.usual.shape[1] + 1), np.int32)
+        self.chunks: dict[str, int] = {}
+
+    def _learn(self, chunks: list[str]) -> None:
+        for x in chunks:
+            if x not in self.chunks:
+                found = [self.get(g, 0) for w in WORDS(x.lower()) if any(map(str.isalpha, w)) for g in grams(w, EXPLAINED_BY)]
+                at = self.chunks[x] = len(self.chunks)
+                self.rows[at, :-1], self.rows[at, -1] = self.usual[found].sum(0), len(found)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        total = np.zeros(self.rows.shape[1], np.int64)
+        words = (text or "").split()
+        for at in range(0, len(words), 50_000):
+            part = words[at : at + 50_000]
+            if len(self.chunks) + len(part) > self.limit:
+                self.chunks.clear()
+            rows = list(map(self.chunks.get, part))
+            if None in rows:
+                self._learn(part)
+                rows = list(map(self.chunks.get, part))
+            total += self.rows[rows].sum(0, dtype=np.int64)
+        return total
+
+
+def explain(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Add ``explained``: by language of the model, the share of the n-grams of the text's words that are usual in it.
+
+    Letters that the model doesn't know, and texts without a letter, have 0 in
+    every language; how much text each language had in training doesn't count.
+    """
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        usual = per_worker("usual", shared.value, Usual)
+        for b in batches:
+            if b.num_rows:
+                n = np.array(list(map(usual, b.column(at).to_pylist())))
+                share = (n[:, :-1] / np.maximum(n[:, -1:], 1)).tolist()
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(share, pa.list_(pa.float64()))], [*b.schema.names, "explained"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("explained", ArrayType(DoubleType()))]))
+
+
+def least_explained(docs: DataFrame, model: Model, text_col: str, lang_col: str, key_col: str, max_rows: int = 20_000) -> list[float]:
+    """By language of the model: half the median share explained of its training rows (those that ``train`` draws)."""
+    rows = drawn(docs, text_col, lang_col, key_col, max_rows).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    place = F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")).cast("int") - 1
+    share = explain(rows, model).select("lang", F.get("explained", place).alias("v")).filter("v > 0")
+    found = dict(share.groupBy("lang").agg(F.percentile_approx("v", 0.5)).collect())
+    return [found.get(x, 0.0) / 2 for x in model.langs]
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out: int = 1) -> DataFrame:
     """Learn from the rows outside the held-out fold and predict all: ``doc_id, held_out, lang_pred, score``.
 
