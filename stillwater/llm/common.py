@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 from collections.abc import Callable, Iterator
@@ -31,15 +32,32 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without that setting gets a folder of its own.
+    local session without that setting gets a folder of its own.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a cluster has to name it, as a temporary one would be local to a machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="checkpoint-")
+    return where
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
 def text_key(col: Column) -> Column:
     """crc32 of a value written as text; null counts as the empty string."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
@@ -65,10 +83,13 @@ def sorted_ranks(df: DataFrame, cls: str, order: list[Column], n: int | None = N
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function that is made once for each task."""
+    """mapInArrow with a function that is made once for each task; a worker lets go of what other kinds of tasks kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = set(_MADE)
+        _ASKED.clear()
         f = make()
+        release(before - _ASKED)
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
                 yield out
@@ -77,10 +98,22 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
 
 
 _MADE: dict[str, tuple[object, object]] = {}
+#: Kinds that the running task has asked for.
+_ASKED: set[str] = set()
+
+
+def release(kinds: set[str]) -> None:
+    """Let go of what earlier tasks of these kinds kept in this worker process."""
+    if kinds:
+        for kind in kinds:
+            _MADE.pop(kind, None)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def per_worker(kind: str, source: object, make: Callable):
     """What ``make`` gives for ``source``, kept for the later tasks of a worker process; one of each kind, so memory stays bounded."""
+    _ASKED.add(kind)
     found = _MADE.get(kind)
     if found is None or not (found[0] is source or (isinstance(source, str) and found[0] == source)):
         found = _MADE[kind] = (source, make(source))
@@ -201,6 +234,17 @@ def digest16(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+def only(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose identifier is in the column ``wanted`` of ``ids`` (distinct; null counts as a value).
+
+    A table of at most ``BROADCAST_ROWS`` identifiers is broadcast, so that the rows stay where they are; a larger one is met in a shuffle.
+    """
+    ids = ids.select(F.col("wanted"))
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("wanted")), "left_semi")
+
+
 #: A key is hot if it has more than one in so many of all rows; there are fewer hot keys than that.
 HOT_SHARE = 1000
 

@@ -8,50 +8,52 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, digest16, lookup, map_arrow, parts, pieces, shingles, word_hashes
+from .common import LOWER, cut, digest16, lookup, map_arrow, only, parts, pieces, shingles, word_hashes
 from .components import smallest_reachable
 
 #: Buckets (registers) of a signature and registers of a band.
 REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
-#: Registers of the second signature, by which crowded groups are compared.
-WIDE = 512
-#: A register is one byte: 0 if its bucket is empty, else 1 + 16 * leading zeros (up to 14) + 4 bits of mantissa.
-MANTISSA, MOST_ZEROS = 4, 14
-#: Chance that unequal minima give equal registers: about a third have the same zeros, 1 in 16 of these the same mantissa.
-COLLISION = 1 / 3 / (1 << MANTISSA)
-#: Neighbours in sorted order that a signature is compared with first, for each band; larger groups are compared whole afterwards.
+#: A register has two bytes: 0 if its bucket is empty, else 1 + 1024 * leading zeros (up to 62) + 10 bits of mantissa.
+MANTISSA, MOST_ZEROS = 10, 62
+#: Sets of up to so many shingles are compared by the upper halves of their hashes in crowded groups.
+SMALL = 320
+#: Registers of the second signature, by which larger sets are compared there; one byte each, with 4 bits of mantissa.
+WIDE, WIDE_MANTISSA, WIDE_ZEROS = 512, 4, 14
+#: Neighbours in sorted order that a text is compared with first, for each band; larger groups are compared whole afterwards.
 NEIGHBOURS = 3
-#: Labels from here on stand for classes without an identifier.
-UNNAMED = 1 << 62
 #: Rows of a block of a crowded group; two blocks meet in a task.
 BLOCK = 512
 #: A candidate goes on if its estimate is within this many standard errors of the threshold.
-ERRORS = 4.0
-
-
-def signature(s: np.ndarray, registers: int = REGISTERS) -> bytes:
-    """The registers of a set of 64-bit hashes: the low bits choose the bucket, the rest give zeros and mantissa of the least hash."""
-    bucket = (s % np.uint64(registers)).astype(np.int64)
-    value = s // np.uint64(registers)
-    least = np.full(registers, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, bucket, value)
-    out = np.zeros(registers, np.uint8)
-    full = np.flatnonzero(least != np.iinfo(np.uint64).max)
-    top = float(2**64 // registers)
-    x = np.maximum(least[full].astype(float) / top, 2.0**-40)  # in (0, 1)
-    m, e = np.frexp(x)  # x = m * 2**e, m in [.5, 1)
-    zeros = np.minimum(-e, MOST_ZEROS)
-    mantissa = np.minimum((m - 0.5) * 2 * (1 << MANTISSA), (1 << MANTISSA) - 1).astype(int)
-    out[full] = 1 + zeros * (1 << MANTISSA) + mantissa
-    return out.tobytes()
-
-
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+ERRORS = 5.0
+
+
+def collision(mantissa: int) -> float:
+    """Chance that unequal minima give equal registers: about a third have the same zeros, one in 2**mantissa of these the same mantissa."""
+    return 1 / 3 / (1 << mantissa)
+
+
+def signature(s: np.ndarray, registers: int = REGISTERS, mantissa: int = MANTISSA, most_zeros: int = MOST_ZEROS) -> np.ndarray:
+    """The registers of a sorted set of 64-bit hashes: equal stretches of the hashes' range are the buckets, and the
+    least hash of a bucket gives leading zeros and mantissa of its distance from the bucket's beginning."""
+    width = 2**64 // registers
+    lows = np.arange(registers, dtype=np.uint64) * np.uint64(width)
+    at = np.searchsorted(s, lows)
+    full = np.flatnonzero(np.diff(np.append(at, len(s))))
+    x = np.maximum((s[at[full]] - lows[full]).astype(float) / width, 2.0 ** -(most_zeros + 1))
+    m, e = np.frexp(np.minimum(x, 1 - 2.0**-53))  # x = m * 2**e, m in [.5, 1)
+    out = np.zeros(registers, np.uint16 if mantissa > 4 else np.uint8)
+    fine = np.minimum((m - 0.5) * 2 * (1 << mantissa), (1 << mantissa) - 1).astype(int)
+    out[full] = 1 + np.minimum(-e, most_zeros) * (1 << mantissa) + fine
+    return out
+
+
+def estimate(a: np.ndarray, b: np.ndarray, mantissa: int = MANTISSA) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard estimates of pairs of signatures, corrected for collisions, and the numbers of buckets that they rest on."""
+    chance = collision(mantissa)
     used = ((a > 0) | (b > 0)).sum(1)
     same = ((a == b) & (a > 0)).sum(1) / np.maximum(used, 1)
-    return np.clip((same - COLLISION) / (1 - COLLISION), 0, 1), used
+    return np.clip((same - chance) / (1 - chance), 0, 1), used
 
 
 def _set(text: bytes, k: int) -> np.ndarray:
@@ -59,155 +61,184 @@ def _set(text: bytes, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, row_col: str | None, k: int) -> DataFrame:
-    """``doc_id, row, n, fp, sig, wide``: the size of each shingle set, a 16-byte digest of it and its registers (null without words)."""
+    """``doc_id, row, n, fp, sig``: the size of each shingle set, a 16-byte digest of it and its registers (null without words)."""
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             sets = [_set(t, k) for t in pieces(b.column(2))]
-            return pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest16(s.tobytes()) if len(s) else None for s in sets], pa.binary()), *(pa.array([signature(s, size) if len(s) else None for s in sets], pa.binary()) for size in (REGISTERS, WIDE))],
-                ["doc_id", "row", "n", "fp", "sig", "wide"],
-            )
+            fps, sigs = zip(*((digest16(s.tobytes()), signature(s).tobytes()) if len(s) else (None, None) for s in sets))
+            columns = [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "fp", "sig"])
 
         return f
 
-    return map_arrow(docs.select(F.col(id_col).cast("long"), (F.col(row_col) if row_col else F.lit(0)).cast("long"), text_col), make, "doc_id long, row long, n long, fp binary, sig binary, wide binary")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), (F.col(row_col) if row_col else F.lit(0)).cast("long"), text_col), make, "doc_id long, row long, n long, fp binary, sig binary")
 
 
-class _Crowded:
-    """Members of the groups of a sorted partition that comparing neighbours does not cover.
+def _neighbours(batches):
+    """Pairs of neighbours of a sorted partition that share a bucket, and the members of the groups that these do not cover.
 
-    These are the groups with more than ``NEIGHBOURS`` + 1 rows, and the first
-    and the last of the partition, which may go on in the next one.
+    Those are the groups with more than ``NEIGHBOURS`` + 1 rows, and the first
+    and the last of the partition, which may go on in the next one.  Only the
+    end of the group that a batch breaks off in is held.
     """
+    bucket, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    told, first = 0, None  # rows held that are given out as members already; the first bucket
+
+    def out(bucket, a, b):
+        absent = np.zeros(len(a), bool)
+        return pa.RecordBatch.from_arrays([pa.array(x, mask=absent if x is not None else ~absent) if x is not None else pa.nulls(len(a), pa.int64()) for x in (bucket, a, b)], ["bucket", "a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        old = len(bucket)
+        bucket, c = np.append(bucket, batch.column(0).to_numpy()), np.append(c, batch.column(1).to_numpy())
+        first = bucket[0] if first is None else first
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        sizes = np.diff(np.append(starts, len(bucket)))
+        crowded = (sizes > NEIGHBOURS + 1) | (bucket[starts] == first)
+        member = np.repeat(crowded, sizes)
+        member[:told] = False
+        yield out(bucket[member], c[member], None)
+        for d in range(1, NEIGHBOURS + 1):
+            j = np.arange(max(old, d), len(bucket))
+            j = j[bucket[j] == bucket[j - d]]
+            met = np.unique(np.column_stack([c[j - d], c[j]]), axis=0)
+            yield out(None, met[:, 0], met[:, 1])
+        keep = min(sizes[-1], NEIGHBOURS + 1)
+        bucket, c, told = bucket[-keep:], c[-keep:], keep if crowded[-1] else 0
+    if not told and len(bucket):
+        yield out(bucket, c, None)
+
+
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` of classes that share a band, and the members ``bucket, c`` of the groups whose pairs are not all among them.
+
+    The rows of the bands hold two numbers: a hash of the band and its
+    registers, and the class.  A range partitioning spreads a bucket of any
+    size; each row meets the ``NEIGHBOURS`` before it, and groups that this
+    does not cover are left to ``crowded_pairs``.  As a register has two
+    bytes, unlike texts share a band by chance less than once in 10**12 pairs, so
+    buckets do not fill up as the table grows.
+    """
+    at = F.col("band") * (2 * ROWS) + 1
+    bands = classes.select("c", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "sig").select("c", "band", F.substring("sig", at, F.lit(2 * ROWS)).alias("key"))
+    rows = bands.filter(F.col("key") != F.lit(bytearray(2 * ROWS))).select(F.xxhash64("band", "key").alias("bucket"), "c")
+    n = 2 * parts(classes.sparkSession)
+    rows = rows.repartitionByRange(n, "bucket", "c").sortWithinPartitions("bucket", "c")
+    found = cut(rows.mapInArrow(_neighbours, "bucket long, a long, b long").distinct())
+    return found.filter(F.col("bucket").isNull()).select("a", "b"), found.filter(F.col("bucket").isNotNull()).select("bucket", F.col("a").alias("c"))
 
-    def __init__(self) -> None:
-        self.group, self.held, self.told = None, [], True
-        self.groups: list[bytes] = []
-        self.fps: list[bytes] = []
-
-    def add(self, group: np.ndarray, fps: list[bytes]) -> None:
-        first = np.append(0, np.flatnonzero(np.diff(group)) + 1)
-        end = np.append(first[1:], len(group))
-        ends = {0, len(first) - 1}
-        for k in sorted(ends | set(np.flatnonzero(end - first > NEIGHBOURS + 1).tolist())):
-            if group[first[k]] != self.group:
-                self.told = self.group is None
-                self.group, self.held = group[first[k]], []
-            self.held += fps[first[k] : end[k]]
-            if self.told or len(self.held) > NEIGHBOURS + 1:
-                self.tell()
-
-    def tell(self) -> None:
-        self.groups += [int(self.group).to_bytes(5, "big")] * len(self.held)
-        self.fps += self.held
-        self.held, self.told = [], True
-
-    def take(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(self.groups, pa.binary()), pa.array(self.fps, pa.binary())], ["a", "b"])
-        self.groups, self.fps = [], []
-        return out
-
-
-def _candidates(threshold: float):
-    """Compare each signature of a sorted partition with those just before it, within the same band; tell the crowded groups."""
 
-    def run(batches):
-        head: list[tuple] = []
-        crowded = _Crowded()
+def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sizes allow a link and whose estimate is within ``ERRORS`` standard errors of the threshold."""
+    sides = [classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"]
+    met = pairs.join(sides[0], "a").join(sides[1], "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+
+    def compare(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            band, fp, n = b.column("band").to_numpy(), b.column("fp").to_pylist(), b.column("n").to_numpy()
-            sig = np.frombuffer(b"".join(b.column("turned").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            sig = np.take_along_axis(sig, (np.arange(REGISTERS) - band[:, None] * ROWS) % REGISTERS, 1)
-            if head:
-                band, fp, n, sig = np.append(head[0], band), head[1] + fp, np.append(head[2], n), np.vstack([head[3], sig])
-            old = len(fp) - b.num_rows
-            rows_of = (np.arange(ROWS) + band[:, None] * ROWS) % REGISTERS
-            keys = np.take_along_axis(sig, rows_of, 1)
-            crowded.add(band[old:].astype(np.int64) << 32 | keys[old:].copy().view(">u4")[:, 0].astype(np.int64), fp[old:])
-            yield crowded.take()
-            out_a, out_b = [], []
-            for d in range(1, NEIGHBOURS + 1):
-                j = np.arange(max(old, d), len(fp))
-                i = j - d
-                ok = (band[i] == band[j]) & (keys[i] == keys[j]).all(1)
-                ok &= np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
-                i, j = i[ok], j[ok]
-                est, used = estimate(sig[i], sig[j])
-                near = est >= threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1)) - COLLISION
-                for x, y in zip(i[near], j[near]):
-                    lo, hi = sorted((fp[x], fp[y]))
-                    out_a.append(lo)
-                    out_b.append(hi)
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
-            head = [band[-NEIGHBOURS:], fp[-NEIGHBOURS:], n[-NEIGHBOURS:], sig[-NEIGHBOURS:]]
-        if crowded.held:
-            crowded.tell()
-            yield crowded.take()
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
+            est, used = estimate(x, y)
+            near = est >= threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1)) - collision(MANTISSA)
+            yield b.select(["a", "b"]).filter(pa.array(near))
 
-    return run
+    return met.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def candidates(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a, b`` of digests that may be linked, and the members ``bucket, fp`` of the groups that are not compared whole.
+def sketches(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """``c, n, sketch`` of the wanted classes ``c``, from their texts: the upper halves of the hashes of a set of up to
+    ``SMALL`` shingles, the wide registers of a larger one."""
+    wanted = cut(classes.join(wanted, "c", "left_semi").select("c", "n", "fp", F.col("label").alias("wanted")))
+    texts = only(docs.select(id_col, text_col), id_col, wanted.select("wanted").distinct())
 
-    For each band the signatures are sorted by the registers from the band
-    onwards (around the end), over a range partitioning that spreads a band
-    value of any size, and each is compared with the ``NEIGHBOURS`` before it.
-    What shares a band stands together, and the more registers follow alike
-    the nearer.  Groups of more than ``NEIGHBOURS`` + 1 rows, and those at the
-    ends of a partition, are left to ``crowded_pairs``.  Bands without any
-    shingle give no key.
-    """
-    turned = F.concat(F.expr(f"substring(sig, band * {ROWS} + 1, {REGISTERS})"), F.expr(f"substring(sig, 1, band * {ROWS})"))
-    rows = classes.select("fp", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    rows = rows.filter(F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})") != F.lit(bytearray(ROWS)))
-    rows = rows.withColumn("turned", turned).drop("sig")
-    keys = [F.col("band"), F.col("turned"), F.col("fp")]
-    n = 4 * parts(classes.sparkSession)
-    rows = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    found = cut(rows.mapInArrow(_candidates(threshold), "a binary, b binary").distinct())
-    member = F.length("a") == 5
-    return found.filter(~member), found.filter(member).select(F.col("a").alias("bucket"), F.col("b").alias("fp"))
-
-
-def _wide_pairs(threshold: float):
-    """Compare the rows of two blocks of a group: those of different components, by the wide registers.
-
-    A pair is told in the first band that it shares only.  The error of an
-    estimate is that of drawing the used buckets from the union without
-    putting back, and of registers that are equal by chance; the correction for
-    these is taken back where unequal words mostly meet empty registers.
-    """
+    def sketch(s: np.ndarray) -> bytes:
+        return (_upper(s) if len(s) <= SMALL else signature(s, WIDE, WIDE_MANTISSA, WIDE_ZEROS)).tobytes()
 
-    def compare(x: list, y: list, same_block: bool, band: int, a: list, b: list) -> None:
-        fps, comps, sizes, sigs, wides = y
-        for i in range(len(x[0])):
-            j = np.arange(i + 1 if same_block else 0, len(fps))
-            small, large = np.minimum(x[2][i], sizes[j]), np.maximum(x[2][i], sizes[j])
-            j = j[(comps[j] != x[1][i]) & (small >= threshold * large)]
-            if not len(j):
-                continue
-            one = np.broadcast_to(x[4][i], (len(j), WIDE))
-            est, used = estimate(one, wides[j])
-            union = (x[2][i] + sizes[j]) / (1 + threshold)
-            drawn = threshold * (1 - threshold) * np.clip((union - used) / np.maximum(union - 1, 1), 0, 1)
-            j = j[est >= threshold - ERRORS * np.sqrt((drawn + (1 - threshold) * COLLISION) / used) - (1 - threshold) * COLLISION]
-            shared = ((sigs[j] == x[3][i]).reshape(-1, BANDS, ROWS).all(2) & (sigs[j] > 0).reshape(-1, BANDS, ROWS).any(2)).argmax(1)
-            for k in j[shared == band]:
-                lo, hi = sorted((x[0][i], fps[k]))
-                a.append(lo)
-                b.append(hi)
-
-    def meet(t: pa.Table, a: list, b: list) -> None:
+    def make():
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [s for s in (_set(t, k) for t in pieces(b.column(0))) if len(s)]
+            return pa.RecordBatch.from_arrays([pa.array([digest16(s.tobytes()) for s in sets], pa.binary()), pa.array(map(sketch, sets), pa.binary())], ["fp", "sketch"])
+
+        return f
+
+    found = map_arrow(texts.select(text_col), make, "fp binary, sketch binary")
+    return cut(found.join(wanted, "fp").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+
+
+def _upper(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(32)).astype(np.uint32)
+
+
+class _Block:
+    """Rows of a block of a crowded group: classes, components, sizes and what their sets can be compared by."""
+
+    def __init__(self, t: pa.Table) -> None:
+        self.c, self.comp, self.n = (t.column(name).to_numpy() for name in ("c", "comp", "n"))
+        raw = t.column("sketch").to_pylist()
+        self.small = self.n <= SMALL
+        self.sets = [np.frombuffer(r, np.uint32) if few else None for r, few in zip(raw, self.small)]
+        as_wide = lambda s: signature(s.astype(np.uint64) << np.uint64(32), WIDE, WIDE_MANTISSA, WIDE_ZEROS)
+        self.raw, self.as_wide, self._wide = raw, as_wide, None
+        owners = np.flatnonzero(self.small)
+        flat = np.concatenate([np.zeros(0, np.uint32), *(self.sets[i] for i in owners)])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], np.repeat(owners, self.n[owners])[order]
+
+    @property
+    def wide(self) -> np.ndarray:
+        """The wide registers of all rows; the upper halves of the hashes of a small set give the same as the hashes."""
+        if self._wide is None:
+            self._wide = np.array([np.frombuffer(r, np.uint8) if s is None else self.as_wide(s) for r, s in zip(self.raw, self.sets)]).reshape(-1, WIDE)
+        return self._wide
+
+    def shared(self, s: np.ndarray) -> np.ndarray:
+        """How many of the hashes each row has; equal upper halves may only add to it."""
+        lo, hi = np.searchsorted(self.flat, s, "left"), np.searchsorted(self.flat, s, "right")
+        size = hi - lo
+        at = np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        return np.bincount(self.owner[at], minlength=len(self.c))
+
+
+def _block_pairs(threshold: float):
+    """Compare the rows of two blocks of a group: those of different components, by what they share.
+
+    For small sets no link is missed, as the count of shared hashes is never
+    too low.  For larger ones an estimate by the wide registers goes on if it
+    is within ``ERRORS`` standard errors of the threshold; its error is that of
+    drawing the used buckets from the union without putting back, and of
+    registers that are equal by chance; the correction for these is taken back
+    where unequal words mostly meet empty registers.
+    """
+    chance = collision(WIDE_MANTISSA)
+
+    def compare(x: _Block, y: _Block, same_block: bool):
+        for i in range(len(x.c)):
+            ok = (y.comp != x.comp[i]) & (np.minimum(x.n[i], y.n) >= threshold * np.maximum(x.n[i], y.n))
+            if same_block:
+                ok[: i + 1] = False
+            exact = ok & y.small & x.small[i]
+            found = [np.zeros(0, np.int64)]
+            if exact.any():
+                both = y.shared(x.sets[i])
+                found.append(np.flatnonzero(exact & (both * (1 + threshold) >= threshold * (x.n[i] + y.n) - 1e-9)))
+            j = np.flatnonzero(ok & ~exact)
+            if len(j):
+                est, used = estimate(np.broadcast_to(x.wide[i], (len(j), WIDE)), y.wide[j], WIDE_MANTISSA)
+                union = (x.n[i] + y.n[j]) / (1 + threshold)
+                drawn = threshold * (1 - threshold) * np.clip((union - used) / np.maximum(union - 1, 1), 0, 1)
+                found.append(j[est >= threshold - ERRORS * np.sqrt((drawn + (1 - threshold) * chance) / used) - (1 - threshold) * chance])
+            j = np.concatenate(found)
+            yield np.minimum(x.c[i], y.c[j]), np.maximum(x.c[i], y.c[j])
+
+    def meet(t: pa.Table) -> pa.RecordBatch:
         block, first, second = t.column("block").to_numpy(), t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        fps = np.array(t.column("fp").to_pylist(), object)
-        all_of = [fps, t.column("c").to_numpy(), t.column("n").to_numpy()] + [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(len(fps), -1) for c in ("sig", "wide")]
-        x, y = ([v[block == k] for v in all_of] for k in (first, second))
-        compare(x, y, first == second, t.column("bucket")[0].as_py()[0], a, b)
+        x, y = (_Block(t.filter(pa.array(block == k))) for k in (first, second))
+        none = np.zeros(0, np.int64)
+        a, b = zip((none, none), *compare(x, y, first == second))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     def run(batches):
         held: pa.Table | None = None
@@ -216,24 +247,19 @@ def _wide_pairs(threshold: float):
                 continue
             t = pa.Table.from_batches([batch])
             if held is not None:
-                t = pa.concat_tables([held, t]).combine_chunks()
-            key = [t.column(c).to_pylist() for c in ("bucket", "x", "y")]
-            key = list(zip(*key))
-            starts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1])]
-            a, b = [], []
+                t = pa.concat_tables([held, t])
+            key = np.column_stack([t.column(name).to_numpy() for name in ("bucket", "x", "y")])
+            starts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
             for s, e in zip(starts, starts[1:]):
-                meet(t.slice(s, e - s), a, b)
+                yield meet(t.slice(s, e - s))
             held = t.slice(starts[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
         if held is not None:
-            a, b = [], []
-            meet(held, a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            yield meet(held)
 
     return run
 
 
-def crowded_pairs(classes: DataFrame, members: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+def crowded_pairs(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, threshold: float, id_col: str, text_col: str, k: int) -> DataFrame:
     """Pairs ``a, b`` that may be linked in the crowded groups, between the components ``labels`` found so far.
 
     What is in one component already needs no further link, so a group with one
@@ -242,62 +268,46 @@ def crowded_pairs(classes: DataFrame, members: DataFrame, labels: DataFrame, thr
     once (a group of one block only itself), so a task holds two blocks whatever the size of a group, and a large
     family with few strangers costs a few passes over it.
     """
-    rows = cut(members.join(labels.select(F.col("v").alias("fp"), F.col("label").alias("c")), "fp"))
-    sizes = rows.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("all"), F.count("*").alias("comps"), F.max(F.struct("m", "c")).alias("top"))
-    sizes = sizes.filter("comps > 1").select("bucket", "all", F.col("top.m").alias("most"), F.col("top.c").alias("largest"))
+    rows = cut(members.join(labels.select(F.col("v").alias("c"), F.col("label").alias("comp")), "c"))
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("all"), F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("top"))
+    sizes = cut(sizes.filter("comps > 1").select("bucket", "all", F.col("top.m").alias("most"), F.col("top.comp").alias("largest")))
+    rows = rows.join(sizes, "bucket")
+    drawn = sketches(docs, classes, rows.select("c").distinct(), id_col, text_col, k)
     one = F.col("all") <= BLOCK  # a group that fits into a block needs no second one
-    inside = ~one & (F.col("c") == F.col("largest"))
+    inside = ~one & (F.col("comp") == F.col("largest"))
     outer, inner = F.when(one, F.lit(1).cast("long")).otherwise(F.ceil((F.col("all") - F.col("most")) / BLOCK)), F.when(one, F.lit(0).cast("long")).otherwise(F.ceil(F.col("most") / BLOCK))
-    dealt = F.xxhash64("fp")
+    dealt = F.xxhash64("c")
     block = F.when(inside, outer + F.pmod(dealt, inner)).otherwise(F.pmod(dealt, outer))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(inside, outer).otherwise(outer + inner) - 1))
-    rows = rows.join(sizes, "bucket").select("bucket", "fp", "c", block.alias("block"), other.alias("other"))
-    rows = rows.select("bucket", "fp", "c", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    rows = rows.join(classes.select("fp", "n", "sig", "wide"), "fp")
+    rows = rows.select("bucket", "c", "comp", block.alias("block"), other.alias("other"))
+    rows = rows.select("bucket", "c", "comp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    rows = rows.join(drawn, "c")
     keys = ["bucket", "x", "y"]
-    rows = rows.repartition(4 * parts(classes.sparkSession), *keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(_wide_pairs(threshold), "a binary, b binary").distinct()
-
+    rows = rows.repartition(2 * parts(classes.sparkSession), *keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(_block_pairs(threshold), "a long, b long").distinct()
 
-def _bit_filter(ends: DataFrame) -> bytes:
-    """A bit for the first three bytes of each digest (2 MB at any size); what has none is in no pair."""
-    out = bytearray(1 << 21)
-    at = F.conv(F.hex(F.substring("fp", 1, 3)), 16, 10).cast("int")
-    found = ends.groupBy(F.shiftright(at, 3).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(7))).alias("bits")).toArrow()
-    for byte, bits in zip(found.column("byte").to_pylist(), found.column("bits").to_pylist()):
-        out[byte] = bits
-    return bytes(out)
 
-
-def verified(docs: DataFrame, pairs: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Keep the pairs with ``100 * intersection >= percent * union`` on their full shingle sets.
 
-    Texts are read again; the sets of the digests that are in a pair are
-    gathered once for each digest and meet the pairs in two joins.
+    Only the texts that are in a pair are read again, found by the identifier
+    of their class and confirmed by digest; each set is kept once and meets
+    the pairs in two joins.
     """
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(_bit_filter(ends))
+    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    wanted = cut(classes.join(ends, "c", "left_semi").select("c", "fp", F.col("label").alias("wanted")))
 
     def make():
-        words = bits.value
-
-        def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            fps, sets = [], []
-            for t in pieces(b.column(0)):
-                s = _set(t, k).tobytes()
-                fp = digest16(s)
-                at = int.from_bytes(fp[:3], "big")
-                if words[at >> 3] >> (at & 7) & 1:
-                    fps.append(fp)
-                    sets.append(s)
-            return pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], ["fp", "members"]) if fps else None
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [_set(t, k).tobytes() for t in pieces(b.column(0))]
+            return pa.RecordBatch.from_arrays([pa.array([digest16(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["fp", "members"])
 
         return f
 
-    members = map_arrow(docs.select(text_col), make, "fp binary, members binary")
-    members = members.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("members").alias("members"))
-    members = cut(members)
-    met = pairs.join(members.select(F.col("fp").alias("a"), F.col("members").alias("sa")), "a").join(members.select(F.col("fp").alias("b"), F.col("members").alias("sb")), "b")
+    texts = only(docs.select(id_col, text_col), id_col, wanted.select("wanted").distinct())
+    members = map_arrow(texts.select(text_col), make, "fp binary, members binary").join(wanted.select("fp", "c"), "fp")
+    members = cut(members.groupBy("c").agg(F.first("members").alias("members")))
+    met = pairs.join(members.select(F.col("c").alias("a"), F.col("members").alias("sa")), "a").join(members.select(F.col("c").alias("b"), F.col("members").alias("sb")), "b")
 
     def compare(batches):
         for b in batches:
@@ -309,7 +319,7 @@ def verified(docs: DataFrame, pairs: DataFrame, text_col: str, k: int, percent:
             t = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(b.column(0), t), pc.filter(b.column(1), t)], ["a", "b"])
 
-    return met.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary")
+    return met.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -326,29 +336,36 @@ def near_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str =
 
     Words are separated by ASCII white space, A-Z lower-cased; a text with
     fewer than ``words`` words has its whole sequence as its one shingle.
-    Documents with equal sets form a class first (so copies never pair up),
-    the classes are linked through HyperMinHash candidates that are confirmed
-    on full sets, and the smallest identifier of a component names it.  Groups
-    that share a band are compared by neighbours first; what is left between
-    the components found so is then compared whole, in blocks.
+    Documents with equal sets form a class first (so copies never pair up).
+    Classes that share a band of registers are compared by neighbours first:
+    the corrected estimate of the registers chooses the pairs whose full sets
+    are compared.  What is left between the components found so is then
+    compared whole, in blocks, and confirmed in the same way.  The smallest
+    identifier of a component names it.
 
     Returns ``doc_id, row, n_shingles, component_id, kept``, one row for each
-    input row; ``row`` is carried from ``row_col`` (else 0).  A text without words has an empty set and is linked with nothing.
+    input row; ``row`` is carried from ``row_col`` (else 0) and other columns
+    are not looked at.  A text without words (null, empty or blank) has an
+    empty set and is linked with nothing.  A text of any length counts whole.
     Null identifiers never name a component that has another identifier; rows
-    that repeat an identifier are all kept or all dropped.
+    that repeat an identifier are judged by their texts.  An empty table gives
+    an empty result.
     """
     found = cut(fingerprints(docs, id_col, text_col, row_col, words))
-    classes = cut(found.filter(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n", "sig", "wide"))))
-    pairs, members = candidates(classes, percent / 100)
-    links = cut(verified(docs, pairs, text_col, words, percent))
-    # a class without an identifier gets a number above all others until the end
-    named = cut(classes.select(F.col("fp").alias("v"), F.coalesce("label", F.lit(UNNAMED) + F.monotonically_increasing_id()).alias("label")))
-    labels = cut(smallest_reachable(named, links))
-    more = cut(crowded_pairs(classes, members, labels, percent / 100).join(pairs, ["a", "b"], "left_anti"))
+    classes = found.filter(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n", "sig")))
+    classes = cut(classes.withColumn("c", F.monotonically_increasing_id()))
+    close, members = candidates(classes)
+    pairs = cut(estimated(close, classes, percent / 100))
+    links = cut(verified(docs, pairs, classes, id_col, text_col, words, percent))
+    labels = cut(smallest_reachable(classes.select(F.col("c").alias("v"), F.col("c").alias("label")), links))
+    more = cut(crowded_pairs(docs, classes, members, labels, percent / 100, id_col, text_col, words).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        late = cut(verified(docs, more, text_col, words, percent))
-        labels = joined(labels, late)
-    table = cut(classes.select("fp", "rows").join(labels.select(F.col("v").alias("fp"), F.when(F.col("label") < UNNAMED, F.col("label")).alias("component")), "fp"))
+        late = cut(verified(docs, more, classes, id_col, text_col, words, percent))
+        labels = cut(joined(labels, late))
+    # the name of a component of several classes; a third of all classes may be in one
+    named = classes.select("fp", "label", "rows", F.col("c").alias("v")).join(labels.withColumnRenamed("label", "comp"), "v")
+    grown = cut(named.groupBy("comp").agg(F.min("label").alias("least"), F.count("*").alias("of")).filter("of > 1"))
+    table = cut(lookup(named, grown, ["comp"], "of").select("fp", "rows", F.coalesce("least", "label").alias("component")))
     # a text without words gets a key of its own
     alone = F.concat(F.lit(b"\0"), F.monotonically_increasing_id().cast("string").cast("binary"))
     rows = found.select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("fp", alone).alias("fp"))
