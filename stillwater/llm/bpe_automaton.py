@@ -11,15 +11,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import map_arrow
+from .common import map_arrow, per_worker
 
 #: Separators that Python's str.split knows and the tokenizer's white space does not have.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Chunks and words whose ids a worker remembers.
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers, and chunks of the newest generation; the one before is kept too.
+REMEMBERED = 150_000
+#: Marks that are a word of their own behind another one.
+MARKS = frozenset(",.;:!?")
+#: Compiled states of the spelling automaton that a worker keeps.
+STATES = 300_000
 
-#: Words up to this length are spelled with the memory of endings, longer ones place by place.
-SHORT = 100
+
+class State(dict):
+    """A state of the spelling automaton: its arcs by symbol, compiled as they are met, and the token that ends where it stands.
+
+    ``open`` holds the tokens that may be on their way: for each, the token before it
+    and the node of the label tree that its beginning leads to.
+    """
+
+    __slots__ = ("automaton", "open", "ended", "last")
+
+    def __init__(self, automaton: TokenAutomaton, open_: tuple[tuple[int, dict], ...], ended: int) -> None:
+        super().__init__()
+        self.automaton, self.open, self.ended = automaton, open_, ended
+        self.last: dict[str, int] = {}
+
+    def __missing__(self, symbol: str) -> State:
+        to = self[symbol] = self.automaton.after(self, symbol)
+        return to
 
 
 class TokenAutomaton:
@@ -38,6 +58,10 @@ class TokenAutomaton:
     keep these inheritances, ``removed`` the arcs that gadgets took away;
     ``step`` reads a transition off them and keeps it in the transition table.
     A merge that no path can use (its arc ``b`` was gone) gives a dead token.
+
+    For spelling, its arcs are labelled by symbols instead of tokens and the
+    result is made deterministic as far as texts use it: a ``State`` is the set
+    of tokens that may be under way, and a word takes one table step a symbol.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "</w>") -> None:
@@ -50,7 +74,6 @@ class TokenAutomaton:
         made = {a + b for a, b in merges}
         self.alive = {s: i for s, i in vocab.items() if s not in made}
         self.table: dict[tuple[int, int], bool] = {}
-        self.ways: dict[tuple[int, str], tuple[int, ...] | None] = {}
         for t, (a, b) in enumerate(merges):
             x, y, c = vocab[a], vocab[b], vocab[a + b]
             if a not in self.alive or b not in self.alive or not self._has_arc(x, y, t):
@@ -59,12 +82,19 @@ class TokenAutomaton:
             if a + b not in self.alive:
                 self.left[c], self.right[c], self.time[c] = x, y, t
                 self.alive[a + b] = c
-        #: Every beginning of a live label: the id if it is one itself, else -1.
-        self.trie: dict[str, int] = {}
-        for s, i in self.alive.items():
-            for k in range(1, len(s)):
-                self.trie.setdefault(s[:k], -1)
-            self.trie[s] = i
+        #: The tree of live labels: a node holds its children by symbol, the id of its label (``""``) and that of its label at a word's end (``end``).
+        self.tree: dict = {}
+        self.size: dict[int, int] = {}
+        for label, i in self.alive.items():
+            last = label.endswith(end)
+            body = label.removesuffix(end) if last else label
+            node = self.tree
+            for symbol in body:
+                node = node.setdefault(symbol, {})
+            if body:
+                node[end if last else ""] = i
+                self.size[i] = len(body)
+        self._forget()
 
     def _has_arc(self, x: int, y: int, before: float) -> bool:
         """Whether the state after ``x`` has an arc ``y`` once the gadgets of the merges below ``before`` are in."""
@@ -91,94 +121,62 @@ class TokenAutomaton:
             found = self.table[key] = self._has_arc(x, y, 1e17)
         return found
 
-    def _way(self, last: int, rest: str) -> tuple[int, ...] | None:
-        """The path that spells ``rest`` from the state after ``last``; endings that many words share are remembered."""
-        key = (last, rest)
-        found = self.ways.get(key, 0)
-        if found != 0:
-            return found
-        trie, table, n, j = self.trie.get, self.table.get, len(rest), 1
-        arcs, out = [], None
-        while j < n:
-            c = trie(rest[:j])
-            if c is None:
-                break
-            if c >= 0:
-                arcs.append((j, c))
-            j += 1
-        else:
-            c = trie(rest + self.end)
-            if c is not None and c >= 0:
-                arcs.append((n, c))
-        while arcs:
-            j, c = arcs.pop()
-            if last < 0 or (known := table((last, c))) or (known is None and self.step(last, c)):
-                if j == n:
-                    out = (c,)
-                    break
-                way = self._way(c, rest[j:])
-                if way is not None:
-                    out = (c, *way)
-                    break
-        if last >= 0:
-            if len(self.ways) > 400_000:
-                self.ways.clear()
-            self.ways[key] = out
-        return out
+    def _forget(self) -> None:
+        self.states: dict[tuple, State] = {}
+        self.start = State(self, ((-1, self.tree),), -1)
 
-    def encode_word(self, word: str) -> list[int]:
-        """The labels of the only path that spells ``word``.
+    def after(self, state: State, symbol: str) -> State:
+        """Compile an arc: every open token that goes on with the symbol; the one that ends there opens the next.
 
-        The longest arc is tried first.  The path to a place is unique, so a
-        place without a way on is never entered again and the work is linear.
+        The path to a place is unique, so one token at most ends there, and
+        states with the same open tokens are one.
         """
-        if len(word) <= SHORT:
-            found = self._way(-1, word)
-            if found is None:
-                raise ValueError(f"no path spells {word!r}")
-            return list(found)
-        trie, table, step, n = self.trie.get, self.table.get, self.step, len(word)
-        path: list[int] = []
-        starts: list[int] = []
-        choices: list[list[tuple[int, int]]] = []
-        dead: set[int] = set()
-        i, last = 0, -1
-        while True:
-            arcs = []  # those that spell what follows, the longest last
-            j = i + 1
-            while j < n:
-                c = trie(word[i:j])
-                if c is None:
-                    break
-                if c >= 0:
-                    arcs.append((j, c))
-                j += 1
-            else:
-                c = trie(word[i:] + self.end)
-                if c is not None and c >= 0:
-                    arcs.append((n, c))
-            choices.append(arcs)
-            starts.append(i)
-            while True:
-                arcs, i = choices[-1], starts[-1]
-                last = path[-1] if path else -1
-                while arcs:
-                    j, c = arcs.pop()
-                    if j not in dead and (last < 0 or (known := table((last, c))) or (known is None and step(last, c))):
-                        break
-                else:  # no way on
-                    dead.add(i)
-                    choices.pop()
-                    starts.pop()
-                    if not path:
-                        raise ValueError(f"no path spells {word!r}")
-                    path.pop()
-                    continue
-                break
+        ended, going, key, known = -1, [], [], self.table.get
+        for before, node in state.open:
+            if symbol in node:
+                node = node[symbol]
+                going.append((before, node))
+                key += (before, id(node))
+                c = node.get("", -1)
+                if c >= 0 and (before < 0 or (way := known((before, c))) or (way is None and self.step(before, c))):
+                    ended = c
+        if ended >= 0:
+            going.append((ended, self.tree))
+        key = (ended, *key)
+        found = self.states.get(key)
+        if found is None:
+            if len(self.states) > STATES:
+                self._forget()
+            found = self.states[key] = State(self, tuple(going), ended)
+        return found
+
+    def closing(self, state: State, symbol: str) -> int:
+        """The token that ends a word with its last symbol; -1 if none does."""
+        for before, node in state.open:
+            c = node.get(symbol, {}).get(self.end, -1)
+            if c >= 0 and (before < 0 or self.step(before, c)):
+                return c
+        return -1
+
+    def encode_word(self, word: str) -> list[int]:
+        """The labels of the only path that spells ``word``: one arc of the spelling automaton for each symbol, then back from the end token by token."""
+        state, states = self.start, []
+        for symbol in word[:-1]:
+            state = state[symbol]
+            states.append(state)
+        symbol = word[-1]
+        c = state.last.get(symbol)
+        if c is None:
+            c = state.last[symbol] = self.closing(state, symbol)
+        if c < 0:
+            raise ValueError(f"no path spells {word!r}")
+        path, at = [c], len(word) - self.size[c]
+        while at > 0:
+            c = states[at - 1].ended
             path.append(c)
-            if j == n:
-                return path
-            i = j
+            at -= self.size[c]
+        path.reverse()
+        return path
 
 
 #: Chunks of printable ASCII and precomposed Latin-1 letters are their own normal form, so that they
@@ -213,8 +211,9 @@ class Encoder:
             self.spell = self.automaton.encode_word
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda s: [s]
         self.limit = limit
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str, list[int]] = {}  # of frequent words
+        self.chunks: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def _word(self, word: str) -> list[int]:
         if len(self.words) > self.limit:
@@ -245,12 +244,24 @@ class Encoder:
         """The labels of the arcs, joined by a space as a tokenizer without decoder does; special ones too."""
         return " ".join(map(self.labels.__getitem__, ids))
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        if len(self.chunks) > self.limit:
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        """What a chunk amounts to; a mark behind a word is a word of its own, so that the word is remembered once."""
+        if chunk[-1] in MARKS and (word := chunk[:-1]).isalpha() and PLAIN(word):
+            (i, d), (j, e) = self.chunks.get(word) or self._chunk(word), self.chunks.get(chunk[-1]) or self._chunk(chunk[-1])
+            return f"{i} {j}", f"{d} {e}"
+        found = self.older.get(chunk)
+        if found is None:
+            if chunk.isalpha() and PLAIN(chunk):
+                word = chunk.lower()
+                ids = self.spell(word if word.isascii() else word.translate(self.symbols))
+            else:
+                ids = self.ids(chunk)
+            found = " ".join(map(str, ids)), self.decode(ids)
+        if len(self.chunks) > self.limit:  # what is frequent comes back from the older half
+            self.older = self.chunks.copy()
             self.chunks.clear()
-        ids = self.ids(chunk)
-        self.chunks[chunk] = out = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        return out
+        self.chunks[chunk] = found
+        return found
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """The number of ids, the ids as decimal text and the decoded text; no token reaches across white space."""
@@ -261,20 +272,21 @@ class Encoder:
         found = [get(c) or make(c) for c in text.split()]
         if not found:
             return 0, "", ""
-        n, ids, labels = zip(*found)
-        return sum(n), " ".join(ids), " ".join(labels)
+        ids, labels = (" ".join(part) for part in zip(*found))
+        return ids.count(" ") + 1, ids, labels
 
 
 def encode_digests(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text; returns ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
-    Null text counts as empty and gives no ids; repeated rows and null
-    identifiers give a row each.
+    Null and empty text give no ids; a text of any length is encoded whole.
+    Repeated rows, equal texts and null identifiers give a row each, an empty
+    table none; other columns are not looked at.
     """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def make():
-        digest, sha = Encoder(spec.value).digest, lambda s: hashlib.sha256(s.encode()).hexdigest()
+        digest, sha = per_worker("tokens", spec.value, Encoder).digest, lambda s: hashlib.sha256(s.encode()).hexdigest()
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = [(n, sha(i), sha(d)) for n, i, d in (digest(t or "") for t in b.column(1).to_pylist())]
@@ -294,7 +306,7 @@ def encode(docs: DataFrame, tokenizer_json: str, text_col: str = "text", out_col
     at = docs.columns.index(text_col)
 
     def make():
-        ids = Encoder(spec.value).ids
+        ids = per_worker("tokens", spec.value, Encoder).ids
         return lambda b: pa.RecordBatch.from_arrays([*b.columns, pa.array([ids(t or "") for t in b.column(at).to_pylist()], pa.list_(pa.int32()))], [*b.schema.names, out_col])
 
     return map_arrow(docs, make, schema)
@@ -307,7 +319,7 @@ def decode(rows: DataFrame, tokenizer_json: str, ids_col: str = "ids", out_col:
     at = rows.columns.index(ids_col)
 
     def make():
-        text = Encoder(spec.value).decode
+        text = per_worker("tokens", spec.value, Encoder).decode
         return lambda b: pa.RecordBatch.from_arrays([*b.columns, pa.array([text(i or []) for i in b.column(at).to_pylist()], pa.string())], [*b.schema.names, out_col])
 
     return map_arrow(rows, make, StructType([*rows.schema, StructField(out_col, StringType())]))

@@ -178,7 +178,7 @@ class _Block:
     def __init__(self, t: pa.Table) -> None:
         self.c, self.comp, self.n = (t.column(name).to_numpy() for name in ("c", "comp", "n"))
         raw = t.column("sketch").to_pylist()
-        self.small = self.n <= SMALL
+        self.small = np.array([len(r) == 4 * n for r, n in zip(raw, self.n.tolist())])  # a whole set
         self.sets = [np.frombuffer(r, np.uint32) if few else None for r, few in zip(raw, self.small)]
         as_wide = lambda s: signature(s.astype(np.uint64) << np.uint64(32), WIDE, WIDE_MANTISSA, WIDE_ZEROS)
         self.raw, self.as_wide, self._wide = raw, as_wide, None

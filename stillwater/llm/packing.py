@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .bpe_automaton import NOT_SPACE, PLAIN, Encoder
+from .bpe_automaton import MARKS, NOT_SPACE, PLAIN, Encoder
 from .common import cut, map_arrow, per_worker, sorted_ranks
 
-#: Marks that end a chunk and are a word of their own.
-MARKS = frozenset(",.;:!?")
 #: Chunks of the newest generation whose ids a worker remembers; the one before is kept too.
 REMEMBERED = 400_000
 

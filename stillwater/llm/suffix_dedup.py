@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sequence, cut, map_arrow, mix, parts, pieces, shingles, word_hashes
+from .common import Sequence, cut, free_name, map_arrow, parts, pieces, shingles, word_hashes
 from .exact_dedup import sorted_runs
 
 #: Words of the n-grams whose least hash selects a position.
@@ -19,13 +21,20 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+").finditer
 REMOVED, FIRST, ANCHOR = 0, 1, 2
 
 
-#: Low bits that hold the position where hashes are compared; the rest are the hash.
+#: Low bits that hold the position where hashes are compared; the rest are the hash.  Longer texts are taken in stretches of so many positions.
 PLACE = 24
+#: Documents, about, and suffixes that the limits of the sort's partitions are drawn from.
+SAMPLE_DOCS, SAMPLE_ROWS = 4_000, 200_000
 
 
 def select(h: np.ndarray, least: int) -> np.ndarray:
     """For each window of ``least`` words, the position of the least n-gram hash (the first, if equal) among those that begin in its first half (and a little)."""
     reach = least // 2 + 1
+    many, step = len(h) - least + 1, (1 << PLACE) - reach
+    return np.concatenate([i + _select(h[i : min(i + step, many) + least - 1], least, reach) for i in range(0, many, step)])
+
+
+def _select(h: np.ndarray, least: int, reach: int) -> np.ndarray:
     g = shingles(h, min(GRAM, (least + 1) // 2))[: len(h) - least + reach]
     low = (g >> np.uint64(PLACE) << np.uint64(PLACE)) | np.arange(len(g), dtype=np.uint64)
     size = 1  # low[i] is the least of this many from i
@@ -37,32 +46,75 @@ def select(h: np.ndarray, least: int) -> np.ndarray:
     return (low & np.uint64((1 << PLACE) - 1)).astype(np.int64)
 
 
-def suffixes(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """The retained suffixes: ``head`` (hash of the words that every window through the position has from there on),
-    ``near`` (hash of the words around it), identifiers, position and the number of words around it to the left and right."""
+class Words:
+    """The words of a text with one space behind each, and where they begin."""
+
+    def __init__(self, text: bytes) -> None:
+        words = text.split()
+        self.text = b" ".join(words) + b" "
+        self.at = np.append(0, np.cumsum([len(w) + 1 for w in words])).tolist()
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> bytes:
+        """16-byte digests of stretches of words, one after the other."""
+        text, at, new = self.text, self.at, hashlib.blake2b
+        return b"".join([new(text[at[i] : at[j]], digest_size=16).digest() for i, j in zip(start.tolist(), end.tolist())])
+
+
+def binary16(data: bytes) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(data) // 16, [None, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def limits(docs: DataFrame, least: int, id_col: str, text_col: str, row: str, n: int) -> list[tuple]:
+    """Keys that divide the sorted suffixes into about ``n`` equal partitions, from a bounded sample; they decide on balance only."""
+    share = SAMPLE_DOCS / max(docs.count(), 1)
+    sample = docs.sample(share, seed=1) if share < 1 else docs
+    found = suffixes(sample, least, id_col, text_col, row, []).limit(SAMPLE_ROWS).select("head", "near", "doc", "row", "at").toArrow()
+    keys = sorted(map(_key, *(found.column(c).to_pylist() for c in found.column_names)))
+    return [keys[len(keys) * i // n] for i in range(1, n)] if len(keys) > n else keys
+
+
+def _key(head: int, near: bytes, doc: int | None, row: int, at: int) -> tuple:
+    return head, near, doc is None, doc or 0, row, at
+
+
+def suffixes(docs: DataFrame, least: int, id_col: str, text_col: str, row: str, bounds: list[tuple]) -> DataFrame:
+    """The retained suffixes: the ``part`` of the sort between ``bounds``, ``head`` (hash of the words that every window through the
+    position has from there on), ``near`` (digest of the words around it), identifiers, position and the number of words around it to the left and right."""
     reach = least // 2 + 1
     head = least - reach + 1
+    heads = np.array([b[0] for b in bounds], np.int64)
+
+    def part(first: np.ndarray, near: bytes, doc: int | None, row: int, at: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(heads, first, "left"), np.searchsorted(heads, first, "right")
+        for i in np.flatnonzero(hi > lo).tolist():  # the head of a bound, so a frequent one
+            lo[i] = bisect.bisect_right(bounds, _key(int(first[i]), near[16 * i : 16 * i + 16], doc, row, int(at[i])), lo[i], hi[i])
+        return lo.astype(np.int32)
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pieces(b.column(2))):
                 h = word_hashes(text)
                 if len(h) < least:
                     continue
                 at, s = np.unique(select(h, least)), Sequence(h)
                 left, right = np.minimum(at, reach - 1), np.minimum(len(h) - at, least)
-                near = mix(s.part(at - left, left + right) + left.astype(np.uint64))
-                values = (s.part(at, head).astype(np.int64), near.astype(np.int64), pa.array([doc] * len(at), pa.int64()), pa.array([row] * len(at), pa.int64()), at.astype(np.int32), left.astype(np.int16), right.astype(np.int16))
+                first, near = s.part(at, head).astype(np.int64), Words(text).digests(at - left, at + right)
+                values = (part(first, near, doc, row, at), first, binary16(near), pa.array([doc] * len(at), pa.int64()), pa.array([row] * len(at), pa.int64()), at.astype(np.int32), left.astype(np.int16), right.astype(np.int16))
                 for c, v in zip(cols, values):
-                    c.append(pa.array(v))
+                    c.append(v if isinstance(v, pa.Array) else pa.array(v))
             if not cols[0]:
                 return None
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], ["head", "near", "doc", "row", "at", "left", "right"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], ["part", "head", "near", "doc", "row", "at", "left", "right"])
 
         return f
 
-    return map_arrow(docs.select(F.col(id_col).cast("long"), "_row", text_col), make, "head long, near long, doc long, row long, at int, left short, right short")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), row, text_col), make, "part int, head long, near binary, doc long, row long, at int, left short, right short")
+
+
+def _numpy(x: pa.Array) -> np.ndarray:
+    """A column as numbers; 16-byte digests as fixed-width bytes, which compare in one piece."""
+    return np.array(x.to_pylist(), "V16") if pa.types.is_binary(x.type) else x.to_numpy(zero_copy_only=False)
 
 
 def _neighbours(least: int):
@@ -75,7 +127,7 @@ def _neighbours(least: int):
     """
 
     def run(batches):
-        cols = [c for c in zip(*([x.to_numpy(zero_copy_only=False) for x in b.columns] for b in batches if b.num_rows))]
+        cols = [c for c in zip(*([_numpy(x) for x in b.columns[1:]] for b in batches if b.num_rows))]
         if not cols:
             return
         head, near, doc, row, at, left, right = map(np.concatenate, cols)
@@ -101,10 +153,10 @@ def _neighbours(least: int):
     return run
 
 
-def windows(docs: DataFrame, anchors: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+def windows(docs: DataFrame, anchors: DataFrame, least: int, id_col: str, text_col: str, row: str) -> DataFrame:
     """Extend anchors left and right: the windows of ``least`` words that have their selected position at an anchor."""
     here = anchors.groupBy("row").agg(F.collect_list("a").alias("at"))  # fewer than the words of the text
-    met = docs.select(F.col(id_col).cast("long").alias("doc"), "_row", F.col(text_col).alias("text")).join(here, F.col("_row") == F.col("row")).select("doc", "_row", "text", "at")
+    met = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(row).alias("row"), F.col(text_col).alias("text")).join(here, "row").select("doc", "row", "text", "at")
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -112,8 +164,7 @@ def windows(docs: DataFrame, anchors: DataFrame, least: int, id_col: str, text_c
             for doc, row, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pieces(b.column(2)), b.column(3).to_pylist()):
                 h = word_hashes(text)
                 i = np.flatnonzero(np.isin(select(h, least), np.array(at)))
-                values = Sequence(h).part(i, least).astype(">u8").view("S8") if len(i) else np.zeros(0, "S8")
-                raw = pa.Array.from_buffers(pa.binary(8), len(i), [None, pa.py_buffer(values.tobytes())]).cast(pa.binary())
+                raw = binary16(Words(text).digests(i, i + least))
                 for c, v in zip(cols, (raw, pa.array([doc] * len(i), pa.int64()), pa.array([row] * len(i), pa.int64()), pa.array(i.astype(np.int64)))):
                     c.append(v)
             return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], ["norm", "doc", "rid", "id"])
@@ -133,26 +184,37 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
 
     Suffixes are retained at positions selected by content: each window keeps
     the position of the least hash among the n-grams of its first half, so
-    that equal windows keep equal positions.  They are sorted by the words
-    that follow and compared with their neighbours.  Stretches whose whole
-    surroundings are equal are found there; the other suffixes that share
-    their head with a neighbour are extended left and right to the windows
-    through them, which are sorted and compared in turn.  Both sorts are range
-    partitioned with the row as last key, so that a passage which a third of
-    all texts share is spread over many partitions.
+    that equal windows keep equal positions.  They are sorted so that those
+    with equal words stand together and compared with their neighbours.
+    Stretches whose whole surroundings are equal are found there; the other
+    suffixes that share their head with a neighbour are extended left and right
+    to the windows through them, which are sorted and compared in turn.  What
+    a span rests on are digests (128 bits of BLAKE2b) of the words themselves;
+    cheap hashes only choose positions and bring candidates together, so that
+    equal ones cost time and nothing else.  Both sorts are range partitioned
+    with the row as last key, so that a passage which a third of all texts
+    share is spread over many partitions.
 
     Returns ``doc_id, row, start, end, removed``: word positions, ``end``
     exclusive, disjoint for each ``removed``; rows without a repeat are absent.
+    Spans that are not removed consist of repeated windows and hold every first occurrence of one.
     ``row`` is the number of the input row (the order of the input must be
-    repeatable, as a table's is).  Null and short texts have no spans; of
-    repeated rows the later ones are removed whole.
+    repeatable, as a table's is).  Null, empty and short texts have no spans, texts of any length
+    are taken whole; of repeated rows the later ones are removed whole.
+    Extra columns may have any names.
     """
-    spark = docs.sparkSession
-    docs = docs.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in docs.columns else docs
+    row = free_name(docs, "_row")
+    return _spans(docs.withColumn(row, F.monotonically_increasing_id()), least, id_col, text_col, row)
+
+
+def _spans(docs: DataFrame, least: int, id_col: str, text_col: str, row: str) -> DataFrame:
+    """``repeated_spans`` of rows that are numbered in the column ``row``."""
+    n = parts(docs.sparkSession)
     keys = [F.col("head"), F.col("near"), F.col("doc").asc_nulls_last(), F.col("row"), F.col("at")]
-    rows = suffixes(docs, least, id_col, text_col).repartitionByRange(parts(spark), *keys).sortWithinPartitions(*keys)
+    bounds = limits(docs, least, id_col, text_col, row, n)
+    rows = suffixes(docs, least, id_col, text_col, row, bounds).repartitionById(n, F.col("part")).sortWithinPartitions(*keys)
     found = cut(rows.mapInArrow(_neighbours(least), "kind int, doc long, row long, a int, b int"))
-    wide = windows(docs, found.filter(F.col("kind") == ANCHOR).select("row", "a"), least, id_col, text_col).withColumn("sha", F.lit(""))
+    wide = windows(docs, found.filter(F.col("kind") == ANCHOR).select("row", "a"), least, id_col, text_col, row).withColumn("sha", F.lit(""))
     order = [F.col("norm"), F.col("doc").asc_nulls_last(), F.col("rid"), F.col("id")]
     runs = sorted_runs(wide, order).filter(F.col("size") > 1)
     spans = runs.select(F.col("rid").alias("row"), F.col("id").cast("int").alias("a"), (F.col("id") + least).cast("int").alias("b"), (~F.col("first")).alias("removed"))
@@ -160,7 +222,7 @@ def repeated_spans(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
     # no more spans than the text has words
     lists = spans.groupBy("row", "removed").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     merged = lists.mapInArrow(_merge, "row long, removed boolean, start int, end int")
-    names = docs.select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    names = docs.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
     return merged.join(names, "row").select("doc_id", "row", "start", "end", "removed")
 
 
@@ -193,17 +255,19 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut the later occurrences of repeated stretches out of the texts; texts that have no word left go.
 
-    Other columns and rows without a repeat stay as they are.  ``removed_words`` is added.
+    Other columns, whatever their names, and rows without a repeat stay as they are.  ``removed_words`` is added (one of that name is replaced).
     """
     from pyspark.sql.types import LongType, StructField, StructType
 
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    spans = repeated_spans(rows, least, id_col, text_col).filter("removed").groupBy(F.col("row").alias("_row")).agg(F.collect_list("start").alias("_from"), F.collect_list("end").alias("_to"))
-    met = rows.join(cut(spans), "_row", "left").drop("_row")
+    row = free_name(docs, "_row")
+    first, end = free_name(docs, "_from"), free_name(docs, "_to")
+    rows = docs.drop("removed_words").withColumn(row, F.monotonically_increasing_id())
+    spans = _spans(rows, least, id_col, text_col, row).filter("removed").groupBy(F.col("row").alias(row)).agg(F.collect_list("start").alias(first), F.collect_list("end").alias(end))
+    met = rows.join(cut(spans), row, "left").drop(row)
     at = met.columns.index(text_col)
-    keep = [i for i, c in enumerate(met.columns) if c not in ("_from", "_to", "removed_words")]
+    keep = [i for i, c in enumerate(met.columns) if c not in (first, end)]
     schema = StructType([*(met.schema[met.columns[i]] for i in keep), StructField("removed_words", LongType())])
-    a, z = met.columns.index("_from"), met.columns.index("_to")
+    a, z = met.columns.index(first), met.columns.index(end)
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:

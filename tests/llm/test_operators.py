@@ -127,12 +127,13 @@ def test_near_dedup_of_many_near_copies(spark, tmp_path):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(rows, 80)
 
 
-@pytest.mark.parametrize("edits", [3, 7])
-def test_near_dedup_of_a_crowd_that_is_mostly_not_linked(spark, tmp_path, monkeypatch, edits):
-    """Many texts share bands; links between components that neighbours in sorted order miss are found in blocks."""
+@pytest.mark.parametrize("edits, small", [(3, 320), (7, 320), (3, 100), (7, 146)])
+def test_near_dedup_of_a_crowd_that_is_mostly_not_linked(spark, tmp_path, monkeypatch, edits, small):
+    """Many texts share bands; links between components that neighbours in sorted order miss are found in blocks, by whole sets or by registers."""
     from stillwater.llm import near_dedup as module
 
     monkeypatch.setattr(module, "BLOCK", 16)
+    monkeypatch.setattr(module, "SMALL", small)
     r = random.Random(edits)
     base = [f"w{i}" for i in range(150)]
     rows = []
@@ -168,6 +169,60 @@ def test_repeated_spans(spark, tmp_path, least):
     assert dict(got) == brute_repeats(fixture_texts(), least)
 
 
+def test_repeated_spans_with_colliding_hashes(spark, tmp_path, monkeypatch):
+    """Word hashes that are all equal bring unequal words together; none of them counts as a repeat."""
+    from stillwater.llm import suffix_dedup as module
+
+    rows = [(i, t) for i, (_, t) in enumerate(fixture_texts()[:24])]
+    monkeypatch.setattr(module, "word_hashes", lambda text: np.full(len(text.split()), 7, np.uint64))
+    got = Counter()
+    for r in repeated_spans(frame(spark, tmp_path, rows), 20).filter("removed").collect():
+        got[r["doc_id"]] += r["end"] - r["start"]
+    assert dict(got) == brute_repeats(rows, 20)
+
+
+def test_positions_of_long_texts(monkeypatch):
+    from stillwater.llm import suffix_dedup as module
+
+    h = np.random.default_rng(3).integers(0, 2**63, 5000).astype(np.uint64)
+    whole = module.select(h, 20)
+    monkeypatch.setattr(module, "PLACE", 9)
+    cut = module.select(h, 20)
+    assert len(cut) == len(whole) == 4981
+    assert (cut == whole).mean() > 0.99  # more of the hash decides, so ties may differ
+    assert all(0 <= p - i <= 10 for i, p in enumerate(cut))
+
+
+def test_first_occurrences(spark, tmp_path):
+    """Spans that stay hold each first occurrence of a repeated window and nothing but repeated windows."""
+    rows, least = fixture_texts(), 20
+    held = defaultdict(set)
+    for r in repeated_spans(frame(spark, tmp_path), least).filter("not removed").collect():
+        held[r["doc_id"]].update(range(r["start"], r["end"]))
+    at = defaultdict(list)
+    for n, (d, t) in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
+        w = (t or "").encode().split()
+        for i in range(len(w) - least + 1):
+            at[tuple(w[i : i + least])].append((d, i))
+    first, all_of = defaultdict(set), defaultdict(set)
+    for places in at.values():
+        if len(places) > 1:
+            first[places[0][0]].update(range(places[0][1], places[0][1] + least))
+            for d, i in places:
+                all_of[d].update(range(i, i + least))
+    assert all(first[d] <= held[d] for d in first)
+    assert all(held[d] <= all_of[d] for d in held)
+
+
+def test_repeats_beside_columns_of_any_name(spark, tmp_path):
+    docs = frame(spark, tmp_path, [(1, "a b c d e f g h i j k"), (2, "x b c d e f g h y"), (3, "u v")])
+    docs = docs.withColumns({c: F.lit(0).cast("long") for c in ("_row", "_from", "_to", "removed_words", "head")})
+    assert [tuple(r) for r in repeated_spans(docs, 7).filter("removed").select("doc_id", "start", "end").collect()] == [(2, 1, 8)]
+    out = remove_repeats(docs, 7)
+    assert sorted(out.columns) == sorted(docs.columns)
+    assert {r["doc_id"]: (r["text"], r["_row"], r["_from"], r["removed_words"]) for r in out.collect()} == {1: ("a b c d e f g h i j k", 0, 0, 0), 2: ("x y", 0, 0, 7), 3: ("u v", 0, 0, 0)}
+
+
 def test_remove_repeats(spark, tmp_path):
     docs = frame(spark, tmp_path, [(1, "a b c d e f g h i j k"), (2, "x  b c d e f g h\ny"), (3, "b c d e f g h"), (4, None), (5, "")]).drop("row")
     got = {r["doc_id"]: r["text"] for r in remove_repeats(docs, 7).collect()}
