@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import tempfile
@@ -82,6 +83,16 @@ def sorted_ranks(df: DataFrame, cls: str, order: list[Column], n: int | None = N
     return rows.join(F.broadcast(met), on).withColumn("rank", F.col("_at") + F.col("_base")).drop("_at", "_cls", "_part", "_base")
 
 
+#: Rows that are taken out of an Arrow batch at a time, so that their values are held twice for these only.
+ROWS_AT_ONCE = 2_000
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(at, ROWS_AT_ONCE)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function that is made once for each task; a worker lets go of what other kinds of tasks kept."""
 
@@ -90,8 +101,8 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
         _ASKED.clear()
         f = make()
         release(before - _ASKED)
-        for b in batches:
-            if b.num_rows and (out := f(b)) is not None:
+        for b in sliced(batches):
+            if (out := f(b)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)
@@ -103,12 +114,14 @@ _ASKED: set[str] = set()
 
 
 def release(kinds: set[str]) -> None:
-    """Let go of what earlier tasks of these kinds kept in this worker process."""
+    """Let go of what earlier tasks of these kinds kept in this worker process, and give free memory back."""
+    for kind in kinds:
+        _MADE.pop(kind, None)
     if kinds:
-        for kind in kinds:
-            _MADE.pop(kind, None)
         gc.collect()
-        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
 
 
 def per_worker(kind: str, source: object, make: Callable):

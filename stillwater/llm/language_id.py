@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flush_counts, per_worker, text_key
+from .common import cut, flush_counts, per_worker, sliced, text_key
 
 UNKNOWN = "und"
 #: Lengths of the n-grams that an unseen word falls back to, in this order.
@@ -123,7 +123,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows:
 class Judge:
     """Scores texts by a model; what chunks of text amount to is remembered for a bounded number of them."""
 
-    def __init__(self, model: Model, limit: int = 500_000) -> None:
+    def __init__(self, model: Model, limit: int = 200_000) -> None:
         self.model, self.limit = model, limit
         self._reset()
 
@@ -205,10 +205,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         judge = per_worker("language", shared.value, Judge)
-        for b in batches:
-            if b.num_rows:
-                lang, score = zip(*map(judge, b.column(at).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+        for b in sliced(batches):
+            lang, score = zip(*map(judge, b.column(at).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
@@ -216,7 +215,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 class Usual:
     """Counts of a text's n-grams of ``EXPLAINED_BY`` characters, ends of words marked: by language the usual ones, then all."""
 
-    def __init__(self, model: Model, limit: int = 300_000) -> None:
+    def __init__(self, model: Model, limit: int = 200_000) -> None:
         self.get, self.usual, self.limit = model.index[EXPLAINED_BY].get, model.usual, limit
         self.rows = np.zeros((limit, model.usual.shape[1] + 1), np.int32)
         self.chunks: dict[str, int] = {}
@@ -256,11 +255,10 @@ def explain(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         usual = per_worker("usual", shared.value, Usual)
-        for b in batches:
-            if b.num_rows:
-                n = np.array(list(map(usual, b.column(at).to_pylist())))
-                share = (n[:, :-1] / np.maximum(n[:, -1:], 1)).tolist()
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(share, pa.list_(pa.float64()))], [*b.schema.names, "explained"])
+        for b in sliced(batches):
+            n = np.array(list(map(usual, b.column(at).to_pylist())))
+            share = (n[:, :-1] / np.maximum(n[:, -1:], 1)).tolist()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(share, pa.list_(pa.float64()))], [*b.schema.names, "explained"])
 
     return docs.mapInArrow(run, StructType([*docs.schema, StructField("explained", ArrayType(DoubleType()))]))
 

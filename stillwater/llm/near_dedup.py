@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, digest16, lookup, map_arrow, only, parts, pieces, shingles, word_hashes
+from .common import LOWER, cut, digest16, lookup, map_arrow, only, parts, pieces, shingles, sliced, word_hashes
 from .components import smallest_reachable
 
 #: Buckets (registers) of a signature and registers of a band.
@@ -137,9 +137,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     met = pairs.join(sides[0], "a").join(sides[1], "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
 
     def compare(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in sliced(batches):
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
             est, used = estimate(x, y)
             near = est >= threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1)) - collision(MANTISSA)
@@ -310,7 +308,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
     met = pairs.join(members.select(F.col("c").alias("a"), F.col("members").alias("sa")), "a").join(members.select(F.col("c").alias("b"), F.col("members").alias("sb")), "b")
 
     def compare(batches):
-        for b in batches:
+        for b in sliced(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -16,7 +16,7 @@ from .bpe_automaton import MARKS, NOT_SPACE, PLAIN, Encoder
 from .common import cut, map_arrow, per_worker, sorted_ranks
 
 #: Chunks of the newest generation whose ids a worker remembers; the one before is kept too.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def chunk_encoder(tokenizer_json: str, limit: int = REMEMBERED):
