@@ -247,15 +247,17 @@ def digest16(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A table (cut before) marked for broadcast if it has at most ``BROADCAST_ROWS`` rows of a few numbers; a larger one is met in a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def only(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows whose identifier is in the column ``wanted`` of ``ids`` (distinct; null counts as a value).
 
     A table of at most ``BROADCAST_ROWS`` identifiers is broadcast, so that the rows stay where they are; a larger one is met in a shuffle.
     """
-    ids = ids.select(F.col("wanted"))
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("wanted")), "left_semi")
+    return docs.join(small(ids.select("wanted")), docs[id_col].cast("long").eqNullSafe(F.col("wanted")), "left_semi")
 
 
 #: A key is hot if it has more than one in so many of all rows; there are fewer hot keys than that.

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, digest16, lookup, map_arrow, only, parts, pieces, shingles, sliced, word_hashes
+from .common import LOWER, cut, digest16, lookup, map_arrow, only, parts, pieces, shingles, sliced, small, word_hashes
 from .components import smallest_reachable
 
 #: Buckets (registers) of a signature and registers of a band.
@@ -134,7 +134,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sizes allow a link and whose estimate is within ``ERRORS`` standard errors of the threshold."""
     sides = [classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"]
-    met = pairs.join(sides[0], "a").join(sides[1], "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    met = small(pairs).join(sides[0], "a").join(sides[1], "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
 
     def compare(batches):
         for b in sliced(batches):
@@ -149,7 +149,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 def sketches(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """``c, n, sketch`` of the wanted classes ``c``, from their texts: the upper halves of the hashes of a set of up to
     ``SMALL`` shingles, the wide registers of a larger one."""
-    wanted = cut(classes.join(wanted, "c", "left_semi").select("c", "n", "fp", F.col("label").alias("wanted")))
+    wanted = cut(classes.join(small(wanted), "c", "left_semi").select("c", "n", "fp", F.col("label").alias("wanted")))
     texts = only(docs.select(id_col, text_col), id_col, wanted.select("wanted").distinct())
 
     def sketch(s: np.ndarray) -> bytes:
@@ -163,7 +163,7 @@ def sketches(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str
         return f
 
     found = map_arrow(texts.select(text_col), make, "fp binary, sketch binary")
-    return cut(found.join(wanted, "fp").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    return cut(found.join(small(wanted), "fp").groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
 
 def _upper(s: np.ndarray) -> np.ndarray:
@@ -269,8 +269,8 @@ def crowded_pairs(docs: DataFrame, classes: DataFrame, members: DataFrame, label
     rows = cut(members.join(labels.select(F.col("v").alias("c"), F.col("label").alias("comp")), "c"))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("all"), F.count("*").alias("comps"), F.max(F.struct("m", "comp")).alias("top"))
     sizes = cut(sizes.filter("comps > 1").select("bucket", "all", F.col("top.m").alias("most"), F.col("top.comp").alias("largest")))
-    rows = rows.join(sizes, "bucket")
-    drawn = sketches(docs, classes, rows.select("c").distinct(), id_col, text_col, k)
+    rows = rows.join(small(sizes), "bucket")
+    drawn = sketches(docs, classes, cut(rows.select("c").distinct()), id_col, text_col, k)
     one = F.col("all") <= BLOCK  # a group that fits into a block needs no second one
     inside = ~one & (F.col("comp") == F.col("largest"))
     outer, inner = F.when(one, F.lit(1).cast("long")).otherwise(F.ceil((F.col("all") - F.col("most")) / BLOCK)), F.when(one, F.lit(0).cast("long")).otherwise(F.ceil(F.col("most") / BLOCK))
@@ -292,8 +292,8 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
     of their class and confirmed by digest; each set is kept once and meets
     the pairs in two joins.
     """
-    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    wanted = cut(classes.join(ends, "c", "left_semi").select("c", "fp", F.col("label").alias("wanted")))
+    ends = cut(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct())
+    wanted = cut(classes.join(small(ends), "c", "left_semi").select("c", "fp", F.col("label").alias("wanted")))
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -303,9 +303,9 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
         return f
 
     texts = only(docs.select(id_col, text_col), id_col, wanted.select("wanted").distinct())
-    members = map_arrow(texts.select(text_col), make, "fp binary, members binary").join(wanted.select("fp", "c"), "fp")
+    members = map_arrow(texts.select(text_col), make, "fp binary, members binary").join(small(wanted.select("fp", "c")), "fp")
     members = cut(members.groupBy("c").agg(F.first("members").alias("members")))
-    met = pairs.join(members.select(F.col("c").alias("a"), F.col("members").alias("sa")), "a").join(members.select(F.col("c").alias("b"), F.col("members").alias("sb")), "b")
+    met = small(pairs).join(members.select(F.col("c").alias("a"), F.col("members").alias("sa")), "a").join(members.select(F.col("c").alias("b"), F.col("members").alias("sb")), "b")
 
     def compare(batches):
         for b in sliced(batches):
@@ -322,11 +322,12 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``v, label`` after more links: the components are the vertices now, so the rounds run over the new links only."""
-    edges = links.join(labels.select(F.col("v").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("v").alias("b"), F.col("label").alias("y")), "b")
+    first = small(links).join(labels.select(F.col("v").alias("a"), F.col("label").alias("x")), "a").select("x", "b")
+    edges = small(cut(first)).join(labels.select(F.col("v").alias("b"), F.col("label").alias("y")), "b")
     edges = cut(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     ends = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).distinct()
     moved = smallest_reachable(ends.select("v", F.col("v").alias("label")), edges).filter("label < v").select(F.col("v").alias("label"), F.col("label").alias("first"))
-    return labels.join(moved, "label", "left").select("v", F.coalesce("first", "label").alias("label"))
+    return labels.join(small(cut(moved)), "label", "left").select("v", F.coalesce("first", "label").alias("label"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
