@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import runs as R
 from ..sources import runlogs as L
+from ..sources import tables as T
 from ..streaming.alarms import alarm_stream
-from .registry import FRAMES, register
-from .views import ONSET_NS, frames
-
-
-def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logs-")
-    return f"{shared}/{uuid.uuid4().hex}"
+from .registry import FRAMES, RUNS, register
+from .views import ONSET_NS, frames, runs, table
 
 
 @register(f"""with {FRAMES}, s0 as (select *, case when value >= 60 then 1 else 0 end as q from f), s1 as (select *, sum(1 - q) over (partition by run_id order by t_post, frame_idx) as brk from s0),
@@ -25,7 +18,7 @@ def _folder(spark) -> str:
     select key, t, 'episode' as rule from e union all select key, min(t), 'first' from e group by key union all select run_id, t_post, 'window' from w where t_post - t0 <= 86400000000000""")
 def alarm_stream_parity(spark, sf_dir):
     """The streaming alarms over the events as a stream; equal to the rules on the table."""
-    at = _folder(spark)
+    at = T.work_folder(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     stream = stream.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) * 1000)
@@ -38,7 +31,7 @@ def alarm_stream_parity(spark, sf_dir):
 @register()
 def run_log_metrics(spark, sf_dir):
     """Events written as run logs, read back with the log schema and folded to the run table."""
-    at = _folder(spark)
+    at = T.work_folder(spark)
     f = frames(spark, sf_dir)
     k = F.get_json_object("props", "$.k").cast("long") * 1_000_000
     det = F.array(F.struct(F.lit("Gun").alias("cls"), (F.col("value") / 100).alias("conf"), F.array(F.lit(0.0)).alias("xyxy")))
@@ -50,3 +43,42 @@ def run_log_metrics(spark, sf_dir):
     found = spark.read.schema(L.LOG_SCHEMA + ", run_id long").json(at).drop("_corrupt_record")
     out = R.run_metrics(found, ["gun"], 0.6, 3, timeout_s=30 * 86400.0, window_ms=86_400_000)
     return out.select(*(F.round(c, 3).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+@register("select n_name as nation, count(*) as n, round(sum(c_acctbal), 2) as total from customer join nation on c_nationkey = n_nationkey group by n_name")
+def csv_round_trip(spark, sf_dir):
+    """Customers by nation, written as CSV and read back by schema before they are added up."""
+    at = T.work_folder(spark)
+    met = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    T.write_csv(met.select("c_custkey", F.col("n_name").alias("nation"), "c_acctbal"), at, ["c_custkey"])
+    back = T.read_csv(spark, at, "c_custkey long, nation string, c_acctbal double")
+    return back.groupBy("nation").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@register("select o_orderpriority as priority, count(*) as n, count(*) filter (where o_orderstatus = 'F') as n_done from orders where o_orderpriority <> '5-LOW' group by o_orderpriority")
+def partitioned_orders(spark, sf_dir):
+    """Orders in one folder for each priority; the filter prunes folders."""
+    at = T.work_folder(spark)
+    T.write_partitioned(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("priority")), at, ["priority"])
+    back = spark.read.parquet(at).filter("priority <> '5-LOW'")
+    return back.groupBy("priority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_done"))
+
+
+@register(f"with {RUNS}, j as (select config, count(*) as n, count(*) filter (where hit) as hits from r group by config) select 'config ' || config as key, hits || ' of ' || n as value from j")
+def run_report(spark, sf_dir):
+    """Runs as a stage table, summed up as a key-value report and read back."""
+    at = T.work_folder(spark)
+    staged = T.stage_table(runs(spark, sf_dir).select("run_id", "config", "hit"), f"{at}/runs")
+    done = staged.groupBy("config").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    T.write_report(done.select(F.concat(F.lit("config "), F.col("config").cast("string")).alias("k"), F.concat_ws(" of ", F.col("hits").cast("string"), F.col("n").cast("string")).alias("v")), f"{at}/report", "k", "v")
+    return T.read_report(spark, f"{at}/report")
+
+
+@register("select s_suppkey as supplier, n_name as name, s_acctbal as balance from supplier join nation on s_nationkey = n_nationkey")
+def registry_lookup(spark, sf_dir):
+    """Nations as a registry of JSON lines that suppliers look up."""
+    at = T.work_folder(spark)
+    table(spark, sf_dir, "nation").write.json(at)
+    nations = T.registry(spark, at, "n_nationkey int, n_name string", "n_nationkey")
+    met = table(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"))
+    return met.select(F.col("s_suppkey").alias("supplier"), F.col("n_name").alias("name"), F.col("s_acctbal").alias("balance"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Reference instant in nanoseconds: 2024-01-15 UTC.
@@ -33,8 +33,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_onset(df: DataFrame) -> DataFrame:
     """Attach each run's onset: its first observation at or after the reference instant, null if there is none."""
-    onset = df.groupBy("run_id").agg(F.min(F.when(F.col("t_post") >= ONSET_NS, F.col("t_post"))).alias("t_onset"))
-    return df.join(onset, "run_id")
+    seen = F.min(F.when(F.col("t_post") >= ONSET_NS, F.col("t_post")))
+    return df.withColumn("t_onset", seen.over(Window.partitionBy("run_id")))
 
 
 def runs(spark: SparkSession, sf_dir: str, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
