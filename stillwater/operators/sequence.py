@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .survival import running
+
 
 def with_streak(df: DataFrame, key: list[str], order: list[str], cond: Column, out: str = "streak") -> DataFrame:
     """Count the consecutive rows that meet ``cond`` up to each row; 0 where it fails.  A null condition fails."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    q = F.when(cond, 1).otherwise(0)
-    df = df.withColumn("_q", q).withColumn("_breaks", F.sum(1 - F.col("_q")).over(w))
-    run = Window.partitionBy(*key, "_breaks").orderBy(*order)
-    return df.withColumn(out, F.when(F.col("_q") == 1, F.sum("_q").over(run)).otherwise(0)).drop("_q", "_breaks")
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_q", F.coalesce(cond, F.lit(False))).withColumn("_n", F.row_number().over(w))
+    failed = F.coalesce(F.max(F.when(~F.col("_q"), F.col("_n"))).over(w), F.lit(0))
+    return df.withColumn(out, (F.col("_n") - failed).cast("long")).drop("_q", "_n")
 
 
 def episodes(df: DataFrame, key: list[str], order: list[str], cond: Column, k: int) -> DataFrame:
@@ -94,16 +95,34 @@ def every_nth(df: DataFrame, key: list[str], order: list[str], step: int) -> Dat
     return df.withColumn("_n", F.row_number().over(w) - 1).filter(F.col("_n") % step == 0).drop("_n")
 
 
+def _matched(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Left join by columns of the same name, where nulls are equal; the table's copies of them are dropped."""
+    right = table.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    return df.join(right, [df[c].eqNullSafe(right[f"_on_{c}"]) for c in on], "left").drop(*(f"_on_{c}" for c in on))
+
+
 def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Of rows with equal content the first stays: adds ``kept`` and the number of rows alike as ``n_alike``."""
-    w = Window.partitionBy(*key)
-    return df.withColumns({"kept": F.row_number().over(w.orderBy(*order)) == 1, "n_alike": F.count("*").over(w)})
+    """Of rows with equal content the first stays: adds ``kept`` and the number of rows alike as ``n_alike``.
+
+    The first of each content is an aggregate, so copies of one content are
+    never in one task; only rows that are equal in ``order`` too are numbered.
+    """
+    first = df.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("n_alike"))
+    alike = Window.partitionBy(*key, *order).orderBy(*order)
+    found = _matched(df, first, key).withColumn("kept", F.col("_first").eqNullSafe(F.struct(*order)) & (F.row_number().over(alike) == 1))
+    return found.select(*df.columns, "kept", "n_alike")
 
 
 def average_ranks(df: DataFrame, by: list[str], col: str, out: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean."""
-    w = Window.partitionBy(*by)
-    return df.withColumn(out, F.rank().over(w.orderBy(col)) + (F.count("*").over(Window.partitionBy(*by, col)) - 1) / 2)
+    """Ranks from 1, ties sharing their mean.
+
+    The window runs over the distinct values with their counts; the rows meet
+    their rank in a join.
+    """
+    counts = df.groupBy(*by, col).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(col))
+    ranks = counts.select(*by, col, (upto - (F.col("_n") - 1) / 2).alias(out))
+    return _matched(df, ranks, [*by, col])
 
 
 def ecdf(df: DataFrame, by: list[str], col: str) -> DataFrame:
@@ -122,9 +141,9 @@ def evenly_spaced(df: DataFrame, by: list[str], order: list[str], k: int) -> Dat
 
 
 def stride_slice(df: DataFrame, order: list[str], index: int, stride: int, by: list[str]) -> DataFrame:
-    """Rows index, index + stride, ... of each group in the given order."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn("_n", n).filter((F.col("_n") >= index) & ((F.col("_n") - index) % stride == 0)).drop("_n")
+    """Rows index, index + stride, ... of each group in the given order (unique in a group), numbered over range partitions."""
+    rows = running(df.withColumn("_n", F.lit(1).cast("long")), by, order, ["_n"])
+    return rows.filter((F.col("_n") > index) & ((F.col("_n") - 1 - index) % stride == 0)).drop("_n")
 
 
 def regime_from_first(df: DataFrame, by: list[str], time: str, event: Column, before: str, after: str) -> DataFrame:

@@ -12,10 +12,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, in the folder of ``spark.checkpoint.dir`` if it is set."""
+    """Cut the lineage with a reliable checkpoint, in the folder of ``spark.checkpoint.dir``; only a local session gets one of its own."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
@@ -71,20 +74,23 @@ def log_rank(df: DataFrame, group: str, time: str, event: str) -> DataFrame:
     return out.withColumn("chi2", F.try_divide(F.pow(F.col("observed") - F.col("expected"), F.lit(2.0)), F.col("variance")))
 
 
-def running(df: DataFrame, group: list[str], order: str, columns: list[str]) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: str | list[str], columns: list[str]) -> DataFrame:
     """Replace ``columns`` by their sums from the first row of each group on, in the order of ``order`` (unique in a group).
 
     Rows are range-partitioned, so a group may fill many partitions; what
     comes before a partition is added from a table with a row for each
     partition and group in it.
     """
-    keys = [*group, order]
+    order = [order] if isinstance(order, str) else order
+    keys = [*group, *order]
     rows = cut(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("_part", F.spark_partition_id()))
     w = Window.partitionBy(*group, "_part")
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     met = rows.groupBy(*group, "_part").agg(*(F.sum(c).alias(c) for c in columns))
     met = met.select(*group, "_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in columns))
-    rows = rows.withColumns({c: F.sum(c).over(w.orderBy(order)) for c in columns}).join(met, [*group, "_part"])
+    met = met.withColumnsRenamed({c: f"_of_{c}" for c in group}).withColumnRenamed("_part", "_in")
+    here = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
+    rows = rows.withColumns({c: F.sum(c).over(w.orderBy(*order)) for c in columns}).join(met, [F.col("_part") == F.col("_in"), *here])
     return rows.select(*(((F.col(c) + F.col(f"_{c}")).alias(c) if c in columns else F.col(c)) for c in df.columns))
 
 

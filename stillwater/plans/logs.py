@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import runs as R
 from ..sources import runlogs as L
 from ..sources import tables as T
-from ..streaming.alarms import alarm_stream
+from ..streaming.alarms import alarm_stream, finished_runs, replay_safe
 from .registry import FRAMES, RUNS, register
 from .views import ONSET_NS, frames, runs, table
 
@@ -82,3 +82,23 @@ def registry_lookup(spark, sf_dir):
     nations = T.registry(spark, at, "n_nationkey int, n_name string", "n_nationkey")
     met = table(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"))
     return met.select(F.col("s_suppkey").alias("supplier"), F.col("n_name").alias("name"), F.col("s_acctbal").alias("balance"))
+
+
+@register("select event_type as cls, count(*) as n from events group by 1")
+def replayed_events(spark, sf_dir):
+    """The events as a stream that sends every row twice; each counts once."""
+    at = T.work_folder(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    once = lambda: spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
+    out = replay_safe(once().unionByName(once()), "user_id", "event_id", "at", "60 days").select("user_id", "event_id", "event_type")
+    out.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/events").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/events").groupBy(F.col("event_type").alias("cls")).agg(F.count("*").alias("n"))
+
+
+@register("select user_id as run_id, count(*) as n, max(event_id) as last_event, round(avg(value), 6) as mean from events group by user_id having bool_or(value >= 99)")
+def finished_run_means(spark, sf_dir):
+    """Runs of the event stream that have an end, in micro-batches of one file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*").withColumnRenamed("user_id", "run_id")
+    summary = [F.count("*").alias("n"), F.max("event_id").alias("last_event"), F.round(F.avg("value"), 6).alias("mean")]
+    return finished_runs(stream, "run_id", F.col("value") >= 99, summary, T.work_folder(spark))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -52,3 +52,32 @@ def loss_stream(df: DataFrame, key: str, time: str, dropped, delay: str = "1 hou
     """Frames and drops by key and time span; late data up to ``delay`` count."""
     w = df.withWatermark(time, delay).groupBy(F.window(time, span), key)
     return w.agg(F.count("*").alias("n"), F.count_if(dropped).alias("n_drops")).select(F.col("window.start").alias("start"), key, "n", "n_drops")
+
+
+def replay_safe(df: DataFrame, key: str, seq: str, time: str, delay: str = "1 hour") -> DataFrame:
+    """Drop observations that a source sends again within ``delay``; what is older leaves the state."""
+    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark([key, seq])
+
+
+def finished_runs(stream: DataFrame, run: str, ended: Column, summary: list[Column], at: str) -> DataFrame:
+    """Aggregate the finished runs of a stream, which may be done again while more records come in.
+
+    Each micro-batch is written to the shared folder ``at`` under its number (so a
+    batch that is done twice replaces itself).  The runs that it touches and that have an
+    end in any batch so far are aggregated from all their records; of the rows
+    of a run the one of the latest batch counts.  Runs without an end are left out.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/records/batch={number}")
+        seen = batch.sparkSession.read.schema(schema).option("basePath", f"{at}/records").parquet(f"{at}/records")
+        rows = seen.join(batch.select(run).distinct(), run, "left_semi")
+        done = rows.groupBy(run).agg(F.bool_or(F.coalesce(ended, F.lit(False))).alias("_done"), *summary).filter("_done").drop("_done")
+        done.write.mode("overwrite").parquet(f"{at}/runs/batch={number}")
+
+    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{at}/runs")
+    latest = rows.groupBy(run).agg(F.max("batch").alias("batch"))
+    return rows.join(latest, [run, "batch"]).drop("batch")

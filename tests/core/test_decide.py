@@ -71,3 +71,14 @@ def test_homogeneous(spark):
     rows = spark.createDataFrame([("ok", "a", True), ("ok", "a", True), ("open", "a", None), ("mixed", "a", True), ("mixed", None, True)], "g string, hash string, done boolean")
     got = {r["g"]: (r["n_hash"], r["n_open"], r["passed"]) for r in D.homogeneous(rows, ["g"], ["hash"], F.col("done")).collect()}
     assert got == {"ok": (1, 0, True), "open": (1, 1, False), "mixed": (2, 0, False)}
+
+
+def test_finished_runs_over_several_batches(spark, tmp_path):
+    from stillwater.streaming.alarms import finished_runs
+
+    # run 1 ends in the second file and goes on in the third, run 2 never ends, run 3 ends at once
+    for i, rows in enumerate([[(1, "frame"), (2, "frame"), (3, "end")], [(1, "end"), (2, "frame")], [(1, "frame")]]):
+        spark.createDataFrame(rows, "run int, kind string").coalesce(1).write.parquet(f"{tmp_path}/in/part{i}")
+    stream = spark.readStream.schema("run int, kind string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = finished_runs(stream, "run", F.col("kind") == "end", [F.count("*").alias("n")], f"{tmp_path}/at")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 3), (3, 1)]

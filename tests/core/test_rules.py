@@ -173,3 +173,38 @@ def test_evenly_spaced(spark):
     df = spark.range(10).withColumn("g", F.lit(1))
     assert sorted(x.id for x in S.evenly_spaced(df, ["g"], ["id"], 4).collect()) == [0, 3, 6, 9]
     assert S.evenly_spaced(df, ["g"], ["id"], 1).count() == 1 and S.evenly_spaced(df, ["g"], ["id"], 50).count() == 10
+
+
+def test_first_of_equal_content_with_ties_and_nulls(spark):
+    from stillwater.operators import sequence as Q
+
+    rows = spark.createDataFrame([("a", 2), ("a", 1), ("a", 1), (None, 5), (None, 4), ("b", None)], "h string, i int")
+    out = Q.keep_first(rows, ["h"], ["i"]).collect()
+    assert len(out) == 6
+    assert sorted((str(r["h"]), str(r["i"]), r["n_alike"]) for r in out if r["kept"]) == [("None", "4", 2), ("a", "1", 3), ("b", "None", 1)]
+
+
+def test_average_ranks_with_nulls(spark):
+    from stillwater.operators import sequence as Q
+
+    rows = spark.createDataFrame([("g", 3.0), ("g", 1.0), ("g", 3.0), (None, 7.0), (None, None)], "g string, v double")
+    out = Q.average_ranks(rows, ["g"], "v", "r").collect()
+    assert sorted((str(r["g"]), str(r["v"]), r["r"]) for r in out) == [("None", "7.0", 2.0), ("None", "None", 1.0), ("g", "1.0", 1.0), ("g", "3.0", 2.5), ("g", "3.0", 2.5)]
+
+
+def test_stride_slice_numbers_across_partitions(spark):
+    from stillwater.operators import sequence as Q
+
+    rows = spark.range(1000).selectExpr("nullif(id % 2, 1) as g", "id as i").repartition(7)
+    got = sorted(r["i"] for r in Q.stride_slice(rows, ["i"], 3, 11, ["g"]).collect())
+    assert got == sorted(i for g in (0, 1) for i in list(range(g, 1000, 2))[3::11])
+
+
+def test_streak_with_null_condition(spark):
+    from pyspark.sql import functions as F
+
+    from stillwater.operators import sequence as Q
+
+    rows = spark.createDataFrame([(1, 5), (2, 6), (3, None), (4, 7), (5, 1), (6, 9)], "t int, v int")
+    out = Q.with_streak(rows.withColumn("k", F.lit(1)), ["k"], ["t"], F.col("v") >= 5).orderBy("t").collect()
+    assert [r["streak"] for r in out] == [1, 2, 0, 1, 0, 1]
