@@ -91,3 +91,34 @@ def homogeneous(df: DataFrame, by: list[str], columns: list[str], ended: Column)
     for c in columns:
         ok = ok & (F.col(f"n_{c}") == 1)
     return out.withColumn("passed", ok)
+
+
+def one_sided_pair_p(t_low: Column, t_high: Column, two_sided_low: Column, two_sided_high: Column) -> Column:
+    """p of the two one-sided tests: the larger of the tails above ``t_low`` and below ``t_high``, from their two-sided tails."""
+    low = F.when(t_low > 0, two_sided_low / 2).otherwise(1 - two_sided_low / 2)
+    high = F.when(t_high < 0, two_sided_high / 2).otherwise(1 - two_sided_high / 2)
+    return F.greatest(low, high)
+
+
+def tier(df: DataFrame, duration: str, least: float, below: float, within: dict[str, list]) -> DataFrame:
+    """Rows of a tier: ``least <= duration < below`` and each column of ``within`` among its values; a value that no row has is an error."""
+    for column, values in within.items():
+        found = {r[0] for r in df.filter(F.col(column).isin(values)).select(column).distinct().collect()}  # at most the values asked for
+        if lost := [v for v in values if v not in found]:
+            raise ValueError(f"unknown {column}: {lost}")
+        df = df.filter(F.col(column).isin(values))
+    return df.filter((F.col(duration) >= least) & (F.col(duration) < below))
+
+
+def by_stem(a: DataFrame, b: DataFrame, name_a: str, name_b: str, suffix: str = r"\.[^./]*$") -> DataFrame:
+    """Join two lists of names that are equal without their suffix: an equality in place of a prefix test."""
+    x = a.withColumn("stem", F.regexp_replace(name_a, suffix, ""))
+    y = b.withColumn("stem", F.regexp_replace(name_b, suffix, ""))
+    return x.join(y, "stem")
+
+
+def regime_shift(df: DataFrame, cell: list[str], regime: str, metric: str, before: str, after: str) -> DataFrame:
+    """Mean of a metric in two regimes of each cell and their difference; cells that lack one of them are left out."""
+    one = lambda r: F.when(F.col(regime) == r, F.col(metric))
+    out = df.groupBy(*cell).agg(F.count(one(before)).alias("n_before"), F.count(one(after)).alias("n_after"), F.avg(one(before)).alias("mean_before"), F.avg(one(after)).alias("mean_after"))
+    return out.filter("n_before > 0 and n_after > 0").withColumn("shift", F.col("mean_after") - F.col("mean_before"))

@@ -15,9 +15,14 @@ from .registry import CORPUS, FRAMES, RUNS, register
 from .views import CORPUS_ORDER, corpus, frames, runs, table
 
 
+def _standardised(r):
+    base = r.filter("model = 0").groupBy("config").agg(F.avg("ttd").alias("mu"), F.stddev_samp("ttd").alias("sd"))
+    return r.filter("model = 1 and ttd is not null").join(F.broadcast(base), "config").withColumn("z", (F.col("ttd") - F.col("mu")) / F.col("sd"))
+
+
 @register()
 def p_values(spark, sf_dir):
-    """p values with Bonferroni's adjustment within each family: log-rank, signed ranks, paired t, F, one-sided pairs, McNemar, chi-square, rank correlation."""
+    """p values with Bonferroni's adjustment within each family: log-rank, signed ranks, paired t, F, equivalence, McNemar, chi-square, rank correlation."""
     r = runs(spark, sf_dir)
     pairs = T.label_pairs(r, "config", ["model", "scenario"], "ttd")
     d = lambda c: F.col(c).cast("double")
@@ -30,7 +35,10 @@ def p_values(spark, sf_dir):
     ct = T.chi_square(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
     rho = T.spearman(r.filter("ttd is not null and t_first is not null"), ["config"], "ttd", "t_first")
     t = F.when(F.abs("rho") < 1, F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))))
+    eq = T.tost(_standardised(r), ["config"], "z")
+    two = lambda c: tails.t_p()(d(c), d("n") - 1)
     families = {
+        "equivalence": eq.select(d("config").cast("int").cast("string").alias("item"), F.least(d("t_low"), -d("t_high")).alias("statistic"), D.one_sided_pair_p(d("t_low"), d("t_high"), two("t_low"), two("t_high")).alias("p")),
         "log_rank": lr.select(pair.alias("item"), d("chi2").alias("statistic"), tails.chi2_p()(d("chi2"), F.lit(1.0)).alias("p")),
         "signed_ranks": wx.select(pair.alias("item"), d("z").alias("statistic"), tails.normal_p()(d("z")).alias("p")),
         "paired_t": pt.select(pair.alias("item"), d("t").alias("statistic"), tails.t_p()(d("t"), d("n") - 1).alias("p")),
@@ -165,6 +173,40 @@ def any_failure(spark, sf_dir):
     return f.select("run_id").distinct().join(found, "run_id", "left").select("run_id", F.coalesce("bad", F.lit(True)).alias("failed"))
 
 
+@register("select page_id % 10 as part, count(*) as n, bool_and(contains(url, '/en/')) as all_english, count(*) filter (where contains(url, '/en/')) as n_english from pages where url is not null group by 1")
+def path_types(spark, sf_dir):
+    """Whether all paths of a part are of one type."""
+    english = F.contains("url", F.lit("/en/"))
+    p = table(spark, sf_dir, "pages").filter("url is not null").groupBy((F.col("page_id") % 10).alias("part"))
+    return p.agg(F.count("*").alias("n"), F.bool_and(english).alias("all_english"), F.count_if(english).alias("n_english"))
+
+
+@register(f"with {CORPUS} select model, count(*) as n, round(sum(l_quantity), 6) as quantity from c where l_quantity >= 10 and l_quantity < 30 and model in ('A', 'N') group by model")
+def tier_counts(spark, sf_dir):
+    t = D.tier(corpus(spark, sf_dir), "l_quantity", 10, 30, {"model": ["A", "N"]})
+    return t.groupBy("model").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 6).alias("quantity"))
+
+
+@register("""with a as (select regexp_replace(url, '[?#].*$', '') as stem, count(*) as n_pages from pages where url is not null group by 1), b as (select distinct url from pages where contains(url, '?'))
+    select stem, n_pages, count(*) as n_variants from b join a on stem = regexp_replace(url, '[?#].*$', '') group by stem, n_pages""")
+def stem_matches(spark, sf_dir):
+    """Addresses with a query and the pages that are equal to them up to it."""
+    url = table(spark, sf_dir, "pages").select("url").filter("url is not null")
+    stems = url.groupBy(F.regexp_replace("url", "[?#].*$", "").alias("ref")).agg(F.count("*").alias("n_pages"))
+    variants = url.filter(F.contains("url", F.lit("?"))).distinct()
+    return D.by_stem(stems, variants, "ref", "url", "[?#].*$").groupBy("stem", "n_pages").agg(F.count("*").alias("n_variants"))
+
+
+@register(f"""with {RUNS}, st as (select run_id, min(t_post) as t from f group by run_id), x as (select r.*, case when t < 1704153600000000000 then 'one' else 'two' end as regime from r join st using (run_id)),
+    g as (select config, model, count(ttd) filter (where regime = 'one') as n_before, count(ttd) filter (where regime = 'two') as n_after, avg(ttd) filter (where regime = 'one') as b, avg(ttd) filter (where regime = 'two') as a from x group by config, model)
+    select config, model, n_before, n_after, round(b, 6) as mean_before, round(a, 6) as mean_after, round(a - b, 6) as shift from g where n_before > 0 and n_after > 0""")
+def concurrency_shift(spark, sf_dir):
+    """Delays of runs that started before and after a change of regime, within cells."""
+    start = frames(spark, sf_dir).groupBy("run_id").agg(F.when(F.min("t_post") < 1704153600000000000, "one").otherwise("two").alias("regime"))
+    out = D.regime_shift(runs(spark, sf_dir).join(start, "run_id"), ["config", "model"], "regime", "ttd", "one", "two")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_before", "mean_after", "shift")})
+
+
 #: Replicates of a full bootstrap.
 REPLICATES = 1000
 

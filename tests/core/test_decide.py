@@ -82,3 +82,22 @@ def test_finished_runs_over_several_batches(spark, tmp_path):
     stream = spark.readStream.schema("run int, kind string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     out = finished_runs(stream, "run", F.col("kind") == "end", [F.count("*").alias("n")], f"{tmp_path}/at")
     assert sorted(tuple(r) for r in out.collect()) == [(1, 3), (3, 1)]
+
+
+def test_tier_rejects_unknown_values(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 1.5)], "m string, d double")
+    assert D.tier(rows, "d", 1.0, 2.0, {"m": ["a"]}).count() == 1
+    with pytest.raises(ValueError, match="unknown m"):
+        D.tier(rows, "d", 1.0, 2.0, {"m": ["a", "c"]})
+
+
+def test_by_stem(spark):
+    a = spark.createDataFrame([("x/clip1.mp4",), ("x/clip10.mp4",)], "a string")
+    b = spark.createDataFrame([("x/clip1.csv",)], "b string")
+    assert [tuple(r) for r in D.by_stem(a, b, "a", "b").collect()] == [("x/clip1", "x/clip1.mp4", "x/clip1.csv")]
+
+
+def test_one_sided_pair(spark):
+    rows = spark.createDataFrame([(3.0, -2.0, 0.01, 0.06), (-1.0, -2.0, 0.4, 0.06)], "a double, b double, p double, q double")
+    got = [r[0] for r in rows.select(D.one_sided_pair_p(F.col("a"), F.col("b"), F.col("p"), F.col("q"))).collect()]
+    assert got == pytest.approx([0.03, 0.8])
