@@ -198,13 +198,15 @@ def stem_matches(spark, sf_dir):
 
 
 @register(f"""with {RUNS}, st as (select run_id, min(t_post) as t from f group by run_id), x as (select r.*, case when t < 1704153600000000000 then 'one' else 'two' end as regime from r join st using (run_id)),
-    g as (select config, model, count(ttd) filter (where regime = 'one') as n_before, count(ttd) filter (where regime = 'two') as n_after, avg(ttd) filter (where regime = 'one') as b, avg(ttd) filter (where regime = 'two') as a from x group by config, model)
-    select config, model, n_before, n_after, round(b, 6) as mean_before, round(a, 6) as mean_after, round(a - b, 6) as shift from g where n_before > 0 and n_after > 0""")
+    g as (select config, model, count(ttd) filter (where regime = 'one') as n_before, count(ttd) filter (where regime = 'two') as n_after, floor(avg(round(ttd * 1e6)::bigint) filter (where regime = 'one'))::bigint as b, floor(avg(round(ttd * 1e6)::bigint) filter (where regime = 'two'))::bigint as a from x group by config, model)
+    select config, model, n_before, n_after, b as mean_before, a as mean_after, a - b as shift from g where n_before > 0 and n_after > 0""")
 def concurrency_shift(spark, sf_dir):
-    """Delays of runs that started before and after a change of regime, within cells."""
+    """Delays of runs that started before and after a change of regime, within cells; means in whole microhours, so no tie is rounded."""
     start = frames(spark, sf_dir).groupBy("run_id").agg(F.when(F.min("t_post") < 1704153600000000000, "one").otherwise("two").alias("regime"))
-    out = D.regime_shift(runs(spark, sf_dir).join(start, "run_id"), ["config", "model"], "regime", "ttd", "one", "two")
-    return out.withColumns({c: F.round(c, 6) for c in ("mean_before", "mean_after", "shift")})
+    r = runs(spark, sf_dir).withColumn("delay", F.round(F.col("ttd") * 1e6).cast("long"))
+    out = D.regime_shift(r.join(start, "run_id"), ["config", "model"], "regime", "delay", "one", "two")
+    out = out.withColumns({c: F.floor(c) for c in ("mean_before", "mean_after")})
+    return out.withColumn("shift", F.col("mean_after") - F.col("mean_before"))
 
 
 #: Replicates of a full bootstrap.
