@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import runs as R
 from ..sources import runlogs as L
 from ..sources import tables as T
-from ..streaming.alarms import alarm_stream, finished_runs, replay_safe
+from ..streaming.alarms import alarm_stream, finished_runs, replay_safe, timeout_misses
 from .registry import FRAMES, RUNS, register
 from .views import ONSET_NS, frames, runs, table
 
@@ -28,6 +28,22 @@ def alarm_stream_parity(spark, sf_dir):
     return spark.read.schema("key long, t long, rule string").parquet(f"{at}/alarms")
 
 
+@register("""with o as (select user_id, ts from events where event_type = 'signup'), a as (select user_id, ts from events where value >= 60),
+    w as (select least((select max(ts) from o), (select max(ts) from a)) - interval 1 hour as seen),
+    m as (select user_id, ts from o where not exists (select 1 from a where a.user_id = o.user_id and a.ts >= o.ts and a.ts <= o.ts + interval 1 day))
+    select user_id as run, epoch_us(ts) as onset_us, epoch_us(ts) + 86400000000 as miss_us from m, w where ts + interval 1 day < seen""")
+def stream_timeouts(spark, sf_dir):
+    """Signups of a stream that no high value follows within a day, as far as the watermark tells."""
+    at = T.work_folder(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = timeout_misses(stream().filter("event_type = 'signup'"), stream().filter("value >= 60").withColumnRenamed("ts", "t"), "user_id", "ts", "t", "1 day")
+    q = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/misses").trigger(availableNow=True).start()
+    q.awaitTermination()
+    back = spark.read.schema("run long, onset timestamp, t_miss timestamp").parquet(f"{at}/misses")
+    return back.select("run", F.unix_micros("onset").alias("onset_us"), F.unix_micros("t_miss").alias("miss_us"))
+
+
 @register()
 def run_log_metrics(spark, sf_dir):
     """Events written as run logs, read back with the log schema and folded to the run table."""

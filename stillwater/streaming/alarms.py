@@ -81,3 +81,18 @@ def finished_runs(stream: DataFrame, run: str, ended: Column, summary: list[Colu
     rows = spark.read.parquet(f"{at}/runs")
     latest = rows.groupBy(run).agg(F.max("batch").alias("batch"))
     return rows.join(latest, [run, "batch"]).drop("batch")
+
+
+def timeout_misses(onsets: DataFrame, alarms: DataFrame, run: str, onset: str, alarm: str, timeout: str, delay: str = "1 hour") -> DataFrame:
+    """Onsets (``run, onset, t_miss``) that no alarm of their run follows within ``timeout``, for streams and tables alike.
+
+    A stream gives a miss once both watermarks (``delay`` behind the latest onset
+    and alarm) have passed its end, ``t_miss``; only then its state goes.  An alarm at the
+    onset or at the end itself counts, one before the onset does not.  Rows
+    with a null run or time take no part.
+    """
+    o = onsets.select(F.col(run).alias("run"), F.col(onset).alias("onset")).dropna().withWatermark("onset", delay)
+    a = alarms.select(F.col(run).alias("of"), F.col(alarm).alias("alarm")).dropna().withWatermark("alarm", delay)
+    end = F.col("onset") + F.expr(f"interval {timeout}")
+    met = o.join(a, (F.col("run") == F.col("of")) & (F.col("alarm") >= F.col("onset")) & (F.col("alarm") <= end), "left_outer")
+    return met.filter(F.col("of").isNull()).select("run", "onset", end.alias("t_miss"))

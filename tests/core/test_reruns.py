@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from stillwater.operators import reruns as R
+from stillwater.streaming.alarms import timeout_misses
 
 
 def test_switched_takes_one_source_a_group(spark):
@@ -35,3 +36,14 @@ def test_robust_needs_every_shift(spark):
     rows = [(1, 0, 1, True), (1, 5, 1, True), (1, -5, 1, True), (2, 0, 1, True), (2, 5, -1, True), (2, -5, 1, True), (3, 0, 1, None), (3, 5, 1, None), (4, 5, 1, True)]
     got = R.robust(spark.createDataFrame(rows, "g int, shift int, side int, sig boolean"), ["g"], "shift", F.lit(0), "side", "sig")
     assert sorted(map(tuple, got.collect())) == [(1, 2, True), (2, 2, False), (3, 1, True)]
+
+
+def test_timeout_misses_on_a_table(spark):
+    at = lambda c: F.timestamp_seconds(F.col(c)).alias(c)
+    onsets = spark.createDataFrame([(1, 100), (2, 100), (3, 100), (4, 100), (None, 100), (5, None)], "run long, t long").select("run", at("t"))
+    # at the onset, at the end, before the onset, after the end
+    alarms = spark.createDataFrame([(1, 100), (2, 160), (3, 99), (4, 161), (1, 130), (3, None)], "run long, u long").select("run", at("u"))
+    got = timeout_misses(onsets, alarms, "run", "t", "u", "60 seconds")
+    rows = got.select("run", F.unix_seconds("onset"), F.unix_seconds("t_miss")).collect()
+    assert sorted(map(tuple, rows)) == [(3, 100, 160), (4, 100, 160)]
+    assert timeout_misses(onsets.limit(0), alarms, "run", "t", "u", "60 seconds").isEmpty()
