@@ -64,8 +64,8 @@ def text_key(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def sorted_ranks(df: DataFrame, cls: str, order: list[Column], n: int | None = None) -> DataFrame:
-    """Number the rows of each class ``cls`` from 0 in the given order, as column ``rank``.
+def sorted_ranks(df: DataFrame, cls: str, order: list[Column], n: int | None = None, out: str = "rank") -> DataFrame:
+    """Number the rows of each class ``cls`` (a null is a class) from 0 in the given order, as column ``out``, which the table must not have.
 
     Rows are range-partitioned by class and order, so a class of any size is
     spread over as many partitions as it fills.  Each partition needs the
@@ -74,13 +74,14 @@ def sorted_ranks(df: DataFrame, cls: str, order: list[Column], n: int | None = N
     """
     n = n or parts(df.sparkSession)
     keys = [F.col(cls), *order]
-    rows = cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftrightunsigned("_at", PARTITION_BITS).cast("int")
-    met = rows.groupBy(F.col(cls).alias("_cls"), part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy("_cls").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    met = met.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_n", "_first")
-    on = rows[cls].eqNullSafe(met["_cls"]) & (part == met["_part"])
-    return rows.join(F.broadcast(met), on).withColumn("rank", F.col("_at") + F.col("_base")).drop("_at", "_cls", "_part", "_base")
+    at, of, part, base = (free_name(df, x) for x in ("_at", "_of", "_part", "_base"))
+    rows = cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()))
+    in_part = F.shiftrightunsigned(at, PARTITION_BITS).cast("int")
+    met = rows.groupBy(F.col(cls).alias(of), in_part.alias(part)).agg(F.count("*").alias("n"), F.min(at).alias("first"))
+    before = Window.partitionBy(of).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    met = met.select(of, part, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias(base))
+    on = rows[cls].eqNullSafe(met[of]) & (in_part == met[part])
+    return rows.join(F.broadcast(met), on).withColumn(out, F.col(at) + F.col(base)).drop(at, of, part, base)
 
 
 #: Rows that are taken out of an Arrow batch at a time, so that their values are held twice for these only.
