@@ -64,3 +64,34 @@ def exclude(df: DataFrame, cells: DataFrame, on: list[str]) -> DataFrame:
 def new_keys(df: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key has not been written yet."""
     return df.join(done.select(*on), on, "left_anti")
+
+
+def copy_pairs(manifest: DataFrame, content: list[str], name: str) -> DataFrame:
+    """The two names ``a < b`` of every content that exactly two entries have; nulls are no content."""
+    some = manifest.dropna(subset=[*content, name])
+    return some.groupBy(*content).agg(F.count("*").alias("_n"), F.min(name).alias("a"), F.max(name).alias("b")).filter("_n = 2 and a < b").select("a", "b")
+
+
+def trace_identity(traces: DataFrame, pairs: DataFrame, name: str, by: list[str], order: list[str], score: str) -> DataFrame:
+    """Traces of two copies frame by frame: ``a, b, by, n_a, n_b, identical, worst``.
+
+    Frames meet by their place in the trace; ``worst`` is the largest
+    difference of the places that both have.  Traces are identical if they
+    are as long and nowhere differ (two null scores are equal).  Pairs of
+    which a copy has no trace are left out.
+    """
+    side = lambda c: pairs.select(F.col(c).alias(name)).distinct()
+    wanted = traces.join(side("a").unionByName(side("b")).distinct(), name, "left_semi")
+    w = Window.partitionBy(*by, name)
+    ranked = wanted.withColumns({"_i": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)}).select(*by, name, "_i", "_n", F.col(score).alias("_s"))
+    x = pairs.join(ranked.withColumnsRenamed({name: "a", "_n": "n_a", "_s": "_sa"}), "a")
+    y = ranked.withColumnsRenamed({name: "b", "_n": "n_b", "_s": "_sb"})
+    met = x.join(y, [*by, "b", "_i"])
+    out = met.groupBy("a", "b", *by).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.bool_and(F.col("_sa").eqNullSafe(F.col("_sb"))).alias("_same"), F.max(F.abs(F.col("_sa") - F.col("_sb"))).alias("worst"))
+    return out.withColumn("identical", F.col("_same") & (F.col("n_a") == F.col("n_b"))).drop("_same")
+
+
+def copy_disagreement(decisions: DataFrame, pairs: DataFrame, name: str, by: list[str], value: str) -> DataFrame:
+    """Decisions of two copies under the same conditions: ``a, b, by, disagree``."""
+    x = pairs.join(decisions.select(*by, F.col(name).alias("a"), F.col(value).alias("_va")), "a")
+    return x.join(decisions.select(*by, F.col(name).alias("b"), F.col(value).alias("_vb")), ["b", *by]).select("a", "b", *by, (~F.col("_va").eqNullSafe(F.col("_vb"))).alias("disagree"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import normality as normal
 from ..functions import tails
 from ..functions.expressions import wilson
 from .sequence import average_ranks
@@ -30,6 +31,17 @@ def with_t_interval(df: DataFrame, n: str = "n", sd: str = "sd") -> DataFrame:
     return df.withColumn("ci95", F.when(F.col(n) > 1, tails.t_high()(F.col(n).cast("double")) * F.col(sd) / F.sqrt(F.col(n))))
 
 
+def cell_half_widths(df: DataFrame, by: list[str], metrics: list[str], keep: int = 2) -> DataFrame:
+    """The t interval of every metric in every cell, one row a metric: ``n, mean, half_width, half_width_pct`` (null for a mean of 0).
+
+    Null values are left out; a cell needs ``keep`` values of a metric.
+    """
+    long = df.select(*by, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(by, metrics, "metric", "value").filter(F.col("value").isNotNull())
+    s = long.groupBy(*by, "metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).filter(F.col("n") >= keep)
+    half = F.col("ci95")
+    return with_t_interval(s).select(*by, "metric", "n", "mean", half.alias("half_width"), F.when(F.col("mean") != 0, 100 * half / F.col("mean")).alias("half_width_pct"))
+
+
 def label_pairs(df: DataFrame, label: str, on: list[str], metric: str) -> DataFrame:
     """Paired values of every two labels (``a < b``) on the same cell: ``a, b, x, y``; nulls drop out."""
     rows = df.filter(F.col(metric).isNotNull()).select(*on, F.col(label).alias("l"), F.col(metric).alias("v"))
@@ -63,8 +75,13 @@ def anova(df: DataFrame, by: list[str], group: str, metric: str) -> DataFrame:
     return out.withColumn("f", F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k"))))
 
 
-def chi_square(df: DataFrame, factor: str, outcome: str) -> DataFrame:
-    """Independence of a factor and an outcome: one row ``chi2, dof, n`` (no Yates correction)."""
+def chi_square(df: DataFrame, factor: str, outcome: str, yates: bool = False) -> DataFrame:
+    """Independence of a factor and an outcome: one row ``chi2, dof, n``.
+
+    ``yates`` draws every count towards its expectation by one half at most if
+    there is one degree of freedom.  With one level of either there is
+    nothing to test: dof is 0 and chi2 is null.
+    """
     cells = df.groupBy(F.col(factor).alias("f"), F.col(outcome).alias("o")).agg(F.count("*").alias("n"))
     # the table has a row for each factor level and outcome, not for each observation
     grid = cells.select("f").distinct().crossJoin(cells.select("o").distinct())
@@ -72,7 +89,11 @@ def chi_square(df: DataFrame, factor: str, outcome: str) -> DataFrame:
     t = t.withColumns({"_r": F.sum("n").over(Window.partitionBy("f")), "_c": F.sum("n").over(Window.partitionBy("o"))})
     total = F.broadcast(cells.agg(F.sum("n").alias("_t")))
     e = F.col("_r") * F.col("_c") / F.col("_t")
-    return t.crossJoin(total).agg(F.sum(F.pow(F.col("n") - e, F.lit(2.0)) / e).alias("chi2"), ((F.countDistinct("f") - 1) * (F.countDistinct("o") - 1)).alias("dof"), F.max("_t").alias("n"))
+    square = lambda gap: F.sum(F.pow(gap, F.lit(2.0)) / e)
+    gap = F.abs(F.col("n") - e)
+    dof = (F.countDistinct("f") - 1) * (F.countDistinct("o") - 1)
+    chi2 = F.when(dof == 1, square(gap - F.least(gap, F.lit(0.5)))).otherwise(square(gap)) if yates else square(gap)
+    return t.crossJoin(total).agg(F.when(dof > 0, chi2).alias("chi2"), dof.alias("dof"), F.max("_t").alias("n"))
 
 
 def failure_shares(df: DataFrame, by: list[str], failed: str) -> DataFrame:
@@ -100,3 +121,78 @@ def mcnemar(pairs: DataFrame, a_hit: str, b_hit: str, by: list[str]) -> DataFram
     out = pairs.groupBy(*by).agg(F.count_if(F.col(a_hit) & ~F.col(b_hit)).alias("only_a"), F.count_if(~F.col(a_hit) & F.col(b_hit)).alias("only_b"))
     n = F.col("only_a") + F.col("only_b")
     return out.withColumn("chi2", F.try_divide(F.pow(F.greatest(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(0)).cast("double"), F.lit(2.0)), n))
+
+
+def normality(diffs: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Shapiro-Wilk of each group: ``n, w, p``; p is 0 for equal values, both are null outside of 3 to 5,000 values.
+
+    Only groups in that range are ordered, so a window holds 5,000 rows at
+    most; scores of the ranks are added up in Spark and the statistic is made
+    on one row a group.
+    """
+    v = F.col(value)
+    size = diffs.groupBy(*by).agg(F.count(v).alias("n"), (F.var_pop(v) * F.count(v)).alias("_ss"), (F.max(v) - F.min(v)).alias("_span"), F.max(F.abs(v)).alias("_most"))
+    fit = size.filter(F.col("n").between(normal.LEAST, normal.MOST))
+    w = Window.partitionBy(*by).orderBy("_v")
+    rows = diffs.filter(v.isNotNull()).select(*by, v.cast("double").alias("_v")).join(fit.select(*by, "n"), by)
+    rows = rows.withColumn("_i", F.row_number().over(w))
+    rows = rows.withColumn("_m", tails.blom_score()(F.col("_i").cast("double"), F.col("n").cast("double")))
+    at = lambda i: F.max(F.when(F.col("_i") == i, F.col("_v")))
+    sums = rows.groupBy(*by).agg(F.sum(F.col("_m") * F.col("_v")).alias("_mx"), F.sum(F.col("_m") * F.col("_m")).alias("_mm"), at(1).alias("_e1"), at(2).alias("_e2"), at(F.col("n") - 1).alias("_e3"), at(F.col("n")).alias("_e4"))
+    out = size.join(sums, by, "left")
+    constant = F.col("_span") <= 1e-8 + 1e-5 * F.col("_most")
+    out = out.withColumn("w", F.when(~constant, tails.shapiro_w()(F.array(F.col("n").cast("double"), "_mx", "_mm", "_e1", "_e2", "_e3", "_e4", "_ss"))))
+    p = F.when(F.col("w").isNotNull(), tails.shapiro_p()(F.col("w"), F.col("n").cast("double")))
+    return out.withColumn("p", F.when(constant & F.col("_mx").isNotNull(), 0.0).otherwise(p)).select(*by, "n", "w", "p")
+
+
+def signed_rank_tests(pairs: DataFrame) -> DataFrame:
+    """Two-sided signed-rank test of each pair of labels: ``n`` differences that are not 0, ``w`` (the smaller rank sum), effect ``r``, ``p``, ``exact``.
+
+    p is exact up to 50 untied differences without zeros, normal beyond; if
+    all differences are 0, w is null, p is 1 and r is 0.
+    """
+    d = pairs.withColumn("_d", F.col("y") - F.col("x")).withColumn("_abs", F.abs("_d"))
+    zeros = d.groupBy("a", "b").agg(F.count_if(F.col("_d") == 0).alias("zeros"))
+    some = d.filter(F.col("_d") != 0)
+    ties = some.groupBy("a", "b", "_abs").agg(F.count("*").alias("t")).groupBy("a", "b").agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
+    ranked = average_ranks(some, ["a", "b"], "_abs", "_rank")
+    s = ranked.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_rank")).otherwise(0)).alias("plus"), F.sum("_rank").alias("all")).join(ties, ["a", "b"])
+    out = zeros.join(s, ["a", "b"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "w": F.least(F.col("plus"), F.col("all") - F.col("plus"))})
+    exact = (F.col("n") <= normal.EXACT) & (F.col("ties") == 0) & (F.col("zeros") == 0)
+    p = F.when(exact, tails.signed_rank_p()(F.col("n").cast("double"), "w")).otherwise(tails.signed_rank_normal()(F.col("n").cast("double"), "w", "ties"))
+    z = (F.col("w") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24)
+    none = F.col("n") == 0
+    return out.select("a", "b", "n", "w", F.when(none, 0.0).otherwise(F.abs(z) / F.sqrt("n")).alias("r"), F.when(none, 1.0).otherwise(p).alias("p"), F.coalesce(exact, F.lit(False)).alias("exact"))
+
+
+def gated_tests(df: DataFrame, label: str, on: list[str], metric: str, alpha: float = 0.05) -> DataFrame:
+    """Every two labels compared on the same cells: the t test where the differences pass for normal, signed ranks elsewhere.
+
+    Pairs of labels with fewer than three cells in common have the status
+    ``insufficient`` and no p.  Bonferroni counts all pairs of labels.
+    """
+    from .decide import bonferroni
+
+    rows = df.filter(F.col(label).isNotNull())
+    names = rows.select(F.col(label).alias("l")).distinct()
+    all_pairs = F.broadcast(names.select(F.col("l").alias("a"))).join(F.broadcast(names.select(F.col("l").alias("b"))), F.col("a") < F.col("b"))  # pairs of label names
+    pairs = label_pairs(rows, label, on, metric)
+    gate = normality(pairs.withColumn("_d", F.col("x") - F.col("y")), ["a", "b"], "_d").select("a", "b", F.col("p").alias("shapiro_p"))
+    t = paired_t(pairs).select("a", "b", F.col("n").alias("n_pairs"), (-F.col("mean_diff")).alias("mean_diff"), (-F.col("t")).alias("t"), (-F.col("d_z")).alias("d_z"))
+    w = signed_rank_tests(pairs).select("a", "b", "w", "r", F.col("p").alias("p_w"))
+    met = all_pairs.join(t, ["a", "b"], "left").join(gate, ["a", "b"], "left").join(w, ["a", "b"], "left").fillna(0, ["n_pairs"])
+    few = F.col("n_pairs") < 3
+    by_t = F.coalesce(F.col("shapiro_p") > alpha, F.lit(False)) & F.col("t").isNotNull()
+    p = F.when(~few, F.when(by_t, tails.t_p()("t", F.col("n_pairs") - 1.0)).otherwise(F.col("p_w")))
+    out = met.select(
+        "a",
+        "b",
+        "n_pairs",
+        F.when(few, "insufficient").when(by_t, "paired-t").otherwise("signed-ranks").alias("test"),
+        *(F.when(~few, F.col(c)).alias(c) for c in ("mean_diff", "shapiro_p")),
+        F.when(~few, F.when(by_t, F.col("t")).otherwise(F.col("w"))).alias("statistic"),
+        p.alias("p"),
+        F.when(~few, F.when(by_t, F.col("d_z")).otherwise(F.col("r"))).alias("effect"),
+    )
+    return bonferroni(out, "p", alpha, every_row=True)

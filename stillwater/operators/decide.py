@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bonferroni(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
-    """Add ``p_bonferroni`` and ``significant`` over all rows of a table of tests; null p values are not tests."""
-    tests = F.broadcast(df.agg(F.count(p).alias("_m")))  # one row
+def bonferroni(df: DataFrame, p: str, alpha: float = 0.05, every_row: bool = False) -> DataFrame:
+    """Add ``p_bonferroni`` and ``significant`` over all rows of a table of tests.
+
+    Null p values are not tests; with ``every_row`` they count as comparisons
+    all the same, and are not significant.
+    """
+    tests = F.broadcast(df.agg((F.count("*") if every_row else F.count(p)).alias("_m")))  # one row
     out = df.crossJoin(tests).withColumn("p_bonferroni", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * F.col("_m"))))
-    return out.withColumn("significant", F.col("p_bonferroni") < alpha).drop("_m")
+    significant = F.col("p_bonferroni") < alpha
+    return out.withColumn("significant", F.coalesce(significant, F.lit(False)) if every_row else significant).drop("_m")
 
 
 def serial_client(df: DataFrame, transfer: str, infer: str, post: str, period: str | Column) -> DataFrame:
@@ -122,3 +127,15 @@ def regime_shift(df: DataFrame, cell: list[str], regime: str, metric: str, befor
     one = lambda r: F.when(F.col(regime) == r, F.col(metric))
     out = df.groupBy(*cell).agg(F.count(one(before)).alias("n_before"), F.count(one(after)).alias("n_after"), F.avg(one(before)).alias("mean_before"), F.avg(one(after)).alias("mean_after"))
     return out.filter("n_before > 0 and n_after > 0").withColumn("shift", F.col("mean_after") - F.col("mean_before"))
+
+
+def by_prefix(names: DataFrame, stems: DataFrame, name: str, stem: str) -> DataFrame:
+    """Every name with every stem that it begins with: an equality on prefixes in place of a test of all pairs.
+
+    A name is cut to the lengths that stems have (found by an aggregate) and
+    meets the stems by value.  Empty and null stems match nothing.
+    """
+    some = stems.filter(F.length(stem) > 0)
+    lengths = F.broadcast(some.agg(F.sort_array(F.collect_set(F.length(stem))).alias("_lengths")))  # one row, as many numbers as lengths
+    cut = names.crossJoin(lengths).withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length(name)))).drop("_lengths")
+    return cut.withColumn("_cut", F.substring(F.col(name), F.lit(1), F.col("_n"))).join(some, F.col("_cut") == F.col(stem)).drop("_cut", "_n")

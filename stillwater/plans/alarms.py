@@ -155,25 +155,6 @@ def far_intervals(spark, sf_dir):
     return _curve(spark, sf_dir).select("model", "threshold", "far_h", F.round(tails.garwood_low()(n) / h, 6).alias("low"), F.round(tails.garwood_high()(n) / h, 6).alias("high"))
 
 
-@register(f"""with {CORPUS}, q as (select *, case when score >= 7 then 1 else 0 end as q from c),
-    b as (select *, sum(1 - q) over (partition by model, clip order by {SEQ}) as brk from q),
-    i as (select model, clip, brk, sum(q) as n, sum(l_quantity) as quantity from b group by all),
-    k as (select model, clip, count(*) filter (where n >= 3) as n, sum(quantity) / 60.0 as hours from i group by model, clip),
-    p(i, s) as (values (0, 0.36787944117144233), (1, 0.7357588823428847), (2, 0.9196986029286058), (3, 0.9810118431238462), (4, 0.9963401531726563), (5, 0.9994058151824183), (6, 0.9999167588507119), (7, 0.9999897508033253), (8, 0.9999988747974021)),
-    u as (select clip, rep, ('0x' || substr(md5(rep || '-' || clip), 1, 8))::bigint / 4294967296.0 as u from (select distinct clip from c), (select unnest(range(0, 40)) as rep)),
-    w as (select clip, rep, (select count(*) from p where u >= s) as weight from u),
-    x as (select model, rep, sum(n * weight) / sum(hours * weight) as far from k join w using (clip) group by model, rep)
-    select model, round(quantile_cont(far, 0.025), 6) as low, round(quantile_cont(far, 0.975), 6) as high from x group by model""")
-def far_bootstrap(spark, sf_dir):
-    """Resampling of clips with draws shared by all models."""
-    c = corpus(spark, sf_dir)
-    n = S.episodes(c, ["model", "clip"], CORPUS_ORDER, F.col("score") >= 7, 3)
-    hours = c.groupBy("model", "clip").agg((F.sum("l_quantity") / 60.0).alias("hours"))
-    w = C.replicate_weights(c.select("clip").distinct(), F.col("clip"), 40)
-    x = n.join(hours, ["model", "clip"]).join(w, "clip").groupBy("model", "rep").agg((F.sum(F.col("n_episodes") * F.col("weight")) / F.sum(F.col("hours") * F.col("weight"))).alias("far"))
-    return x.groupBy("model").agg(F.round(F.percentile("far", 0.025), 6).alias("low"), F.round(F.percentile("far", 0.975), 6).alias("high"))
-
-
 @register(f"""with {RUNS}, n as (select model, config, sum(fp_pre::int) / 360.0 as lam from r group by model, config)
     select model, config, round(avg(1 - exp(-lam * followup)), 6) as chance, round(avg(hit::int), 6) as hit_share from r join n using (model, config) group by model, config""")
 def chance_level(spark, sf_dir):

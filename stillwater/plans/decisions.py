@@ -213,15 +213,17 @@ def concurrency_shift(spark, sf_dir):
 REPLICATES = 1000
 
 
-def _full_bootstrap_sql():
-    from .registry import _SQL
-
-    return _SQL["far_bootstrap"].replace("range(0, 40)", f"range(0, {REPLICATES})")
-
-
-@register(_full_bootstrap_sql())
+@register(f"""with {CORPUS}, q as (select *, case when score >= 7 then 1 else 0 end as q from c),
+    b as (select *, sum(1 - q) over (partition by model, clip order by {SEQ}) as brk from q),
+    i as (select model, clip, brk, sum(q) as n, sum(l_quantity) as quantity from b group by all),
+    k as (select model, clip, count(*) filter (where n >= 3) as n, sum(quantity) / 60.0 as hours from i group by model, clip),
+    p(i, s) as (values (0, 0.36787944117144233), (1, 0.7357588823428847), (2, 0.9196986029286058), (3, 0.9810118431238462), (4, 0.9963401531726563), (5, 0.9994058151824183), (6, 0.9999167588507119), (7, 0.9999897508033253), (8, 0.9999988747974021)),
+    u as (select clip, rep, ('0x' || substr(md5(rep || '-' || clip), 1, 8))::bigint / 4294967296.0 as u from (select distinct clip from c), (select unnest(range(0, {REPLICATES})) as rep)),
+    w as (select clip, rep, (select count(*) from p where u >= s) as weight from u),
+    x as (select model, rep, sum(n * weight) / sum(hours * weight) as far from k join w using (clip) group by model, rep)
+    select model, round(quantile_cont(far, 0.025), 6) as low, round(quantile_cont(far, 0.975), 6) as high from x group by model""")
 def far_bootstrap_full(spark, sf_dir):
-    """As far_bootstrap, with 1,000 replicates; clips are counted once before they meet the draws."""
+    """As far_bootstrap, but each clip's weight is a Poisson draw of its own; clips are counted once before they meet the draws."""
     c = corpus(spark, sf_dir)
     n = S.episodes(c, ["model", "clip"], CORPUS_ORDER, F.col("score") >= 7, 3)
     hours = c.groupBy("model", "clip").agg((F.sum("l_quantity") / 60.0).alias("hours"))

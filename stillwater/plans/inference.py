@@ -166,7 +166,7 @@ def hazard_ratios(spark, sf_dir):
     r = r.withColumns({n: (F.col("config") == k).cast("int") for k, n in enumerate(names, 1)})
     out = V.cox(r, names, "duration", "hit", cluster="scenario" if r.select("scenario").distinct().count() > 1 else None)
     schema = "covariate string, coef double, hr double, se double, z double, n_events int, converged boolean"
-    return spark.createDataFrame([tuple(x.values()) for x in out], schema)
+    return spark.createDataFrame([tuple(x[f.split()[0]] for f in schema.split(", ")) for x in out], schema)
 
 
 @register(f"""with {FRAMES}, b as (select config, cls, count(*) as n, avg(value) as m from f group by 1, 2) select config, cls, n, round(m, 6) as mean, round(m / nullif(max(case when config = 0 then m end) over (partition by cls), 0), 6) as ratio from b""")

@@ -83,4 +83,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import alarms, audits, decisions, inference, logs, points, reruns  # noqa: F401
+    from . import alarms, audits, cells, decisions, hazards, inference, logs, points, reruns, resampling  # noqa: F401
