@@ -21,58 +21,118 @@ def confidence_trace(records: DataFrame, classes: list[str] | None = None) -> Da
     return f.select("run_id", "frame_idx", ms(F.col("t_post"), F.col("t_onset")).alias("t_rel_onset_ms"), max_confidence("detections", classes).alias("max_conf"))
 
 
-def run_metrics(records: DataFrame, classes: list[str], threshold: float = 0.5, k: int = 3, timeout_s: float = 30.0, window_ms: int = 1000) -> DataFrame:
-    """The run table: counts, operational, measured and windowed alarm, the five parts of the time to alarm, per-frame means.
+#: Stamps of a frame and what was found in it.
+_FRAME = ["t_capture", "t_decode", "t_pre", "t_send", "t_recv_server", "t_resp_send", "t_resp_recv", "t_infer_start", "t_infer_end", "t_post", "detections"]
 
-    The parts add up to the time to alarm exactly, as the last is what remains.
-    A run whose alarm has no onset or no frame has null parts.
+
+def judged_runs(records: DataFrame, classes: list[str], threshold: float = 0.5, k: int = 3, timeout_s: float = 30.0, window_ms: int = 1000) -> DataFrame:
+    """One row a run: counts, operational, measured and windowed alarm with their parts, per-frame means, and ``error``.
+
+    The five parts add up to the time to alarm exactly, as the last is what
+    remains; ``dt_confirm_window_ms`` and ``dt_decision_ms`` are what it is
+    made of: from the onset to the alarm's frame, and from that frame's result
+    to the alarm.  The measured alarm is the first streak of ``k`` that is
+    complete at or after the onset, the windowed one ``k`` qualifying frames
+    within ``window_ms``.  Without an onset all times since it are null, but
+    the means over frames stand.
+
+    ``error`` names what makes a run unusable, null if nothing does: no
+    header, an alarm without an onset, an alarm that counts without the record
+    of its frame or of that frame's emission, a transfer without the answer's stamps.
     """
-    frame_cols = ["t_capture", "t_decode", "t_pre", "t_send", "t_recv_server", "t_resp_send", "t_resp_recv", "t_infer_start", "t_infer_end", "t_post", "detections"]
-    frames = _last(records, "frame", ["run_id", "frame_idx"], frame_cols, "t_post")
+    frames = _last(records, "frame", ["run_id", "frame_idx"], _FRAME, "t_post")
     emits = _last(records, "emit", ["run_id", "frame_idx"], ["t"], "t").withColumnRenamed("t", "t_emit")
-    onset = records.filter("type = 'onset_ref'").groupBy("run_id").agg(F.max("t").alias("t_onset"))
-    alarm = records.filter("type = 'alarm'").groupBy("run_id").agg(F.min_by(F.struct("frame_idx", F.col("t").alias("t_alarm")), "t").alias("a")).select("run_id", "a.*")
-    counts = records.groupBy("run_id").agg(F.count_if(F.col("type") == "emit").alias("n_frames_emitted"), F.count_if(F.col("type") == "drop").alias("n_drops"), F.max(F.when(F.col("type") == "end", F.col("reason"))).alias("end_reason"))
+    of = lambda kind, value: F.when(F.col("type") == kind, value)
+    alarm_of = F.min_by(of("alarm", F.struct("frame_idx", F.col("t").alias("t_alarm"))), of("alarm", F.col("t")))
+    runs = records.groupBy("run_id").agg(
+        F.count_if(F.col("type") == "header").alias("_headers"),
+        F.count_if(F.col("type") == "emit").alias("n_frames_emitted"),
+        F.count_if(F.col("type") == "drop").alias("n_drops"),
+        F.max(of("onset_ref", F.col("t"))).alias("t_onset"),
+        alarm_of.alias("_alarm"),
+        F.max(of("end", F.coalesce("reason", F.lit("unknown")))).alias("end_reason"),
+    )
+    runs = runs.select("run_id", "_headers", "n_frames_emitted", "n_drops", "t_onset", F.col("_alarm.frame_idx").alias("_at"), "_alarm.t_alarm", "end_reason")
 
-    round_trip = F.when(F.col("t_send").isNotNull() & F.col("t_recv_server").isNotNull(), ms(F.col("t_recv_server"), F.col("t_send")) + F.coalesce(ms(F.col("t_resp_recv"), F.col("t_resp_send")), F.lit(0.0))).otherwise(0.0)
-    parts = {"dt_acq": ms(F.col("t_capture"), F.col("t_emit")), "dt_transfer": round_trip, "dt_infer": ms(F.col("t_infer_end"), F.col("t_infer_start")), "dt_post": ms(F.col("t_post"), F.col("t_infer_end"))}
-    f = frames.join(emits, ["run_id", "frame_idx"], "left").join(onset, "run_id", "left").withColumns(parts)
-    f = with_streak(f, ["run_id"], ["frame_idx"], qualifies("detections", classes, threshold))
+    sent = F.col("t_send").isNotNull() & F.col("t_recv_server").isNotNull()
+    transfer = ms(F.col("t_recv_server"), F.col("t_send")) + ms(F.col("t_resp_recv"), F.col("t_resp_send"))
+    parts = {"dt_acq": ms(F.col("t_capture"), F.col("t_emit")), "dt_transfer": F.when(sent, transfer).otherwise(0.0), "dt_infer": ms(F.col("t_infer_end"), F.col("t_infer_start")), "dt_post": ms(F.col("t_post"), F.col("t_infer_end"))}
+    f = frames.join(emits, ["run_id", "frame_idx"], "left").join(runs.select("run_id", "t_onset", "_at"), "run_id")
+    f = with_streak(f.withColumns({**parts, "_sent": sent}), ["run_id"], ["frame_idx"], qualifies("detections", classes, threshold))
     measured = first_fire(f, ["run_id"], "t_post", "t_onset", k).drop("t_onset")
-    windowed = windowed_fire(f, ["run_id"], ["t_post", "frame_idx"], "t_post", "t_onset", F.col("streak") >= 1, k, window_ms * 1_000_000)
-    means = f.groupBy("run_id").agg(F.count("*").alias("n_frames_processed"), *(F.avg(c).alias(f"pf_{c}_ms") for c in parts), F.median("dt_infer").alias("pf_dt_infer_median_ms"))
-    at_alarm = alarm.join(f.select("run_id", "frame_idx", *parts), ["run_id", "frame_idx"], "left")
-    limit = timeout_s * 1000
+    windowed = windowed_fire(f, ["run_id"], ["frame_idx"], "t_post", "t_onset", F.col("streak") >= 1, k, window_ms * 1_000_000)
+    at = F.struct("t_post", "t_emit", *parts)
+    fired = (F.col("streak") >= k) & (F.col("t_post") >= F.col("t_onset"))
+    per_run = f.groupBy("run_id").agg(
+        F.count("*").alias("n_frames_processed"),
+        *(F.avg(c).alias(f"pf_{c}_ms") for c in ("dt_acq", "dt_infer", "dt_post")),
+        F.coalesce(F.avg(F.when(F.col("_sent"), F.col("dt_transfer"))), F.lit(0.0)).alias("pf_dt_transfer_ms"),
+        F.median("dt_infer").alias("pf_dt_infer_median_ms"),
+        F.count_if(F.col("_sent") & F.col("dt_transfer").isNull()).alias("_unanswered"),
+        F.max(F.when(F.col("frame_idx") == F.col("_at"), at)).alias("_alarm_frame"),
+        F.min_by(F.when(fired, at), F.when(fired, F.col("frame_idx"))).alias("_measured"),
+    )
 
-    out = counts.join(onset, "run_id", "left").join(at_alarm, "run_id", "left").join(measured, "run_id", "left").join(windowed, "run_id", "left").join(means, "run_id", "left")
-    since = lambda c: ms(F.col(c), F.col("t_onset"))
-    hit = F.coalesce((F.col("t_alarm") >= F.col("t_onset")) & (since("t_alarm") <= limit), F.lit(False))
-    rest = since("t_alarm") - F.col("dt_acq") - F.col("dt_transfer") - F.col("dt_infer") - F.col("dt_post")
-    within = lambda c: F.when(since(c) <= limit, since(c))
-    return out.withColumn("n_frames_processed", F.coalesce("n_frames_processed", F.lit(0))).select(
+    out = runs.join(per_run, "run_id", "left").join(measured, "run_id", "left").join(windowed, "run_id", "left")
+    since = lambda t: ms(t, F.col("t_onset"))
+    limit = timeout_s * 1000
+    hit = F.coalesce((F.col("t_alarm") >= F.col("t_onset")) & (since(F.col("t_alarm")) <= limit), F.lit(False))
+    alarm, meas = F.col("_alarm_frame"), F.col("_measured")
+    meas_hit = F.coalesce((since(meas.t_post) <= limit) & meas.t_emit.isNotNull(), F.lit(False))
+    win_hit = F.coalesce(since(F.col("t_window")) <= limit, F.lit(False))
+    rest = lambda total, frame: total - frame.dt_acq - frame.dt_transfer - frame.dt_infer - frame.dt_post
+    processed = F.coalesce("n_frames_processed", F.lit(0).cast("long"))
+    error = (
+        F.when(F.col("_headers") == 0, "no header")
+        .when(F.col("t_alarm").isNotNull() & F.col("t_onset").isNull(), "alarm without onset")
+        .when(hit & alarm.t_post.isNull(), "alarm without its frame")
+        .when(hit & alarm.t_emit.isNull(), "alarm without its emission")
+        .when(F.col("_unanswered") > 0, "transfer without an answer")
+    )
+    total = sum((F.coalesce(f"pf_{c}_ms", F.lit(0.0)) for c in ("dt_transfer", "dt_infer", "dt_post")), F.coalesce("pf_dt_acq_ms", F.lit(0.0)))
+    return out.select(
         "run_id",
         "n_frames_emitted",
-        "n_frames_processed",
+        processed.alias("n_frames_processed"),
         "n_drops",
-        drop_rate(F.col("n_drops"), F.col("n_frames_processed")).alias("drop_rate"),
+        drop_rate(F.col("n_drops"), processed).alias("drop_rate"),
         hit.alias("hit"),
         (~hit).alias("miss"),
         F.coalesce(F.col("t_alarm") < F.col("t_onset"), F.lit(False)).alias("false_alarm_pre_onset"),
-        F.when(hit, since("t_alarm")).alias("ttd_ms"),
-        *(F.when(hit, F.col(c)).alias(f"{c}_ms") for c in parts),
-        F.when(hit, rest).alias("dt_alarm_ms"),
-        within("t_fire").alias("ttd_meas_ms"),
-        within("t_window").alias("ttd_win_ms"),
-        since("t_first_detection").alias("t_first_det_ms"),
-        since("t_last").alias("followup_ms"),
-        F.col("n_post").alias("n_frames_post_onset"),
-        F.col("n_qualifying_post").alias("n_qualifying_post_onset"),
+        F.when(hit, since(F.col("t_alarm"))).alias("ttd_ms"),
+        *(F.when(hit, alarm[c]).alias(f"{c}_ms") for c in parts),
+        F.when(hit, rest(since(F.col("t_alarm")), alarm)).alias("dt_alarm_ms"),
+        F.when(hit, since(alarm.t_emit)).alias("dt_confirm_window_ms"),
+        F.when(hit, ms(F.col("t_alarm"), alarm.t_post)).alias("dt_decision_ms"),
+        meas_hit.alias("meas_hit"),
+        F.when(meas_hit, since(meas.t_post)).alias("ttd_meas_ms"),
+        *(F.when(meas_hit, meas[c]).alias(f"{c}_meas_ms") for c in parts),
+        F.when(meas_hit, rest(since(meas.t_post), meas)).alias("dt_alarm_meas_ms"),
+        win_hit.alias("win_hit"),
+        F.when(win_hit, since(F.col("t_window"))).alias("ttd_win_ms"),
+        F.when(F.col("t_onset").isNotNull() & (processed > 0), F.lit(float(window_ms))).alias("win_ms"),
+        since(F.col("t_first_detection")).alias("t_first_det_ms"),
+        F.when(meas_hit, ms(meas.t_post, F.col("t_first_detection"))).alias("t_accum_ms"),
+        since(F.col("t_last")).alias("followup_ms"),
+        F.coalesce("n_post", F.lit(0).cast("long")).alias("n_frames_post_onset"),
+        F.coalesce("n_qualifying_post", F.lit(0).cast("long")).alias("n_qualifying_post_onset"),
         *(f"pf_{c}_ms" for c in parts),
         "pf_dt_infer_median_ms",
-        "end_reason",
+        F.when(processed > 0, total).alias("pf_latency_ms"),
+        F.col("pf_dt_infer_ms").alias("mean_frame_infer_ms"),
+        F.coalesce("end_reason", F.lit("unknown")).alias("end_reason"),
+        error.alias("error"),
     )
 
 
+def run_metrics(records: DataFrame, classes: list[str], threshold: float = 0.5, k: int = 3, timeout_s: float = 30.0, window_ms: int = 1000, strict: bool = False) -> DataFrame:
+    """The rows of ``judged_runs`` without an error; strict stops at the first run that has one."""
+    judged = judged_runs(records, classes, threshold, k, timeout_s, window_ms)
+    if strict and (bad := judged.filter("error is not null").select("run_id", "error").first()):
+        raise ValueError(f"run {bad['run_id']}: {bad['error']}")
+    return judged.filter("error is null").drop("error")
+
+
 def with_labels(metrics: DataFrame, headers: DataFrame) -> DataFrame:
     """Attach the cell of each run and its configuration label."""
     h = headers.select("run_id", "hostname", "deployment", F.coalesce("network_profile", F.lit("none")).alias("network_profile"), "model", "scenario", "repetition", "seed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,14 +22,26 @@ LOG_SCHEMA = """
 """
 
 
-def read_logs(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """All records with ``run_id`` (the file's stem), and the runs that have a line which can't be parsed.
+def read_logs(spark: SparkSession, path: str, strict: bool = False, run_field: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """All records with ``run_id``, and the runs that have a line which can't be parsed.
 
-    Strict reading fails at such a line; else the whole run is set aside and its records are left out.
+    A run is a file, named by its stem; where files hold many runs, each line
+    names its run in ``run_field``.  Strict reading fails at a line that can't
+    be parsed; else the whole run is set aside and its records are left out.
+    A broken line of a shared file belongs to the run that it still names; if
+    it names none it is the run null, which has no records.
     """
     schema = StructType.fromDDL(LOG_SCHEMA)
+    if run_field:
+        schema = schema.add(run_field, "string")
     reader = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-    records = reader.json(path).withColumn("run_id", F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.jsonl$", 1))
+    records = reader.json(path)
+    if run_field:
+        named = F.nullif(F.regexp_extract("_corrupt_record", rf'"{re.escape(run_field)}"\s*:\s*"?([^",}}]+)', 1), F.lit(""))
+        records = records.withColumn("run_id", F.coalesce(run_field, named))
+        records = records if run_field == "run_id" else records.drop(run_field)
+    else:
+        records = records.withColumn("run_id", F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.jsonl$", 1))
     if strict:
         return records.drop("_corrupt_record"), records.select("run_id").limit(0)
     bad = records.filter(F.col("_corrupt_record").isNotNull() | F.col("type").isNull()).select("run_id").distinct()
@@ -40,8 +54,11 @@ def headers(records: DataFrame) -> DataFrame:
     return h.select("run_id", "h.hostname", F.to_timestamp("h.wallclock_utc").alias("started"), "h.git_hash", "h.config_hash", "h.cell.*", "h.libs", "h.gpu_compute_apps")
 
 
-def write_logs(records: DataFrame, path: str) -> None:
-    """Append records as lines; earlier files stay."""
+def write_logs(records: DataFrame, path: str, run: str | None = None, files: int | None = None) -> None:
+    """Append records as lines; earlier files stay.  With ``run`` the lines of a run stand together, in ``files`` files for all runs."""
+    if run:
+        files = files or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        records = records.repartition(files, run).sortWithinPartitions(run)
     records.write.mode("append").json(path)
 
 

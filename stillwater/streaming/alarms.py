@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,28 +13,34 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUT = "key long, t long, rule string"
 
 
+def rule_times(ok: np.ndarray, t: np.ndarray, k: int, width: int, streak: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Times of episodes and of windows in new observations in order, with the streak and the last qualifying times to carry on.
+
+    ``streak`` and ``last`` are what earlier observations left behind.
+    """
+    n = np.arange(len(ok))
+    failed = np.maximum.accumulate(np.where(ok, -1, n)) if len(ok) else n
+    run = np.where(ok, n - failed + np.where(failed < 0, streak, 0), 0)
+    met = np.concatenate([last, t[ok]])
+    back = np.full(len(met), np.iinfo(np.int64).min)
+    if k <= len(met):
+        back[k - 1 :] = met[: len(met) - k + 1]
+    new = np.arange(len(met)) >= len(last)
+    inside = new & (np.arange(len(met)) >= k - 1) & (met - np.where(back < 0, 0, back) <= width)
+    return t[run == k], met[inside], int(run[-1]) if len(ok) else streak, met[-k:]
+
+
 def _rules(k: int, width: int):
-    """One pass over the new observations of a key: state is the streak, whether it has fired, and the last qualifying times."""
+    """The new observations of a key at once: state is the streak, whether it has fired, and the last qualifying times."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, fired, last = state.get if state.exists else (0, False, [])
-        last, out = list(last), []
         rows = pd.concat(list(frames)).sort_values(["t", "seq"], kind="stable")
-        for t, ok in zip(rows["t"], rows["ok"]):
-            if not ok:
-                streak = 0
-                continue
-            streak += 1
-            last = [*last, int(t)][-k:]
-            if streak == k:  # re-armed by the first observation that fails
-                out.append((key[0], int(t), "episode"))
-                if not fired:
-                    fired = True
-                    out.append((key[0], int(t), "first"))
-            if len(last) == k and t - last[0] <= width:
-                out.append((key[0], int(t), "window"))
-        state.update((streak, fired, last))
-        yield pd.DataFrame(out, columns=["key", "t", "rule"]).astype({"key": "int64", "t": "int64"})
+        episodes, windows, streak, last = rule_times(rows["ok"].to_numpy(bool), rows["t"].to_numpy(np.int64), k, width, streak, np.asarray(last, np.int64))
+        first = episodes[: 0 if fired else 1]
+        state.update((streak, bool(fired or len(first)), [int(x) for x in last]))
+        times = {"episode": episodes, "first": first, "window": windows}  # re-armed, single shot, k within the width
+        yield pd.DataFrame({"key": np.full(sum(map(len, times.values())), key[0], np.int64), "t": np.concatenate([*times.values()]), "rule": np.repeat([*times], [*map(len, times.values())])})
 
     return run
 
@@ -62,23 +69,24 @@ def replay_safe(df: DataFrame, key: str, seq: str, time: str, delay: str = "1 ho
 def finished_runs(stream: DataFrame, run: str, ended: Column, summary: list[Column], at: str) -> DataFrame:
     """Aggregate the finished runs of a stream, which may be done again while more records come in.
 
-    Each micro-batch is written to the shared folder ``at`` under its number (so a
-    batch that is done twice replaces itself).  The runs that it touches and that have an
-    end in any batch so far are aggregated from all their records; of the rows
-    of a run the one of the latest batch counts.  Runs without an end are left out.
+    The state of a run is its partial aggregates, to which each micro-batch
+    adds; no record is read twice.  The rows of the runs that a batch touches
+    and that have an end are written to the shared folder ``at`` under its
+    number, so a batch that is done twice replaces itself; of the rows of a
+    run the one of the latest batch counts.  Runs without an end and records
+    without a run are left out; a stream without records gives an empty table.
     """
-    spark, schema = stream.sparkSession, stream.schema
+    spark = stream.sparkSession
+    state = stream.filter(F.col(run).isNotNull()).groupBy(run).agg(F.bool_or(F.coalesce(ended, F.lit(False))).alias("_done"), *summary)
+    schema = state.drop("_done").schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{at}/runs/batch=-1")
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/records/batch={number}")
-        seen = batch.sparkSession.read.schema(schema).option("basePath", f"{at}/records").parquet(f"{at}/records")
-        rows = seen.join(batch.select(run).distinct(), run, "left_semi")
-        done = rows.groupBy(run).agg(F.bool_or(F.coalesce(ended, F.lit(False))).alias("_done"), *summary).filter("_done").drop("_done")
-        done.write.mode("overwrite").parquet(f"{at}/runs/batch={number}")
+        batch.filter("_done").drop("_done").write.mode("overwrite").parquet(f"{at}/runs/batch={number}")
 
-    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q = state.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    rows = spark.read.parquet(f"{at}/runs")
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(f"{at}/runs")
     latest = rows.groupBy(run).agg(F.max("batch").alias("batch"))
     return rows.join(latest, [run, "batch"]).drop("batch")
 

@@ -82,7 +82,7 @@ def write(tmp_path, runs):
 
 
 def test_known_run(spark, tmp_path):
-    runs = {"a": known_run(), "late": known_run(400 * MS + 31_000 * MS), "none": known_run(onset=False), "drops": known_run(drops=20), "bad": [*known_run(), "{not json"]}
+    runs = {"a": known_run(), "late": known_run(400 * MS + 31_000 * MS), "none": known_run(onset=False)[:-1], "odd": known_run(onset=False), "drops": known_run(drops=20), "bad": [*known_run(), "{not json"]}
     records, bad = read_logs(spark, write(tmp_path, runs))
     assert [x.run_id for x in bad.collect()] == ["bad"]
     got = {x.run_id: x for x in run_metrics(records, ["gun"]).collect()}
