@@ -153,8 +153,9 @@ def regime_from_first(df: DataFrame, by: list[str], time: str, event: Column, be
 
 
 def holm(df: DataFrame, by: list[str], p: str, ties: list[str]) -> DataFrame:
-    """Step-down adjusted p values and Bonferroni's, within each group of tests."""
+    """Step-down adjusted p values and Bonferroni's, within each group of tests; null p values are not tests."""
     w = Window.partitionBy(*by)
-    order = w.orderBy(p, *ties)
+    order = w.orderBy(F.asc_nulls_last(p), *ties)
     df = df.withColumn("_m", F.count(p).over(w)).withColumn("_step", (F.col("_m") - F.row_number().over(order) + 1) * F.col(p))
-    return df.withColumns({"p_holm": F.least(F.lit(1.0), F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))), "p_bonferroni": F.least(F.lit(1.0), F.col(p) * F.col("_m"))}).drop("_m", "_step")
+    upto = F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumns({"p_holm": F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), upto)), "p_bonferroni": F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * F.col("_m")))}).drop("_m", "_step")

@@ -9,7 +9,7 @@ from ..functions import expressions as X
 from ..functions import tails
 from ..operators import calibrate as C
 from ..operators import sequence as S
-from .registry import CORPUS, FRAMES, RUNS, STREAKS, register
+from .registry import CORPUS, FRAMES, RUNS, STREAKS, poisson_limit, register
 from .views import CORPUS_ORDER, corpus, frames, runs, table, with_onset
 
 #: The order of a corpus sequence in SQL.
@@ -148,9 +148,10 @@ def far_calibration(spark, sf_dir):
     return C.calibrate(_curve(spark, sf_dir), ["model"], targets).withColumn("achieved", F.round("achieved", 6))
 
 
-@register()
+@register(f"""with {EPISODES}, {HOURS}, l as (select n_episodes, case when n_episodes > 0 then {poisson_limit("(n_episodes - 1)", "0.975")} else 0 end as low, {poisson_limit("n_episodes", "0.025")} as high from (select distinct n_episodes from e))
+    select model, threshold, n_episodes / hours as far_h, round(low / hours, 6) as low, round(high / hours, 6) as high from e join h using (model) join l using (n_episodes)""")
 def far_intervals(spark, sf_dir):
-    """Exact Poisson limits of each rate; a quantile that SQL lacks."""
+    """Exact Poisson limits of each rate."""
     n, h = F.col("n_episodes").cast("double"), F.col("hours")
     return _curve(spark, sf_dir).select("model", "threshold", "far_h", F.round(tails.garwood_low()(n) / h, 6).alias("low"), F.round(tails.garwood_high()(n) / h, 6).alias("high"))
 

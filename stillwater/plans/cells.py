@@ -11,26 +11,12 @@ from ..operators import decide as D
 from ..operators import points as P
 from ..operators import sequence as S
 from .alarms import SEQ
-from .registry import CORPUS, RUNS, register
+from .registry import CORPUS, RUNS, register, t_quantile, t_tail
 from .views import CORPUS_ORDER, corpus, runs, table
 
 METRICS = ("accum", "followup", "t_first", "ttd")
 
 
-def t_tail(t: str, df: str) -> str:
-    """SQL of the two-sided tail of Student's t at a whole number of degrees of freedom: finite sums of powers of a cosine."""
-    cos, angle = f"(1 / sqrt(1 + ({t}) ** 2 / {df}))", f"atan(abs({t}) / sqrt({df}))"
-    even = f"sin({angle}) * list_sum(list_transform(range(0, cast({df} // 2 as bigint)), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * {cos} ** (2 * j)))"
-    odd = f"({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, cast(({df} - 1) // 2 as bigint)), lambda j: exp(lgamma(j + 1) + lgamma(0.5) - lgamma(j + 1.5)) / 2 * {cos} ** (2 * j + 1))), 0)) * 2 / pi()"
-    return f"(1 - case when {df} % 2 = 0 then {even} else {odd} end)"
-
-
-def t_quantile(df: str) -> str:
-    """SQL of the 97.5 percent quantile of Student's t, by halving between 0 and 1,000."""
-    tail = t_tail("(s[1] + s[2]) / 2", df)
-    return f"list_reduce(list_transform(range(0, 60), lambda i: [0.0, 1000.0]), lambda s, x: case when {tail} > 0.05 then [(s[1] + s[2]) / 2, s[2]] else [s[1], (s[1] + s[2]) / 2] end)[1]"
-
-
 @register(f"""with {RUNS}, u as (select config, model, metric, value from (select config, model, accum, followup, t_first, ttd from r) unpivot (value for metric in (accum, followup, t_first, ttd))),
     g as (select config, model, metric, count(*) as n, avg(value) as mean, stddev_samp(value) as sd from u group by 1, 2, 3 having count(*) >= 2),
     q as (select n, {t_quantile("(n - 1)")} as t from (select distinct n from g)),

@@ -8,7 +8,7 @@ from ..functions import tails
 from ..operators import compare as T
 from ..operators import sequence as Q
 from ..operators import survival as V
-from .registry import FRAMES, RUNS, register
+from .registry import FRAMES, RUNS, register, sign_tail, t_quantile, t_tail
 from .views import frames, runs, table
 
 
@@ -22,11 +22,12 @@ def run_summary(spark, sf_dir):
     return rounded(T.summarize(runs(spark, sf_dir), ["config", "model"], "ttd", "hit"), "miss_rate", "sd", "median", "p90").withColumn("mean", F.round("mean", 4))
 
 
-@register()
+@register(f"""with {RUNS}, g as (select config, model, count(ttd) as n, avg(ttd) as mean, stddev_samp(ttd) as sd from r group by config, model), q as (select n, {t_quantile("(n - 1)")} as t from (select distinct n from g where n > 1))
+    select config, model, n, round(mean, 4) as mean, round(sd, 6) as sd, round(t * sd / sqrt(n), 6) as ci95 from g left join q using (n)""")
 def mean_intervals(spark, sf_dir):
-    """t intervals of the mean time to alarm; the quantile is not in SQL."""
+    """t intervals of the mean time to alarm."""
     s = runs(spark, sf_dir).groupBy("config", "model").agg(F.count("ttd").alias("n"), F.avg("ttd").alias("mean"), F.stddev_samp("ttd").alias("sd"))
-    return rounded(T.with_t_interval(s), "mean", "sd", "ci95")
+    return rounded(T.with_t_interval(s), "sd", "ci95").withColumn("mean", F.round("mean", 4))
 
 
 @register(f"""with {RUNS}, p as (select x.config as a, y.config as b, y.ttd - x.ttd as d from r x join r y on x.model = y.model and x.scenario = y.scenario and x.config < y.config where x.ttd is not null and y.ttd is not null)
@@ -36,7 +37,11 @@ def paired_differences(spark, sf_dir):
     return rounded(p, "mean_diff", "t").select("a", "b", "n", "mean_diff", "t", "wins", "losses")
 
 
-@register()
+@register(f"""with {RUNS}, d as (select x.config as a, y.config as b, y.ttd - x.ttd as d from r x join r y on x.model = y.model and x.scenario = y.scenario and x.config < y.config where x.ttd is not null and y.ttd is not null),
+    t as (select a, b, count(*) as n, avg(d) / stddev_samp(d) * sqrt(count(*)) as t, count(*) filter (where d > 0) as wins, count(*) filter (where d < 0) as losses from d group by a, b),
+    p as (select *, case when n >= 3 then {t_tail("t", "(n - 1)")} end as p, {sign_tail("wins", "losses")} as p_sign from t),
+    k as (select *, row_number() over (order by p nulls last, a, b) as i, count(p) over () as m from p)
+    select a, b, n, round(p, 6) as p, round(p_sign, 6) as p_sign, round(case when p is not null then least(1.0, max((m - i + 1) * p) over (order by p nulls last, a, b rows unbounded preceding)) end, 6) as p_holm, round(case when p is not null then least(1.0, m * p) end, 6) as p_bonferroni from k""")
 def paired_p_values(spark, sf_dir):
     """p of the t test and of the exact sign test with Holm's and Bonferroni's adjustment."""
     p = T.paired_t(T.label_pairs(runs(spark, sf_dir), "config", ["model", "scenario"], "ttd"))

@@ -56,6 +56,38 @@ c as (
     from lineitem
 )"""
 
+
+def t_tail(t: str, df: str) -> str:
+    """SQL of the two-sided tail of Student's t at a whole number of degrees of freedom: finite sums of powers of a cosine."""
+    cos, angle = f"(1 / sqrt(1 + ({t}) ** 2 / {df}))", f"atan(abs({t}) / sqrt({df}))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, cast({df} // 2 as bigint)), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * {cos} ** (2 * j)))"
+    odd = f"({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, cast(({df} - 1) // 2 as bigint)), lambda j: exp(lgamma(j + 1) + lgamma(0.5) - lgamma(j + 1.5)) / 2 * {cos} ** (2 * j + 1))), 0)) * 2 / pi()"
+    return f"(1 - case when {df} % 2 = 0 then {even} else {odd} end)"
+
+
+def t_quantile(df: str) -> str:
+    """SQL of the 97.5 percent quantile of Student's t, by halving between 0 and 1,000."""
+    tail = t_tail("(s[1] + s[2]) / 2", df)
+    return f"list_reduce(list_transform(range(0, 60), lambda i: [0.0, 1000.0]), lambda s, x: case when {tail} > 0.05 then [(s[1] + s[2]) / 2, s[2]] else [s[1], (s[1] + s[2]) / 2] end)[1]"
+
+
+def poisson_upto(n: str, mean: str) -> str:
+    """SQL of the chance of at most ``n`` events, 0 for fewer than none."""
+    return f"coalesce(list_sum(list_transform(range(0, {n} + 1), lambda j: exp(j * ln({mean}) - ({mean}) - lgamma(j + 1)))), 0)"
+
+
+def poisson_limit(n: str, chance: str) -> str:
+    """SQL of the Poisson mean at which at most ``n`` events have the given chance, by halving."""
+    return f"list_reduce(list_transform(range(0, 70), lambda i: [0::double, 2 * {n} + 20::double]), lambda s, x: case when {poisson_upto(n, '(s[1] + s[2]) / 2')} > {chance} then [(s[1] + s[2]) / 2, s[2]] else [s[1], (s[1] + s[2]) / 2] end)[1]"
+
+
+def sign_tail(wins: str, losses: str) -> str:
+    """SQL of the exact two-sided sign test of up to 33 differences."""
+    n, k = f"({wins} + {losses})", f"cast(least({wins}, {losses}) as bigint)"
+    choose = f"cast(factorial(cast({n} as int)) // (factorial(cast(j as int)) * factorial(cast({n} - j as int))) as double)"
+    return f"least(1, coalesce(2 * list_sum(list_transform(range(0, {k} + 1), lambda j: {choose})) / 2.0 ** {n}, 1))"
+
+
 def register(sql: str | None = None):
     """Register a query under its function's name."""
 

@@ -244,3 +244,11 @@ def test_prefixes(spark):
     got = {tuple(r) for r in D.by_prefix(names, stems, "name", "stem").select("name", "stem").collect()}
     assert got == {(n, s) for n in ("clip1_part2.mp4", "clip1.mp4", "clip2") for s in ("clip1", "clip1_part2", "clip") if n.startswith(s)}
     assert D.by_prefix(names, stems.limit(0), "name", "stem").count() == 0
+
+
+def test_step_down_leaves_out_null_p_values(spark):
+    from stillwater.operators.sequence import holm
+
+    df = spark.createDataFrame([("a", 0.01), ("b", None), ("c", 0.04), ("d", 0.02)], "t string, p double").withColumn("g", F.lit(1))
+    got = {r["t"]: (r["p_holm"], r["p_bonferroni"]) for r in holm(df, ["g"], "p", ["t"]).collect()}
+    assert got == {"a": (pytest.approx(0.03), pytest.approx(0.03)), "d": (pytest.approx(0.04), pytest.approx(0.06)), "c": (pytest.approx(0.04), pytest.approx(0.12)), "b": (None, None)}
