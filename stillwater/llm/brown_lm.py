@@ -397,6 +397,18 @@ def _numbers(x: np.ndarray):
 def score(docs: DataFrame, model: ClassModel, text_col: str = "text") -> DataFrame:
     """Score whole texts; replaces ``text_col`` by ``n_tokens, n_known, base_score, score``.
 
+    Columns of these four names are replaced; the others stay, whatever their names.
+    """
+    names = [c for c in docs.columns if c not in (text_col, "n_tokens", "n_known", "base_score", "score")]
+    # the caller's columns by number, so that no name of theirs meets one of ours
+    own = docs.select(F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(names)))
+    out = _score(own, model)
+    return out.select(*(F.col(f"own{i}").alias(c) for i, c in enumerate(names)), "n_tokens", "n_known", "base_score", "score")
+
+
+def _score(docs: DataFrame, model: ClassModel, text_col: str = "text") -> DataFrame:
+    """``score`` on columns whose names are known.
+
     Listed words are looked up in the tasks.  Each occurrence of another one
     leaves as a row with the classes beside it and meets its count and class
     in a join; they are rare, so no key of the join is hot.  Where two of them

@@ -265,19 +265,25 @@ def only(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: list[str], n_col: str) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], n_col: str, matching: Column | None = None) -> DataFrame:
     """Left join to a table with one row for each key, whatever the share of a key in ``rows``.
 
     ``n_col`` of ``table`` says how many rows have the key.  Keys with more
     than a thousandth of all rows (so fewer than a thousand keys) are met by a
-    broadcast join; for the shuffle that follows, their rows are dealt out by row number.
-    ``table`` is read several times and should be a checkpoint.
+    broadcast join; for the shuffle that follows, their rows are dealt out by
+    row number, and so are those that ``matching`` says no key can fit.  A key
+    that the table lacks has to be rare or not ``matching``.
+    ``table`` is read several times and should be a checkpoint; its columns
+    but ``on`` must not be in ``rows``.
     """
     total = table.agg(F.sum(n_col)).first()[0] or 0
     values = [c for c in table.columns if c not in on and c != n_col]
-    hot = table.filter(F.col(n_col) * HOT_SHARE > total).select(*on, *(F.col(c).alias(f"_hot_{c}") for c in values), F.lit(True).alias("_hot"))
-    cold = table.filter(F.col(n_col) * HOT_SHARE <= total).select(*on, *values, F.lit(0).cast("long").alias("_deal"))
+    mark, deal = free_name(rows, "_hot"), free_name(rows, "_deal")
+    of = {c: free_name(rows, f"_hot_of_{c}") for c in values}
+    hot = table.filter(F.col(n_col) * HOT_SHARE > total).select(*on, *(F.col(c).alias(of[c]) for c in values), F.lit(True).alias(mark))
+    cold = table.filter(F.col(n_col) * HOT_SHARE <= total).select(*on, *values, F.lit(0).cast("long").alias(deal))
     rows = rows.join(F.broadcast(hot), on, "left")
-    rows = rows.withColumn("_deal", F.when(F.col("_hot"), 1 + F.monotonically_increasing_id()).otherwise(F.lit(0)))
-    out = rows.join(cold, [*on, "_deal"], "left")
-    return out.withColumns({c: F.coalesce(f"_hot_{c}", c) for c in values}).drop("_hot", "_deal", *(f"_hot_{c}" for c in values))
+    alone = F.col(mark) if matching is None else F.col(mark) | ~F.coalesce(matching, F.lit(False))
+    rows = rows.withColumn(deal, F.when(alone, 1 + F.monotonically_increasing_id()).otherwise(F.lit(0)))
+    out = rows.join(cold, [*on, deal], "left")
+    return out.withColumns({c: F.coalesce(of[c], c) for c in values}).drop(mark, deal, *of.values())

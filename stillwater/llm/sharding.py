@@ -67,24 +67,28 @@ def shard_rows(rows: DataFrame, key_col: str, shards: int, virtual_nodes: int =
     overflows like any other.  Only the count of each arc reaches the driver
     (``shards * virtual_nodes`` numbers).  Shard counts differ by one at most.
 
-    A null key is hashed like a value of its own; repeated rows count each; an
-    empty table gives an empty result.  All columns of ``rows`` stay, so they
-    must not be called ``shard``, ``slot``, ``rank``, ``_arc`` or ``_hash``.
+    A null key is hashed as the empty text; repeated rows count each; an empty
+    table gives an empty result.  All columns of ``rows`` stay, whatever their
+    names; columns called ``shard`` or ``slot`` are replaced.
     """
     spark = rows.sparkSession
     nodes = ring(shards, virtual_nodes)
     places = [p for p, _ in nodes]
     arc_of = [bisect.bisect_left(places, p) % len(places) for p in range(1 << RING_BITS)]
     # 2**16 rows at any size of input.
-    table = F.broadcast(spark.createDataFrame(list(enumerate(arc_of)), "_place int, _arc int"))
-    at = rows.withColumn("_hash", F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit(""))))
-    at = at.withColumn("_place", F.shiftrightunsigned("_hash", 64 - RING_BITS).cast("int")).join(table, "_place").drop("_place")
-    ranked = sorted_ranks(at, "_arc", [F.col("_hash"), F.col(key_col), *(F.col(c) for c in rows.columns if c != key_col)])
-    counts = {r["_arc"]: r["n"] for r in ranked.groupBy("_arc").agg(F.count("*").alias("n")).collect()}
+    table = F.broadcast(spark.createDataFrame(list(enumerate(arc_of)), "place int, arc int"))
+    # the caller's columns by number, so that no name of theirs meets one of ours
+    own = [F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(rows.columns)]
+    key = f"own{rows.columns.index(key_col)}"
+    at = rows.select(*own).withColumn("hash", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    at = at.withColumn("place", F.shiftrightunsigned("hash", 64 - RING_BITS).cast("int")).join(table, "place").drop("place")
+    ranked = sorted_ranks(at, "arc", [F.col("hash"), F.col(key), *(F.col(f"own{i}") for i in range(len(own)) if f"own{i}" != key)])
+    counts = {r["arc"]: r["n"] for r in ranked.groupBy("arc").agg(F.count("*").alias("n")).collect()}
     moves = overflow(counts, nodes, quotas(sum(counts.values()), shards))
     by_arc: dict[int, list] = {}
     for a, lo, hi, s, slot in moves:
         by_arc.setdefault(a, []).append((lo, hi, s, slot))
-    plan = spark.createDataFrame(list(by_arc.items()), "_arc int, _to array<struct<lo: long, hi: long, shard: int, slot: long>>")
-    out = ranked.join(F.broadcast(plan), "_arc").withColumn("_to", F.filter("_to", lambda t: (F.col("rank") >= t.lo) & (F.col("rank") < t.hi))[0])
-    return out.withColumns({"shard": F.col("_to.shard"), "slot": F.col("_to.slot") + F.col("rank") - F.col("_to.lo")}).drop("_arc", "_hash", "_to", "rank")
+    plan = spark.createDataFrame(list(by_arc.items()), "arc int, to array<struct<lo: long, hi: long, shard: int, slot: long>>")
+    out = ranked.join(F.broadcast(plan), "arc").withColumn("to", F.filter("to", lambda t: (F.col("rank") >= t.lo) & (F.col("rank") < t.hi))[0])
+    back = [F.col(f"own{i}").alias(c) for i, c in enumerate(rows.columns) if c not in ("shard", "slot")]
+    return out.select(*back, F.col("to.shard").alias("shard"), (F.col("to.slot") + F.col("rank") - F.col("to.lo")).alias("slot"))

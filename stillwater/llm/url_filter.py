@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, lookup
+from .common import BROADCAST_ROWS, HOT_SHARE, cut, free_name, lookup
 
 #: Bits of a block (four 64-bit words) and bits that an entry sets in its block, one in each word.
 BLOCK_BITS, WORDS = 256, 4
@@ -57,11 +57,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     rows; else both joins shuffle, and keys are made distinct first, so that a
     url or host that many rows share meets the list once.
 
-    Returns all columns of ``pages`` with ``host, path, rule, verdict`` set;
+    Returns all columns of ``pages`` with ``host, path, rule, verdict`` set
+    (columns of these names are replaced, others may have any name);
     without a rule that fits, ``rule`` is null and ``verdict`` is ``default``.
     Null urls and urls without ``://`` have an empty host and path, which no
-    rule fits.  Repeated rows are judged each; an empty list leaves all to the
-    default.  Of equally long rules the larger in text order wins.
+    rule fits.  Repeated rows are judged each, an empty table gives an empty
+    result, an empty list leaves all to the default.  Of equally long rules the larger in text order wins.
     """
     listed = rules.select(F.concat("host", "path").alias("_rule"), "verdict", F.length("path").alias("_n")).filter(F.col("_rule").isNotNull())
     listed = listed.groupBy("_rule").agg(F.min("verdict").alias("_verdict"), F.max("_n").alias("_n"))
@@ -84,6 +85,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         may = may.filter(F.col(f"w{i}").bitwiseAND(m) == m)
     hit = may.select("host", "path", "_rows", "_key").join(small(listed), F.col("_key") == F.col("_rule"))
     longest = F.max_by(F.struct("_rule", "_verdict"), F.struct(F.length("_rule"), F.col("_rule")))
-    best = cut(hit.groupBy("host", "path").agg(longest.alias("_best"), F.first("_rows").alias("_rows")))
-    out = lookup(parsed, best, ["host", "path"], "_rows")
-    return out.select(*(c for c in pages.columns if c not in ("host", "path", "rule", "verdict")), "host", "path", F.col("_best._rule").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))
+    # urls that a rule fits, and those without one that many rows share
+    found = urls.join(hit.groupBy("host", "path").agg(longest.alias("_longest")), ["host", "path"], "left")
+    best, many = free_name(pages, "_best"), pages.count() / HOT_SHARE
+    table = cut(found.filter(F.col("_longest").isNotNull() | (F.col("_rows") > many)).select("host", "path", F.col("_longest").alias(best), F.col("_rows").alias("n_rows")))
+    out = lookup(parsed, table, ["host", "path"], "n_rows", matching=F.col("host") != "")
+    own = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*own, "host", "path", F.col(best)["_rule"].alias("rule"), F.coalesce(F.col(best)["_verdict"], F.lit(default)).alias("verdict"))

@@ -333,6 +333,29 @@ def test_automaton_on_random_words():
 URLS = ["http://a.Example.NET/en/1", "http://a.example.net/fr/1", "https://example.com/de/", "https://xexample.com/de/", "https://x.example.com/DE/", "http://b.org/fr/2?x#y", "http://b.org/?/fr/", "http://net", "http://net/", "ftp://q.net:80/x", None, "", "no scheme/en/", "://net/", "http://example.net/en/#a\nb"]
 
 
+def test_sharding_beside_columns_of_any_name(spark, tmp_path):
+    names = ["rank", "_hash", "_arc", "_at", "_place", "_to", "_cls", "_part", "hash", "arc", "place", "to", "own0", "own1", "shard", "slot", "_of", "_base", "n", "first"]
+    docs = frame(spark, tmp_path).select("doc_id")
+    df = docs.select("doc_id", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    plain = Counter(tuple(r) for r in shard_rows(docs, "doc_id", 4, 8).collect())
+    out = shard_rows(df, "doc_id", 4, 8)
+    assert out.columns == ["doc_id", *(c for c in names if c not in ("shard", "slot")), "shard", "slot"]
+    got = out.collect()
+    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in got) == plain and all(r["own1"] == 13 and r["rank"] == 0 for r in got)
+
+
+def test_url_filter_beside_columns_of_any_name_and_a_hot_url(spark):
+    names = ["_deal", "_hot", "_best", "_hot__best", "_hot_of__best", "_rows", "_key", "rule", "host", "n_rows", "_longest"]
+    urls = ["https://a.example.net/en/x"] * 30 + [None] * 60 + ["http://free.example/x"] * 50 + [f"http://h{i}.org/fr/{i}" for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").select("page_id", "url", *(F.lit(i).alias(c) for i, c in enumerate(names))).repartition(3)
+    rules = spark.createDataFrame(Q.RULES, "host string, path string, verdict string")
+    got = {r["page_id"]: r for r in filter_urls(pages, rules).collect()}
+    assert len(got) == 160 and all(r["_hot"] == 1 and r["_best"] == 2 and r["_longest"] == 10 for r in got.values())
+    assert all((got[i]["rule"], got[i]["verdict"]) == (("example.net/en/", "allow") if i < 30 else (None, "allow") if i < 140 else ("org/fr/", "allow")) for i in got)
+    assert filter_urls(pages.limit(0), rules).count() == 0
+    assert {r["verdict"] for r in filter_urls(pages, rules.limit(0), default="none").collect()} == {"none"}
+
+
 def test_url_filter(spark):
     rules = spark.createDataFrame(Q.RULES, "host string, path string, verdict string")
     rows = [(i % 13, u, "html", "old") for i, u in enumerate(URLS * 30)]
@@ -349,25 +372,53 @@ def test_url_filter(spark):
     assert filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string, rule string"), rules.limit(0)).filter("verdict <> 'allow'").count() == 0
 
 
+def brute_top(rows, every, k):
+    good = [(i, [math.floor(1024 * float(np.float32(x))) if kind == "f" else math.floor(1024 * x) for x in v]) for i, v, kind in rows]
+    want = Counter()
+    for q, v in {i: v for i, v in good if i % every == 0}.items():
+        top = sorted((-max(min(sum(x * y for x, y in zip(v, w)), 2**63 - 1), 1 - 2**63), i) for i, w in good if i != q)[:k]
+        want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(top))
+    return want
+
+
 def test_vector_search(spark):
     r = np.random.default_rng(4)
     rows = [(int(i), [float(x) for x in r.normal(size=6).astype("f4")]) for i in range(400)]
     rows += [(1000 + i, rows[7][1]) for i in range(300)]  # ties
-    rows += [(2000, None), (2001, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (None, [0.0] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in top_k(df, F.col("vec_id") % 50 == 0, pivots=6, rings=3, block_rows=100, query_block=5).collect()}
-    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
-    want = set()
-    for q, v in good:
-        if q % 50 == 0:
-            best = sorted((-int(v @ w), i) for i, w in good if i != q)[:10]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
-    assert got == want
+    rows += [(3, rows[3][1])] * 15 + [(50, rows[50][1])] * 4 + [(4000, [0.5, -1.0])]  # repeated rows, a shorter vector
+    bad = [(2000, None), (2001, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (None, [0.0] * 6)]
+    full = [(i, v, 1, 2, 3.0, 4) for i, v in rows + bad]
+    df = spark.createDataFrame(full, "vec_id long, embedding array<float>, v int, cell int, score double, _query int").repartition(3)
+    got = Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in top_k(df, F.col("vec_id") % 50 == 0, pivots=6, rings=3, block_rows=100).collect())
+    assert got == brute_top([(i, v, "f") for i, v in rows], 50, 10)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert top_k(few, F.col("vec_id") == 0).count() == 2
     assert top_k(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_vector_search_of_huge_components(spark):
+    r = random.Random(3)
+    rows = [(i, [r.choice([1e8, -1e8, 1e12, 0.25, -3.0, 1e15]) if r.random() < 0.3 else r.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    inside = [(i, [max(min(x, 2.0**53 / 1024), -(2.0**53) / 1024) for x in v], "d") for i, v in rows]
+    got = Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in top_k(df, F.col("vec_id") % 10 == 0, pivots=4, rings=2, block_rows=30).collect())
+    assert got == brute_top(inside, 10, 10)
+    assert top_k(df.withColumn("embedding", F.transform("embedding", lambda x: x * 1e290)), F.col("vec_id") == 0).count() == 10
+
+
+def test_vectors_are_not_copied_to_the_queries(spark):
+    """Only queries are multiplied on the way to the blocks; copies of a vector are indexed as far as they can be among the best."""
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r.normal(size=4)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for every in (100, 2):
+        plan = top_k(df, F.col("vec_id") % every == 0, pivots=4, rings=2, block_rows=100)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate explode") == 2, plan  # queries to the blocks they open, and copies of the best rows
+    copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3000)] + [(5000, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in top_k(copies, F.col("vec_id").isin(4, 5000)).orderBy("query_id", "rank").collect()]
+    assert [x[2] for x in got] == [0, 1, 2, 3, 5, 6, 7, 8, 9, 10, *range(10)]
+
+
 def test_brown_scores(spark, tmp_path):
     rows = fixture_texts()
     docs = frame(spark, tmp_path)
@@ -386,6 +437,19 @@ def test_brown_scores(spark, tmp_path):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_scores_beside_columns_of_any_name(spark, tmp_path):
+    from stillwater.llm.brown_lm import fit, score, word_counts
+
+    docs = frame(spark, tmp_path).select("doc_id", "text")
+    model = fit(docs.select("text"), word_counts(docs.select("text")).checkpoint())
+    names = ["_word", "_l", "_r", "_side", "_row", "_at", "_n", "_c", "own0", "n_tokens", "score"]
+    out = score(docs.select("doc_id", "text", *(F.lit(i).alias(c) for i, c in enumerate(names))), model)
+    assert out.columns == ["doc_id", *names[:-2], "n_tokens", "n_known", "base_score", "score"]
+    plain = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in score(docs, model).collect())
+    assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in out.collect()) == plain
+    assert all(r["_row"] == 4 and r["_word"] == 0 for r in out.collect())
+
+
 def test_class_model_is_a_distribution_and_beats_unigrams(spark):
     from stillwater.llm.brown_lm import fit, word_counts
     from stillwater.llm.common import cut, load
