@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normality as normal
 from ..functions import tails
 from ..functions.expressions import wilson
-from .sequence import average_ranks
+from .sequence import average_ranks, matched
+from .survival import cut, running
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, levels: dict[str, float]) -> DataFrame:
+    """Quantiles of each group with linear interpolation, one column a level: ``{"median": 0.5}``.
+
+    Values are counted first and the counts added up over range partitions,
+    so a group may have any number of different values.  Null values do not
+    count; a group without a value has no row.  Null groups are groups.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_to"))
+    upto = running(counts, by, "_v", ["_to"])
+    met = matched(upto, upto.groupBy(*by).agg(F.max("_to").alias("_all")), by)
+    at = {c: (F.col("_all") - 1) * q for c, q in levels.items()}
+    reach = lambda place: F.min(F.when(F.col("_to") > place, F.col("_v")))
+    ends = met.groupBy(*by, "_all").agg(*(f(reach(r(p))) for c, p in at.items() for r, f in ((F.floor, lambda x, c=c: x.alias(f"_lo_{c}")), (F.ceil, lambda x, c=c: x.alias(f"_hi_{c}")))))
+    between = {c: F.when(F.col(f"_lo_{c}") == F.col(f"_hi_{c}"), F.col(f"_lo_{c}").cast("double")).otherwise((F.ceil(p) - p) * F.col(f"_lo_{c}") + (p - F.floor(p)) * F.col(f"_hi_{c}")) for c, p in at.items()}
+    return ends.select(*by, *(v.alias(c) for c, v in between.items()))
+
+
+def with_quantiles(df: DataFrame, by: list[str], aggregates: list[Column], value: str, levels: dict[str, float]) -> DataFrame:
+    """Aggregates of each group and quantiles of a value beside them, null for a group without one; the rows are made once."""
+    rows = cut(df)
+    return matched(rows.groupBy(*by).agg(*aggregates), exact_quantiles(rows, by, value, levels), by)
 
 
 def summarize(df: DataFrame, by: list[str], metric: str, hit: str) -> DataFrame:
     """Runs, hits, miss rate, and mean, sd (0 for one value), median, p90, limits of a metric; null metrics count in the miss rate only."""
-    return df.groupBy(*by).agg(
+    aggregates = [
         F.count("*").alias("n"),
         F.count_if(hit).alias("hits"),
         (1 - F.avg(F.col(hit).cast("int"))).alias("miss_rate"),
         F.avg(metric).alias("mean"),
         F.when(F.count(metric) > 0, F.coalesce(F.stddev_samp(metric), F.lit(0.0))).alias("sd"),
-        F.median(metric).alias("median"),
-        F.percentile(metric, 0.9).alias("p90"),
         F.min(metric).alias("low"),
         F.max(metric).alias("high"),
-    )
+    ]
+    return with_quantiles(df.select(*by, metric, hit), by, aggregates, metric, {"median": 0.5, "p90": 0.9})
 
 
 def with_t_interval(df: DataFrame, n: str = "n", sd: str = "sd") -> DataFrame:

@@ -76,6 +76,23 @@ def first_category(text: str | Column, rules: dict[str, str], other: str = "othe
     return out
 
 
+def first_line_category(lines: DataFrame, by: list[str], text: str, rules: dict[str, str], other: str = "other") -> DataFrame:
+    """The category of each log: the first rule whose pattern some line contains; logs are lines, so one of any length is spread."""
+    names = [*rules, other]
+    at = F.lit(len(rules))
+    for i, pattern in reversed([*enumerate(rules.values())]):
+        at = F.when(F.regexp_like(text, F.lit(pattern)), i).otherwise(at)
+    found = lines.groupBy(*by).agg(F.count("*").alias("n_lines"), F.min(at).alias("_at"))
+    return found.select(*by, "n_lines", F.get(F.array(*map(F.lit, names)), F.col("_at")).alias("category"))
+
+
+def failed_runs(runs: DataFrame, records: DataFrame, key: list[str], bad: Column) -> DataFrame:
+    """Whether any record of a run is bad (null is not); a run without a record has failed, records of other runs don't count."""
+    found = records.groupBy(*key).agg(F.bool_or(F.coalesce(bad, F.lit(False))).alias("failed"), F.count("*").alias("n_records"))
+    out = runs.select(*key).distinct().join(found, key, "left")
+    return out.select(*key, F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("failed", F.lit(True)).alias("failed"))
+
+
 def start_rates(df: DataFrame, by: list[str], time_s: Column) -> DataFrame:
     """Starts per hour between the first and the last start of each group; null for a single start."""
     out = df.groupBy(*by).agg(F.count("*").alias("n"), (F.max(time_s) - F.min(time_s)).alias("span_s"))

@@ -95,7 +95,7 @@ def every_nth(df: DataFrame, key: list[str], order: list[str], step: int) -> Dat
     return df.withColumn("_n", F.row_number().over(w) - 1).filter(F.col("_n") % step == 0).drop("_n")
 
 
-def _matched(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+def matched(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     """Left join by columns of the same name, where nulls are equal; the table's copies of them are dropped."""
     right = table.withColumnsRenamed({c: f"_on_{c}" for c in on})
     return df.join(right, [df[c].eqNullSafe(right[f"_on_{c}"]) for c in on], "left").drop(*(f"_on_{c}" for c in on))
@@ -109,7 +109,7 @@ def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """
     first = df.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("n_alike"))
     alike = Window.partitionBy(*key, *order).orderBy(*order)
-    found = _matched(df, first, key).withColumn("kept", F.col("_first").eqNullSafe(F.struct(*order)) & (F.row_number().over(alike) == 1))
+    found = matched(df, first, key).withColumn("kept", F.col("_first").eqNullSafe(F.struct(*order)) & (F.row_number().over(alike) == 1))
     return found.select(*df.columns, "kept", "n_alike")
 
 
@@ -122,7 +122,7 @@ def average_ranks(df: DataFrame, by: list[str], col: str, out: str) -> DataFrame
     counts = df.groupBy(*by, col).agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(col))
     ranks = counts.select(*by, col, (upto - (F.col("_n") - 1) / 2).alias(out))
-    return _matched(df, ranks, [*by, col])
+    return matched(df, ranks, [*by, col])
 
 
 def ecdf(df: DataFrame, by: list[str], col: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions import tails
 from ..operators import calibrate as C
+from ..operators import compare as T
 from ..operators import sequence as S
 from .registry import CORPUS, FRAMES, RUNS, STREAKS, poisson_limit, register
 from .views import CORPUS_ORDER, corpus, frames, runs, table, with_onset
@@ -30,7 +31,9 @@ def grid(spark: SparkSession, values) -> DataFrame:
 
 @register(f"with {RUNS} select config, count(*) as n, count(*) filter (where hit) as hits, count(*) filter (where fp_pre) as fp, round(median(ttd), 6) as median_ttd from r group by config")
 def alarm_by_config(spark, sf_dir):
-    return runs(spark, sf_dir).groupBy("config").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.count_if("fp_pre").alias("fp"), F.round(F.median("ttd"), 6).alias("median_ttd"))
+    aggregates = [F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.count_if("fp_pre").alias("fp")]
+    out = T.with_quantiles(runs(spark, sf_dir).select("config", "hit", "fp_pre", "ttd"), ["config"], aggregates, "ttd", {"median_ttd": 0.5})
+    return out.withColumn("median_ttd", F.round("median_ttd", 6))
 
 
 @register(f"with {RUNS} select run_id, config, model, scenario, hit, fp_pre, ttd, followup, t_first, t_single, accum, duration, n_post, n_qualifying_post from r")
@@ -64,7 +67,7 @@ def rule_ablation(spark, sf_dir):
 @register(f"""with {RUNS}, p as (select config, 100.0 * avg(hit::int) as rate, median(accum) as residual from r group by config)
     select round(max(rate) - min(rate), 6) as gap, round(max(rate) filter (where config = 0) - max(rate) filter (where config = 4), 6) as first_minus_last, round(min(residual), 6) as least_residual, round(max(residual), 6) as most_residual from p""")
 def config_gap(spark, sf_dir):
-    p = runs(spark, sf_dir).groupBy("config").agg((100.0 * F.avg(F.col("hit").cast("int"))).alias("rate"), F.median("accum").alias("residual"))
+    p = T.with_quantiles(runs(spark, sf_dir).select("config", "hit", "accum"), ["config"], [(100.0 * F.avg(F.col("hit").cast("int"))).alias("rate")], "accum", {"residual": 0.5})
     at = lambda k: F.max(F.when(F.col("config") == k, F.col("rate")))
     return p.agg(F.round(F.max("rate") - F.min("rate"), 6).alias("gap"), F.round(at(0) - at(4), 6).alias("first_minus_last"), F.round(F.min("residual"), 6).alias("least_residual"), F.round(F.max("residual"), 6).alias("most_residual"))
 
@@ -114,7 +117,10 @@ _SWEEP = f"""{FRAMES}, g as (select cast(unnest(range(10, 100, 10)) * 100 as int
 def _sweep(spark, sf_dir):
     f = with_onset(frames(spark, sf_dir)).withColumn("score", F.round(F.col("value") * 100).cast("int"))
     a = S.alarms_by_threshold(f, ["run_id", "model", "t_onset"], ["t_post", "frame_idx"], "score", "t_post", "t_onset", 3, grid(spark, [100 * t for t in range(10, 100, 10)]))
-    return a.groupBy("model", "threshold").agg(F.round(100 * F.avg(F.col("hit").cast("int")), 6).alias("hit_pct"), F.round(100 * F.avg(F.col("fp_pre").cast("int")), 6).alias("fp_pct"), F.round(F.median(F.col("t_fire") - F.col("t_onset")) / F.lit(3.6e12), 6).alias("median_ttd"))
+    a = a.select("model", "threshold", "hit", "fp_pre", (F.col("t_fire") - F.col("t_onset")).alias("delay"))
+    aggregates = [F.round(100 * F.avg(F.col(c).cast("int")), 6).alias(n) for c, n in (("hit", "hit_pct"), ("fp_pre", "fp_pct"))]
+    out = T.with_quantiles(a, ["model", "threshold"], aggregates, "delay", {"median_ttd": 0.5})
+    return out.withColumn("median_ttd", F.round(F.col("median_ttd") / F.lit(3.6e12), 6))
 
 
 @register(f"with {_SWEEP} select * from y")

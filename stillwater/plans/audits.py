@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import audit as A
+from ..operators import compare as T
 from ..operators import sequence as S
 from .registry import CORPUS, FRAMES, RUNS, register
 from .views import CORPUS_ORDER, corpus, frames, runs, table
@@ -113,8 +114,12 @@ def miss_matrix(spark, sf_dir):
 @register(f"""with {RUNS} select coalesce(cast(model as varchar), 'ALL') as model, coalesce(cast(config as varchar), 'ALL') as config, count(*) as n, round(avg(hit::int), 6) as hit_share, round(median(ttd), 6) as median_ttd
     from r group by grouping sets ((model, config), (model), (config), ())""")
 def pooled_summaries(spark, sf_dir):
-    r = runs(spark, sf_dir)
-    out = r.cube("model", "config").agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_share"), F.round(F.median("ttd"), 6).alias("median_ttd"))
+    # each row once for itself and once for every margin that it is in
+    r = runs(spark, sf_dir).select("model", "config", "hit", "ttd")
+    margin = lambda c: F.explode(F.array(F.col(c), F.lit(None).cast("int")))
+    r = r.withColumn("model", margin("model")).withColumn("config", margin("config"))
+    out = T.with_quantiles(r, ["model", "config"], [F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_share")], "ttd", {"median_ttd": 0.5})
+    out = out.withColumn("median_ttd", F.round("median_ttd", 6))
     return out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("ALL")) for c in ("model", "config")})
 
 

@@ -160,7 +160,28 @@ def log_rank_pairs(spark, sf_dir):
 
 @register(f"""with {RUNS}, n as (select config, median(ttd) as naive from r group by config), q as (select config, max(followup) as longest from r group by config) select config, round(naive, 6) as naive, longest from n join q using (config)""")
 def naive_medians(spark, sf_dir):
-    return runs(spark, sf_dir).groupBy("config").agg(F.round(F.median("ttd"), 6).alias("naive"), F.max("followup").alias("longest"))
+    out = T.with_quantiles(runs(spark, sf_dir).select("config", "ttd", "followup"), ["config"], [F.max("followup").alias("longest")], "ttd", {"naive": 0.5})
+    return rounded(out, "naive").select("config", "naive", "longest")
+
+
+@register(f"""with {_LIFE}, n as (select config, median(ttd) as naive, count(*) as n, count(*) filter (where hit) as hits from r group by config), q as (select config, min(time) filter (where s <= 0.5 + 1e-12) as km, min(time) filter (where s <= 0.1 + 1e-12) as t90 from k group by config)
+    select config, n, hits, round(naive, 6) as naive_median, km as km_median, t90, round(km - naive, 6) as survivorship from n left join q using (config)""")
+def survivorship(spark, sf_dir):
+    """The median delay of the runs that had an alarm beside that of the survival curve, which counts those that had none."""
+    r = runs(spark, sf_dir).select("config", "ttd", "hit", "duration")
+    naive = T.with_quantiles(r, ["config"], [F.count("*").alias("n"), F.count_if("hit").alias("hits")], "ttd", {"naive_median": 0.5})
+    km = V.kaplan_meier(r, ["config"], "duration", "hit")
+    out = naive.join(V.quantile(km, ["config"], 0.5, "km_median"), "config", "left").join(V.quantile(km, ["config"], 0.1, "t90"), "config", "left")
+    return rounded(out.withColumn("survivorship", F.col("km_median") - F.col("naive_median")), "naive_median", "survivorship")
+
+
+@register(f"""with {_LIFE}, g as (select *, sum(case when d < n then d / (n * (n - d)) else 0 end) over (partition by config order by time) as gw from k),
+    v as (select *, 1.959963984540054 * sqrt(gw) / ln(s) as v from g where s > 0 and s < 1)
+    select config, time, round(s, 6) as s, round(s ** exp(-v), 6) as s_lo, round(s ** exp(v), 6) as s_hi from v""")
+def survival_bands(spark, sf_dir):
+    """Log-log limits of the survival curves, where these are neither 0 nor 1."""
+    km = V.kaplan_meier(runs(spark, sf_dir), ["config"], "duration", "hit").filter("s_lo is not null")
+    return rounded(km, "s", "s_lo", "s_hi").select("config", "time", "s", "s_lo", "s_hi")
 
 
 @register()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import decide as D
 from ..operators import runs as R
 from ..operators.sequence import with_streak
 from ..sources import runlogs as L
@@ -148,6 +149,30 @@ def run_log_errors(spark, sf_dir):
     return bad.select("run_id", F.lit("broken line").alias("error")).unionByName(judged.filter("error is not null").select("run_id", "error"))
 
 
+#: What the text log of a run says about it, the first one that any line shows.
+LINE_RULES = {"crash": "error value=9[5-9][0-9][0-9]$", "overload": "purchase value=9[0-9][0-9][0-9]$", "noise": "error value="}
+
+
+@register(f"""with l as (select user_id, event_type || ' value=' || cast(round(value * 100) as int) as line from events)
+    select cast(user_id as varchar) as run_id, count(*) as n_lines, case when bool_or(regexp_matches(line, '{LINE_RULES["crash"]}')) then 'crash' when bool_or(regexp_matches(line, '{LINE_RULES["overload"]}')) then 'overload'
+           when bool_or(regexp_matches(line, '{LINE_RULES["noise"]}')) then 'noise' else 'other' end as category from l group by user_id""")
+def text_log_categories(spark, sf_dir):
+    """The events as text logs of many runs in shared files, read back line by line and put into categories by run."""
+    at = T.work_folder(spark)
+    line = F.concat(F.lit("run="), F.col("user_id").cast("string"), F.lit(" "), "event_type", F.lit(" value="), F.round(F.col("value") * 100).cast("int").cast("string"))
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(at)
+    return D.first_line_category(L.text_lines(spark, at, "^run=([0-9]+) "), ["run_id"], "line", LINE_RULES)
+
+
+@register("""with r as (select o_custkey as k, bool_or(o_orderstatus = 'F' and o_totalprice > 300000) as bad, count(*) as n from orders group by 1)
+    select c_custkey as customer, coalesce(n, 0) as n_records, coalesce(bad, true) as failed from customer left join r on k = c_custkey""")
+def failed_customers(spark, sf_dir):
+    """Customers of whom some order failed, or who have none; runs and records come from two tables."""
+    runs_ = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"))
+    records = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "customer")
+    return D.failed_runs(runs_, records, ["customer"], (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000))
+
+
 @register("""with e as (select user_id, event_type, ts, time_bucket(interval 1 day, ts) as start from events), w as (select max(ts) - interval 1 hour as seen from events)
     select epoch_us(start) as start_us, user_id, count(*) as n, count(*) filter (where event_type = 'error') as n_drops from e, w where start + interval 1 day <= seen group by start, user_id""")
 def loss_by_day(spark, sf_dir):

@@ -62,6 +62,14 @@ def write_logs(records: DataFrame, path: str, run: str | None = None, files: int
     records.write.mode("append").json(path)
 
 
+def text_lines(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
+    """Lines of text logs as ``run_id, line``: a run is a file, named by its stem, or what the first group of ``run`` finds in the line (lines without one are left out)."""
+    lines = spark.read.text(path)
+    if run is None:
+        return lines.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("run_id"), F.col("value").alias("line"))
+    return lines.select(F.regexp_extract("value", run, 1).alias("run_id"), F.col("value").alias("line")).filter("run_id <> ''")
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``<hash>  <path>`` as ``hash, path``."""
     parts = F.split("value", "  ", 2)

@@ -252,3 +252,34 @@ def test_step_down_leaves_out_null_p_values(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", None), ("c", 0.04), ("d", 0.02)], "t string, p double").withColumn("g", F.lit(1))
     got = {r["t"]: (r["p_holm"], r["p_bonferroni"]) for r in holm(df, ["g"], "p", ["t"]).collect()}
     assert got == {"a": (pytest.approx(0.03), pytest.approx(0.03)), "d": (pytest.approx(0.04), pytest.approx(0.06)), "c": (pytest.approx(0.04), pytest.approx(0.12)), "b": (None, None)}
+
+
+def test_quantiles_over_range_partitions(spark):
+    r = random.Random(8)
+    rows = [(g, r.choice([None, r.randint(0, 20), r.random()])) for g in ["a", "b", None] for _ in range(r.randint(1, 90))] + [("none", None), ("one", 4)]
+    df = spark.createDataFrame([(g, None if v is None else float(v)) for g, v in rows], "g string, v double").repartition(5)
+    got = {x["g"]: (x["m"], x["p"], x["top"]) for x in T.exact_quantiles(df, ["g"], "v", {"m": 0.5, "p": 0.9, "top": 1.0}).collect()}
+    values = defaultdict(list)
+    for g, v in rows:
+        if v is not None:
+            values[g].append(float(v))
+    assert set(got) == set(values)
+    for g, v in values.items():
+        assert got[g] == pytest.approx(tuple(np.percentile(v, [50, 90, 100])))
+    beside = {x["g"]: (x["n"], x["m"]) for x in T.with_quantiles(df, ["g"], [F.count("*").alias("n")], "v", {"m": 0.5}).collect()}
+    assert beside["none"] == (1, None) and beside["one"] == (1, 4.0) and beside[None][0] == sum(g is None for g, _ in rows)
+
+
+def test_categories_and_failures(spark, tmp_path):
+    from stillwater.sources.runlogs import text_lines
+
+    (tmp_path / "run1.log").write_text("start\nWARN disk\nout of memory at 5\n")
+    (tmp_path / "run2.log").write_text("WARN slow\n")
+    (tmp_path / "run3").write_text("fine\n")
+    lines = text_lines(spark, str(tmp_path))
+    got = {tuple(x) for x in D.first_line_category(lines, ["run_id"], "line", {"oom": "out of memory", "warned": "^WARN"}).collect()}
+    assert got == {("run1", 3, "oom"), ("run2", 1, "warned"), ("run3", 1, "other")}
+    assert {x["run_id"] for x in text_lines(spark, str(tmp_path), "at ([0-9])").collect()} == {"5"}
+    runs = spark.createDataFrame([(1,), (2,), (3,), (3,), (4,)], "k int")
+    records = spark.createDataFrame([(1, True), (1, False), (2, False), (4, None), (9, True)], "k int, bad boolean")
+    assert {tuple(x) for x in D.failed_runs(runs, records, ["k"], F.col("bad")).collect()} == {(1, 2, True), (2, 1, False), (3, 0, True), (4, 1, False)}
