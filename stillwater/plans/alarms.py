@@ -86,6 +86,16 @@ def episode_curve(spark, sf_dir):
     return S.episodes_by_threshold(corpus(spark, sf_dir), ["model"], ["model", "clip"], CORPUS_ORDER, "score", 3, grid(spark, range(1, 11))).select("model", "threshold", "n_episodes")
 
 
+@register(f"""with {CORPUS}, d as (select *, cast(floor(l_extendedprice / 600) as int) as price from c), g as (select cast(unnest(range(1, 181)) as int) as threshold),
+    e0 as (select model, clip, threshold, {SEQ}, case when price >= threshold then 1 else 0 end as q from d cross join g),
+    e1 as (select *, sum(1 - q) over (partition by model, clip, threshold order by {SEQ}) as brk from e0), e2 as (select model, threshold, clip, brk, sum(q) as n from e1 group by all)
+    select model, threshold, count(*) filter (where n >= 3) as n_episodes from e2 group by model, threshold""")
+def episode_curve_fine(spark, sf_dir):
+    """The sweep at its full width: 180 thresholds from one pass over the scores."""
+    c = corpus(spark, sf_dir).withColumn("price", F.floor(F.col("l_extendedprice") / 600).cast("int"))
+    return S.episodes_by_threshold(c, ["model"], ["model", "clip"], CORPUS_ORDER, "price", 3, grid(spark, range(1, 181))).select("model", "threshold", "n_episodes")
+
+
 @register(f"""with {CORPUS}, q as (select *, case when score >= 7 then 1 else 0 end as q from c),
     b as (select *, sum(1 - q) over (partition by model, clip order by {SEQ}) as brk from q),
     i as (select model, clip, brk, sum(q) as n from b group by all)
