@@ -11,7 +11,7 @@ from ..operators import decide as D
 from ..operators import sequence as S
 from ..operators import survival as V
 from .alarms import SEQ
-from .registry import CORPUS, FRAMES, RUNS, register
+from .registry import CORPUS, FRAMES, RUNS, chi2_tail, f_tail, register, t_tail
 from .views import CORPUS_ORDER, corpus, frames, runs, table
 
 
@@ -20,7 +20,48 @@ def _standardised(r):
     return r.filter("model = 1 and ttd is not null").join(F.broadcast(base), "config").withColumn("z", (F.col("ttd") - F.col("mu")) / F.col("sd"))
 
 
-@register()
+#: The statistics of the eight families as SQL: test, item, statistic, p.
+_FAMILIES = f"""{RUNS},
+dd as (select x.config as a, y.config as b, y.ttd - x.ttd as d, x.hit as ha, y.hit as hb from r x join r y on x.model = y.model and x.scenario = y.scenario and x.config < y.config),
+d as (select * from dd where d is not null),
+lt as (select config as g, duration as time, count(*) filter (where hit) as d, count(*) as m from r where duration > 0 group by 1, 2),
+lp as (select x.g as a, y.g as b from (select distinct g from lt) x join (select distinct g from lt) y on x.g < y.g),
+lc as (select a, b, time, sum(d) as d, sum(m) as m, sum(case when g = a then d else 0 end) as d1, sum(case when g = a then m else 0 end) as m1 from lt join lp on g = a or g = b group by 1, 2, 3),
+ln_ as (select *, sum(m) over w as n, sum(m1) over w as n1 from lc window w as (partition by a, b order by time desc)),
+lr as (select a, b, (sum(d1) - sum(d * n1 / n)) ** 2 / sum(case when n > 1 then d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1) else 0 end) as x from ln_ group by a, b),
+wk as (select *, rank() over (partition by a, b order by abs(d)) + (count(*) over (partition by a, b, abs(d)) - 1) / 2.0 as rk from d where d <> 0),
+wx as (select a, b, (sum(case when d > 0 then rk else 0 end) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0) as x from wk group by a, b),
+pt as (select a, b, count(*) as n, case when count(*) >= 3 then avg(d) / stddev_samp(d) * sqrt(count(*)) end as x from d group by a, b),
+ag as (select model, config, count(*) as n, avg(ttd) as m, var_samp(ttd) as v from r where ttd is not null group by 1, 2 having count(*) > 1),
+am as (select *, sum(n * m) over (partition by model) / sum(n) over (partition by model) as gm from ag),
+av as (select model, count(*) as k, sum(n) as n, (sum(n * (m - gm) ** 2) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))) as x from am group by model having count(*) >= 2),
+mc as (select a, b, count(*) filter (where ha and not hb) as oa, count(*) filter (where hb and not ha) as ob from dd group by a, b),
+mx as (select a, b, case when oa + ob > 0 then greatest(abs(oa - ob) - 1, 0) ** 2 / (oa + ob) end as x from mc),
+oc as (select o_orderpriority as f, o_orderstatus as o, count(*) as n from orders group by 1, 2),
+ot as (select *, sum(n) over (partition by f) as rs, sum(n) over (partition by o) as cs, sum(n) over () as total from oc),
+ct as (select sum((n - rs * cs / total) ** 2 / (rs * cs / total)) as x, (count(distinct f) - 1) * (count(distinct o) - 1) as dof from ot),
+rk as (select config, rank() over (partition by config order by ttd) + (count(*) over (partition by config, ttd) - 1) / 2.0 as x, rank() over (partition by config order by t_first) + (count(*) over (partition by config, t_first) - 1) / 2.0 as y
+       from r where ttd is not null and t_first is not null),
+rc as (select config, count(*) as n, corr(x, y) as rho from rk group by config),
+rx as (select config, n, case when abs(rho) < 1 then rho * sqrt((n - 2) / (1 - rho * rho)) end as x from rc),
+em as (select config, avg(ttd) as mu, stddev_samp(ttd) as sd from r where model = 0 group by config),
+ez as (select r.config, (ttd - mu) / sd as z from r join em using (config) where model = 1 and ttd is not null),
+eg as (select config, count(z) as n, (avg(z) + 1) / (stddev_samp(z) / sqrt(count(z))) as lo, (avg(z) - 1) / (stddev_samp(z) / sqrt(count(z))) as hi from ez group by config),
+e2 as (select *, case when n > 1 then {t_tail("lo", "(n - 1)")} end as p_lo, case when n > 1 then {t_tail("hi", "(n - 1)")} end as p_hi from eg),
+tests as (
+    select 'log_rank' as test, a || '-' || b as item, x as statistic, {chi2_tail("x", "1")} as p from lr
+    union all select 'signed_ranks', a || '-' || b, x, {chi2_tail("x * x", "1")} from wx
+    union all select 'paired_t', a || '-' || b, x, case when x is not null then {t_tail("x", "(n - 1)")} end from pt
+    union all select 'anova', cast(model as varchar), x, {f_tail("x", "(k - 1)", "(n - k)")} from av
+    union all select 'mcnemar', a || '-' || b, x, case when x is not null then {chi2_tail("x", "1")} end from mx
+    union all select 'independence', 'priority-status', x, {chi2_tail("x", "dof")} from ct
+    union all select 'rank_correlation', cast(config as varchar), x, case when x is not null and n > 2 then {t_tail("x", "(n - 2)")} end from rx
+    union all select 'equivalence', cast(config as varchar), least(lo, -hi), greatest(case when lo > 0 then p_lo / 2 else 1 - p_lo / 2 end, case when hi < 0 then p_hi / 2 else 1 - p_hi / 2 end) from e2
+)"""
+
+
+@register(f"""with {_FAMILIES}, b as (select *, least(1.0, p * count(p) over (partition by test)) as pb from tests)
+    select test, item, round(statistic, 6) as statistic, round(p, 6) as p, round(case when p is not null then pb end, 6) as p_bonferroni, case when p is not null then pb < 0.05 end as significant from b""")
 def p_values(spark, sf_dir):
     """p values with Bonferroni's adjustment within each family: log-rank, signed ranks, paired t, F, equivalence, McNemar, chi-square, rank correlation."""
     r = runs(spark, sf_dir)

@@ -88,6 +88,18 @@ def sign_tail(wins: str, losses: str) -> str:
     return f"least(1, coalesce(2 * list_sum(list_transform(range(0, {k} + 1), lambda j: {choose})) / 2.0 ** {n}, 1))"
 
 
+def chi2_tail(x: str, df: str) -> str:
+    """SQL of the upper tail of chi-square, by the series of the incomplete gamma function."""
+    return f"(1 - case when ({x}) > 0 then list_sum(list_transform(range(0, 400), lambda j: exp(({df} / 2.0 + j) * ln(({x}) / 2) - ({x}) / 2 - lgamma({df} / 2.0 + j + 1)))) else 0 end)"
+
+
+def f_tail(f: str, d1: str, d2: str) -> str:
+    """SQL of the upper tail of F, by the series of the incomplete beta function."""
+    a, b, x = f"({d2} / 2.0)", f"({d1} / 2.0)", f"({d2} / ({d2} + {d1} * ({f})))"
+    front = f"exp({a} * ln({x}) + {b} * ln(1 - {x}) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b}))"
+    return f"{front} * (1 + list_sum(list_transform(range(0, 2000), lambda j: exp(lgamma({a} + 1) + lgamma({a} + {b} + j + 1) - lgamma({a} + j + 2) - lgamma({a} + {b}) + (j + 1) * ln({x})))))"
+
+
 def register(sql: str | None = None):
     """Register a query under its function's name."""
 
