@@ -17,7 +17,7 @@ from stillwater.llm.brown_lm import brown_scores, exchange
 from stillwater.llm.exact_dedup import exact_dedup
 from stillwater.llm.language_id import identify
 from stillwater.llm.near_dedup import near_dedup
-from stillwater.llm.packing import pack_documents, sweep
+from stillwater.llm.packing import across, bands, best_fit, pack, pack_documents
 from stillwater.llm.sharding import RING_BITS, quotas, ring, shard_rows
 from stillwater.llm.suffix_dedup import remove_repeats, repeated_spans
 from stillwater.llm.url_filter import filter_urls
@@ -258,23 +258,63 @@ def check_sequences(rows, capacity):
     return len(by)
 
 
-def test_sweep_is_best_fit_decreasing():
+def decreasing(lengths, capacity):
+    """The sequences of plain best-fit decreasing."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= n]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else capacity) - n)
+    return len(gaps)
+
+
+def test_one_sweep_is_best_fit_decreasing():
     r = random.Random(3)
     for _ in range(60):
         cap = r.choice([10, 50, 128])
         lengths = sorted((r.randint(1, cap) for _ in range(r.randint(0, 300))), reverse=True)
-        gaps = []
-        for n in lengths:
-            fit = [g for g in gaps if g >= n]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - n)
-            else:
-                gaps.append(cap - n)
-        plan = sweep(Counter(lengths), cap)
-        rows = [(first + (k - lo) // each, at + (k - lo) % each * n, n) for n, lo, hi, first, each, at in plan for k in range(lo, hi)]
-        assert Counter(n for *_, n in rows) == Counter(lengths)
-        assert check_sequences(rows, cap) == len(gaps)
+        placed, left, gaps = best_fit(np.array(lengths, int), np.ones(len(lengths), int), np.arange(len(lengths)), cap, 0)
+        assert not left and check_sequences([(s, at, lengths[i]) for i, s, at in placed], cap) == decreasing(lengths, cap)
+        assert sum(f for f, _ in gaps) == cap * decreasing(lengths, cap) - sum(lengths)
+    # without the right to open, pieces take the smallest gap that holds them, and what is left of it
+    placed, left, gaps = best_fit(np.array([9, 7, 6, 3, 2]), np.array([0, 1, 0, 1, 1]), np.array([1, 10, 2, 11, 12]), 20, None)
+    assert (placed, left, gaps) == ([(10, 1, 11), (11, 2, 14), (12, 1, 18)], [], [(3, 2)])
+    assert best_fit(np.array([7, 6]), np.array([1, 0]), np.array([10, 2]), 20, None) == ([], [(10, 7)], [(6, 2)])
+
+
+def test_matches_across_partitions_take_the_nearest_gaps():
+    assert across([(0, 2, 3), (1, 0, 1), (2, 3, 0), (3, 4, 0)]) == ([(2, 0, 1, 0), (2, 1, 3, 1), (3, 0, 1, 3)], [(1, 0, 1, 0), (0, 0, 2, 1), (0, 2, 3, 3)], 4)
+    assert across([]) == ([], [], 0)
+
+
+def test_bands_cover_all_lengths():
+    r = random.Random(5)
+    counts = {n: r.randint(1, 50) for n in r.sample(range(1, 2049), 400)}
+    found = bands(counts, 2048, 500)
+    assert found[0][1] == 2048 and found[-1][0] == 0 and all(a == b for (a, _), (_, b) in zip(found, found[1:]))
+    assert all(sum(n for x, n in counts.items() if lo < x <= hi) <= 500 or 3 * (lo + 1) > 2 * hi - 3 for lo, hi in found)
+
+
+@pytest.mark.parametrize("rows_a_task, worse", [(100_000, 0), (400, 3), (150, 8)])
+def test_packing_in_steps(spark, rows_a_task, worse):
+    r = random.Random(1)
+    lengths = [2048] * 80 + [min(2048, max(1, int(r.expovariate(1 / 500)))) for _ in range(1200)]
+    df = spark.createDataFrame([(i, n, i % 7, "x", 0, 1) for i, n in enumerate(lengths)], "doc int, length long, id int, own0 string, offset int, place int").repartition(4)
+    out = pack(df, 2048, rows_a_task=rows_a_task)
+    assert out.columns == ["doc", "length", "id", "own0", "place", "sequence_id", "offset"]
+    rows = out.collect()
+    assert Counter((x["doc"], x["length"], x["id"]) for x in rows) == Counter((i, n, i % 7) for i, n in enumerate(lengths))
+    assert check_sequences([(x["sequence_id"], x["offset"], x["length"]) for x in rows], 2048) <= decreasing(lengths, 2048) + worse
+
+
+def test_packing_few_or_equal_pieces(spark):
+    df = lambda lengths: spark.createDataFrame([(n,) for n in lengths], "length long")
+    assert pack(df([]), 10).count() == 0
+    for lengths in ([10], [1], [3] * 40, [7] * 30 + [3] * 50, [10] * 50):
+        rows = pack(df(lengths), 10, rows_a_task=8).collect()
+        assert len(rows) == len(lengths)
+        assert check_sequences([(x["sequence_id"], x["offset"], x["length"]) for x in rows], 10) <= decreasing(lengths, 10) + len(lengths) // 8
 
 
 def test_sharding_follows_the_ring(spark, tmp_path):
@@ -519,6 +559,71 @@ def test_language_id(spark, tmp_path):
     assert {(90, "und"), (91, "und"), (92, "und"), (96, "und"), (93, "en"), (98, "en")} <= got
 
 
+def plain_language(rows, words, per_order):
+    """Score every text word by word: known words by log frequency, others by their longest known n-grams."""
+    from stillwater.llm.language_id import ORDERS, WORDS
+
+    cut = lambda w, n: [w] if n == 0 else [s[i : i + n] for s in ([w] if n == 1 else [f"<{w}>"]) for i in range(len(s) - n + 1)]
+    counts = {n: defaultdict(Counter) for n in (0, *ORDERS)}
+    for d, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(("" if d is None else str(d)).encode()) % 3 != 1:
+            for w in WORDS(text.lower()):
+                for n in counts:
+                    counts[n][lang].update(cut(w, n))
+    langs = sorted(counts[0])
+    total = {n: {x: sum(counts[n][x].values()) for x in langs} for n in counts}
+    known = {n: {k for x in langs for k, _ in sorted(counts[n][x].items(), key=lambda i: (-i[1], i[0]))[: words if n == 0 else per_order]} for n in counts}
+    prior = {x: math.log((total[0][x] + 1) / sum(v + 1 for v in total[0].values())) for x in langs}
+    log = lambda n, k, x: math.log((counts[n][x][k] + 0.5) / (total[n][x] + 0.5 * (len(known[n]) + 1)))
+    out = Counter()
+    for d, text, _ in rows:
+        found = WORDS((text or "").lower())
+        score = dict(prior)
+        for w in found:
+            for n in (0, *ORDERS):
+                if keys := [k for k in cut(w, n) if k in known[n]]:
+                    for x in langs:
+                        score[x] += sum(log(n, k, x) for k in keys) / len(keys)
+                    break
+        p = {x: math.exp(v - max(score.values())) for x, v in score.items()}
+        best = max(langs, key=lambda x: score[x]) if found else "und"
+        out[d, zlib.crc32(("" if d is None else str(d)).encode()) % 3 == 1, best, round(p[best] / sum(p.values()), 3) if found else 0.0] += 1
+    return out
+
+
+@pytest.mark.parametrize("words, per_order", [(15_000, 3_000), (20, 40), (3, 5)])
+def test_language_scores_word_by_word(spark, words, per_order):
+    from stillwater.llm.language_id import predict, train
+
+    r = random.Random(2)
+    kinds = {"aa": ("bcdfg", "aei"), "bb": ("bcklm", "aou"), "cc": ("pqrst", "eiu")}
+    make = lambda k, n: " ".join("".join(r.choice(kinds[k][0]) + r.choice(kinds[k][1]) for _ in range(r.randint(1, 4))) + r.choice(["", ",", ".", "-x"]) for _ in range(n))
+    rows = [(i, make(k, r.randint(1, 25)), k) for i, k in enumerate(r.choices([*kinds], [10, 5, 1], k=150))]
+    rows += [(200, None, "aa"), (201, "", "aa"), (202, "12 !?", "bb"), (203, make("cc", 3000), None), (None, make("bb", 9), "bb"), rows[3], rows[3], (204, "ÉÀ zzz", "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learn = df.filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) != 1)
+    model = train(learn, "text", "lang", "doc_id", words=words, per_order=per_order)
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
+    got = Counter((x["doc_id"], x["h"], x["lang_pred"], round(x["score"], 3)) for x in predict(df.withColumn("h", held), model).collect())
+    want = plain_language(rows, words, per_order)
+    assert sum((got - want).values()) <= 2  # scores on the edge of a third digit
+    assert {k[:3] for k in got} == {k[:3] for k in want}
+    if words == 15_000:
+        assert {k[:3] for k in ((x["doc_id"], x["held_out"], x["lang_pred"]) for x in identify(df).collect())} == {k[:3] for k in want}
+
+
+def test_rare_languages_are_drawn_and_keep_their_keys(spark):
+    from stillwater.llm.language_id import drawn, train
+
+    rows = [(7, f"ba be bi text{i}", "en") for i in range(3000)] + [(i, f"ku ko kyword{i}", "xx") for i in range(40)] + [(i, f"zu zo {i}", "yy") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = dict(drawn(df, "text", "lang", "doc_id", 600).groupBy("lang").count().collect())
+    assert n["xx"] == 40 and 200 <= n["en"] <= 360 and 200 <= n["yy"] <= 300
+    model = train(df, "text", "lang", "doc_id", max_rows=600, words=5, per_order=5)
+    assert {"ku", "ko", "ba", "zu"} <= set(model.index[0]) and len(model.index[0]) <= 15
+    assert drawn(df, "text", "lang", "doc_id", 10_000).count() == len(rows)
+
+
 def test_queries_read_every_row(spark):
     counts = {"op2_best_fit_packing": None, "op3_exact_dedup": 200, "op4_hyperminhash": 200, "op6_ring_sharding": 200, "op8_bpe_automaton": 200, "op10_language_id": 200}
     made = Q.queries()
