@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, flush_counts, per_worker, sliced, text_key
@@ -45,19 +45,31 @@ class Model:
 
 
 def drawn(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows: int) -> DataFrame:
-    """The labelled rows, or about ``max_rows`` of them drawn by a hash of ``key_col``."""
-    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    share = max_rows / max(1, rows.count())
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(key_col), F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    return rows
-
-
-def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows: int = 20_000, words: int = 60_000, per_order: int = 12_000) -> Model:
-    """Fit on labelled rows; at most about ``max_rows`` of them, drawn by a hash of ``key_col``.
+    """The labelled rows, or about ``max_rows`` of them, as many of each language as it has, up to an equal share.
 
-    The whole texts of the drawn rows count.  The model keeps the ``words``
-    most frequent words and the ``per_order`` most frequent n-grams of each length.
+    Rows are drawn by a hash of ``key_col`` and text, so rows that share a key are drawn apart.
+    """
+    rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    n = dict(rows.groupBy(lang_col).count().collect())  # a row a language
+    if sum(n.values()) <= max_rows:
+        return rows
+    most, left = 0.0, max_rows
+    for i, m in enumerate(sorted(n.values())):  # what small languages leave goes to the larger ones
+        most = max(most, left / (len(n) - i))
+        left -= min(m, left / (len(n) - i))
+    share = F.lit(1_000_000)
+    for lang, m in n.items():
+        if m > most:
+            share = F.when(F.col(lang_col) == lang, int(most / m * 1_000_000)).otherwise(share)
+    return rows.filter(F.pmod(F.xxhash64(F.col(key_col), F.col(text_col), F.lit(7)), F.lit(1_000_000)) < share)
+
+
+def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows: int = 20_000, words: int = 15_000, per_order: int = 3_000) -> Model:
+    """Fit on labelled rows; at most about ``max_rows`` of them (see ``drawn``).
+
+    The whole texts of the drawn rows count.  The model keeps every word that
+    is among the ``words`` most frequent ones of some language, and every
+    n-gram that is among the ``per_order`` most frequent ones of its length.
     """
     rows = drawn(docs, text_col, lang_col, key_col, max_rows)
 
@@ -102,10 +114,14 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows:
     n = np.zeros((max(ORDERS) + 1, len(langs)))
     for r in totals:
         n[r["order"], langs.index(r["lang"])] = r["n"]
-    # a bounded number of rows: the most frequent keys of each order
-    wide = counts.groupBy("order", "key").agg(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)), F.sum("n").alias("n"))
+    # a bounded number of rows for each language: its most frequent keys of each order
     limit = {0: words, **{k: per_order for k in ORDERS}}
-    kept = [wide.filter(F.col("order") == k).orderBy(F.desc("n"), "key").limit(m) for k, m in limit.items()]
+    place = F.row_number().over(Window.partitionBy("lang", "order").orderBy(F.desc("n"), "key"))
+    most = F.when(F.col("order") == 0, words).otherwise(per_order)
+    keys = counts.withColumn("place", place).filter(F.col("place") <= max(words, per_order)).filter(F.col("place") <= most).select("order", "key").distinct()
+    wide = counts.join(keys, ["order", "key"]).groupBy("order", "key").agg(*(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)))
+    wide = cut(wide)
+    kept = [wide.filter(F.col("order") == k).orderBy("key") for k in limit]
     index: dict[int, dict[str, int]] = {k: {} for k in limit}
     table, usual = [np.zeros(len(langs), np.float32)], [np.zeros((1, len(langs)), bool)]  # row 0: says nothing
     for part, k in zip(kept, limit):
@@ -276,7 +292,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Learn from the rows outside the held-out fold and predict all: ``doc_id, held_out, lang_pred, score``.
 
     The fold is crc32 of the identifier as text modulo ``folds``; a null
-    identifier counts as empty text.  An empty table gives an empty result.
+    identifier counts as empty text.  Rows with a null language or text teach
+    nothing; null, empty and letterless text is ``und`` with score 0, and so is
+    all if there is nothing to learn from.  Texts of any length are judged
+    whole; of equally likely languages the first in text order is taken.
+    Repeated rows are predicted each, other columns are not looked at; an
+    empty table gives an empty result.
     """
     fold = F.pmod(text_key(F.col(id_col)), F.lit(folds)) == held_out
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold.alias("held_out"))
