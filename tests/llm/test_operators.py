@@ -127,6 +127,40 @@ def test_near_dedup_of_many_near_copies(spark, tmp_path):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(rows, 80)
 
 
+@pytest.mark.parametrize("families", [60, 400])
+def test_near_dedup_misses_no_link(spark, families):
+    """Families whose members lie on both sides of the threshold, against an exact join by shared shingles, at two sizes."""
+    r = random.Random(families)
+    rows = []
+    for f in range(families):
+        n = r.choice([30, 80, 200, 700])
+        base = [f"f{f}w{r.randrange(10**6)}" for _ in range(n)]
+        for _ in range(r.randint(2, 7)):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, n // 40))):
+                w[r.randrange(n)] = f"e{r.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    having = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            having[g].append(i)
+    shared = Counter((i, j) for at in having.values() for k, j in enumerate(at) for i in at[:k])
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = [(i, j) for (i, j), n in shared.items() if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n)]
+    for i, j in links:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    assert families < len(links) < len(shared)  # many pairs are near the threshold, on either side
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 85).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("edits, small", [(3, 320), (7, 320), (3, 100), (7, 146)])
 def test_near_dedup_of_a_crowd_that_is_mostly_not_linked(spark, tmp_path, monkeypatch, edits, small):
     """Many texts share bands; links between components that neighbours in sorted order miss are found in blocks, by whole sets or by registers."""
