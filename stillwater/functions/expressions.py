@@ -55,3 +55,13 @@ def wilson(k: Column, n: Column, z: float, sign: int) -> Column:
     p = F.try_divide(k.cast("double"), n)
     root = F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     return F.when(n > 0, (p + z * z / (2 * n) + sign * z * root) / (1 + z * z / n))
+
+
+def usable(verified: Column, unusable: Column, onset: Column, least: int = 0) -> Column:
+    """An annotation that was verified, is not marked unusable and has an onset from ``least`` on; nulls are no verification and no mark."""
+    return F.coalesce(verified, F.lit(False)) & ~F.coalesce(unusable, F.lit(False)) & F.coalesce(onset >= least, F.lit(False))
+
+
+def share_cell(k: Column, n: Column, digits: int = 1) -> Column:
+    """Text of a share: ``3/8 (37.5 %)``, a dash for no rows."""
+    return F.when(n > 0, F.concat(k.cast("string"), F.lit("/"), n.cast("string"), F.lit(" ("), F.format_string(f"%.{digits}f", F.round(100.0 * k / n, digits)), F.lit(" %)"))).otherwise("-")

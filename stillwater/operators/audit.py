@@ -25,6 +25,15 @@ def require_equal(diff: DataFrame) -> None:
         raise ValueError(f"tables differ, first rows: {bad}")
 
 
+def join_equal_counts(a: DataFrame, b: DataFrame, key: list[str], n: str) -> DataFrame:
+    """Two tables of the same cells side by side, columns of the second suffixed ``_b``; cells that one lacks or whose ``n`` differs are an error."""
+    right = b.select(*key, *(F.col(c).alias(f"{c}_b") for c in b.columns if c not in key), F.lit(True).alias("_b"))
+    met = a.withColumn("_a", F.lit(True)).join(right, key, "full_outer")
+    if bad := met.filter(F.col("_a").isNull() | F.col("_b").isNull() | ~F.col(n).eqNullSafe(F.col(f"{n}_b"))).select(*key, n, f"{n}_b").take(5):
+        raise ValueError(f"cells with unequal counts: {bad}")
+    return met.drop("_a", "_b", f"{n}_b")
+
+
 def overlap(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Distinct keys that both tables have; empty if they are disjoint."""
     return a.select(*on).distinct().join(b.select(*on), on, "left_semi")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
 from ..functions import normality as N
 from ..functions import tails
 from ..operators import audit as A
@@ -181,3 +182,34 @@ def prefix_matches(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").filter("url is not null")
     stems = pages.filter("page_id % 3 = 0").select(F.regexp_extract("url", "^[^?#]*/", 0).alias("stem")).distinct()
     return D.by_prefix(pages.select("url").distinct(), stems, "url", "stem").groupBy("stem").agg(F.count("*").alias("n"))
+
+
+@register(f"""with {RUNS}, l as (select model, config, sum(fp_pre::int) / 360.0 as lam from r group by model, config), p as (select r.model, r.config, hit, 1 - exp(-lam * followup) as chance from r join l using (model, config)),
+    g as (select model, coalesce(cast(config as varchar), 'ALL') as config, count(*) as n, 100 * avg(chance) as chance_pct, count(*) filter (where hit) as hits from p group by grouping sets ((model, config), (model)))
+    select model, config, n, hits, round(chance_pct, 6) as chance_pct, round(100.0 * hits / n - chance_pct, 6) as above_chance from g""")
+def hits_above_chance(spark, sf_dir):
+    """Hit shares less what chance gives, by cell and pooled by model; both tables have to rest on the same runs."""
+    r = runs(spark, sf_dir)
+    rates = r.groupBy("model", "config").agg((F.sum(F.col("fp_pre").cast("int")) / 360.0).alias("lam"))
+    pooled = lambda df: df.withColumn("config", F.explode(F.array(F.col("config").cast("string"), F.lit("ALL")))).groupBy("model", "config")
+    hits = pooled(r).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    chance = X.chance_of_hit(F.col("lam"), F.col("followup") * F.lit(3.6e6))
+    expected = pooled(r.join(rates, ["model", "config"])).agg(F.count("*").alias("n"), (100 * F.avg(chance)).alias("chance_pct"))
+    out = A.join_equal_counts(hits, expected, ["model", "config"], "n").withColumnRenamed("chance_pct_b", "chance_pct")
+    return out.select("model", "config", "n", "hits", F.round("chance_pct", 6).alias("chance_pct"), F.round(100.0 * F.col("hits") / F.col("n") - F.col("chance_pct"), 6).alias("above_chance"))
+
+
+@register(f"""with {RUNS}, g as (select config, model, count(*) as n, count(*) filter (where hit) as k from r group by 1, 2), c as (select config, model, k || '/' || n || ' (' || printf('%.1f', round(100.0 * k / n, 1)) || ' %)' as cell from g)
+    select config, max(cell) filter (where model = 0) as m0, max(cell) filter (where model = 1) as m1, max(cell) filter (where model = 2) as m2 from c group by config""")
+def hit_cells(spark, sf_dir):
+    """Hits of every configuration and model as text cells, one column a model."""
+    cells = runs(spark, sf_dir).groupBy("config", "model").agg(F.count("*").alias("n"), F.count_if("hit").alias("k")).withColumn("cell", X.share_cell(F.col("k"), F.col("n")))
+    return cells.groupBy("config").pivot("model", [0, 1, 2]).agg(F.first("cell")).withColumnsRenamed({"0": "m0", "1": "m1", "2": "m2"})
+
+
+@register("""select source, count(*) as n, count(*) filter (where quality = 1 and toxic = 0 and n_chars >= 100) as n_usable from documents join labels using (doc_id) group by source""")
+def usable_annotations(spark, sf_dir):
+    """Documents of each source whose label counts: of good quality, not toxic, long enough."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    ok = X.usable(F.col("quality") == 1, F.col("toxic") == 1, F.col("n_chars"), 100)
+    return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if(ok).alias("n_usable"))

@@ -149,6 +149,16 @@ def run_log_errors(spark, sf_dir):
     return bad.select("run_id", F.lit("broken line").alias("error")).unionByName(judged.filter("error is not null").select("run_id", "error"))
 
 
+@register(f"""with {_LOGGED} select 'c' || x.config as deployment, 'lan' as profile, count(*) as n_frames, count(distinct n.run_id) as n_runs from n join x using (run_id) where run_id % 30 <> 4 and run_id % 40 <> 11 group by x.config""")
+def stamped_frames(spark, sf_dir):
+    """Frames of all logs with the fields of their run's header on every line."""
+    at = T.work_folder(spark)
+    L.write_logs(_log_records(frames(spark, sf_dir)).filter("run_id % 30 <> 4"), at, "run_id")
+    found, _ = L.read_logs(spark, at, run_field="run_id")
+    stamped = L.with_header(found, {"deployment": "cell.deployment", "profile": "cell.network_profile"})
+    return stamped.groupBy("deployment", "profile").agg(F.count("*").alias("n_frames"), F.count_distinct("run_id").alias("n_runs"))
+
+
 #: What the text log of a run says about it, the first one that any line shows.
 LINE_RULES = {"crash": "error value=9[5-9][0-9][0-9]$", "overload": "purchase value=9[0-9][0-9][0-9]$", "noise": "error value="}
 

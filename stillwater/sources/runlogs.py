@@ -54,6 +54,16 @@ def headers(records: DataFrame) -> DataFrame:
     return h.select("run_id", "h.hostname", F.to_timestamp("h.wallclock_utc").alias("started"), "h.git_hash", "h.config_hash", "h.cell.*", "h.libs", "h.gpu_compute_apps")
 
 
+def with_header(records: DataFrame, fields: dict[str, str], kind: str = "frame") -> DataFrame:
+    """Records of a kind, each stamped with fields of its run's header (``{"clip": "cell.scenario"}``), whatever the order of the lines.
+
+    The last header of a run counts; runs without one are left out.
+    """
+    stamps = F.struct(*(F.col(path).alias(name) for name, path in fields.items()))
+    head = records.filter("type = 'header'").groupBy("run_id").agg(F.max_by(stamps, F.coalesce("t_monotonic_at_header", F.lit(0))).alias("_stamp"))
+    return records.filter(F.col("type") == kind).join(head, "run_id").select("*", *(F.col("_stamp")[name].alias(name) for name in fields)).drop("_stamp")
+
+
 def write_logs(records: DataFrame, path: str, run: str | None = None, files: int | None = None) -> None:
     """Append records as lines; earlier files stay.  With ``run`` the lines of a run stand together, in ``files`` files for all runs."""
     if run:

@@ -153,6 +153,25 @@ def test_other_inputs(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "ids")).collect()] == ["9", "10", "100"]
 
 
+def test_headers_stamp_every_frame(logs):
+    got = {r["run_id"]: (r["n"], r["clip"]) for r in L.with_header(logs, {"clip": "cell.scenario"}).groupBy("run_id", "clip").agg(F.count("*").alias("n")).collect()}
+    assert "no_header" not in got and got["known"] == (20, "s") and got["quiet"] == (1, "s")
+
+
+def test_equal_counts_and_cells(spark):
+    from stillwater.functions.expressions import share_cell, usable
+    from stillwater.operators.audit import join_equal_counts
+
+    a = spark.createDataFrame([("x", 2, 1.0), ("y", 3, 2.0)], "c string, n int, v double")
+    assert {tuple(r) for r in join_equal_counts(a, a, ["c"], "n").collect()} == {("x", 2, 1.0, 1.0), ("y", 3, 2.0, 2.0)}
+    for other in (a.limit(1), a.withColumn("n", F.col("n") + 1)):
+        with pytest.raises(ValueError):
+            join_equal_counts(a, other, ["c"], "n")
+    rows = spark.createDataFrame([(True, False, 5), (True, None, 2), (True, True, 5), (None, False, 5), (True, False, 1), (True, False, None)], "v boolean, u boolean, o int")
+    assert [r[0] for r in rows.select(usable(F.col("v"), F.col("u"), F.col("o"), 2)).collect()] == [True, True, False, False, False, False]
+    assert [r[0] for r in spark.createDataFrame([(3, 8), (0, 0), (1, 1)], "k int, n int").select(share_cell(F.col("k"), F.col("n"))).collect()] == ["3/8 (37.5 %)", "-", "1/1 (100.0 %)"]
+
+
 def test_excluded_cells(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "c string, n int")
     cells = spark.createDataFrame([("a", 2)], "c string, n int")
