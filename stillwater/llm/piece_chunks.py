@@ -19,6 +19,8 @@ MARK = "▁"
 TABLE_ROWS, TABLE_BYTES = 200_000, 48
 #: Distinct chunks that a task gathers before it hands on their counts, and chunks outside of the table that a worker keeps.
 GATHERED, KEPT = 300_000, 150_000
+#: Characters of texts that are taken apart at a time, or one longer text.
+AT_ONCE = 1_000_000
 #: Classes of counts to each doubling, for the choice of the table.
 STEPS = 8
 
@@ -69,7 +71,17 @@ class Joiner:
         self.pieces, self.table, self.kept = Pieces(model), table, {}
 
     def texts(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """The ids with commas and the decoded text of each text, joined by position."""
+        """The ids with commas and the decoded text of each text, joined by position; a bounded stretch of texts is taken apart at a time."""
+        part, size = [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size > AT_ONCE:
+                yield from self._joined(part)
+                part, size = [], 0
+        yield from self._joined(part)
+
+    def _joined(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         split = [chunks(t) for t in texts]
         if len(self.kept) > KEPT:
             self.kept = {}
