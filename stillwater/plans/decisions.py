@@ -11,7 +11,7 @@ from ..operators import decide as D
 from ..operators import sequence as S
 from ..operators import survival as V
 from .alarms import SEQ
-from .registry import CORPUS, FRAMES, RUNS, chi2_tail, f_tail, register, t_tail
+from .registry import CORPUS, FRAMES, RUNS, any_chi2_tail, f_tail, register, t_tail
 from .views import CORPUS_ORDER, corpus, frames, runs, table
 
 
@@ -31,7 +31,7 @@ ln_ as (select *, sum(m) over w as n, sum(m1) over w as n1 from lc window w as (
 lr as (select a, b, (sum(d1) - sum(d * n1 / n)) ** 2 / sum(case when n > 1 then d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1) else 0 end) as x from ln_ group by a, b),
 wk as (select *, rank() over (partition by a, b order by abs(d)) + (count(*) over (partition by a, b, abs(d)) - 1) / 2.0 as rk from d where d <> 0),
 wx as (select a, b, (sum(case when d > 0 then rk else 0 end) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0) as x from wk group by a, b),
-pt as (select a, b, count(*) as n, case when count(*) >= 3 then avg(d) / stddev_samp(d) * sqrt(count(*)) end as x from d group by a, b),
+pt as (select a, b, count(*) as n, case when count(*) >= 3 and stddev_samp(d) > 0 then avg(d) / stddev_samp(d) * sqrt(count(*)) end as x from d group by a, b),
 ag as (select model, config, count(*) as n, avg(ttd) as m, var_samp(ttd) as v from r where ttd is not null group by 1, 2 having count(*) > 1),
 am as (select *, sum(n * m) over (partition by model) / sum(n) over (partition by model) as gm from ag),
 av as (select model, count(*) as k, sum(n) as n, (sum(n * (m - gm) ** 2) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))) as x from am group by model having count(*) >= 2),
@@ -49,12 +49,12 @@ ez as (select r.config, (ttd - mu) / sd as z from r join em using (config) where
 eg as (select config, count(z) as n, (avg(z) + 1) / (stddev_samp(z) / sqrt(count(z))) as lo, (avg(z) - 1) / (stddev_samp(z) / sqrt(count(z))) as hi from ez group by config),
 e2 as (select *, case when n > 1 then {t_tail("lo", "(n - 1)")} end as p_lo, case when n > 1 then {t_tail("hi", "(n - 1)")} end as p_hi from eg),
 tests as (
-    select 'log_rank' as test, a || '-' || b as item, x as statistic, {chi2_tail("x", "1")} as p from lr
-    union all select 'signed_ranks', a || '-' || b, x, {chi2_tail("x * x", "1")} from wx
+    select 'log_rank' as test, a || '-' || b as item, x as statistic, {any_chi2_tail("x", "1")} as p from lr
+    union all select 'signed_ranks', a || '-' || b, x, {any_chi2_tail("x * x", "1")} from wx
     union all select 'paired_t', a || '-' || b, x, case when x is not null then {t_tail("x", "(n - 1)")} end from pt
     union all select 'anova', cast(model as varchar), x, {f_tail("x", "(k - 1)", "(n - k)")} from av
-    union all select 'mcnemar', a || '-' || b, x, case when x is not null then {chi2_tail("x", "1")} end from mx
-    union all select 'independence', 'priority-status', x, {chi2_tail("x", "dof")} from ct
+    union all select 'mcnemar', a || '-' || b, x, case when x is not null then {any_chi2_tail("x", "1")} end from mx
+    union all select 'independence', 'priority-status', x, {any_chi2_tail("x", "dof")} from ct
     union all select 'rank_correlation', cast(config as varchar), x, case when x is not null and n > 2 then {t_tail("x", "(n - 2)")} end from rx
     union all select 'equivalence', cast(config as varchar), least(lo, -hi), greatest(case when lo > 0 then p_lo / 2 else 1 - p_lo / 2 end, case when hi < 0 then p_hi / 2 else 1 - p_hi / 2 end) from e2
 )"""

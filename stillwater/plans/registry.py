@@ -88,16 +88,22 @@ def sign_tail(wins: str, losses: str) -> str:
     return f"least(1, coalesce(2 * list_sum(list_transform(range(0, {k} + 1), lambda j: {choose})) / 2.0 ** {n}, 1))"
 
 
-def chi2_tail(x: str, df: str) -> str:
-    """SQL of the upper tail of chi-square, by the series of the incomplete gamma function."""
-    return f"(1 - case when ({x}) > 0 then list_sum(list_transform(range(0, 400), lambda j: exp(({df} / 2.0 + j) * ln(({x}) / 2) - ({x}) / 2 - lgamma({df} / 2.0 + j + 1)))) else 0 end)"
+def chi2_tail(x: str, df: str, terms: str = "400") -> str:
+    """SQL of the upper tail of chi-square, by the series of the incomplete gamma function; 400 terms do for ``x`` up to 500, ``400 + x`` for any."""
+    return f"greatest(0, 1 - case when ({x}) > 0 then list_sum(list_transform(range(0, {terms}), lambda j: exp(({df} / 2.0 + j) * ln(({x}) / 2) - ({x}) / 2 - lgamma({df} / 2.0 + j + 1)))) else 0 end)"
+
+
+def any_chi2_tail(x: str, df: str) -> str:
+    """``chi2_tail`` with as many terms as the statistic needs."""
+    return chi2_tail(x, df, f"400 + try_cast(ceil({x}) as bigint)")
 
 
 def f_tail(f: str, d1: str, d2: str) -> str:
-    """SQL of the upper tail of F, by the series of the incomplete beta function."""
-    a, b, x = f"({d2} / 2.0)", f"({d1} / 2.0)", f"({d2} / ({d2} + {d1} * ({f})))"
-    front = f"exp({a} * ln({x}) + {b} * ln(1 - {x}) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b}))"
-    return f"{front} * (1 + list_sum(list_transform(range(0, 2000), lambda j: exp(lgamma({a} + 1) + lgamma({a} + {b} + j + 1) - lgamma({a} + j + 2) - lgamma({a} + {b}) + (j + 1) * ln({x})))))"
+    """SQL of the upper tail of F at whole degrees of freedom: a finite sum, which at an odd first one begins with the tail of t."""
+    a, x = f"({d2} / 2.0)", f"({d2} / ({d2} + {d1} * ({f})))"
+    even = f"coalesce(list_sum(list_transform(range(0, cast({d1} // 2 as bigint)), lambda j: exp({a} * ln({x}) + j * ln(1 - {x}) + lgamma({a} + j) - lgamma({a}) - lgamma(j + 1)))), 0)"
+    odd = f"coalesce(list_sum(list_transform(range(0, cast({d1} // 2 as bigint)), lambda j: exp({a} * ln({x}) + (j + 0.5) * ln(1 - {x}) + lgamma({a} + j + 0.5) - lgamma({a}) - lgamma(j + 1.5)))), 0)"
+    return f"case when ({f}) <= 0 then 1 when {d1} % 2 = 0 then {even} else {t_tail(f'sqrt({d1} * ({f}))', d2)} + {odd} end"
 
 
 def register(sql: str | None = None):
