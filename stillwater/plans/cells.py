@@ -13,7 +13,7 @@ from ..operators import decide as D
 from ..operators import points as P
 from ..operators import sequence as S
 from .alarms import SEQ
-from .registry import CORPUS, RUNS, chi2_tail, register, t_quantile, t_tail
+from .registry import CORPUS, RUNS, any_chi2_tail, chi2_tail, register, t_quantile, t_tail
 from .views import CORPUS_ORDER, corpus, runs, table
 
 METRICS = ("accum", "followup", "t_first", "ttd")
@@ -30,11 +30,13 @@ def cell_half_widths(spark, sf_dir):
     return out.select("config", "model", "metric", "n", F.round("mean", 4).alias("mean"), *(F.round(c, 6).alias(c) for c in ("half_width", "half_width_pct")))
 
 
-#: Ways to reach each rank sum of up to 30 ranks, as rows (n, w, ways).
-_WAYS = """ways as (
+def _ways(most: int) -> str:
+    """SQL of the ways to reach each rank sum of up to ``most`` ranks, as rows (n, ways)."""
+    sums = most * (most + 1) // 2 + 1
+    return f"""ways as (
     with recursive v(n, ways) as (
-        select 0, list_transform(range(0, 466), lambda i: case when i = 0 then 1.0::double else 0.0 end)
-        union all select n + 1, list_transform(range(0, 466), lambda i: ways[i + 1] + case when i > n then ways[i - n] else 0 end) from v where n < 30
+        select 0, list_transform(range(0, {sums}), lambda i: case when i = 0 then 1.0::double else 0.0 end)
+        union all select n + 1, list_transform(range(0, {sums}), lambda i: ways[i + 1] + case when i > n then ways[i - n] else 0 end) from v where n < {most}
     ) select * from v
 )"""
 
@@ -54,27 +56,29 @@ _SHAPIRO = f"""
 sd as (select x.config as a, y.config as b, x.ttd - y.ttd as d from r x join r y on x.model = y.model and x.scenario = y.scenario and x.config < y.config where x.ttd is not null and y.ttd is not null),
 so as (select *, row_number() over (partition by a, b order by d) as i, count(*) over (partition by a, b) as n from sd),
 sq as (select n, i, list_reduce(list_transform(range(0, 60), lambda k: [-8.0::double, 8.0::double]), lambda s, k: case when {_normal("(s[1] + s[2]) / 2")} < (i - 0.375) / (n + 0.25) then [(s[1] + s[2]) / 2, s[2]] else [s[1], (s[1] + s[2]) / 2] end)[1] as m
-       from (select distinct n, i from so where n >= 3)),
+       from (select distinct n, i from so where n between {N.LEAST} and {N.MOST})),
 ss as (select a, b, max(n) as n, sum(m * d) as mx, sum(m * m) as mm, min(d) as e1, max(d) filter (where i = 2) as e2, max(d) filter (where i = n - 1) as e3, max(d) as e4,
               var_pop(d) * count(*) as ss, max(m) as m1, max(m) filter (where i = n - 1) as m2, max(abs(d)) as most from so join sq using (n, i) group by a, b),
 sw0 as (select *, {_poly(N.LAST, "1 / sqrt(n)")} + m1 / sqrt(mm) as a1, {_poly(N.LAST_BUT_ONE, "1 / sqrt(n)")} + m2 / sqrt(mm) as a2 from ss),
-sw as (select *, case when n = 3 then 0.5 * (e4 - e1) ** 2 / ss
+sw as (select *, least(1, case when n = 3 then 0.5 * (e4 - e1) ** 2 / ss
            when n <= 5 then (a1 * (e4 - e1) + (mx - m1 * (e4 - e1)) / sqrt((mm - 2 * m1 ** 2) / (1 - 2 * a1 ** 2))) ** 2 / ss
-           else (a1 * (e4 - e1) + a2 * (e3 - e2) + (mx - m1 * (e4 - e1) - m2 * (e3 - e2)) / sqrt((mm - 2 * m1 ** 2 - 2 * m2 ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))) ** 2 / ss end as w from sw0),
-sz as (select *, case when n <= 11 then (-ln({_poly(N.GAMMA, "n")} - ln(1 - w)) - {_poly(N.SMALL_MEAN, "n")}) / exp({_poly(N.SMALL_SPREAD, "n")})
+           else (a1 * (e4 - e1) + a2 * (e3 - e2) + (mx - m1 * (e4 - e1) - m2 * (e3 - e2)) / sqrt((mm - 2 * m1 ** 2 - 2 * m2 ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))) ** 2 / ss end) as w from sw0),
+sz as (select *, case when w >= 1 then null when n <= 11 and ln(1 - w) >= {_poly(N.GAMMA, "n")} then null when n <= 11 then (-ln({_poly(N.GAMMA, "n")} - ln(1 - w)) - {_poly(N.SMALL_MEAN, "n")}) / exp({_poly(N.SMALL_SPREAD, "n")})
            else (ln(1 - w) - {_poly(N.LARGE_MEAN, "ln(n)")}) / exp({_poly(N.LARGE_SPREAD, "ln(n)")}) end as z from sw),
-sp as (select a, b, n, case when e4 - e1 <= 1e-8 + 1e-5 * most then 0 when n = 3 then greatest(0, 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75)))) else 1 - {_normal("z")} end as shapiro_p from sz)"""
+sp as (select a, b, n, case when e4 - e1 <= 1e-8 + 1e-5 * most then 0 when n = 3 then greatest(0, 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75)))) when z is null then (w >= 1)::int else 1 - {_normal("z")} end as shapiro_p from sz)"""
 
 
-@register(f"""with recursive {RUNS}, {_WAYS}, {_SHAPIRO},
+@register(f"""with recursive {RUNS}, {_ways(N.EXACT)}, {_SHAPIRO},
     al as (select x.config as a, y.config as b from (select distinct config from r) x join (select distinct config from r) y on x.config < y.config),
     st as (select a, b, count(*) as n_pairs, avg(d) as mean_diff, avg(d) / stddev_samp(d) as dz, avg(d) / stddev_samp(d) * sqrt(count(*)) as t, count(*) filter (where d = 0) as zeros from sd group by a, b),
     sk as (select *, rank() over (partition by a, b order by abs(d)) + (count(*) over (partition by a, b, abs(d)) - 1) / 2.0 as rk, count(*) over (partition by a, b, abs(d)) as ties from sd where d <> 0),
-    sr as (select a, b, count(*) as m, least(sum(case when d > 0 then rk else 0 end), sum(case when d < 0 then rk else 0 end)) as w, max(ties) as most from sk group by a, b),
-    x as (select al.a, al.b, coalesce(n_pairs, 0) as n_pairs, mean_diff, dz, t, shapiro_p, w, m, most, zeros, coalesce(n_pairs, 0) < 3 as few, coalesce(shapiro_p > 0.05, false) and t is not null as by_t
+    sr as (select a, b, count(*) as m, least(sum(case when d > 0 then rk else 0 end), sum(case when d < 0 then rk else 0 end)) as w, max(ties) as most, sum(ties * ties - 1) as tied from sk group by a, b),
+    x as (select al.a, al.b, coalesce(n_pairs, 0) as n_pairs, mean_diff, dz, t, shapiro_p, w, m, most, tied, zeros, coalesce(n_pairs, 0) < 3 as few, coalesce(shapiro_p > 0.05, false) and t is not null as by_t,
+                 (w - m * (m + 1) / 4.0) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0 - tied / 48.0) as z
           from al left join st using (a, b) left join sp using (a, b) left join sr using (a, b)),
-    y as (select *, case when few then null when by_t then {t_tail("t", "(n_pairs - 1)")} when zeros = 0 and most = 1 then (select least(1.0, 2 * list_sum(ways[1:cast(w as int) + 1]) / 2.0 ** m) from ways where ways.n = m) end as p,
-          case when few then null when by_t then dz else abs((w - m * (m + 1) / 4.0) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0)) / sqrt(m) end as effect from x)
+    y as (select *, case when few then null when by_t then {t_tail("t", "(n_pairs - 1)")} when m is null then 1 when zeros = 0 and most = 1 and m <= {N.EXACT} then (select least(1.0, 2 * list_sum(ways[1:cast(w as int) + 1]) / 2.0 ** m) from ways where ways.n = m)
+                       else {any_chi2_tail("(z * z)", "1")} end as p,
+          case when few then null when by_t then dz when m is null then 0 else abs((w - m * (m + 1) / 4.0) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0)) / sqrt(m) end as effect from x)
     select a, b, n_pairs, case when few then 'insufficient' when by_t then 'paired-t' else 'signed-ranks' end as test, round(case when not few then mean_diff end, 6) as mean_diff, round(case when not few then shapiro_p end, 6) as shapiro_p,
            round(case when few then null when by_t then t else w end, 6) as statistic, round(p, 6) as p, round(effect, 6) as effect, round(case when p is not null then least(1.0, p * count(*) over ()) end, 6) as p_bonferroni, coalesce(p * count(*) over () < 0.05, false) as significant from y""")
 def gated_pairs(spark, sf_dir):
@@ -83,7 +87,7 @@ def gated_pairs(spark, sf_dir):
     return out.select("a", "b", "n_pairs", "test", *(F.round(c, 6).alias(c) for c in ("mean_diff", "shapiro_p", "statistic", "p", "effect", "p_bonferroni")), "significant")
 
 
-@register(f"""with recursive {RUNS}, {_WAYS}, p as (select x.config as a, y.config as b, y.ttd - x.ttd as d from r x join r y on x.model = y.model and x.scenario = y.scenario and x.config < y.config where x.ttd is not null and y.ttd is not null),
+@register(f"""with recursive {RUNS}, {_ways(30)}, p as (select x.config as a, y.config as b, y.ttd - x.ttd as d from r x join r y on x.model = y.model and x.scenario = y.scenario and x.config < y.config where x.ttd is not null and y.ttd is not null),
     z as (select a, b, count(*) filter (where d = 0) as zeros from p group by a, b),
     k as (select *, rank() over (partition by a, b order by abs(d)) + (count(*) over (partition by a, b, abs(d)) - 1) / 2.0 as rk, count(*) over (partition by a, b, abs(d)) as t from p where d <> 0),
     w as (select a, b, count(*) as n, least(sum(case when d > 0 then rk else 0 end), sum(case when d < 0 then rk else 0 end)) as w, max(t) as most from k group by a, b)

@@ -35,3 +35,8 @@ def test_tails_at_any_size(d1):
 def test_p_values(spark):
     mine, theirs = both(spark, "p_values")
     assert mine == theirs
+
+
+def test_gated_pairs(spark):
+    mine, theirs = both(spark, "gated_pairs")
+    assert mine == theirs and any("signed-ranks" in r for r in mine)
