@@ -137,15 +137,20 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows:
 
 
 class Judge:
-    """Scores texts by a model; what chunks of text amount to is remembered for a bounded number of them."""
+    """Scores texts by a model; what chunks of text amount to is remembered for a bounded number of them.
 
-    def __init__(self, model: Model, limit: int = 200_000) -> None:
-        self.model, self.limit = model, limit
+    With ``explains`` the n-grams of ``EXPLAINED_BY`` characters, ends of
+    words marked, are counted as well: by language the usual ones, then all.
+    """
+
+    def __init__(self, model: Model, limit: int = 200_000, explains: bool = False) -> None:
+        self.model, self.limit, self.explains = model, limit, explains
         self._reset()
 
     def _reset(self) -> None:
         self.chunks: dict[str, int] = {}
         self.rows = np.zeros((self.limit + 1, len(self.model.langs)), np.float32)
+        self.counts = np.zeros((self.limit + 1 if self.explains else 0, len(self.model.langs) + 1), np.int32)
         self.used = 1  # row 0: no letter
 
     def known(self, w: str) -> list[int]:
@@ -161,7 +166,8 @@ class Judge:
 
     def _learn(self, chunks: list[str]) -> None:
         """Add the rows of chunks not met before: the sum over their words, each the mean of its rows."""
-        first, starts, ids, weights = self.used, [], [], []
+        first, starts, ids, weights, parts, at_part = self.used, [], [], [], [], []
+        get = self.model.index[EXPLAINED_BY].get
         for chunk in chunks:
             if chunk in self.chunks:
                 continue
@@ -177,15 +183,26 @@ class Judge:
                         found = self.known(w)
                         ids += found
                         weights += [1 / len(found)] * len(found)
+                    if self.explains:
+                        at_part.append(len(parts))
+                        parts += [get(g, 0) for w in words for g in grams(w, EXPLAINED_BY)]
                 self.chunks[core] = at
             self.chunks[chunk] = at
         if starts:
             self.rows[first : self.used] = np.add.reduceat(self.model.table[ids] * np.array(weights, np.float32)[:, None], starts)
+        if at_part:
+            self.counts[first : self.used, :-1] = np.add.reduceat(self.model.usual[parts], at_part, dtype=np.int32)
+            self.counts[first : self.used, -1] = np.diff([*at_part, len(parts)])
 
     def __call__(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its score and, with ``explains``, the share of the n-grams that are usual in it (else 0)."""
         if not text:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         total, letters, get = self.model.prior.copy(), False, self.chunks.get
+        counts = np.zeros(self.counts.shape[1], np.int64)
         words = text.split()
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
@@ -198,16 +215,22 @@ class Judge:
                 rows = [get(w) for w in part]
             letters = letters or any(rows)
             total += self.rows[rows].sum(0, dtype=float)
+            if self.explains:
+                counts += self.counts[rows].sum(0, dtype=np.int64)
         if not letters or not self.model.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         p = np.exp(total - total.max())
         best = int(total.argmax())
-        return self.model.langs[best], float(p[best] / p.sum())
+        return self.model.langs[best], float(p[best] / p.sum()), float(counts[best] / max(counts[-1], 1))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", explained: bool = False) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (the share of the best language, 0 to 1) to every row.
 
+    With ``explained`` a column of that name too: the share of the n-grams of
+    the text's words that are usual in the predicted language; n-grams that
+    the model doesn't know are in no language.
+
     Only the text is looked at, all of it.  Null text and text without a
     letter give ``und`` and 0; so does a model without languages.  Letters
     that the model knows nothing about leave the shares of the languages in
@@ -215,76 +238,25 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        judge = per_worker("language", shared.value, Judge)
-        for b in sliced(batches):
-            lang, score = zip(*map(judge, b.column(at).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
-
-
-class Usual:
-    """Counts of a text's n-grams of ``EXPLAINED_BY`` characters, ends of words marked: by language the usual ones, then all."""
-
-    def __init__(self, model: Model, limit: int = 200_000) -> None:
-        self.get, self.usual, self.limit = model.index[EXPLAINED_BY].get, model.usual, limit
-        self.rows = np.zeros((limit, model.usual.shape[1] + 1), np.int32)
-        self.chunks: dict[str, int] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        for x in chunks:
-            if x not in self.chunks:
-                found = [self.get(g, 0) for w in WORDS(x.lower()) if any(map(str.isalpha, w)) for g in grams(w, EXPLAINED_BY)]
-                at = self.chunks[x] = len(self.chunks)
-                self.rows[at, :-1], self.rows[at, -1] = self.usual[found].sum(0), len(found)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        total = np.zeros(self.rows.shape[1], np.int64)
-        words = (text or "").split()
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            if len(self.chunks) + len(part) > self.limit:
-                self.chunks.clear()
-            rows = list(map(self.chunks.get, part))
-            if None in rows:
-                self._learn(part)
-                rows = list(map(self.chunks.get, part))
-            total += self.rows[rows].sum(0, dtype=np.int64)
-        return total
-
-
-def explain(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add ``explained``: by language of the model, the share of the n-grams of the text's words that are usual in it.
-
-    Letters that the model doesn't know, and texts without a letter, have 0 in
-    every language; how much text each language had in training doesn't count.
-    """
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
-
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), *([StructField("explained", DoubleType())] if explained else [])]
+    docs = docs.drop(*(f.name for f in added))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        usual = per_worker("usual", shared.value, Usual)
+        judge = per_worker("language and share" if explained else "language", shared.value, lambda m: Judge(m, explains=explained))
         for b in sliced(batches):
-            n = np.array(list(map(usual, b.column(at).to_pylist())))
-            share = (n[:, :-1] / np.maximum(n[:, -1:], 1)).tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(share, pa.list_(pa.float64()))], [*b.schema.names, "explained"])
+            found = list(zip(*map(judge.judge, b.column(at).to_pylist())))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, k) for v, k in zip(found, (pa.string(), pa.float64(), pa.float64())[: len(added)]))], [*b.schema.names, *(f.name for f in added)])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField("explained", ArrayType(DoubleType()))]))
+    return docs.mapInArrow(run, StructType([*docs.schema, *added]))
 
 
 def least_explained(docs: DataFrame, model: Model, text_col: str, lang_col: str, key_col: str, max_rows: int = 20_000) -> list[float]:
-    """By language of the model: half the median share explained of its training rows (those that ``train`` draws)."""
+    """By language of the model: half the median share explained of its training rows (those that ``train`` draws) that are predicted as such."""
     rows = drawn(docs, text_col, lang_col, key_col, max_rows).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    place = F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")).cast("int") - 1
-    share = explain(rows, model).select("lang", F.get("explained", place).alias("v")).filter("v > 0")
-    found = dict(share.groupBy("lang").agg(F.percentile_approx("v", 0.5)).collect())
+    share = predict(rows, model, explained=True).filter("lang_pred = lang and explained > 0").select("lang", "explained")
+    found = dict(share.groupBy("lang").agg(F.percentile_approx("explained", 0.5)).collect())
     return [found.get(x, 0.0) / 2 for x in model.langs]
 
 

@@ -68,3 +68,35 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     for name, f in P.STAGES:
         assert f(spark, df, "").count() == 0, name
+
+
+def test_language_stage_goes_by_the_predicted_language(spark):
+    """Words known from one language, whose n-grams are usual in the other only: what the method predicts decides."""
+    from stillwater.llm.language_id import least_explained, predict, train
+
+    r = random.Random(9)
+    make = lambda a, b, n: " ".join("".join(r.choice(a) + r.choice(b) for _ in range(3)) for _ in range(n))
+    rows = [(i, make("bcdfg", "aei", 60), "en") for i in range(60)] + [(1000 + i, make("klmnp", "ouy", 60) + " bacedi" * 40, "de") for i in range(60)]
+    rows += [(2000, "bacedi " * 30, None), (2001, "", None), (2002, make("bcdfg", "aei", 40), None), (2003, "zzq " * 50, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = df.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
+    model = train(learn, "text", "lang", "doc_id")
+    least = dict(zip(model.langs, least_explained(learn, model, "text", "lang", "doc_id")))
+    want = {x["doc_id"] for x in predict(df, model, explained=True).collect() if x["lang_pred"] != "und" and x["explained"] > 0 and x["explained"] >= least[x["lang_pred"]]}
+    kept = {x["doc_id"] for x in P.language_id(spark, df, "").collect()}
+    assert kept == want and {2001, 2003} & kept == set() and 2002 in kept
+
+
+def test_share_explained_by_hand(spark):
+    from stillwater.llm.language_id import EXPLAINED_BY, Judge, grams, train
+
+    r = random.Random(3)
+    make = lambda a, n: " ".join("".join(r.choice(a) for _ in range(r.randint(1, 5))) + r.choice(["", ",", "-a", "!"]) for _ in range(n))
+    df = spark.createDataFrame([(i, make("abcdef" if i % 2 else "efghij", 50), "x" if i % 2 else "y") for i in range(40)], "doc_id long, text string, lang string")
+    model = train(df, "text", "lang", "doc_id", per_order=60)
+    judge = Judge(model, limit=400, explains=True)
+    for text in [make("abcdefghij", n) for n in (1, 3, 40, 300, 300, 300)] + ["123", "жда abc"]:
+        lang, _, share = judge.judge(text)
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        found = [model.index[EXPLAINED_BY].get(g, 0) for w in words for g in grams(w, EXPLAINED_BY)]
+        assert share == (sum(model.usual[i][model.langs.index(lang)] for i in found) / len(found) if found else 0.0)
