@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import points as P
 from .registry import FRAMES, RUNS, register
-from .views import frames, runs, table, with_onset
+from .views import frames, runs, spread, table, with_onset
 
 GRID = list(range(1000, 10000, 500))
 TARGETS = {"op5": 0.05, "op20": 0.2, "op50": 0.5}
@@ -101,8 +101,9 @@ def onset_feasibility(spark, sf_dir):
 
 
 def _sources(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_returnflag").agg(F.max("l_discount").alias("x"), F.max("l_tax").alias("y"))
-    return li.select("l_orderkey", "l_linenumber", "l_returnflag", "x"), li.select("l_orderkey", "l_linenumber", "l_returnflag", "y")
+    key = ["l_orderkey", "l_linenumber", "l_returnflag"]
+    li = spread(table(spark, sf_dir, "lineitem").select(*key, "l_discount", "l_tax"), key).groupBy(*key).agg(F.max("l_discount").alias("x"), F.max("l_tax").alias("y"))
+    return li.select(*key, "x"), li.select(*key, "y")
 
 
 _PAIRS = "li as (select l_orderkey, l_linenumber, l_returnflag, max(l_discount) as x, max(l_tax) as y from lineitem group by all)"

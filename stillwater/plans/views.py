@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: list[str], rows: int = 250_000) -> DataFrame:
+    """A table's rows brought together by key, over as many partitions as it takes for each to have about ``rows``; what one task holds doesn't grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows)), *key)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of a run in time order; configuration, model and scenario form a balanced design."""
     e = table(spark, sf_dir, "events")
