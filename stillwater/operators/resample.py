@@ -29,12 +29,17 @@ def replicate_rates(counts: DataFrame, amounts: DataFrame, weights: DataFrame, b
     """Count over amount of every replicate for each group and level: ``by, level, rep, n, amount``.
 
     ``counts`` has ``n`` by group, clip and level, ``amounts`` has ``amount``
-    by group and clip.  Each replicate's amount is added up once for all levels.
+    by group and clip.  Amounts and the counts of all levels are added up in
+    one pass over the weights, so rows don't multiply with the levels.
     """
-    amount = amounts.join(weights, clip).groupBy(*by, "rep").agg(F.sum(F.col("amount") * F.col("weight")).alias("amount"))
-    n = counts.filter("n > 0").join(weights, clip).groupBy(*by, level, "rep").agg(F.sum(F.col("n") * F.col("weight")).alias("n"))
-    levels = F.broadcast(counts.select(level).distinct())  # the grid of thresholds
-    return amount.crossJoin(levels).join(n, [*by, level, "rep"], "left").fillna(0, ["n"])
+    grid = sorted(r[0] for r in counts.select(level).distinct().collect())  # the grid of levels
+    if not grid:
+        return amounts.join(weights, clip).join(counts.select(level, "n"), F.lit(False)).select(*by, "rep", "amount", level, "n")
+    # one row a group and clip with all its levels, so a weight is met once for each group
+    wide = counts.groupBy(*by, clip).agg(*(F.sum(F.when(F.col(level) == x, F.col("n"))).alias(f"_n{i}") for i, x in enumerate(grid)))
+    added = F.sum(F.col("amount") * F.col("weight")).alias("amount"), *(F.coalesce(F.sum(F.col(f"_n{i}") * F.col("weight")), F.lit(0).cast("long")).alias(f"_n{i}") for i in range(len(grid)))
+    rates = amounts.join(wide, [*by, clip], "left").join(weights, clip).groupBy(*by, "rep").agg(*added)
+    return rates.select(*by, "rep", "amount", F.inline(F.array(*(F.struct(F.lit(x).alias(level), F.col(f"_n{i}").alias("n")) for i, x in enumerate(grid)))))
 
 
 def limits(rates: DataFrame, by: list[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

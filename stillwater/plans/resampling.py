@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calibrate as C
 from ..operators import resample as B
 from ..operators import sequence as S
+from ..operators.survival import cut
 from .alarms import EPISODES, HOURS, SEQ, grid
 from .registry import CORPUS, FRAMES, RUNS, register
 from .views import CORPUS_ORDER, corpus, frames, runs, table, with_onset
@@ -82,15 +83,17 @@ def bootstrap_widths(spark, sf_dir):
     manifest = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("clip"), "s_nationkey", F.floor(F.col("s_acctbal") / 1000).alias("content"))
     kept = S.keep_first(manifest, ["s_nationkey", "content"], ["clip"]).filter("kept").select("clip")
 
-    def curve(rows):
-        n, amount = _episodes(spark, rows, "score"), _amounts(rows)
-        rates = B.replicate_rates(n, amount, B.resample(rows, "clip", REPLICATES), ["model"], "threshold", "clip")
+    # counts by clip don't depend on which other clips stay
+    n_all, amount_all = cut(_episodes(spark, c, "score")), cut(_amounts(c))
+
+    def curve(n, amount):
+        rates = B.replicate_rates(n, amount, B.resample(amount, "clip", REPLICATES), ["model"], "threshold", "clip")
         found = B.limits(rates.withColumn("far", F.col("n") * 60.0 / F.col("amount")), ["model", "threshold"], "far")
         whole = amount.groupBy("model").agg(F.sum("amount").alias("amount"))
         far = n.groupBy("model", "threshold").agg(F.sum("n").alias("n")).join(F.broadcast(whole), "model")  # a row a model
         return far.select("model", "threshold", (F.col("n") * 60.0 / F.col("amount")).alias("far_h")).join(found, ["model", "threshold"])
 
-    out = B.width_comparison(curve(c), curve(c.join(kept, "clip", "left_semi")), ["model", "threshold"], low_rate=0.5)
+    out = B.width_comparison(curve(n_all, amount_all), curve(*(x.join(kept, "clip", "left_semi") for x in (n_all, amount_all))), ["model", "threshold"], low_rate=0.5)
     return out.select("subset", "n", *(F.round(x, 6).alias(x) for x in ("width_a", "width_b", "change_pct", "wider_pct")))
 
 

@@ -18,3 +18,24 @@ def test_sources_are_spread(spark):
 
     a, b = points._sources(spark, "/root/testdata/sf0.1")
     assert "REPARTITION_BY_NUM" in a._jdf.queryExecution().toString() and "REPARTITION_BY_NUM" in b._jdf.queryExecution().toString()
+
+
+def test_weights_meet_each_clip_once_for_all_levels(spark):
+    from stillwater.operators import resample as B
+
+    n = [(g, c, t, (c * t + g) % 4) for g in range(2) for c in range(6) for t in (1, 2, 5) if (c, g) != (4, 1)]
+    amounts, weights = [(g, c, float(c + 1)) for g in range(2) for c in range(6)], [(r, c, (r * c) % 3) for r in range(4) for c in range(6) if (r + c) % 4]
+    counts = spark.createDataFrame(n, "g int, clip int, level int, n long")
+    out = B.replicate_rates(counts, spark.createDataFrame(amounts, "g int, clip int, amount double"), spark.createDataFrame(weights, "rep long, clip int, weight long"), ["g"], "level", "clip")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    want = {(g, t, r): (sum(k * w for h, c, u, k in n for q, d, w in weights if (h, u, q, d) == (g, t, r, c)), sum(x * w for h, c, x in amounts for q, d, w in weights if (h, q, d) == (g, r, c))) for g in range(2) for t in (1, 2, 5) for r in range(4)}
+    assert {(x["g"], x["level"], x["rep"]): (x["n"], x["amount"]) for x in out.collect()} == want
+    assert B.replicate_rates(counts.limit(0), spark.createDataFrame(amounts, "g int, clip int, amount double"), spark.createDataFrame(weights, "rep long, clip int, weight long"), ["g"], "level", "clip").count() == 0
+
+
+def test_full_frame_rate_sorts_nothing(spark):
+    from stillwater.operators import sequence as S
+
+    df = spark.range(20).withColumn("k", F.col("id") % 3)
+    assert S.every_nth(df, ["k"], ["id"], 1)._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
+    assert S.every_nth(df, ["k"], ["id"], 1).count() == 20 and {r["id"] for r in S.every_nth(df, ["k"], ["id"], 3).collect()} == {0, 1, 2, 9, 10, 11, 18, 19}
