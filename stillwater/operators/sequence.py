@@ -91,6 +91,8 @@ def alarms_by_threshold(df: DataFrame, key: list[str], order: list[str], score:
 
 def every_nth(df: DataFrame, key: list[str], order: list[str], step: int) -> DataFrame:
     """Every ``step``-th row of each key, from the first: a lower frame rate."""
+    if step == 1:
+        return df
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w) - 1).filter(F.col("_n") % step == 0).drop("_n")
 

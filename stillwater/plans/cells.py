@@ -12,6 +12,7 @@ from ..operators import compare as T
 from ..operators import decide as D
 from ..operators import points as P
 from ..operators import sequence as S
+from ..operators.survival import cut
 from .alarms import SEQ
 from .registry import CORPUS, RUNS, any_chi2_tail, chi2_tail, register, t_quantile, t_tail
 from .views import CORPUS_ORDER, corpus, runs, table
@@ -168,14 +169,13 @@ def trace_identity(spark, sf_dir):
     select x.threshold, count(*) as n, count(*) filter (where x.n <> y.n) as n_disagree from pr join e x on x.clip = a join e y on y.clip = b and y.model = x.model and y.stride = x.stride and y.threshold = x.threshold group by x.threshold""")
 def trace_decisions(spark, sf_dir):
     """Alarm decisions of the two copies of a clip at every threshold and frame rate: how many disagree."""
-    c, pairs = corpus(spark, sf_dir), _copies(spark, sf_dir)
+    pairs = cut(_copies(spark, sf_dir))
+    # only clips that have a copy are looked at, once for both sides of the pairs
+    copied = pairs.select(F.explode(F.array("a", "b")).alias("clip")).distinct()
+    c = corpus(spark, sf_dir).join(copied, "clip", "left_semi")
     grid = spark.createDataFrame([(t,) for t in range(1, 11)], "threshold int")
-    found = None
-    for stride in (1, 3):
-        rows = S.every_nth(c, ["model", "clip"], CORPUS_ORDER, stride)
-        e = S.episodes_by_threshold(rows, ["model", "clip"], ["model", "clip"], CORPUS_ORDER, "score", 3, grid)
-        one = A.copy_disagreement(e, pairs, "clip", ["model", "threshold"], "n_episodes")
-        found = one if found is None else found.unionByName(one)
+    rates = [S.episodes_by_threshold(S.every_nth(c, ["model", "clip"], CORPUS_ORDER, n), ["model", "clip"], ["model", "clip"], CORPUS_ORDER, "score", 3, grid).withColumn("stride", F.lit(n)) for n in (1, 3)]
+    found = A.copy_disagreement(cut(rates[0].unionByName(rates[1])), pairs, "clip", ["model", "threshold", "stride"], "n_episodes")
     return found.groupBy("threshold").agg(F.count("*").alias("n"), F.count_if("disagree").alias("n_disagree"))
 
 
