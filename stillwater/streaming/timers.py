@@ -41,24 +41,33 @@ class AlarmRules(StatefulProcessor):
         self.run = handle.getValueState("run", "streak long, fired boolean, last array<long>, latest long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        streak, fired, last, latest = self.run.get() if self.run.exists() else (0, False, [], -(2**63))
-        new = pd.concat(list(rows)).sort_values(["t", "seq"], kind="stable")
-        t = new["t"].to_numpy(np.int64)
-        episodes, windows, streak, last = rule_times(new["ok"].to_numpy(bool), t, self.k, self.width, streak, np.asarray(last or [], np.int64))
+        found = self.run.get()
+        streak, fired, last, before = found if found is not None else (0, False, [], None)
+        parts = list(rows)
+        ok, t, seq = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("ok", "t", "seq"))
+        order = np.lexsort((seq, t))  # a null number comes last
+        ok, t = ok[order].astype(bool), t[order].astype(np.int64)
+        episodes, windows, streak, last = rule_times(ok, t, self.k, self.width, streak, np.asarray(last or [], np.int64))
         first = [] if fired or not len(episodes) else [episodes[0]]
-        latest = max(latest, int(t[-1]))
+        latest = int(t[-1]) if before is None else max(before, int(t[-1]))
         self.run.update((streak, bool(fired or len(first)), [int(x) for x in last], latest))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(latest // 1_000_000 + self.idle_ms)
+        # the one timer of a run follows from its latest time, so it is neither looked up nor set again in vain
+        if before is None or self._ends(before) != self._ends(latest):
+            if before is not None:
+                self.handle.deleteTimer(self._ends(before))
+            self.handle.registerTimer(self._ends(latest))
         rule = ["episode"] * len(episodes) + ["first"] * len(first) + ["window"] * len(windows)
-        yield pd.DataFrame({"key": np.full(len(rule), key[0], np.int64), "t": np.concatenate([episodes, np.asarray(first, np.int64), windows]), "rule": pd.Series(rule, dtype=object)})
+        if rule:
+            yield pd.DataFrame({"key": np.full(len(rule), key[0], np.int64), "t": np.concatenate([episodes, np.asarray(first, np.int64), windows]), "rule": pd.Series(rule, dtype=object)})
+
+    def _ends(self, latest: int) -> int:
+        return latest // 1_000_000 + self.idle_ms
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, fired, _, latest = self.run.get()
         self.run.clear()
-        rows = [] if fired else [(key[0], latest, "miss")]
-        yield pd.DataFrame(rows, columns=["key", "t", "rule"]).astype({"key": "int64", "t": "int64", "rule": object})
+        if not fired:
+            yield pd.DataFrame({"key": np.array([key[0]], np.int64), "t": np.array([latest], np.int64), "rule": pd.Series(["miss"], dtype=object)})
 
     def close(self) -> None:
         pass

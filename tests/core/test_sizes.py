@@ -39,3 +39,44 @@ def test_full_frame_rate_sorts_nothing(spark):
     df = spark.range(20).withColumn("k", F.col("id") % 3)
     assert S.every_nth(df, ["k"], ["id"], 1)._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
     assert S.every_nth(df, ["k"], ["id"], 1).count() == 20 and {r["id"] for r in S.every_nth(df, ["k"], ["id"], 3).collect()} == {0, 1, 2, 9, 10, 11, 18, 19}
+
+
+def test_a_run_asks_the_state_as_little_as_it_can():
+    import numpy as np
+    import pandas as pd
+
+    from stillwater.streaming.timers import AlarmRules
+
+    class Handle:
+        def __init__(self):
+            self.value, self.timers, self.calls = None, set(), []
+
+        def getValueState(self, *_):
+            return self
+
+        def __getattr__(self, name):
+            def call(*a):
+                self.calls.append(name)
+                if name == "get":
+                    return self.value
+                if name == "update":
+                    self.value = a[0]
+                if name == "registerTimer":
+                    self.timers.add(a[0])
+                if name == "deleteTimer":
+                    self.timers.remove(a[0])
+
+            return call
+
+    rules, h = AlarmRules(2, 10**9, 5), Handle()
+    rules.init(h)
+    big = 2**60  # numbers that only whole ones tell apart: in order 1, 2, 3 the second and third qualify
+    rows = lambda t, seq, ok: iter([pd.DataFrame({"t": np.array(t, np.int64), "seq": np.array(seq), "ok": ok})])
+    out = pd.concat(rules.handleInputRows((7,), rows([10**6] * 3, [big + 3, big + 1, big + 2], [True, False, True]), None))
+    assert out["rule"].tolist() == ["episode", "first", "window"] and h.timers == {6} and h.calls == ["get", "update", "registerTimer"]
+    h.calls.clear()
+    assert list(rules.handleInputRows((7,), rows([9 * 10**6], [1], [False]), None)) == [] and h.timers == {14}
+    assert h.calls == ["get", "update", "deleteTimer", "registerTimer"]
+    h.calls.clear()
+    list(rules.handleInputRows((7,), rows([8 * 10**6], [1], [False]), None))
+    assert h.timers == {14} and h.calls == ["get", "update"]
