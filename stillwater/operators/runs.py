@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import config_label, drop_rate, max_confidence, ms, qualifies
-from .sequence import first_fire, with_streak, windowed_fire
-
-
-def _last(records: DataFrame, kind: str, keys: list[str], cols: list[str], order: str) -> DataFrame:
-    rows = records.filter(F.col("type") == kind)
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("v")).select(*keys, "v.*")
+from .sequence import first_fires, with_streak
 
 
 def confidence_trace(records: DataFrame, classes: list[str] | None = None) -> DataFrame:
@@ -21,8 +16,8 @@ def confidence_trace(records: DataFrame, classes: list[str] | None = None) -> Da
     return f.select("run_id", "frame_idx", ms(F.col("t_post"), F.col("t_onset")).alias("t_rel_onset_ms"), max_confidence("detections", classes).alias("max_conf"))
 
 
-#: Stamps of a frame and what was found in it.
-_FRAME = ["t_capture", "t_decode", "t_pre", "t_send", "t_recv_server", "t_resp_send", "t_resp_recv", "t_infer_start", "t_infer_end", "t_post", "detections"]
+#: Stamps of a frame that its latencies are made of.
+_STAMPS = ["t_capture", "t_send", "t_recv_server", "t_resp_send", "t_resp_recv", "t_infer_start", "t_infer_end", "t_post"]
 
 
 def judged_runs(records: DataFrame, classes: list[str], threshold: float = 0.5, k: int = 3, timeout_s: float = 30.0, window_ms: int = 1000) -> DataFrame:
@@ -39,41 +34,57 @@ def judged_runs(records: DataFrame, classes: list[str], threshold: float = 0.5,
     ``error`` names what makes a run unusable, null if nothing does: no
     header, an alarm without an onset, an alarm that counts without the record
     of its frame or of that frame's emission, a transfer without the answer's stamps.
+
+    The records of a run meet once, sorted by frame, and every rule is read off
+    that one pass: a task sorts the records of its runs a single time.  Records
+    that are already dealt out by ``run_id`` stay where they are.
     """
-    frames = _last(records, "frame", ["run_id", "frame_idx"], _FRAME, "t_post")
-    emits = _last(records, "emit", ["run_id", "frame_idx"], ["t"], "t").withColumnRenamed("t", "t_emit")
     of = lambda kind, value: F.when(F.col("type") == kind, value)
-    alarm_of = F.min_by(of("alarm", F.struct("frame_idx", F.col("t").alias("t_alarm"))), of("alarm", F.col("t")))
-    runs = records.groupBy("run_id").agg(
-        F.count_if(F.col("type") == "header").alias("_headers"),
-        F.count_if(F.col("type") == "emit").alias("n_frames_emitted"),
-        F.count_if(F.col("type") == "drop").alias("n_drops"),
-        F.max(of("onset_ref", F.col("t"))).alias("t_onset"),
-        alarm_of.alias("_alarm"),
-        F.max(of("end", F.coalesce("reason", F.lit("unknown")))).alias("end_reason"),
+    n_of = lambda kind: F.count_if(F.col("type") == kind)
+    a_frame = (F.col("type") == "frame") & F.col("run_id").isNotNull()
+    frame = F.struct(*_STAMPS, qualifies("detections", classes, threshold).alias("q"))
+    # a row for each frame; the records that belong to none are one row of their run
+    f = records.groupBy("run_id", "frame_idx").agg(
+        F.max_by(F.when(a_frame, frame), F.when(a_frame, F.col("t_post"))).alias("v"),
+        F.count_if(a_frame).alias("_frames"),
+        F.max(F.when(F.col("frame_idx").isNotNull(), of("emit", F.col("t")))).alias("t_emit"),
+        n_of("header").alias("_headers"),
+        n_of("emit").alias("_emits"),
+        n_of("drop").alias("_drops"),
+        F.max(of("onset_ref", F.col("t"))).alias("_onset"),
+        F.min(of("alarm", F.col("t"))).alias("_alarm"),
+        F.max(of("end", F.coalesce("reason", F.lit("unknown")))).alias("_end"),
     )
-    runs = runs.select("run_id", "_headers", "n_frames_emitted", "n_drops", "t_onset", F.col("_alarm.frame_idx").alias("_at"), "_alarm.t_alarm", "end_reason")
+    of_run = Window.partitionBy("run_id")
+    f = f.select("*", "v.*", (F.col("_frames") > 0).alias("_frame"), F.max("_onset").over(of_run).alias("t_onset"), F.min_by("frame_idx", "_alarm").over(of_run).alias("_at")).drop("v")
 
     sent = F.col("t_send").isNotNull() & F.col("t_recv_server").isNotNull()
     transfer = ms(F.col("t_recv_server"), F.col("t_send")) + ms(F.col("t_resp_recv"), F.col("t_resp_send"))
     parts = {"dt_acq": ms(F.col("t_capture"), F.col("t_emit")), "dt_transfer": F.when(sent, transfer).otherwise(0.0), "dt_infer": ms(F.col("t_infer_end"), F.col("t_infer_start")), "dt_post": ms(F.col("t_post"), F.col("t_infer_end"))}
-    f = frames.join(emits, ["run_id", "frame_idx"], "left").join(runs.select("run_id", "t_onset", "_at"), "run_id")
-    f = with_streak(f.withColumns({**parts, "_sent": sent}), ["run_id"], ["frame_idx"], qualifies("detections", classes, threshold))
-    measured = first_fire(f, ["run_id"], "t_post", "t_onset", k).drop("t_onset")
-    windowed = windowed_fire(f, ["run_id"], ["frame_idx"], "t_post", "t_onset", F.col("streak") >= 1, k, window_ms * 1_000_000)
+    f = with_streak(f.withColumns({**parts, "_sent": sent}), ["run_id"], ["frame_idx"], F.col("q"), among=F.col("_frame"))
+    # the time of the qualifying frame k - 1 before this one
+    back = F.expr(f"lag(case when streak >= 1 then t_post end, {k - 1}) ignore nulls over (partition by run_id order by frame_idx)") if k > 1 else F.col("t_post")
+    f = f.withColumn("_from", back)
     at = F.struct("t_post", "t_emit", *parts)
-    fired = (F.col("streak") >= k) & (F.col("t_post") >= F.col("t_onset"))
-    per_run = f.groupBy("run_id").agg(
-        F.count("*").alias("n_frames_processed"),
+    after = F.col("t_post") >= F.col("t_onset")
+    fired = (F.col("streak") >= k) & after
+    out = f.groupBy("run_id").agg(
+        F.sum("_headers").alias("_headers"),
+        F.sum("_emits").alias("n_frames_emitted"),
+        F.sum("_drops").alias("n_drops"),
+        F.min("_alarm").alias("t_alarm"),
+        F.max("_end").alias("end_reason"),
+        F.count_if("_frame").alias("n_frames_processed"),
         *(F.avg(c).alias(f"pf_{c}_ms") for c in ("dt_acq", "dt_infer", "dt_post")),
-        F.coalesce(F.avg(F.when(F.col("_sent"), F.col("dt_transfer"))), F.lit(0.0)).alias("pf_dt_transfer_ms"),
+        F.when(F.count_if("_frame") > 0, F.coalesce(F.avg(F.when(F.col("_sent"), F.col("dt_transfer"))), F.lit(0.0))).alias("pf_dt_transfer_ms"),
         F.median("dt_infer").alias("pf_dt_infer_median_ms"),
         F.count_if(F.col("_sent") & F.col("dt_transfer").isNull()).alias("_unanswered"),
-        F.max(F.when(F.col("frame_idx") == F.col("_at"), at)).alias("_alarm_frame"),
+        F.max(F.when(F.col("_frame") & (F.col("frame_idx") == F.col("_at")), at)).alias("_alarm_frame"),
         F.min_by(F.when(fired, at), F.when(fired, F.col("frame_idx"))).alias("_measured"),
+        *first_fires("t_post", "t_onset", k),
+        F.min(F.when((F.col("streak") >= 1) & (F.col("t_post") - F.col("_from") <= window_ms * 1_000_000) & after, F.col("t_post"))).alias("t_window"),
     )
 
-    out = runs.join(per_run, "run_id", "left").join(measured, "run_id", "left").join(windowed, "run_id", "left")
     since = lambda t: ms(t, F.col("t_onset"))
     limit = timeout_s * 1000
     hit = F.coalesce((F.col("t_alarm") >= F.col("t_onset")) & (since(F.col("t_alarm")) <= limit), F.lit(False))
@@ -81,7 +92,7 @@ def judged_runs(records: DataFrame, classes: list[str], threshold: float = 0.5,
     meas_hit = F.coalesce((since(meas.t_post) <= limit) & meas.t_emit.isNotNull(), F.lit(False))
     win_hit = F.coalesce(since(F.col("t_window")) <= limit, F.lit(False))
     rest = lambda total, frame: total - frame.dt_acq - frame.dt_transfer - frame.dt_infer - frame.dt_post
-    processed = F.coalesce("n_frames_processed", F.lit(0).cast("long"))
+    processed = F.col("n_frames_processed")
     error = (
         F.when(F.col("_headers") == 0, "no header")
         .when(F.col("t_alarm").isNotNull() & F.col("t_onset").isNull(), "alarm without onset")
@@ -93,7 +104,7 @@ def judged_runs(records: DataFrame, classes: list[str], threshold: float = 0.5,
     return out.select(
         "run_id",
         "n_frames_emitted",
-        processed.alias("n_frames_processed"),
+        "n_frames_processed",
         "n_drops",
         drop_rate(F.col("n_drops"), processed).alias("drop_rate"),
         hit.alias("hit"),
@@ -114,8 +125,8 @@ def judged_runs(records: DataFrame, classes: list[str], threshold: float = 0.5,
         since(F.col("t_first_detection")).alias("t_first_det_ms"),
         F.when(meas_hit, ms(meas.t_post, F.col("t_first_detection"))).alias("t_accum_ms"),
         since(F.col("t_last")).alias("followup_ms"),
-        F.coalesce("n_post", F.lit(0).cast("long")).alias("n_frames_post_onset"),
-        F.coalesce("n_qualifying_post", F.lit(0).cast("long")).alias("n_qualifying_post_onset"),
+        F.col("n_post").alias("n_frames_post_onset"),
+        F.col("n_qualifying_post").alias("n_qualifying_post_onset"),
         *(f"pf_{c}_ms" for c in parts),
         "pf_dt_infer_median_ms",
         F.when(processed > 0, total).alias("pf_latency_ms"),

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from .survival import running
 
 
-def with_streak(df: DataFrame, key: list[str], order: list[str], cond: Column, out: str = "streak") -> DataFrame:
-    """Count the consecutive rows that meet ``cond`` up to each row; 0 where it fails.  A null condition fails."""
+def with_streak(df: DataFrame, key: list[str], order: list[str], cond: Column, out: str = "streak", among: Column | None = None) -> DataFrame:
+    """Count the consecutive rows that meet ``cond`` up to each row; 0 where it fails.  A null condition fails.
+
+    With ``among`` (never null) the rows that don't meet it have 0 and break no streak.
+    """
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_q", F.coalesce(cond, F.lit(False))).withColumn("_n", F.row_number().over(w))
-    failed = F.coalesce(F.max(F.when(~F.col("_q"), F.col("_n"))).over(w), F.lit(0))
-    return df.withColumn(out, (F.col("_n") - failed).cast("long")).drop("_q", "_n")
+    number = F.row_number() if among is None else F.count_if(among)
+    among = F.lit(True) if among is None else among
+    df = df.withColumn("_q", F.coalesce(cond, F.lit(False))).withColumn("_n", number.over(w))
+    failed = F.coalesce(F.max(F.when(among & ~F.col("_q"), F.col("_n"))).over(w), F.lit(0))
+    return df.withColumn(out, F.when(among, F.col("_n") - failed).otherwise(0).cast("long")).drop("_q", "_n")
 
 
 def episodes(df: DataFrame, key: list[str], order: list[str], cond: Column, k: int) -> DataFrame:
@@ -21,10 +26,10 @@ def episodes(df: DataFrame, key: list[str], order: list[str], cond: Column, k: i
     return with_streak(df, key, order, cond).groupBy(*key).agg(F.count_if(F.col("streak") == k).alias("n_episodes"))
 
 
-def first_fire(df: DataFrame, key: list[str], time: str, onset: str, k: int) -> DataFrame:
-    """Alarm of each key from a ``streak`` column: first time at or after the onset, and whether one fired before it."""
+def first_fires(time: str, onset: str, k: int) -> list[Column]:
+    """The aggregates of ``first_fire``."""
     fired = F.col("streak") >= k
-    return df.groupBy(*key).agg(
+    return [
         F.min(F.when(fired & (F.col(time) >= F.col(onset)), F.col(time))).alias("t_fire"),
         F.coalesce(F.bool_or(fired & (F.col(time) < F.col(onset))), F.lit(False)).alias("fp_pre"),
         F.min(F.when(F.col("streak") == k, F.col(time))).alias("t_single_shot"),
@@ -33,7 +38,12 @@ def first_fire(df: DataFrame, key: list[str], time: str, onset: str, k: int) ->
         F.max(time).alias("t_last"),
         F.count_if(F.col(time) >= F.col(onset)).alias("n_post"),
         F.count_if((F.col(time) >= F.col(onset)) & (F.col("streak") >= 1)).alias("n_qualifying_post"),
-    )
+    ]
+
+
+def first_fire(df: DataFrame, key: list[str], time: str, onset: str, k: int) -> DataFrame:
+    """Alarm of each key from a ``streak`` column: first time at or after the onset, and whether one fired before it."""
+    return df.groupBy(*key).agg(*first_fires(time, onset, k))
 
 
 def windowed_fire(df: DataFrame, key: list[str], order: list[str], time: str, onset: str, cond: Column, k: int, width: int) -> DataFrame:

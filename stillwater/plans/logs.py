@@ -13,7 +13,7 @@ from ..sources import tables as T
 from ..streaming.alarms import alarm_stream, finished_runs, loss_stream, replay_safe, timeout_misses
 from ..streaming.timers import timed_alarms, timer_store
 from .registry import FRAMES, RUNS, register
-from .views import ONSET_NS, frames, runs, table
+from .views import ONSET_NS, frames, partitions, runs, spread, table
 
 
 @register(f"""with {FRAMES}, s0 as (select *, case when value >= 60 then 1 else 0 end as q from f), s1 as (select *, sum(1 - q) over (partition by run_id order by t_post, frame_idx) as brk from s0),
@@ -110,15 +110,28 @@ def _log_records(f):
     return out
 
 
+def _written(spark, sf_dir, at, keep="true"):
+    """Write the log of the runs to keep; the records, and the number of files that they fill.
+
+    An event makes three records at most, a run four of its own.  Files, and the
+    partitions that make them, grow with the events, so that no task sorts
+    more records in a larger table.
+    """
+    f = frames(spark, sf_dir)
+    records = _log_records(spread(f, ["run_id"])).filter(keep)
+    files = partitions(f, rows=100_000)
+    L.write_logs(records, at, "run_id", files)
+    return records, files
+
+
 def _judged(spark, sf_dir):
     """The log written to a few files, with a broken line in some runs, read back and judged; the second table has the runs set aside."""
     at = T.work_folder(spark)
-    records = _log_records(frames(spark, sf_dir))
-    L.write_logs(records, f"{at}/logs", "run_id")
+    records, files = _written(spark, sf_dir, f"{at}/logs")
     broken = records.filter("type = 'frame' and frame_idx = 0 and run_id % 30 = 4").select(F.concat(F.lit('{"run_id": '), F.col("run_id").cast("string"), F.lit(', "type": "fra')).alias("value"))
     broken.write.mode("append").text(f"{at}/logs")
     found, bad = L.read_logs(spark, f"{at}/logs", run_field="run_id")
-    judged = R.judged_runs(found, ["gun"], 0.6, 3, timeout_s=5 * 86400.0, window_ms=86_400_000)
+    judged = R.judged_runs(found.repartition(files, "run_id"), ["gun"], 0.6, 3, timeout_s=5 * 86400.0, window_ms=86_400_000)
     return R.with_labels(judged, L.headers(found)), bad
 
 
@@ -153,7 +166,7 @@ def run_log_errors(spark, sf_dir):
 def stamped_frames(spark, sf_dir):
     """Frames of all logs with the fields of their run's header on every line."""
     at = T.work_folder(spark)
-    L.write_logs(_log_records(frames(spark, sf_dir)).filter("run_id % 30 <> 4"), at, "run_id")
+    _written(spark, sf_dir, at, "run_id % 30 <> 4")
     found, _ = L.read_logs(spark, at, run_field="run_id")
     stamped = L.with_header(found, {"deployment": "cell.deployment", "profile": "cell.network_profile"})
     return stamped.groupBy("deployment", "profile").agg(F.count("*").alias("n_frames"), F.count_distinct("run_id").alias("n_runs"))

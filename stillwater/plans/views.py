@@ -16,9 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions(df: DataFrame, rows: int = 250_000) -> int:
+    """As many partitions as it takes for each to have about ``rows`` rows of a table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows))
+
+
 def spread(df: DataFrame, key: list[str], rows: int = 250_000) -> DataFrame:
     """A table's rows brought together by key, over as many partitions as it takes for each to have about ``rows``; what one task holds doesn't grow with the table."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows)), *key)
+    return df.repartition(partitions(df, rows), *key)
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,23 @@ def test_wide_windows(logs):
     assert one.meas_hit and not one.win_hit and three.win_hit
 
 
+def test_records_of_a_run_meet_once(logs):
+    plan = judged_runs(logs.repartition(5, "run_id"), ["gun"])._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Join") == 1  # the runs set aside by the reader
+    text = plan.executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in text and text.split("REPARTITION_BY_NUM")[0].count("Exchange") == 1, text
+
+
+def test_records_without_a_frame_break_no_streak(spark, logs):
+    skipped = logs.filter("run_id = 'known' and not (type = 'frame' and frame_idx = 11)")
+    x = judged_runs(skipped, ["gun"]).first()
+    assert (x.n_frames_processed, x.n_frames_emitted, x.ttd_meas_ms, x.ttd_win_ms, x.ttd_ms, x.n_qualifying_post_onset) == (19, 20, 185, 185, 146, 9)
+    one = judged_runs(skipped, ["gun"], k=1).first()
+    assert (one.ttd_meas_ms, one.ttd_win_ms) == (65, 65)
+    bare = judged_runs(logs.filter("run_id = 'known' and type <> 'frame'"), ["gun"]).first()
+    assert (bare.error, bare.n_frames_processed, bare.pf_dt_transfer_ms, bare.pf_latency_ms, bare.dt_transfer_ms, bare.dt_confirm_window_ms, bare.followup_ms) == ("alarm without its frame", 0, None, None, None, None, None)
+
+
 def test_errors_set_aside_or_stop(logs):
     assert {r["run_id"] for r in run_metrics(logs, ["gun"]).select("run_id").collect()} == set(RUNS) - {"alarm_no_onset", "no_header", "no_frame", "no_emit", "unanswered"}
     with pytest.raises(ValueError, match="no_header"):

@@ -80,3 +80,13 @@ def test_a_run_asks_the_state_as_little_as_it_can():
     h.calls.clear()
     list(rules.handleInputRows((7,), rows([8 * 10**6], [1], [False]), None))
     assert h.timers == {14} and h.calls == ["get", "update"]
+
+
+def test_a_log_fills_files_by_its_rows(spark, tmp_path, monkeypatch):
+    from stillwater.plans import logs
+
+    monkeypatch.setattr(logs, "partitions", lambda f, rows: 11)
+    records, files = logs._written(spark, "/root/testdata/sf0.001", str(tmp_path / "l"))
+    assert files == 11 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = list((tmp_path / "l").glob("part-*"))
+    assert 4 < len(made) <= 11 and sum(len(x.read_text().splitlines()) for x in made) == records.count()
