@@ -3,57 +3,74 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flush_counts, pieces, text_key
+from .common import cut, text_key
 
 #: The end of a text; no word is empty.
 END = b""
 
 
-class _Ids(dict):
-    """Word to number; words that aren't listed share one number."""
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (null as empty), A-Z lower-cased, and the number of words of each text; its end is not among them."""
+    texts = pc.fill_null(pc.cast(texts, options=pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True)), "")
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # ASCII letters, and the six white-space characters of ASCII
+    words = found.flatten().cast(pa.binary())
+    full = pc.binary_length(words).to_numpy() > 0
+    upto = np.concatenate(([0], np.cumsum(full)))
+    ends = np.cumsum(pc.list_value_length(found).to_numpy().astype(np.int64))
+    return words.filter(pa.array(full)), np.diff(upto[ends], prepend=0)
 
-    def __init__(self, words: list[bytes], other: int) -> None:
-        super().__init__(zip(words, range(len(words))))
-        self.other = other
 
-    def __missing__(self, _: bytes) -> int:
-        return self.other
+def numbers(words: pa.Array, sizes: np.ndarray, listed: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens, each text closed by ``end``: their places in ``listed`` (behind it for a word that isn't listed), and which of the words each is."""
+    inner = np.ones(len(words) + len(sizes), bool)
+    inner[np.cumsum(sizes + 1) - 1] = False
+    out = np.full(len(inner), end, np.int64)
+    out[inner] = pc.fill_null(pc.index_in(words, value_set=listed), len(listed)).to_numpy()
+    return out, np.cumsum(inner) - 1
 
 
-def tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The words of all texts, A-Z lower-cased, each text closed by END; and the number of tokens of each text."""
-    out: list[bytes] = []
-    sizes = np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        at = len(out)
-        out += t.lower().split()  # on bytes: ASCII letters, and the six white-space characters of ASCII
-        out.append(END)
-        sizes[i] = len(out) - at
-    return out, sizes
-
-
-def _slices(batches, rows: int = 1_000):
-    """The batches in slices, so that the words of only so many texts are in memory at once."""
+def _slices(batches, column: int = 0, size: int = 8_000_000):
+    """The batches in slices of about ``size`` bytes of text, so that the words of only so much are in memory at once."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, n`` over whole texts (one column ``text``); END is the empty word.  Counts are added up before the shuffle."""
 
     def run(batches):
-        for items in flush_counts((Counter(tokens(pieces(b.column(0)))[0]) for b in _slices(batches)), 300_000):
-            w, n = zip(*items)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+        held, n, ends = [], 0, 0
+
+        def added():
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        for b in _slices(batches):
+            words, sizes = tokens(b.column(0))
+            ends += len(sizes)
+            found = words.value_counts()
+            held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            n += len(found)
+            if n > 1_000_000:
+                held = [added()]
+                n = len(held[0])
+                if n > 500_000:
+                    yield from held[0].to_batches(100_000)
+                    held, n = [], 0
+        held.append(pa.table({"word": pa.array([END] * (ends > 0), pa.binary()), "n": pa.array([ends] * (ends > 0), pa.int64())}))
+        yield from added().to_batches(100_000)
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -78,12 +95,12 @@ def pair_counts(texts: DataFrame, words: list[bytes], to: np.ndarray, near: int
     plus the number of numbers, after it.  A text follows an END.  Each task
     adds up its pairs before the shuffle.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((words, to))
+    shared = texts.sparkSession.sparkContext.broadcast((pa.array(words, pa.binary()), to, words.index(END)))
 
     def run(batches):
-        listed, to = shared.value
-        ids, width = _Ids(listed, len(listed)), int(to.max()) + 1
-        end, base = ids[END], width if near is None else 2 * width
+        listed, to, end = shared.value
+        width = int(to.max()) + 1
+        base = width if near is None else 2 * width
         keys, ns, held = [], [], 0
 
         def out():
@@ -92,10 +109,7 @@ def pair_counts(texts: DataFrame, words: list[bytes], to: np.ndarray, near: int
             return k, n
 
         for b in _slices(batches):
-            words, _ = tokens(pieces(b.column(0)))
-            if not words:
-                continue
-            cur = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+            cur, _ = numbers(*tokens(b.column(0)), listed, end)
             prev = np.concatenate(([end], cur[:-1]))
             if near is None:
                 k = to[prev] * width + to[cur]
@@ -314,28 +328,26 @@ def unlisted(texts: DataFrame, words: list[bytes], of: np.ndarray, table, classe
     occurrence is a row; these words are rare, so none is hot.
     """
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((words, of))
+    shared = spark.sparkContext.broadcast((pa.array(words, pa.binary()), of))
     width, other, none = classes + 2, classes + 1, -1
     schema = "word binary, l int, r int, next binary, n long"
 
     def occurrences(batches):
         listed, to = shared.value
-        ids, cls = _Ids(listed, len(listed)), np.append(to, none)
-        moves = np.zeros(width * width, np.int64)
+        cls, moves = np.append(to, none), np.zeros(width * width, np.int64)
         for b in _slices(batches):
-            words, _ = tokens(pieces(b.column(0)))
-            if not words:
-                continue
+            words, sizes = tokens(b.column(0))
             # a text ends with END and follows one, so the ends of a slice are no unlisted words
-            c = cls[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))]
+            i, place = numbers(words, sizes, listed, len(listed) - 1)
+            c = cls[i]
             prev = np.concatenate(([classes], c[:-1]))
             both = (prev != none) & (c != none)
             moves += np.bincount(prev[both] * width + c[both], minlength=width * width)
             at = np.flatnonzero(c == none)
             if len(at):
                 after = c[at + 1]
-                follow = [words[i + 1] if x == none else None for i, x in zip(at.tolist(), after.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in at.tolist()], pa.binary()), pa.array(prev[at].astype(np.int32)), pa.array(after.astype(np.int32)), pa.array(follow, pa.binary()), pa.array(np.ones(len(at), np.int64))], ["word", "l", "r", "next", "n"])
+                follow = words.take(pa.array(place[at + 1], mask=after != none))
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(place[at])), pa.array(prev[at].astype(np.int32)), pa.array(after.astype(np.int32)), follow, pa.array(np.ones(len(at), np.int64))], ["word", "l", "r", "next", "n"])
         k = np.flatnonzero(moves)
         if len(k):
             # a key of its own for each pair of classes, which no word equals
@@ -348,35 +360,32 @@ def unlisted(texts: DataFrame, words: list[bytes], of: np.ndarray, table, classe
         best = Chooser(table.value, classes)
         moves = np.zeros((width, width), np.int64)
         for b in batches:
-            v, at, names = b.column(1), b.column(1).offsets.to_numpy().tolist(), b.column(0).to_pylist()
-            left, right, follow, n = (v.values.field(i) for i in range(4))
+            v, at, names = b.column(1), b.column(1).offsets.to_numpy(), b.column(0)
+            left, right, follow, n = (v.values.field(i).slice(at[0], at[-1] - at[0]) for i in range(4))
             left, right, n = left.to_numpy(), right.to_numpy(), n.to_numpy()
-            follow = follow.to_pylist()
-            sums = np.add.reduceat(n[: at[-1]], at[:-1]).tolist() if len(names) else []
-            cs = []
-            for word, x, y, total in zip(names, at[:-1], at[1:], sums):
-                c = other
-                if word[:1] == b" ":
-                    c = none
-                elif least is not None and total >= least:
-                    m = n[x:y].astype(float)
-                    lc, rc = (np.bincount(np.where(z[x:y] == none, other, z[x:y]), m, width) for z in (left, right))
-                    li, ri = np.flatnonzero(lc), np.flatnonzero(rc)
-                    c = best(li, lc[li], ri, rc[ri])
-                cs.append(c)
-            c = np.repeat(np.array(cs, np.int64), np.diff(at))
-            l, r, m = left[at[0] : at[-1]], right[at[0] : at[-1]], n[at[0] : at[-1]]
-            for ok, i, j in ((c == none, l, r), ((c != none) & (l != none), l, c), ((c != none) & (r != none), c, r)):
-                np.add.at(moves, (i[ok], j[ok]), m[ok])
-            words = np.flatnonzero(np.array(cs) != none).tolist()
-            yield out(0, [names[i] for i in words], [cs[i] for i in words], [None] * len(words), [sums[i] for i in words])
-            pending = np.flatnonzero((c != none) & (r == none)).tolist()
-            yield out(1, [follow[at[0] + i] for i in pending], c[pending].tolist(), [None] * len(pending), m[pending].tolist())
+            at = at - at[0]
+            sums = np.add.reduceat(n, at[:-1]) if len(names) else n[:0]
+            cs = np.where(pc.starts_with(names, b" ").to_numpy(zero_copy_only=False), none, other)
+            for i in np.flatnonzero((cs != none) & (sums >= least)).tolist() if least is not None else ():
+                x, y = at[i], at[i + 1]
+                m = n[x:y].astype(float)
+                lc, rc = (np.bincount(np.where(z[x:y] == none, other, z[x:y]), m, width) for z in (left, right))
+                li, ri = np.flatnonzero(lc), np.flatnonzero(rc)
+                cs[i] = best(li, lc[li], ri, rc[ri])
+            c = np.repeat(cs, np.diff(at))
+            for ok, i, j in ((c == none, left, right), ((c != none) & (left != none), left, c), ((c != none) & (right != none), c, right)):
+                np.add.at(moves, (i[ok], j[ok]), n[ok])
+            words = np.flatnonzero(cs != none)
+            yield out(0, names.take(pa.array(words)), cs[words], None, sums[words])
+            pending = np.flatnonzero((c != none) & (right == none))
+            yield out(1, follow.take(pa.array(pending)), c[pending], None, n[pending])
         i, j = np.nonzero(moves)
-        yield out(2, [None] * len(i), i.tolist(), j.tolist(), moves[i, j].tolist())
+        yield out(2, None, i, j, moves[i, j])
 
     def out(kind, word, c, d, n):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(word), pa.int32()), pa.array(word, pa.binary()), pa.array(c, pa.int32()), pa.array(d, pa.int32()), pa.array(n, pa.int64())], ["kind", "word", "c", "d", "n"])
+        k = len(n)
+        columns = [np.full(k, kind, np.int32), pa.nulls(k, pa.binary()) if word is None else word, c.astype(np.int32), pa.nulls(k, pa.int32()) if d is None else d.astype(np.int32), n.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["kind", "word", "c", "d", "n"])
 
     found = cut(by.mapInArrow(choose, "kind int, word binary, c int, d int, n long"))
     rest = found.filter("kind = 0").select("word", "n", "c")
@@ -417,7 +426,7 @@ def _score(docs: DataFrame, model: ClassModel, text_col: str = "text") -> DataFr
     """
     from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+    shared = docs.sparkSession.sparkContext.broadcast((replace(model, rest=None, words=[]), pa.array(model.words, pa.binary())))
     others = [c for c in docs.columns if c != text_col]
     at = docs.columns.index(text_col)
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
@@ -427,8 +436,7 @@ def _score(docs: DataFrame, model: ClassModel, text_col: str = "text") -> DataFr
     width, none = len(model.step), -1
 
     def run(batches):
-        m = shared.value
-        ids = _Ids(m.words, len(m.words))
+        m, listed = shared.value
         of = np.append(m.of, none)
         base = np.append(np.log10((m.n + 0.5) / (m.total + 0.5 * (m.types + 1))), 0.0)
         emit = np.append(m.emit, 0.0)
@@ -436,9 +444,10 @@ def _score(docs: DataFrame, model: ClassModel, text_col: str = "text") -> DataFr
         step = np.zeros((width + 1, width + 1))  # the last ones: not listed
         step[:width, :width] = m.step
         end_class = int(m.of[-1])
-        for b in _slices(batches):
-            words, sizes = tokens(pieces(b.column(at)))
-            i = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        for b in _slices(batches, at):
+            words, sizes = tokens(b.column(at))
+            i, place = numbers(words, sizes, listed, len(listed) - 1)
+            sizes = sizes + 1  # with the end
             c = of[i]
             prev = np.concatenate(([end_class], c[:-1]))
             first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -453,8 +462,8 @@ def _score(docs: DataFrame, model: ClassModel, text_col: str = "text") -> DataFr
                 doc = np.repeat(np.arange(len(sizes)), sizes)[miss]
                 zero = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())]
                 idle = [pa.array(rows[doc]) if name == "_row" else pa.nulls(n, b.schema.field(name).type) for name in keep]
-                place = [pa.array(prev[miss].astype(np.int32)), pa.array(c[miss + 1].astype(np.int32)), pa.array(miss - first[doc])]
-                yield pa.RecordBatch.from_arrays([*idle, *zero, pa.array([words[x] for x in miss.tolist()], pa.binary()), *place], schema.names)
+                beside = [pa.array(prev[miss].astype(np.int32)), pa.array(c[miss + 1].astype(np.int32)), pa.array(miss - first[doc])]
+                yield pa.RecordBatch.from_arrays([*idle, *zero, words.take(pa.array(place[miss])), *beside], schema.names)
 
     parts = numbered.mapInArrow(run, schema)
     joined = parts.join(model.rest.select(F.col("word").alias("_word"), F.col("n").alias("_n"), F.col("c").alias("_c")), "_word", "left")
@@ -473,7 +482,7 @@ def _score(docs: DataFrame, model: ClassModel, text_col: str = "text") -> DataFr
     ).drop("_row")
 
     def follow(batches):
-        step = shared.value.step
+        step = shared.value[0].step
         for b in batches:
             v, ends = b.column(b.num_columns - 1), b.column(b.num_columns - 1).offsets.to_numpy()
             doc = np.repeat(np.arange(b.num_rows), np.diff(ends))

@@ -511,6 +511,27 @@ def test_brown_scores(spark, tmp_path):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_tokens_are_taken_in_whole_columns():
+    import pyarrow as pa
+
+    from stillwater.llm.brown_lm import _slices, numbers, tokens
+
+    raw = [b"A b\x0bC\x0c\r\n d", None, b"", b" \t ", "É\u00a0x \u2003 y\u0085Z".encode(), b"\xff\xfeQ \x00 \x1c a", b"a" * 50, b" b a "]
+    want = [(x or b"").lower().split() for x in raw]
+    listed = [b"a", b"b", b""]
+    for texts in (pa.array(raw, pa.binary()), pa.array(raw[:5], pa.string()), pa.array([b"skipped", *raw], pa.binary()).slice(1)):
+        lines = want[: len(texts)]
+        words, sizes = tokens(texts)
+        assert words.to_pylist() == [w for x in lines for w in x] and sizes.tolist() == [len(x) for x in lines]
+        found, place = numbers(words, sizes, pa.array(listed, pa.binary()), 2)
+        closed = [w for x in lines for w in [*x, b""]]
+        assert found.tolist() == [listed.index(w) if w in listed else 3 for w in closed]
+        assert all(words[int(i)].as_py() == w for w, i in zip(closed, place) if w)
+    parts = list(_slices([pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["text"])], 0, 20))
+    assert [x for b in parts for x in b.column(0).to_pylist()] == raw and len(parts) > 2
+    assert all(b.num_rows == 1 or sum(len(x or b"") for x in b.column(0).to_pylist()) <= 20 for b in parts)
+
+
 def test_scores_beside_columns_of_any_name(spark, tmp_path):
     from stillwater.llm.brown_lm import fit, score, word_counts
 
