@@ -98,10 +98,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     """mapInArrow with a function that is made once for each task; a worker lets go of what other kinds of tasks kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = set(_MADE)
-        _ASKED.clear()
-        f = make()
-        release(before - _ASKED)
+        f = begun(make)
         for b in sliced(batches):
             if (out := f(b)) is not None:
                 yield out
@@ -109,11 +106,32 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def alone(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that keeps nothing in the worker and lets go of what tasks before it kept there."""
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from begun(lambda: run)(batches)
+
+    return after
+
+
 _MADE: dict[str, tuple[object, object]] = {}
 #: Kinds that the running task has asked for.
 _ASKED: set[str] = set()
 
 
+def begun(make: Callable):
+    """What ``make`` gives at the beginning of a task; the worker lets go of the kinds that it doesn't ask for.
+
+    A function of the module, as those made inside another one are sent to the
+    workers with copies of the module's variables, where nothing is kept.
+    """
+    _ASKED.clear()
+    out = make()
+    release(set(_MADE) - _ASKED)
+    return out
+
+
 def release(kinds: set[str]) -> None:
     """Let go of what earlier tasks of these kinds kept in this worker process, and give free memory back."""
     for kind in kinds:
@@ -130,6 +148,8 @@ def per_worker(kind: str, source: object, make: Callable):
     _ASKED.add(kind)
     found = _MADE.get(kind)
     if found is None or not (found[0] is source or (isinstance(source, str) and found[0] == source)):
+        found = None
+        release(set(_MADE) - _ASKED | {kind})  # before the new one takes its place
         found = _MADE[kind] = (source, make(source))
     return found[1]
 

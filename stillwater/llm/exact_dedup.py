@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts
+from .common import alone, cut, parts
 
 #: White space that counts as one space: U+0020 and U+0009 to U+000D.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -117,7 +117,7 @@ def sorted_runs(rows: DataFrame, keys: list[Column]) -> DataFrame:
     row is that ``first`` one.
     """
     rows = rows.repartitionByRange(parts(rows.sparkSession), *keys).sortWithinPartitions(*keys).select("id", "rid", "norm", "sha")
-    found = cut(rows.mapInArrow(_runs, "id long, rid long, keep long, size long, sha string, part int, run int, n_in long, edge binary"))
+    found = cut(rows.mapInArrow(alone(_runs), "id long, rid long, keep long, size long, sha string, part int, run int, n_in long, edge binary"))
 
     # At most two rows for each partition.
     edges = found.filter(F.col("edge").isNotNull()).select("part", "run", "edge", "keep", "size")

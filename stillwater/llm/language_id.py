@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, flush_counts, per_worker, sliced, text_key
+from .common import alone, cut, flush_counts, map_arrow, per_worker, text_key
 
 UNKNOWN = "und"
 #: Lengths of the n-grams that an unseen word falls back to, in this order.
@@ -102,7 +102,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key_col: str, max_rows:
         return as_batches(each())
 
     def added_up(rows: DataFrame, count) -> DataFrame:
-        return cut(rows.mapInArrow(count, "lang string, order int, key string, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")))
+        return cut(rows.mapInArrow(alone(count), "lang string, order int, key string, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")))
 
     # each distinct word is taken apart once
     found_words = added_up(rows.select(text_col, lang_col), count_words)
@@ -243,13 +243,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", explained: bo
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
-    def run(batches):
+    def make():
         judge = per_worker("language and share" if explained else "language", shared.value, lambda m: Judge(m, explains=explained))
-        for b in sliced(batches):
+
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
             found = list(zip(*map(judge.judge, b.column(at).to_pylist())))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, k) for v, k in zip(found, (pa.string(), pa.float64(), pa.float64())[: len(added)]))], [*b.schema.names, *(f.name for f in added)])
+            return pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, k) for v, k in zip(found, (pa.string(), pa.float64(), pa.float64())[: len(added)]))], [*b.schema.names, *(f.name for f in added)])
+
+        return f
 
-    return docs.mapInArrow(run, StructType([*docs.schema, *added]))
+    return map_arrow(docs, make, StructType([*docs.schema, *added]))
 
 
 def least_explained(docs: DataFrame, model: Model, text_col: str, lang_col: str, key_col: str, max_rows: int = 20_000) -> list[float]:

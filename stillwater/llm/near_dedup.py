@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, digest16, lookup, map_arrow, only, parts, pieces, shingles, sliced, small, word_hashes
+from .common import LOWER, alone, cut, digest16, lookup, map_arrow, only, parts, pieces, shingles, sliced, small, word_hashes
 from .components import smallest_reachable
 
 #: Buckets (registers) of a signature and registers of a band.
@@ -127,7 +127,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = bands.filter(F.col("key") != F.lit(bytearray(2 * ROWS))).select(F.xxhash64("band", "key").alias("bucket"), "c")
     n = 2 * parts(classes.sparkSession)
     rows = rows.repartitionByRange(n, "bucket", "c").sortWithinPartitions("bucket", "c")
-    found = cut(rows.mapInArrow(_neighbours, "bucket long, a long, b long").distinct())
+    found = cut(rows.mapInArrow(alone(_neighbours), "bucket long, a long, b long").distinct())
     return found.filter(F.col("bucket").isNull()).select("a", "b"), found.filter(F.col("bucket").isNotNull()).select("bucket", F.col("a").alias("c"))
 
 
@@ -143,7 +143,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
             near = est >= threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1)) - collision(MANTISSA)
             yield b.select(["a", "b"]).filter(pa.array(near))
 
-    return met.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    return met.select("a", "b", "sa", "sb").mapInArrow(alone(compare), "a long, b long")
 
 
 def sketches(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -282,7 +282,7 @@ def crowded_pairs(docs: DataFrame, classes: DataFrame, members: DataFrame, label
     rows = rows.join(drawn, "c")
     keys = ["bucket", "x", "y"]
     rows = rows.repartition(2 * parts(classes.sparkSession), *keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(_block_pairs(threshold), "a long, b long").distinct()
+    return rows.mapInArrow(alone(_block_pairs(threshold)), "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -317,7 +317,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str,
             t = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(b.column(0), t), pc.filter(b.column(1), t)], ["a", "b"])
 
-    return met.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    return met.select("a", "b", "sa", "sb").mapInArrow(alone(compare), "a long, b long")
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:

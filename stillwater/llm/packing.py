@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_automaton import MARKS, NOT_SPACE, PLAIN, Encoder
-from .common import cut, map_arrow, per_worker
+from .common import alone, cut, map_arrow, per_worker
 
 #: Chunks of the newest generation whose ids a worker remembers; the one before is kept too.
 REMEMBERED = 200_000
@@ -136,6 +136,7 @@ def best_fit(size: np.ndarray, piece: np.ndarray, of: np.ndarray, capacity: int,
     return placed, left, sorted([(f, s) for f, s in held] + [(-f, s) for f, s in later])
 
 
+_RANKS = pa.schema({"k": pa.int32(), "p": pa.int32(), "lo": pa.int64(), "hi": pa.int64(), "first": pa.int64()})
 _SWEPT = "kind int, part int, place long, id long, size long, sequence long, at long"
 
 
@@ -168,7 +169,7 @@ def swept(rows: DataFrame, n: int, capacity: int, step: int, may_open: bool) ->
             if m := len(columns[1]):
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array([part] * m, pa.int32()), *(pa.array(list(c), pa.int64()) for c in columns)], ["kind", "part", "place", "id", "size", "sequence", "at"])
 
-    return cut(dealt.select("size", "piece", "id").mapInArrow(run, _SWEPT))
+    return cut(dealt.select("size", "piece", "id").mapInArrow(alone(run), _SWEPT))
 
 
 def across(counts: list[tuple[int, int, int]]) -> tuple[list[tuple], list[tuple], int]:
@@ -219,8 +220,9 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", rows_a_ta
     sizes = rows.select(F.col(f"own{pieces.columns.index(length_col)}").cast("long").alias("size"), F.lit(1).alias("piece"), "id")
     counts = {r[0]: r[1] for r in sizes.groupBy("size").count().collect()}  # as many as lengths
     least, step = min(counts, default=0), 0
-    placed = spark.createDataFrame([], "id long, sequence_id long, offset long")
-    gaps = spark.createDataFrame([], "size long, piece int, id long")
+    # made in the JVM, as lists of Python objects start workers of another kind
+    placed = spark.range(0).select("id", F.col("id").alias("sequence_id"), F.col("id").alias("offset"))
+    gaps = spark.range(0).select(F.col("id").alias("size"), F.lit(0).alias("piece"), "id")
     in_place = lambda out: out.filter(F.col("kind") == PLACED).select("id", F.col("sequence").alias("sequence_id"), F.col("at").alias("offset"))
     as_gaps = lambda out: out.filter((F.col("kind") == GAP) & (F.col("size") >= least)).select("size", F.lit(0).alias("piece"), F.col("sequence").alias("id"))
     for above, top in bands(counts, capacity, rows_a_task):
@@ -238,7 +240,8 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", rows_a_ta
             met = sorted(tuple(r) for r in counted.collect())
             of_pieces, of_gaps, matches = across(met)
             before, n_left = sum(x[1] for x in met), sum(x[1] for x in met) - matches
-            ranks = F.broadcast(spark.createDataFrame([(LEFT, *x) for x in of_pieces] + [(GAP, *x) for x in of_gaps], "k int, p int, lo long, hi long, first long"))  # a few a partition
+            ranks = [(LEFT, *x) for x in of_pieces] + [(GAP, *x) for x in of_gaps]  # a few a partition
+            ranks = F.broadcast(spark.createDataFrame(pa.Table.from_pylist([dict(zip(_RANKS.names, x)) for x in ranks], _RANKS)))
             tagged = out.join(ranks, (F.col("kind") == F.col("k")) & (F.col("part") == F.col("p")) & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi")), "left")
             match, free = (F.col("first") + F.col("place") - F.col("lo")).alias("match"), tagged.filter(F.col("kind") == GAP).filter("first is not null")
             pairs = tagged.filter(F.col("kind") == LEFT).filter("first is not null").select(match, "id", "size").join(free.select(match, F.col("size").alias("free"), "sequence"), "match")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sequence, cut, free_name, map_arrow, parts, pieces, shingles, word_hashes
+from .common import Sequence, alone, cut, free_name, map_arrow, parts, pieces, shingles, word_hashes
 from .exact_dedup import sorted_runs
 
 #: Words of the n-grams whose least hash selects a position.
@@ -213,7 +213,7 @@ def _spans(docs: DataFrame, least: int, id_col: str, text_col: str, row: str) ->
     keys = [F.col("head"), F.col("near"), F.col("doc").asc_nulls_last(), F.col("row"), F.col("at")]
     bounds = limits(docs, least, id_col, text_col, row, n)
     rows = suffixes(docs, least, id_col, text_col, row, bounds).repartitionById(n, F.col("part")).sortWithinPartitions(*keys)
-    found = cut(rows.mapInArrow(_neighbours(least), "kind int, doc long, row long, a int, b int"))
+    found = cut(rows.mapInArrow(alone(_neighbours(least)), "kind int, doc long, row long, a int, b int"))
     wide = windows(docs, found.filter(F.col("kind") == ANCHOR).select("row", "a"), least, id_col, text_col, row).withColumn("sha", F.lit(""))
     order = [F.col("norm"), F.col("doc").asc_nulls_last(), F.col("rid"), F.col("id")]
     runs = sorted_runs(wide, order).filter(F.col("size") > 1)
@@ -221,7 +221,7 @@ def _spans(docs: DataFrame, least: int, id_col: str, text_col: str, row: str) ->
     spans = spans.unionByName(found.filter(F.col("kind") != ANCHOR).select("row", "a", "b", (F.col("kind") == REMOVED).alias("removed")))
     # no more spans than the text has words
     lists = spans.groupBy("row", "removed").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    merged = lists.mapInArrow(_merge, "row long, removed boolean, start int, end int")
+    merged = lists.mapInArrow(alone(_merge), "row long, removed boolean, start int, end int")
     names = docs.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
     return merged.join(names, "row").select("doc_id", "row", "start", "end", "removed")
 

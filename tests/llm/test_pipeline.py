@@ -100,3 +100,39 @@ def test_share_explained_by_hand(spark):
         words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
         found = [model.index[EXPLAINED_BY].get(g, 0) for w in words for g in grams(w, EXPLAINED_BY)]
         assert share == (sum(model.usual[i][model.langs.index(lang)] for i in found) / len(found) if found else 0.0)
+
+
+def test_workers_let_go_of_what_other_kinds_of_tasks_kept(spark):
+    """A worker that has packed doesn't hold the tokenizer through the stages that follow, nor a model through the packing."""
+    import os
+
+    import pyarrow as pa
+    from stillwater.llm.common import alone, map_arrow, per_worker
+
+    df = spark.range(0, 400, numPartitions=16)
+    out = "pid long, kinds string"
+
+    def kept(n):
+        from stillwater.llm import common
+
+        return pa.RecordBatch.from_arrays([pa.array([os.getpid()] * n), pa.array([",".join(sorted(common._MADE))] * n)], ["pid", "kinds"])
+
+    def keeps(kind):
+        def make():
+            per_worker(kind, "x", lambda source: [source])
+            return lambda b: kept(b.num_rows)
+
+        return {tuple(r) for r in map_arrow(df, make, out).collect()}
+
+    def keeps_nothing(batches):
+        for b in batches:
+            yield kept(b.num_rows)
+
+    one = keeps("one")
+    assert {kinds for _, kinds in one} == {"one"}
+    two = keeps("two")
+    assert {kinds for _, kinds in two} == {"two"}
+    assert {x for x, _ in one} & {x for x, _ in two}  # the same workers
+    assert {r[1] for r in df.mapInArrow(alone(keeps_nothing), out).collect()} == {""}
+    keeps("one")
+    assert {r[1] for r in map_arrow(df, lambda: lambda b: kept(b.num_rows), out).collect()} == {""}
