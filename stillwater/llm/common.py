@@ -18,6 +18,10 @@ from pyspark.sql.types import StructType
 PARTITION_BITS = 33
 #: Rows that a table may have at most to be broadcast whole.
 BROADCAST_ROWS = 400_000
+#: The same for tables of a few numbers that ``small`` marks: several stand in one query, and the driver takes about 100 bytes a row for each, several times over.
+SMALL_ROWS = 50_000
+#: Most words of 64 bits that ``only`` broadcasts, 8 MB; a thirty-second to a sixteenth of the bits is set, more only beyond four million identifiers.
+FILTER_WORDS = 1 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -269,16 +273,34 @@ def digest16(data: bytes) -> bytes:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A table (cut before) marked for broadcast if it has at most ``BROADCAST_ROWS`` rows of a few numbers; a larger one is met in a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A table (cut before) marked for broadcast if it has at most ``SMALL_ROWS`` rows of a few numbers; a larger one is met in a shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
 def only(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """The rows whose identifier is in the column ``wanted`` of ``ids`` (distinct; null counts as a value).
+    """The rows whose identifier is in the column ``wanted`` of ``ids`` (distinct; null counts as a value), and some others.
 
-    A table of at most ``BROADCAST_ROWS`` identifiers is broadcast, so that the rows stay where they are; a larger one is met in a shuffle.
+    At most ``SMALL_ROWS`` identifiers are broadcast, and then there are no others.  Of more, a bit for each by its hash is broadcast, so that
+    the rows stay where they are; rows that meet a bit of another identifier pass as well, so who asks has to confirm them.
     """
-    return docs.join(small(ids.select("wanted")), docs[id_col].cast("long").eqNullSafe(F.col("wanted")), "left_semi")
+    ids = cut(ids.select("wanted"))
+    n = ids.count()
+    if n <= SMALL_ROWS:
+        return docs.join(F.broadcast(ids), docs[id_col].cast("long").eqNullSafe(F.col("wanted")), "left_semi")
+    words = min(FILTER_WORDS, 1 << (n // 4).bit_length())
+    place = lambda c: (F.xxhash64(c).bitwiseAND(words - 1).cast("int"), F.shiftrightunsigned(F.xxhash64(c), 58).cast("int"))
+    name = free_name(docs, "_bits")
+
+    def gather(batches):
+        out = np.zeros(words, np.int64)
+        for b in batches:
+            out[b.column(0).to_numpy()] = b.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.int64()))], [name])
+
+    word, bit = place(F.col("wanted"))
+    bits = ids.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit"))
+    word, bit = place(docs[id_col].cast("long"))
+    return docs.join(F.broadcast(cut(bits.coalesce(1).mapInArrow(alone(gather), f"{name} array<long>"))), F.getbit(F.get(name, word), bit) == 1, "left_semi")
 
 
 #: A key is hot if it has more than one in so many of all rows; there are fewer hot keys than that.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, small
+from .common import SMALL_ROWS, cut, small
 
 
 def smallest_reachable(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def smallest_reachable(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     start = vertices.join(small(linked), "v").select("v", F.col("label").alias("own"), "label")
     now = cut(start)
     # vertices, labels heard and labels ahead are no more than these
-    near_by = F.broadcast if now.count() <= BROADCAST_ROWS else lambda df: df
+    near_by = F.broadcast if now.count() <= SMALL_ROWS else lambda df: df
     while True:
         heard = both.join(near_by(now.select(F.col("v").alias("b"), "label")), "b").groupBy("a").agg(F.min("label").alias("heard"))
         near = cut(now.join(near_by(heard), now["v"] == heard["a"]).select("v", "own", F.least("label", "heard").alias("label"), F.col("label").alias("before")))

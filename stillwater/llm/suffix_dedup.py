@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +70,10 @@ def limits(docs: DataFrame, least: int, id_col: str, text_col: str, row: str, n:
     share = SAMPLE_DOCS / max(docs.count(), 1)
     sample = docs.sample(share, seed=1) if share < 1 else docs
     found = suffixes(sample, least, id_col, text_col, row, []).limit(SAMPLE_ROWS).select("head", "near", "doc", "row", "at").toArrow()
-    keys = sorted(map(_key, *(found.column(c).to_pylist() for c in found.column_names)))
-    return [keys[len(keys) * i // n] for i in range(1, n)] if len(keys) > n else keys
+    # sorted as columns in the order of _key, so that the driver's Python holds the limits only
+    order, size = pc.sort_indices(found, sort_keys=[(c, "ascending") for c in found.column_names]), found.num_rows
+    found = found.take(order.take(pa.array([size * i // n for i in range(1, n)] if size > n else range(size), pa.int64())))
+    return list(map(_key, *(found.column(c).to_pylist() for c in found.column_names)))
 
 
 def _key(head: int, near: bytes, doc: int | None, row: int, at: int) -> tuple:

@@ -136,3 +136,41 @@ def test_workers_let_go_of_what_other_kinds_of_tasks_kept(spark):
     assert {r[1] for r in df.mapInArrow(alone(keeps_nothing), out).collect()} == {""}
     keeps("one")
     assert {r[1] for r in map_arrow(df, lambda: lambda b: kept(b.num_rows), out).collect()} == {""}
+
+
+def test_the_driver_broadcasts_bounded_tables(spark, monkeypatch):
+    """More rows than fit beside each other on a small driver are not broadcast: identifiers go as bits, edges and labels meet in a shuffle."""
+    from stillwater.llm.common import only
+    from stillwater.llm.components import smallest_reachable
+
+    sent, mark = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append((df.count(), df.toArrow().nbytes)) or mark(df))
+    n = 120_000
+    docs = spark.range(0, 3 * n).select(F.when(F.col("id") > 0, F.col("id") - 1).alias("doc_id"), F.col("id").cast("string").alias("_bits"))
+    ids = spark.range(0, n).select(F.when(F.col("id") > 0, F.col("id") * 2).alias("wanted"))
+    got = only(docs, "doc_id", ids)
+    assert got.columns == docs.columns
+    found = got.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").count()
+    assert found == n and n <= got.count() < n + 0.2 * 2 * n
+    edges = spark.range(0, n).filter("id % 2 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    labels = smallest_reachable(spark.range(0, n).select(F.col("id").alias("v"), F.col("id").alias("label")), edges)
+    assert labels.filter(F.col("label") != F.col("v") - F.col("v") % 2).isEmpty() and labels.count() == n
+    assert sent and all(rows <= 50_000 and size < 2**23 + 1000 for rows, size in sent), sent
+
+
+def test_near_dedup_by_bits_and_shuffles(spark, monkeypatch):
+    """With nothing small enough to be broadcast, and a filter of so few bits that most rows pass, groups are the same."""
+    from stillwater.llm import common, components
+    from stillwater.llm.near_dedup import near_dedup
+
+    r = random.Random(12)
+    base = [[f"w{r.randrange(5000)}" for _ in range(60)] for _ in range(40)]
+    rows = [(None if i == 7 else i, " ".join(w if i % 3 else [*w[:59], f"x{i}"])) for i, w in enumerate(base * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(near_dedup(df).collect(), key=str)
+    monkeypatch.setattr(common, "SMALL_ROWS", -1)
+    monkeypatch.setattr(components, "SMALL_ROWS", -1)
+    for words in (1, 1 << 20):
+        monkeypatch.setattr(common, "FILTER_WORDS", words)
+        assert sorted(near_dedup(df).collect(), key=str) == want
+    assert len({x["component_id"] for x in want}) < len(want)
