@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alone, cut, flush_counts, map_arrow, per_worker, text_key
+from .common import alone, cut, flush_counts, map_arrow, per_worker, sorted_ranks, text_key
 
 UNKNOWN = "und"
 #: Lengths of the n-grams that an unseen word falls back to, in this order.
@@ -255,12 +255,23 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", explained: bo
     return map_arrow(docs, make, StructType([*docs.schema, *added]))
 
 
-def least_explained(docs: DataFrame, model: Model, text_col: str, lang_col: str, key_col: str, max_rows: int = 20_000) -> list[float]:
-    """By language of the model: half the median share explained of its training rows (those that ``train`` draws) that are predicted as such."""
-    rows = drawn(docs, text_col, lang_col, key_col, max_rows).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    share = predict(rows, model, explained=True).filter("lang_pred = lang and explained > 0").select("lang", "explained")
-    found = dict(share.groupBy("lang").agg(F.percentile_approx("explained", 0.5)).collect())
-    return [found.get(x, 0.0) / 2 for x in model.langs]
+def least_explained(docs: DataFrame, model: Model, text_col: str, lang_col: str, key_col: str) -> list[float]:
+    """``half_medians`` of all labelled rows, which are judged for it; no row is drawn, so ``key_col`` doesn't matter."""
+    rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return half_medians(predict(rows, model, explained=True), model.langs)
+
+
+def half_medians(judged: DataFrame, langs: list[str]) -> list[float]:
+    """By language: half the median share explained of the rows ``lang, lang_pred, explained`` that are predicted as labelled.
+
+    All such rows count; shares of 0 don't, and of two middle ones the lesser is taken.  0 without such rows.
+    """
+    # numbered, so that rows with equal shares are dealt to many tasks
+    rows = cut(judged.filter("lang_pred = lang and explained > 0").select("lang", "explained", F.monotonically_increasing_id().alias("row")))
+    n = rows.groupBy(F.col("lang").alias("of")).count()  # a row a language
+    middle = sorted_ranks(rows, "lang", [F.col("explained"), F.col("row")]).join(F.broadcast(n), (F.col("lang") == F.col("of")) & (F.col("rank") == F.expr("(count - 1) div 2")))
+    found = dict(middle.select("lang", "explained").collect())
+    return [found.get(x, 0.0) / 2 for x in langs]
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out: int = 1) -> DataFrame:
